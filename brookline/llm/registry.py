@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brookline.llm import exact_dedup, mixing, sharding
+from brookline.llm import exact_dedup, mixing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_interleaved_shards": sharding.query,
     "op3_pareto_mix": mixing.query,
+    "op7_weak_supervision": quality.query,
+    "op8_toxicity_grammar": toxicity.query,
     "op10_extendible_dedup": exact_dedup.query,
 }
 
