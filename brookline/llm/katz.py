@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from brookline.llm.hashing import mixed, word_hashes
 from brookline.llm.shared import col, documents, stage, tasks_for
@@ -58,25 +59,26 @@ def route(v: np.ndarray, w: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays one after the other, keys (uint64) as 48 bits, other numbers as 32; high and low parts apart, for compression."""
+    """Arrays one after the other, keys (uint64) as 48 bits, other numbers as 32, byte by byte apart, and compressed."""
     out = [np.array([len(arrays), *map(len, arrays), *[a.dtype == np.uint64 for a in arrays]], dtype="<i8").tobytes()]
     for a in arrays:
-        out.append(a.astype("<u4").tobytes() if a.dtype != np.uint64 else (a & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (a >> np.uint64(32)).astype("<u2").tobytes())
-    return b"".join(out)
+        wide = 6 if a.dtype == np.uint64 else 4
+        out.append(np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes())
+    plain = b"".join(out)
+    return len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
+    data = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
     n = int(np.frombuffer(data, "<i8", 1)[0])
     head = np.frombuffer(data, "<i8", 1 + 2 * n)
     at, out = 8 * len(head), []
-    for size, wide in zip(head[1 : n + 1].tolist(), head[n + 1 :].tolist()):
-        low = np.frombuffer(data, "<u4", size, at)
-        at += 4 * size
-        if wide:
-            out.append(low.astype(np.uint64) | np.frombuffer(data, "<u2", size, at).astype(np.uint64) << np.uint64(32))
-            at += 2 * size
-        else:
-            out.append(low.astype(np.int64))
+    for size, is_key in zip(head[1 : n + 1].tolist(), head[n + 1 :].tolist()):
+        wide = 6 if is_key else 4
+        full = np.zeros((size, 8), dtype=np.uint8)
+        full[:, :wide] = np.frombuffer(data, np.uint8, size * wide, at).reshape(wide, size).T
+        out.append(full.reshape(-1).view("<u8" if is_key else "<i8"))
+        at += size * wide
     return out
 
 
@@ -278,9 +280,17 @@ def emit_table(batches: Iterator[pa.RecordBatch], hot: np.ndarray, n_parts: int)
         yield rows_out([(q, 0, pack(v[a:b], w[a:b], c[a:b], own[a:b])) for q, (a, b) in enumerate(zip(at, at[1:])) if b > a])
 
 
-def emit_queries(batches: Iterator[pa.RecordBatch], hot: np.ndarray, n_parts: int) -> Iterator[pa.RecordBatch]:
-    """Bigrams of many documents: first words with the number of their bigrams, second words with the number of their documents, documents."""
-    for texts, ids in bigrams_of(batches):
+def emit_queries(batches: Iterator[pa.RecordBatch], hot: np.ndarray, n_parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Bigrams of many documents (kind 1): first words with the number of their bigrams, second words with the number of
+    their documents, documents. And the documents themselves (kind 2)."""
+
+    def watched() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named.append((batch.column("uid"), batch.column("doc_id")))
+            yield batch
+
+    named: list[tuple[pa.Array, pa.Array]] = []
+    for texts, ids in bigrams_of(watched()):
         v, w = pairs(texts)
         doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         p = route(v, w, hot, n_parts)
@@ -295,7 +305,22 @@ def emit_queries(batches: Iterator[pa.RecordBatch], hot: np.ndarray, n_parts: in
                 here, local = np.unique(doc[a:b], return_inverse=True)
                 uid = np.array(ids, dtype=np.int64)[here].astype(np.uint64)
                 out.append((q, 1, pack(v[a:b][word], per_word, w[a:b][pair], runs(pair, b - a), local, (uid >> np.uint64(32)).astype(np.int64), (uid & np.uint64(0xFFFFFFFF)).astype(np.int64))))
-        yield rows_out(out)
+        yield with_names(rows_out(out), [], id_type)
+        yield from names_of(named, n_parts, id_type)
+        named.clear()
+    yield from names_of(named, n_parts, id_type)
+
+
+def with_names(rows: pa.RecordBatch, names: list[tuple[pa.Array, pa.Array]], id_type: pa.DataType) -> pa.RecordBatch:
+    """rows with the columns uids and ids; names fill them, one pair for each row."""
+    lists = [[x[k].to_pylist() for x in names] or [None] * rows.num_rows for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(lists[0], pa.list_(pa.int64())), pa.array(lists[1], pa.list_(id_type))], names=["part", "kind", "data", "uids", "ids"])
+
+
+def names_of(names: list[tuple[pa.Array, pa.Array]], n_parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    for pair in names:
+        if len(pair[0]):
+            yield with_names(rows_out([(pair[0][0].as_py() * 7 % n_parts, 2, b"")]), [pair], id_type)
 
 
 def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,12 +334,20 @@ def gram(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mixed(mixed(v + np.uint64(3)) + w)
 
 
-def score_parts(batches: Iterator[pa.RecordBatch], model: Model, hot: np.ndarray, hot_table: np.ndarray) -> Iterator[pa.RecordBatch]:
+def score_parts(batches: Iterator[pa.RecordBatch], model: Model, hot: np.ndarray, hot_table: np.ndarray, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Sums of each document over the bigrams of a partition: base score, score, known tokens, tokens."""
     hot_scale, hot_alpha = model.alphas(hot_table[:, 0], hot_table[:, 1 : K + 1], hot_table[:, K + 1], hot_table[:, K + 2 : 2 * K + 2], hot_table[:, 2 * K + 2])
     now, held, ready = None, [], None
     none = np.zeros(0, dtype=np.uint64)
-    for p, kind, data in row_batches(batches):
+
+    def sums_of(uid: pa.Array, ids: pa.Array, *sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([uid, ids, *map(pa.array, sums)], names=["uid", "doc_id", "base", "score", "known", "words"])
+
+    for p, kind, data, uids, ids in ((p, k, d, u, i) for b in batches for p, k, d, u, i in zip(b.column("part").to_pylist(), b.column("kind").to_pylist(), b.column("data"), b.column("uids"), b.column("ids"))):
+        if kind == 2:
+            nothing = np.zeros(len(uids.values))
+            yield sums_of(uids.values, ids.values, nothing, nothing, nothing.astype(np.int64), nothing.astype(np.int64))
+            continue
         if p != now:
             now, held, ready = p, [], None
         if kind == 0:
@@ -359,7 +392,7 @@ def score_parts(batches: Iterator[pa.RecordBatch], model: Model, hot: np.ndarray
         of_pair = np.repeat(np.arange(len(qw)), docs_of)
         n_docs = len(high)
         sums = [np.bincount(doc, weights=x[each][of_pair] if x is not second else x[of_pair], minlength=n_docs) for x in (base, first, second, known_word.astype(float), token.astype(float))]
-        yield pa.RecordBatch.from_arrays([pa.array(high << 32 | low), pa.array(sums[0]), pa.array(sums[1] + sums[2]), pa.array(sums[3].astype(np.int64)), pa.array(sums[4].astype(np.int64))], names=["uid", "base", "score", "known", "words"])
+        yield sums_of(pa.array(high << 32 | low), pa.nulls(n_docs, id_type), sums[0], sums[1] + sums[2], sums[3].astype(np.int64), sums[4].astype(np.int64))
 
 
 def fold(doc_id: Column) -> Column:
@@ -369,8 +402,7 @@ def fold(doc_id: Column) -> Column:
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
-    # row numbers hold for one reading of the table; they are written down once, with the ids they stand for
-    table = stage(docs.select(F.monotonically_increasing_id().alias("uid"), col(doc_id).alias("doc_id"), col(text).alias("text")), "katz-documents")
+    table = docs.select(F.monotonically_increasing_id().alias("uid"), col(doc_id).alias("doc_id"), col(text).alias("text"))
     size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = min(1 << 15, tasks_for(spark, size, BYTES_PER_PARTITION))
     train = table.where(fold(F.col("doc_id")) != HELD_OUT).select("uid", "text")
@@ -389,17 +421,19 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     for r in sums.groupBy("v").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(2 * K + 3)]).collect():  # at most 4 * n_parts + 1 rows
         hot_table[np.searchsorted(hot, np.uint64(r["v"]))] = r[1:]
 
-    grams = counts.where("kind = 0").mapInArrow(lambda it: emit_table(it, hot, n_parts), ROWS)
-    queries = table.select("uid", "text").mapInArrow(lambda it: emit_queries(it, hot, n_parts), ROWS)
+    kind_of_id = table.schema["doc_id"].dataType
+    id_type = to_arrow_type(kind_of_id)
+    named = ROWS + f", uids array<long>, ids array<{kind_of_id.simpleString()}>"
+    grams = counts.where("kind = 0").mapInArrow(lambda it: (with_names(b, [], id_type) for b in emit_table(it, hot, n_parts)), named)
+    queries = table.mapInArrow(lambda it: emit_queries(it, hot, n_parts, id_type), named)
     met = grams.union(queries).repartition(n_parts, "part").sortWithinPartitions("part", "kind")
-    sums = met.mapInArrow(lambda it: score_parts(it, model, hot, hot_table), "uid long, base double, score double, known long, words long")
-    total = sums.groupBy("uid").agg(F.sum("base").alias("base"), F.sum("score").alias("score"), F.sum("known").alias("known"), F.sum("words").alias("words"))
+    sums = met.mapInArrow(lambda it: score_parts(it, model, hot, hot_table, id_type), f"uid long, doc_id {kind_of_id.simpleString()}, base double, score double, known long, words long")
+    total = sums.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("base").alias("base"), F.sum("score").alias("score"), F.sum("known").alias("known"), F.sum("words").alias("words"))
     # the end token, the same for every document
     ends = int(hot_table[np.searchsorted(hot, BEGIN), 0])
     end_base = math.log10((ends + 1) / (model.n + model.v + 1)) if model.n else 0.0
     end_score = float(np.log10(model.single(np.array([ends]))[0]))
-    ids = table.select("uid", "doc_id")
-    return ids.join(total, "uid").select(
+    return total.select(
         "doc_id",
         (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"),
         (F.col("words") + 1).alias("n_tokens"),

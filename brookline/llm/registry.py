@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brookline.llm import exact_dedup, html_text, katz, mixing, packing, quality, sharding, similarity_join, toxicity
+from brookline.llm import exact_dedup, html_text, katz, mixing, packing, quality, repeats, sharding, similarity_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": html_text.query,
     "op2_interleaved_shards": sharding.query,
     "op3_pareto_mix": mixing.query,
     "op4_chosen_path_join": similarity_join.query,
+    "op5_merged_bwt_repeats": repeats.query,
     "op6_katz_backoff": katz.query,
     "op7_weak_supervision": quality.query,
     "op8_toxicity_grammar": toxicity.query,

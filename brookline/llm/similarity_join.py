@@ -168,17 +168,29 @@ def linked(batches: Iterator[pa.RecordBatch], enough: int, plenty: int) -> Itera
     for group in grouped(batches, ["leaf", "part"]):
         where: dict[int, list[int]] = defaultdict(list)
         pivots: list[int] = []
+        tree: list[int] = []  # of pivots that are linked already
         a, b, kept = [], [], []
+
+        def top(p: int) -> int:
+            while tree[p] != p:
+                tree[p] = tree[tree[p]]
+                p = tree[p]
+            return p
+
         for i, (cls, first) in enumerate(zip(group.column("cls").to_pylist(), group.column("first").to_pylist())):
             common = Counter(p for node in first for p in where.get(node, ()))
-            for p, n in common.items():
-                if n >= enough:
-                    a.append(cls)
-                    b.append(pivots[p])
+            near = {top(p) for p, n in common.items() if n >= enough}
+            # links to one pivot of each linked lot, so there are fewer links than sets in a bucket
+            a += [cls] * len(near)
+            b += [pivots[p] for p in near]
+            least = min(near, default=-1)
+            for p in near:
+                tree[p] = least
             # a set much like a pivot adds nothing as a pivot itself: what is like it is linked to that one
             if not common or max(common.values()) < plenty:
                 for node in first:
                     where[node].append(len(pivots))
+                tree.append(len(pivots) if least < 0 else least)
                 pivots.append(cls)
                 kept.append(i)
         n = len(a)
