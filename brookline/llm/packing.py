@@ -31,18 +31,23 @@ from pyspark.sql import types as T
 
 from brookline.llm.shared import INT, LONG, bucket_of, col, documents, running_rank, stage
 
-CAPACITY, END, ROWS_PER_BUCKET, CACHED_WORDS = 4096, 1, 50_000, 800_000
+CAPACITY, END, ROWS_PER_BUCKET, CACHED_WORDS, CACHED_STEMS = 4096, 1, 50_000, 400_000, 1_000_000
 #: White space by which words are split before they are encoded; the tokenizer drops it too.
 _word = re.compile(r"[^ \t\r\n]+")
 
 
-def encoded(encoder, words: list[str]) -> dict[str, bytes]:
-    """The ids of each word as bytes. A stop or comma after a letter is a token of its own, and case is dropped."""
-    stems = [w.rstrip(".,") for w in words]
-    stems = [(s.lower() if s.isascii() else s) if s and s[-1].isalpha() else w for s, w in zip(stems, words)]
-    parts = list({*stems, *[w[len(s) :] for s, w in zip(stems, words)]})
-    ids = {p: array("I", e.ids).tobytes() for p, e in zip(parts, encoder.encode_batch_fast(parts, add_special_tokens=False))}
-    return {w: ids[s] + ids[w[len(s) :]] for s, w in zip(stems, words)}
+def encoded(encoder, words: list[str], stems: dict[str, bytes]) -> dict[str, bytes]:
+    """The ids of each word as bytes. A stop or comma after a letter is a token of its own, and case is dropped. stems: what is encoded already."""
+    bare = [w.rstrip(".,") for w in words]
+    stem = [(s.lower() if s.isascii() else s) if s and s[-1].isalpha() else w for s, w in zip(bare, words)]
+    tail = [w[len(s) :] for s, w in zip(stem, words)]
+    new = list({*stem, *tail}.difference(stems))
+    stems.update(zip(new, [array("I", e.ids).tobytes() for e in encoder.encode_batch_fast(new, add_special_tokens=False)]))
+    out = {w: stems[s] + stems[t] for s, t, w in zip(stem, tail, words)}
+    if len(stems) > CACHED_STEMS:  # the first ones seen are the common ones
+        for s in new:
+            del stems[s]
+    return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -58,8 +63,8 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
         # the encoder and the words that it has encoded stay with the worker process from task to task
         kept = vars(tokenizers).setdefault("_words_by_file", {})
         if tokenizer not in kept:
-            kept[tokenizer] = (tokenizers.Tokenizer.from_file(tokenizer), {})
-        encoder, known = kept[tokenizer]
+            kept[tokenizer] = (tokenizers.Tokenizer.from_file(tokenizer), {}, {})
+        encoder, known, stems = kept[tokenizer]
         last = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             places: list[int] = []
@@ -67,12 +72,8 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
             for first in range(0, batch.num_rows, 256):
                 texts = [_word.findall(t.as_py() or "") for t in batch.column("_text").slice(first, 256)]
                 words = set().union(*texts)
-                new = words.difference(known)
-                if len(known) + len(new) > CACHED_WORDS:
-                    known.clear()
-                    new = words
-                if new:
-                    known.update(encoded(encoder, list(new)))
+                new = encoded(encoder, list(words.difference(known)), stems)
+                known.update(new)
                 for at, text in enumerate(texts, first):
                     ids = b"".join(map(known.__getitem__, text)) + last
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
@@ -80,6 +81,9 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
                         places.append(at)
                         for column, value in zip(columns, (piece, start // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, dtype="<u4") if with_ids else None)):
                             column.append(value)
+                if len(known) > CACHED_WORDS:
+                    for w in new:
+                        del known[w]
             arrays = [batch.column("doc_id").take(pa.array(places, pa.int64())), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[1:4]]]
             if with_ids:
                 arrays.append(pa.array([x.astype("int64") for x in columns[4]], pa.list_(pa.int64())))

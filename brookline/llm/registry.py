@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from brookline.llm import exact_dedup, html_text, katz, mixing, packing, quality, repeats, sharding, similarity_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_grammar": toxicity.query,
     "op9_dominance_packing": packing.query,
     "op10_extendible_dedup": exact_dedup.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
