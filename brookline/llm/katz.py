@@ -13,7 +13,7 @@ Everything the corpus gives is moved as packed arrays, combined per task, never
    binary search, and each document gets its sums: log P of the bigram, or log alpha; log P of the first word itself,
    its base score and whether it is known, since each word comes once as a first word. log P(w | v) is evaluated as
    log P(w) plus a correction for seen bigrams or log alpha(v) for others, so both levels of the recursion add up.
-3. The sums of a document over the partitions are added.
+3. The sums travel as arrays over a batch of documents, and those of the partitions are added.
 Contexts with more than 1 / (4 * partitions) of all tokens are dealt over the partitions by the whole bigram; there
 are less than 4 * partitions of them, so their alphas, from additive statistics, are small enough to broadcast.
 
@@ -107,20 +107,22 @@ def rows_out(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 ROWS = "part int, kind int, data binary"
 
 
-def bigrams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list]]:
-    """Token arrays of many texts at a time, and their ids."""
-    held, ids, n = [], [], 0
+def bigrams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], int, list]]:
+    """Token arrays of many texts at a time, the number of the first of them, and their ids."""
+    held, ids, first, n = [], [], None, 0
     for batch in batches:
-        for text, uid in zip(batch.column("text"), batch.column("uid").to_pylist()):
+        named = batch.column("doc_id") if "doc_id" in batch.schema.names else batch.column("uid")
+        for text, uid, own in zip(batch.column("text"), batch.column("uid"), named):
             t = tokens(text.as_py())
+            first = uid.as_py() if first is None else first
             held.append(t)
-            ids.append(uid)
+            ids.append(own.as_py())
             n += len(t)
             if n >= TOKENS_PER_FLUSH:
-                yield held, ids
-                held, ids, n = [], [], 0
+                yield held, first, ids
+                held, ids, first, n = [], [], None, 0
     if held:
-        yield held, ids
+        yield held, first, ids
 
 
 def pairs(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +143,7 @@ def counted(v: np.ndarray, w: np.ndarray, n: np.ndarray | None = None) -> tuple[
 
 
 def emit_training(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.RecordBatch]:
-    for texts, _ in bigrams_of(batches):
+    for texts, _, _ in bigrams_of(batches):
         v, w, c = counted(*pairs(texts))
         at = np.searchsorted(part(w, n_parts), np.arange(n_parts + 1))
         out = []
@@ -270,57 +272,43 @@ def hot_statistics(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(v[keep][at].astype(np.int64)), *[pa.array(x) for x in table.T]], names=["v", *[f"s{i}" for i in range(table.shape[1])]])
 
 
-def emit_table(batches: Iterator[pa.RecordBatch], hot: np.ndarray, n_parts: int) -> Iterator[pa.RecordBatch]:
+def with_batch(rows: list[tuple[int, int, bytes]], batch: int, ids: list, id_type: pa.DataType) -> pa.RecordBatch:
+    """rows with the columns batch and ids; ids belong to rows of kind 2."""
+    columns = list(zip(*rows)) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array([batch] * len(rows), pa.int64()), pa.array([ids if k == 2 else None for k in columns[1]], pa.list_(id_type))],
+        names=["part", "kind", "data", "batch", "ids"],
+    )
+
+
+def emit_table(batches: Iterator[pa.RecordBatch], hot: np.ndarray, n_parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     for _, _, data in row_batches(batches):
         v, w, c, own = table_rows(data.as_py())
         p = route(v, w, hot, n_parts)
         order = np.lexsort((v, p))
         v, w, c, own, p = v[order], w[order], c[order], own[order], p[order]
         at = np.searchsorted(p, np.arange(n_parts + 1))
-        yield rows_out([(q, 0, pack(v[a:b], w[a:b], c[a:b], own[a:b])) for q, (a, b) in enumerate(zip(at, at[1:])) if b > a])
+        yield with_batch([(q, 0, pack(v[a:b], w[a:b], c[a:b], own[a:b])) for q, (a, b) in enumerate(zip(at, at[1:])) if b > a], 0, [], id_type)
 
 
 def emit_queries(batches: Iterator[pa.RecordBatch], hot: np.ndarray, n_parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Bigrams of many documents (kind 1): first words with the number of their bigrams, second words with the number of
-    their documents, documents. And the documents themselves (kind 2)."""
-
-    def watched() -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            named.append((batch.column("uid"), batch.column("doc_id")))
-            yield batch
-
-    named: list[tuple[pa.Array, pa.Array]] = []
-    for texts, ids in bigrams_of(watched()):
+    their documents, documents by place. And the documents themselves (kind 2), with their lengths."""
+    for texts, batch, ids in bigrams_of(batches):
         v, w = pairs(texts)
-        doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        lengths = np.array([len(t) for t in texts])
+        doc = np.repeat(np.arange(len(texts)), lengths)
         p = route(v, w, hot, n_parts)
         order = np.lexsort((w, v, p))
         v, w, p, doc = v[order], w[order], p[order], doc[order]
         at = np.searchsorted(p, np.arange(n_parts + 1))
-        out = []
+        out = [(batch * 7 % n_parts, 2, pack(lengths))]
         for q, (a, b) in enumerate(zip(at, at[1:])):
             if b > a:
                 pair, word = starts_of(v[a:b], w[a:b]), starts_of(v[a:b])
                 per_word = np.diff(np.append(np.searchsorted(pair, word), len(pair)))
-                here, local = np.unique(doc[a:b], return_inverse=True)
-                uid = np.array(ids, dtype=np.int64)[here].astype(np.uint64)
-                out.append((q, 1, pack(v[a:b][word], per_word, w[a:b][pair], runs(pair, b - a), local, (uid >> np.uint64(32)).astype(np.int64), (uid & np.uint64(0xFFFFFFFF)).astype(np.int64))))
-        yield with_names(rows_out(out), [], id_type)
-        yield from names_of(named, n_parts, id_type)
-        named.clear()
-    yield from names_of(named, n_parts, id_type)
-
-
-def with_names(rows: pa.RecordBatch, names: list[tuple[pa.Array, pa.Array]], id_type: pa.DataType) -> pa.RecordBatch:
-    """rows with the columns uids and ids; names fill them, one pair for each row."""
-    lists = [[x[k].to_pylist() for x in names] or [None] * rows.num_rows for k in (0, 1)]
-    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(lists[0], pa.list_(pa.int64())), pa.array(lists[1], pa.list_(id_type))], names=["part", "kind", "data", "uids", "ids"])
-
-
-def names_of(names: list[tuple[pa.Array, pa.Array]], n_parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    for pair in names:
-        if len(pair[0]):
-            yield with_names(rows_out([(pair[0][0].as_py() * 7 % n_parts, 2, b"")]), [pair], id_type)
+                out.append((q, 1, pack(v[a:b][word], per_word, w[a:b][pair], runs(pair, b - a), doc[a:b])))
+        yield with_batch(out, batch, ids, id_type)
 
 
 def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -335,18 +323,14 @@ def gram(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def score_parts(batches: Iterator[pa.RecordBatch], model: Model, hot: np.ndarray, hot_table: np.ndarray, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Sums of each document over the bigrams of a partition: base score, score, known tokens, tokens."""
+    """Sums over the bigrams of a partition, for each document of a batch (kind 1): base score, score, known words."""
     hot_scale, hot_alpha = model.alphas(hot_table[:, 0], hot_table[:, 1 : K + 1], hot_table[:, K + 1], hot_table[:, K + 2 : 2 * K + 2], hot_table[:, 2 * K + 2])
     now, held, ready = None, [], None
     none = np.zeros(0, dtype=np.uint64)
 
-    def sums_of(uid: pa.Array, ids: pa.Array, *sums: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([uid, ids, *map(pa.array, sums)], names=["uid", "doc_id", "base", "score", "known", "words"])
-
-    for p, kind, data, uids, ids in ((p, k, d, u, i) for b in batches for p, k, d, u, i in zip(b.column("part").to_pylist(), b.column("kind").to_pylist(), b.column("data"), b.column("uids"), b.column("ids"))):
+    for p, kind, data, batch, ids in ((p, k, d, u, i) for b in batches for p, k, d, u, i in zip(b.column("part").to_pylist(), b.column("kind").to_pylist(), b.column("data"), b.column("batch").to_pylist(), b.column("ids"))):
         if kind == 2:
-            nothing = np.zeros(len(uids.values))
-            yield sums_of(uids.values, ids.values, nothing, nothing, nothing.astype(np.int64), nothing.astype(np.int64))
+            yield with_batch([(p, 2, data.as_py())], batch, ids.as_py(), id_type)
             continue
         if p != now:
             now, held, ready = p, [], None
@@ -375,7 +359,7 @@ def score_parts(batches: Iterator[pa.RecordBatch], model: Model, hot: np.ndarray
             ready = keys[order], np.log10(seen[order] / model.single(own[order])), context, total, np.log10(alpha)
             del v, w, c, own, seen, keys, owner, order
         keys, gain, context, total, log_alpha = ready
-        qv, per_word, qw, docs_of, doc, high, low = unpack(data.as_py())
+        qv, per_word, qw, docs_of, doc = unpack(data.as_py())
         i, known = found(context, qv)
         count = np.where(known, total[i], 0) if len(context) else np.zeros(len(qv), dtype=np.int64)
         back = np.where(known, log_alpha[i], 0.0) if len(context) else np.zeros(len(qv))
@@ -390,9 +374,31 @@ def score_parts(batches: Iterator[pa.RecordBatch], model: Model, hot: np.ndarray
         known_word = (count > 0) & token
         each = np.repeat(np.arange(len(qv)), per_word)
         of_pair = np.repeat(np.arange(len(qw)), docs_of)
-        n_docs = len(high)
-        sums = [np.bincount(doc, weights=x[each][of_pair] if x is not second else x[of_pair], minlength=n_docs) for x in (base, first, second, known_word.astype(float), token.astype(float))]
-        yield sums_of(pa.array(high << 32 | low), pa.nulls(n_docs, id_type), sums[0], sums[1] + sums[2], sums[3].astype(np.int64), sums[4].astype(np.int64))
+        n_docs = int(doc.max()) + 1
+        sums = [np.bincount(doc, weights=x, minlength=n_docs) for x in (base[each][of_pair], first[each][of_pair] + second[of_pair], known_word[each][of_pair])]
+        plain = b"".join([sums[0].tobytes(), sums[1].tobytes(), sums[2].astype("<i4").tobytes()])
+        yield with_batch([(p, 1, plain)], batch, [], id_type)
+
+
+def totals(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows of each document, of a stream sorted by batch, the documents' own row last."""
+    base, score, known = np.zeros(0), np.zeros(0), np.zeros(0, dtype=np.int64)
+    for b in batches:
+        for kind, data, ids in zip(b.column("kind").to_pylist(), b.column("data"), b.column("ids")):
+            if kind == 1:
+                part = data.as_py()
+                n = len(part) // 20
+                if n > len(base):
+                    base, score, known = (np.append(x, np.zeros(n - len(x), dtype=x.dtype)) for x in (base, score, known))
+                base[:n] += np.frombuffer(part, "<f8", n)
+                score[:n] += np.frombuffer(part, "<f8", n, 8 * n)
+                known[:n] += np.frombuffer(part, "<i4", n, 16 * n)
+            else:
+                (lengths,) = unpack(data.as_py())
+                n = len(lengths)
+                base, score, known = (np.append(x, np.zeros(max(0, n - len(x)), dtype=x.dtype)) for x in (base, score, known))
+                yield pa.RecordBatch.from_arrays([pa.array(ids.as_py(), id_type), pa.array(lengths), pa.array(known[:n]), pa.array(base[:n]), pa.array(score[:n])], names=["doc_id", "n_tokens", "known", "base", "score"])
+                base, score, known = np.zeros(0), np.zeros(0), np.zeros(0, dtype=np.int64)
 
 
 def fold(doc_id: Column) -> Column:
@@ -423,12 +429,12 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     kind_of_id = table.schema["doc_id"].dataType
     id_type = to_arrow_type(kind_of_id)
-    named = ROWS + f", uids array<long>, ids array<{kind_of_id.simpleString()}>"
-    grams = counts.where("kind = 0").mapInArrow(lambda it: (with_names(b, [], id_type) for b in emit_table(it, hot, n_parts)), named)
-    queries = table.mapInArrow(lambda it: emit_queries(it, hot, n_parts, id_type), named)
+    rows = ROWS + f", batch long, ids array<{kind_of_id.simpleString()}>"
+    grams = counts.where("kind = 0").mapInArrow(lambda it: emit_table(it, hot, n_parts, id_type), rows)
+    queries = table.mapInArrow(lambda it: emit_queries(it, hot, n_parts, id_type), rows)
     met = grams.union(queries).repartition(n_parts, "part").sortWithinPartitions("part", "kind")
-    sums = met.mapInArrow(lambda it: score_parts(it, model, hot, hot_table, id_type), f"uid long, doc_id {kind_of_id.simpleString()}, base double, score double, known long, words long")
-    total = sums.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("base").alias("base"), F.sum("score").alias("score"), F.sum("known").alias("known"), F.sum("words").alias("words"))
+    sums = met.mapInArrow(lambda it: score_parts(it, model, hot, hot_table, id_type), rows)
+    total = sums.repartition(n_parts, "batch").sortWithinPartitions("batch", "kind").mapInArrow(lambda it: totals(it, id_type), f"doc_id {kind_of_id.simpleString()}, n_tokens long, known long, base double, score double")
     # the end token, the same for every document
     ends = int(hot_table[np.searchsorted(hot, BEGIN), 0])
     end_base = math.log10((ends + 1) / (model.n + model.v + 1)) if model.n else 0.0
@@ -436,7 +442,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return total.select(
         "doc_id",
         (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"),
-        (F.col("words") + 1).alias("n_tokens"),
+        "n_tokens",
         (F.col("known") + (1 if ends else 0)).alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("base") + end_base).alias("base_score"),
