@@ -36,9 +36,9 @@ from brookline.llm.hashing import mixed, powers, prefix_sums
 from brookline.llm.shared import LONG, col, documents, packed, stage
 from brookline.llm.similarity_join import grouped
 
-WINDOW, STEP, GRAM, HOT, CHUNK = 400, 50, 32, 4_000, 1 << 20
+WINDOW, STEP, GRAM, HOT, CHUNK = 400, 100, 32, 2_000, 1 << 20
 #: Suffixes that are merged at a time; more grams than that go one after the other.
-SUFFIXES_PER_MERGE = 3_000_000
+SUFFIXES_PER_MERGE = 1_500_000
 BROADCAST_BYTES = 32 << 20
 
 
@@ -148,30 +148,50 @@ def interleave(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray
 
 
 def repeated_windows(texts: list[bytes], weight: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
-    """For every stretch, which of its windows repeat among all of them; a stretch counts `weight` times."""
+    """For every stretch, which of its windows repeat among all of them; a stretch counts `weight` times.
+
+    A symbol that occurs once ends a string: no window over it repeats. What is left of a string between such symbols
+    is left out if it is shorter than a window.
+    """
+    rounds = WINDOW // STEP
     length = np.array([len(t) for t in texts])
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    begin = np.cumsum(length) - length  # of bytes
-    first = begin + np.arange(len(texts))  # of suffixes: one for each byte, and one more
-    owner = np.repeat(np.arange(len(texts)), length + 1)
-    j = np.arange(len(owner)) - first[owner]
-    real = j <= length[owner] - STEP
-    at = begin[owner[real]] + j[real]
-    symbol = np.zeros(len(owner), dtype=np.int64)  # 0: the end of a string
-    symbol[real] = np.unique(span_hashes(prefix_sums(data), at, at + STEP), return_inverse=True)[1] + 1
-    before = np.zeros_like(symbol)
-    inner = np.flatnonzero(j >= STEP)
-    before[inner] = symbol[inner - STEP]
-    follower = np.where(real, np.arange(len(owner)) + STEP, -1)
-    ranks = np.unique(shard, return_inverse=True)[1]
-    by_shard = np.argsort(ranks[owner], kind="stable")
-    cuts = np.searchsorted(ranks[owner][by_shard], np.arange(ranks.max() + 2))
-    shards = [Shard(symbol, follower, before, by_shard[a:b]) for a, b in zip(cuts, cuts[1:])]
-    suffix, block, _ = interleave(shards, WINDOW // STEP)
-    whole = j[suffix] <= (length - WINDOW)[owner[suffix]]
-    times = np.bincount(block[whole], weights=weight[owner[suffix[whole]]], minlength=block[-1] + 1)
-    flag = np.zeros(len(owner), dtype=bool)
-    flag[suffix[whole]] = times[block[whole]] > 1
+    places = length - STEP + 1  # of symbols
+    first = np.cumsum(places) - places
+    owner = np.repeat(np.arange(len(texts)), places)
+    at = np.arange(len(owner)) + (owner * (STEP - 1))  # their bytes
+    code = span_hashes(prefix_sums(data), at, at + STEP)
+    slot = (code >> np.uint64(42)).astype(np.int64)
+    often = np.bincount(slot, minlength=1 << 22)[slot] > 1  # all symbols that occur twice, and a few more
+    ahead = (first + places)[owner] - np.arange(len(owner)) > (rounds - 1) * STEP
+    begins = often & ahead  # windows over such symbols only
+    for i in range(1, rounds):
+        begins[: len(often) - i * STEP] &= often[i * STEP :]
+    keep = np.zeros(len(owner), dtype=bool)
+    for i in range(rounds):
+        keep[i * STEP :] |= begins[: len(begins) - i * STEP]
+    flag = np.repeat(weight > 1, places)
+    nodes = np.flatnonzero(keep)
+    if len(nodes):
+        number = np.full(len(owner) + STEP, -1, dtype=np.int64)
+        number[nodes] = np.arange(len(nodes))
+        own = owner[nodes]
+        follower = np.where((first + places)[own] - nodes > STEP, number[nodes + STEP], -1)
+        previous = np.where(nodes - first[own] >= STEP, number[np.maximum(nodes - STEP, 0)], -1)
+        symbol = np.unique(code[nodes], return_inverse=True)[1] + 1  # 0 is the end of a string
+        last = np.flatnonzero(follower < 0)
+        ends = len(nodes) + np.arange(len(last))
+        follower[last] = ends
+        before = np.where(previous >= 0, symbol[previous], 0)
+        symbol, before = np.append(symbol, np.zeros(len(last), dtype=symbol.dtype)), np.append(before, symbol[last])
+        follower, own = np.append(follower, np.full(len(last), -1)), np.append(own, own[last])
+        ranks = np.unique(shard, return_inverse=True)[1][own]
+        by_shard = np.argsort(ranks, kind="stable")
+        cuts = np.searchsorted(ranks[by_shard], np.arange(ranks.max() + 2))
+        suffix, block, _ = interleave([Shard(symbol, follower, before, by_shard[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a], rounds)
+        whole = np.append(begins[nodes], np.zeros(len(last), dtype=bool))[suffix]
+        times = np.bincount(block[whole], weights=weight[own[suffix[whole]]], minlength=block[-1] + 1)
+        flag[nodes[suffix[whole]]] |= times[block[whole]] > 1
     return [flag[f : f + n - WINDOW + 1] for f, n in zip(first, length)]
 
 
