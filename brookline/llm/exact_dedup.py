@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brookline.llm.shared import ascii_lower, col, documents, packed, stage, tasks_for, unpacked
+from brookline.llm.shared import ascii_lower, col, documents, packed, stage, tasks_for, unpacked, without
 
-MAX_DEPTH = 16
+MAX_DEPTH, CAPACITY = 16, 1_000_000
 #: Bytes of keys up to which the keys with copies are broadcast; beyond, the texts are grouped without that filter.
 BROADCAST_BYTES = 32 << 20
 
@@ -79,29 +79,37 @@ def chains(leaves: DataFrame, doc_id: str, text: str, capacity: int) -> DataFram
     return stage(owned.withColumn("chain", chain), "dedup-index")
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 1_000_000) -> DataFrame:
-    """docs in a struct `row`, with keep_id, group_size, kept and digest (SHA-256 of the normalised text)."""
-    leaves = leaf_pages(docs, text)
+def verdicts(leaves: DataFrame, doc_id: str, text: str, capacity: int, *columns: str) -> DataFrame:
+    """The given columns of the leaves, with keep_id, group_size, kept and digest (SHA-256 of the normalised text)."""
     index = chains(leaves, doc_id, text, capacity).select("key", "digest", "keep_uid", "keep_id", "group_size")
-    found = leaves.join(index, ["key", "digest"], "left")
+    found = leaves.select("uid", "key", "digest", F.col("row").getField(doc_id).alias("_id"), *columns).join(index, ["key", "digest"], "left")
     alone = F.col("group_size").isNull()
     return found.select(
-        "row",
-        F.when(alone, F.col("row").getField(doc_id)).otherwise(F.col("keep_id")).alias("keep_id"),
+        *columns,
+        F.when(alone, F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("group_size")).cast("long").alias("group_size"),
         (alone | (F.col("uid") == F.col("keep_uid"))).alias("kept"),
         "digest",
+        F.col("_id").alias("doc_id"),
+        F.col("uid").alias("leaf"),
     )
 
 
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """docs in a struct `row`, with keep_id, group_size, kept and digest."""
+    return verdicts(leaf_pages(docs, text), doc_id, text, capacity, "row").drop("doc_id", "leaf")
+
+
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that exact deduplication keeps, with the columns of docs."""
-    return unpacked(exact_dedup(docs, doc_id, text).where("kept"))
+    leaves = leaf_pages(docs, text)
+    gone = stage(verdicts(leaves, doc_id, text, CAPACITY).where(~F.col("kept")).select(F.col("leaf").alias("uid")), "dedup-gone")
+    return unpacked(without(leaves.select("uid", "row"), gone))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_dedup(documents(spark, sf_dir, "doc_id", "text"))
-    return out.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+    out = verdicts(leaf_pages(documents(spark, sf_dir, "doc_id", "text"), "text"), "doc_id", "text", CAPACITY)
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 SQL = """

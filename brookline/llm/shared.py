@@ -28,6 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_tracked: list[DataFrame] | None = None
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to a new table in the shared folder and read it back: the lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -36,9 +39,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    if _tracked is not None:
+        _tracked.append(out)
     return out
 
 
+@contextmanager
+def tracked(tables: list[DataFrame]) -> Iterator[None]:
+    """Tables staged inside are added to the list, for whoever can tell when they are done with."""
+    global _tracked
+    before, _tracked = _tracked, tables
+    try:
+        yield
+    finally:
+        _tracked = before
+
+
+def without(df: DataFrame, gone: DataFrame, key: str = "uid", most: int = 32 << 20) -> DataFrame:
+    """df without the keys of a staged table, which is broadcast if it is smaller than `most` bytes."""
+    return df.join(F.broadcast(gone) if gone.count() * 8 <= most else gone, key, "left_anti")
+
+
 @contextmanager
 def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of the queries inside go as soon as each query ends."""

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from brookline.llm.components import components
 from brookline.llm.hashing import mixed, run_hashes, word_hashes
-from brookline.llm.shared import LONG, col, documents, packed, stage, unpacked
+from brookline.llm.shared import LONG, col, documents, packed, stage, unpacked, without
 
 SHINGLE, THRESHOLD, TARGET, DEPTH, SEED = 5, (4, 5), 0.9999, 3, 7
 SMALL, BLOCK = 64, 1000
@@ -101,9 +101,10 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def hashed(docs: DataFrame, text: str, carry: list[str] | None, n_runs: int, threshold: float) -> DataFrame:
-    """uid, row, text, set_key (null without shingles) and the paths of every document, staged."""
+    """uid, row, text (if row does not have it), set_key (null without shingles) and the paths of every document, staged."""
     kept = docs.select(*[col(c) for c in carry]) if carry else docs
-    given = docs.select(F.monotonically_increasing_id().alias("uid"), packed(kept), col(text).alias("text"))
+    inside = text in kept.columns
+    given = docs.select(F.monotonically_increasing_id().alias("uid"), packed(kept), *([] if inside else [col(text).alias("text")]))
     levels = [f"n{i + 1}" for i in range(DEPTH)]
     schema = T.StructType([*given.schema.fields, T.StructField("set_key", T.BinaryType()), *[T.StructField(c, T.ArrayType(LONG)) for c in levels]])
 
@@ -112,8 +113,8 @@ def hashed(docs: DataFrame, text: str, carry: list[str] | None, n_runs: int, thr
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
                 keys, paths = [], [[] for _ in levels]
-                for text in batch.column("text"):
-                    tokens = shingles(text.as_py())
+                for words in batch.column("row").field(text) if inside else batch.column("text"):
+                    tokens = shingles(words.as_py())
                     keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
                     chosen = signed(choices(tokens, n_runs, threshold)) if len(tokens) else np.zeros((0, DEPTH), dtype=np.int64)
                     for k in range(DEPTH):
@@ -283,13 +284,9 @@ def verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), pa.array(links[rows]), pa.array(np.array([cls[find(int(k))] for k in rows], dtype=np.int64))], names=["cls", "links", "root"])
 
 
-def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, target: float = TARGET) -> DataFrame:
-    """The carried columns (default: all) in a struct `row`, with class_id (the least doc_id of the group), n_links (other
-    documents with a similarity of THRESHOLD or more), group_size and kept (true for one document of each group)."""
-    spark = docs.sparkSession
+def groups_of(table: DataFrame, doc_id: str, text: str, n_runs: int) -> DataFrame:
+    """(uid, doc_id, class_id, n_links, group_size, kept) of every document of a hashed() table."""
     num, den = THRESHOLD
-    n_runs = runs(target)
-    table = hashed(docs, text, carry, n_runs, num / den)
     levels = [f"n{k + 1}" for k in range(DEPTH)]
     shaped = table.where("set_key IS NOT NULL").select("set_key", "uid", F.struct(*levels).alias("paths"))
     classes = stage(shaped.groupBy("set_key").agg(F.min("uid").alias("cls"), F.count("*").alias("copies"), F.first("paths").alias("paths")).select("set_key", "cls", "copies", "paths.*"), "join-classes")
@@ -298,7 +295,7 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry:
     sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
     members = stage(members.join(sizes, "comp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).drop("size"), "join-members")
     n_members = members.count()
-    texts = table.select(F.col("uid").alias("cls"), "text")
+    texts = table.select(F.col("uid").alias("cls"), (F.col("text") if "text" in table.columns else F.col("row").getField(text)).alias("text"))
     fetched = texts.join(F.broadcast(members) if n_members * 32 <= BROADCAST_BYTES else members, "cls")
     pairs = fetched.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "copies", "text")
 
@@ -310,25 +307,37 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry:
     links = checked.groupBy("cls").agg(F.sum("links").alias("links"))
     known = classes.select("set_key", "cls", "copies").join(links, "cls", "left").join(root, "cls", "left")
     known = stage(known.select("set_key", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root")).where("copies > 1 OR links > 0"), "join-known")
-    found = table.select("uid", "row", "set_key").join(known, "set_key", "left").withColumn("root", F.coalesce("root", "uid"))
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("row").getField(doc_id).alias("doc_id"), F.col("uid").alias("uid"))).alias("first"), F.min(F.col("row").getField(doc_id)).alias("class_id"), F.count("*").alias("group_size"))
-    several = first.where("group_size > 1").select("root", "first", "class_id", "group_size")
+    found = table.select("uid", F.col("row").getField(doc_id).alias("doc_id"), "set_key").join(known, "set_key", "left").withColumn("root", F.coalesce("root", "uid"))
+    several = found.groupBy("root").agg(F.min(F.struct("doc_id", "uid")).alias("first"), F.min("doc_id").alias("class_id"), F.count("*").alias("group_size")).where("group_size > 1")
     out = found.join(several, "root", "left")
     alone = F.col("group_size").isNull()
     return out.select(
-        "row",
-        F.when(alone, F.col("row").getField(doc_id)).otherwise(F.col("class_id")).alias("class_id"),
+        "uid",
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("uid") == F.col("first.uid"))).alias("kept"),
     )
 
 
+def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, target: float = TARGET) -> DataFrame:
+    """The carried columns (default: all; doc_id must be among them) in a struct `row`, with class_id (the least doc_id of the group), n_links (other
+    documents with a similarity of THRESHOLD or more), group_size and kept (true for one document of each group)."""
+    n_runs = runs(target)
+    table = hashed(docs, text, carry, n_runs, THRESHOLD[0] / THRESHOLD[1])
+    return table.select("uid", "row").join(groups_of(table, doc_id, text, n_runs).drop("doc_id"), "uid").drop("uid")
+
+
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, with the columns of docs."""
-    return unpacked(similar(docs, doc_id, text).where("kept"))
+    n_runs = runs()
+    table = hashed(docs, text, None, n_runs, THRESHOLD[0] / THRESHOLD[1])
+    gone = stage(groups_of(table, doc_id, text, n_runs).where(~F.col("kept")).select("uid"), "join-gone")
+    return unpacked(without(table.select("uid", "row"), gone))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = similar(documents(spark, sf_dir, "doc_id", "text"), carry=["doc_id"])
-    return out.select(F.col("row.doc_id").alias("doc_id"), "class_id", "n_links", "group_size")
+    n_runs = runs()
+    table = hashed(documents(spark, sf_dir, "doc_id", "text"), "text", ["doc_id"], n_runs, THRESHOLD[0] / THRESHOLD[1])
+    return groups_of(table, "doc_id", "text", n_runs).select("doc_id", "class_id", "n_links", "group_size")

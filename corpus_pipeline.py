@@ -6,32 +6,55 @@ the places of their pieces in token sequences. A document that the mixture takes
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from brookline.llm import exact_dedup, mixing, packing, quality, similarity_join
-from brookline.llm.shared import stage
+from brookline.llm.shared import stage, tracked, unstage
+
+#: Intermediate tables of the stage before. Its result has been written when the next one is called, so they can go.
+_used: list[DataFrame] = []
+
+
+def step(function):
+    """A stage that first deletes what the one before it staged."""
+
+    @wraps(function)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        unstage(*_used)
+        _used.clear()
+        with tracked(_used):
+            return function(spark, docs, sf_dir)
+
+    return run_step
 
 
+@step
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised quality rules keep."""
     return quality.good_documents(docs)
 
 
+@step
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal documents, the one with the largest doc_id."""
     return exact_dedup.survivors(docs)
 
 
+@step
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     return similarity_join.representatives(docs)
 
 
+@step
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mixture, as often as it takes them."""
     return mixing.repeated(docs)
 
 
+@step
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in token sequences."""
     return packing.packed_documents(docs, packing.tokenizer_path())
@@ -55,4 +78,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = function(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stage(docs, f"pipeline-{i}")
+    _used.clear()  # the result still reads what the last stage staged
     return docs
