@@ -39,7 +39,6 @@ from brookline.llm.similarity_join import grouped
 WINDOW, STEP, GRAM, HOT, CHUNK = 400, 100, 32, 2_000, 1 << 20
 #: Suffixes that are merged at a time; more grams than that go one after the other.
 SUFFIXES_PER_MERGE = 1_500_000
-BROADCAST_BYTES = 32 << 20
 
 
 def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -222,10 +221,10 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-def fetched(table: DataFrame, chosen: DataFrame, n_chosen: int) -> DataFrame:
+def fetched(table: DataFrame, chosen: DataFrame) -> DataFrame:
     """The bytes of chosen stretches (uid, at, gram, kind, n)."""
     lists = chosen.groupBy("uid").agg(F.collect_list(F.struct("at", "gram", "kind", "n")).alias("chosen"))  # of one text each
-    texts = table.select("uid", "text").join(F.broadcast(lists) if n_chosen * 48 <= BROADCAST_BYTES else lists, "uid")
+    texts = table.select("uid", "text").join(lists, "uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,10 +279,10 @@ def repeated_spans(table: DataFrame) -> DataFrame:
     n_chosen, n_hot = chosen.agg(F.count("*"), F.count_if(F.col("kinds") > HOT)).first()
     spark = table.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_chosen // 5_000))
-    strings = fetched(table, chosen.where(F.col("kinds") <= HOT), n_chosen)
+    strings = fetched(table, chosen.where(F.col("kinds") <= HOT))
     found = strings.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(merged, "gram long, kind long, spans array<long>")
     if n_hot:
-        found = found.union(counted_windows(stage(fetched(table, chosen.where(F.col("kinds") > HOT), n_hot), "repeats-hot")))
+        found = found.union(counted_windows(stage(fetched(table, chosen.where(F.col("kinds") > HOT)), "repeats-hot")))
     found = stage(found, "repeats-windows")
     whole = shared.where("n > 1").select("gram", "kind", F.lit(None).cast("array<long>").alias("spans"))
     part = found.join(shared.where("n = 1").select("gram", "kind"), ["gram", "kind"], "left_semi").select("gram", "kind", "spans")
@@ -309,8 +308,7 @@ def without_repeats(docs: DataFrame, text: str = "text", carry: list[str] | None
     """The carried columns (default: all) in a struct `row`, with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
     table = scanned(docs, text, carry)
     spans = stage(repeated_spans(table), "repeats-spans")
-    n = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    given = table.select("uid", "row", "text").join(F.broadcast(spans) if n * 40 <= BROADCAST_BYTES else spans, "uid", "left").select("row", "text", "spans")
+    given = table.select("uid", "row", "text").join(spans, "uid", "left").select("row", "text", "spans")
     fields = [T.StructField("row", given.schema["row"].dataType), *[T.StructField(c, LONG) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType(fields + ([T.StructField("kept", T.BinaryType())] if with_kept else []))
 
