@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from brookline.functions import stats
 
-BY = W.partitionBy("symbol").orderBy("bucket_hour")
+def by_symbol():
+    """The line of a symbol's hours."""
+    return W.partitionBy("symbol").orderBy("bucket_hour")
 
 
 def periods(hours: int) -> tuple[int, int, int]:
@@ -34,7 +36,7 @@ def hourly_closes(facts: DataFrame, quotes: DataFrame) -> DataFrame:
 
 def changes(closes: DataFrame) -> DataFrame:
     """Percent change against the hour before, where there is one."""
-    before, price = F.lag("bucket_hour").over(BY), F.lag("price").over(BY)
+    before, price = F.lag("bucket_hour").over(by_symbol()), F.lag("price").over(by_symbol())
     follows = (before == F.col("bucket_hour") - F.expr("INTERVAL 1 HOUR")) & (price != 0)
     return closes.withColumn("price_change", F.when(follows, F.try_divide(F.col("price") - price, price) * 100))
 
@@ -49,13 +51,13 @@ def with_sentiment(spine_: DataFrame, hourly: DataFrame) -> DataFrame:
 def momentum(series: DataFrame, hours: int) -> DataFrame:
     """Shrinking moving average of the index, and the strict averages' difference, its signal and their distance."""
     fast, slow, signal = periods(hours)
-    out = series.withColumn("sentiment_sma", F.avg("sentiment_index").over(BY.rowsBetween(-(fast - 1), 0)))
+    out = series.withColumn("sentiment_sma", F.avg("sentiment_index").over(by_symbol().rowsBetween(-(fast - 1), 0)))
     return stats.macd(out, "momentum_index", ["symbol"], "bucket_hour", fast, slow, signal)
 
 
 def levels(series: DataFrame, latest: DataFrame, overall: DataFrame) -> DataFrame:
     """Support and resistance of the last 24 buckets (of the whole series where they have no price), in price and in percent of the latest price."""
-    recent = F.collect_list("price").over(BY.rowsBetween(-23, 0))
+    recent = F.collect_list("price").over(by_symbol().rowsBetween(-23, 0))
     out = series.withColumn("_recent", recent).join(latest, "symbol", "left").join(overall, "symbol", "left")
     some = F.size("_recent") > 0
     out = out.withColumn("support", F.when(some, stats.percentile(F.col("_recent"), 0.05)).otherwise(F.coalesce("support_all", F.lit(0.0))))
@@ -71,7 +73,7 @@ def lag_sweep(series: DataFrame, most: int = 5) -> DataFrame:
     """
     change = F.when(F.col("is_market_open"), F.col("price_change"))
     lags = range(-most, most + 1)
-    shifted = series.select("symbol", "sentiment_index", *[F.lead(change, k).over(BY).alias(f"c{k + most}") if k >= 0 else F.lag(change, -k).over(BY).alias(f"c{k + most}") for k in lags])
+    shifted = series.select("symbol", "sentiment_index", *[F.lead(change, k).over(by_symbol()).alias(f"c{k + most}") if k >= 0 else F.lag(change, -k).over(by_symbol()).alias(f"c{k + most}") for k in lags])
     return _correlated(shifted, most)
 
 
@@ -137,11 +139,11 @@ def opportunity(price: Column, support: Column, index: Column, sma: Column, vix:
 
 def scored(series: DataFrame, vix: Column, valuation: Column) -> DataFrame:
     """Opportunity of each bucket and what became of a buy signal: good if one of the next two prices within 24 buckets is 0.2 % higher."""
-    last3 = BY.rowsBetween(-2, 0)
+    last3 = by_symbol().rowsBetween(-2, 0)
     out = series.withColumn("_p", F.collect_list("price").over(last3)).withColumn("_s", F.collect_list("sentiment_index").over(last3))
     made = opportunity(F.col("price"), F.coalesce("support_all", F.lit(0.0)), F.col("sentiment_index"), F.col("sentiment_sma"), vix, valuation, F.col("_p"), F.col("_s"))
     out = out.withColumn("opportunity", made).withColumn("buy_signal", F.col("opportunity.score") >= 50)
-    ahead = F.slice(F.collect_list("price").over(BY.rowsBetween(1, 24)), 1, 2)
+    ahead = F.slice(F.collect_list("price").over(by_symbol().rowsBetween(1, 24)), 1, 2)
     best = F.array_max(ahead)
     quality = F.when(~F.col("buy_signal") | F.col("price").isNull() | best.isNull(), "pending").when(best > F.col("price") * 1.002, "good").otherwise("bad")
     return out.withColumn("signal_quality", quality).drop("_p", "_s")
@@ -150,9 +152,9 @@ def scored(series: DataFrame, vix: Column, valuation: Column) -> DataFrame:
 def closed_regions(series: DataFrame, latest_session: DataFrame) -> DataFrame:
     """(symbol, start, end) of stretches of at least eight closed hours; the one at the end goes if the market is open now."""
     shut = ~F.coalesce("is_market_open", F.lit(False))
-    new = F.when(shut & ~F.coalesce(F.lag(shut).over(BY), F.lit(False)), 1).otherwise(0)
+    new = F.when(shut & ~F.coalesce(F.lag(shut).over(by_symbol()), F.lit(False)), 1).otherwise(0)
     marked = series.withColumn("_shut", shut).withColumn("_new", new).withColumn("_last", F.max("bucket_hour").over(W.partitionBy("symbol")))
-    islands = marked.withColumn("_island", F.sum("_new").over(BY)).where("_shut")
+    islands = marked.withColumn("_island", F.sum("_new").over(by_symbol())).where("_shut")
     regions = islands.groupBy("symbol", "_island").agg(F.min("bucket_hour").alias("start"), F.max("bucket_hour").alias("end"), F.first("_last").alias("last"))
     now = regions.join(latest_session, "symbol", "left")
     kept = now.where(~((F.col("end") == F.col("last")) & F.col("market_session").eqNullSafe("regular")))

@@ -1 +1,233 @@
+"""Text cleaning, gates, matching and provider payloads, over the text tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from brookline.functions import text as X
+from brookline.plans.registry import query
+from brookline.sources import adapters as A
+from brookline.sources.views import Tables, as_of, ntz
+
+RULES = [X.Rule("THE", ["thing"], ["for the"]), X.Rule("AND", [], ["und der"], require_uppercase=True), X.Rule("DE", ["que"], require_cashtag=True)]
+
+
+def _bounded(needle: str, any_case: bool) -> str:
+    return f"regexp_matches(text, '{'(?i)' if any_case else ''}(?:^|[^A-Za-z0-9]){needle}(?:$|[^A-Za-z0-9])')"
+
+
+def _matches(r: X.Rule) -> str:
+    hits = [_bounded("[$]" + r.symbol, True), *[_bounded(k, True) for k in r.keywords]] + ([] if r.require_cashtag else [_bounded(r.symbol, not r.require_uppercase)])
+    return "(" + " OR ".join(hits) + ")" + "".join(f" AND NOT contains(lower(text), '{p}')" for p in r.block_phrases)
+
+
+@query("str_a_clean_text", None)
+def clean_text(t: Tables) -> DataFrame:
+    return t.raw("documents").select("doc_id", X.clean(F.col("text")).alias("text"))
+
+
+@query(
+    "str_a_clean_conversations",
+    r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?i)https?://\S+|www\.\S+', 'http', 'g'), '@[\p{L}\p{N}_]+', '@user', 'g'), '\s+', ' ', 'g')) AS text FROM conversations WHERE NOT contains(text, '&')",
+)
+def clean_conversations(t: Tables) -> DataFrame:
+    return t.raw("conversations").where(~F.col("text").contains("&")).select("conv_id", "turn", X.clean(F.col("text")).alias("text"))
+
+
+@query("flt7_long_enough", "SELECT doc_id, strlen(text) >= 3 AS ok FROM documents")
+def long_enough(t: Tables) -> DataFrame:
+    return t.raw("documents").select("doc_id", X.long_enough(F.col("text")).alias("ok"))
+
+
+@query(
+    "flt8_spam_gate",
+    r"SELECT doc_id, len(list_filter(string_split_regex(lower(trim(text)), '\s+'), lambda w: NOT starts_with(w, '$') AND NOT starts_with(w, '@') AND NOT contains(w, 'http') AND w NOT IN ('rt', 'via') AND regexp_matches(w, '[\p{L}\p{N}]'))) < 3 AS outlier FROM documents",
+)
+def spam_gate(t: Tables) -> DataFrame:
+    return t.raw("documents").select("doc_id", X.is_outlier(F.col("text")).alias("outlier"))
+
+
+@query("flt9_symbol_matches", " UNION ALL ".join(f"SELECT doc_id, '{r.symbol}' AS symbol FROM documents WHERE {_matches(r)}" for r in RULES))
+def symbol_matches(t: Tables) -> DataFrame:
+    """A document and every symbol that it matches."""
+    return t.raw("documents").select("doc_id", F.explode(X.matched_symbols(F.col("text"), RULES)).alias("symbol"))
+
+
+@query(
+    "str_g_canonical_urls",
+    r"""SELECT page_id, regexp_extract(u, '^(https?)://', 1) || '://' || lower(regexp_extract(u, '^https?://([^/?]+)', 1)) || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN q = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(q, '&')), '&') END AS canonical_url
+FROM (SELECT page_id, u, regexp_extract(u, '^https?://[^/?]+([^?]*)', 1) AS p, regexp_extract(u, '[?](.*)$', 1) AS q FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages))""",
+)
+def canonical_urls(t: Tables) -> DataFrame:
+    return t.raw("pages").select("page_id", X.canonical("url").alias("canonical_url"))
+
+
+@query("str_h_url_hashes", "SELECT page_id, sha256(url) AS id FROM pages")
+def url_hashes(t: Tables) -> DataFrame:
+    return t.raw("pages").select("page_id", F.sha2("url", 256).alias("id"))
+
+
+@query("src20_event_queries", """SELECT n_nationkey, '("' || n_name || '" OR "chips") AND ("' || n_name || '") AND (theme:"TRADE")' AS query FROM nation""")
+def event_queries(t: Tables) -> DataFrame:
+    name = F.col("n_name")
+    return t.raw("nation").select("n_nationkey", X.event_query(F.array(name, F.lit(" chips <>")), F.array(name), F.array(F.lit("TRADE"))).alias("query"))
+
+
+@query(
+    "flt10_simplex",
+    "SELECT vec_id, (a BETWEEN 0 AND 1 AND b BETWEEN 0 AND 1 AND c BETWEEN 0 AND 1 AND abs(a + b + c - 1) <= 0.5) AS valid FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings)",
+)
+def simplex(t: Tables) -> DataFrame:
+    """Whether three numbers are probabilities of one distribution (here with a wide tolerance)."""
+    return t.raw("embeddings").select("vec_id", valid_scores(*[F.element_at("embedding", i).cast("double") for i in (1, 2, 3)], tolerance=0.5).alias("valid"))
+
+
+def valid_scores(*scores, tolerance: float = 1e-4):
+    ok, total = F.lit(True), F.lit(0.0)
+    for s in scores:
+        ok, total = ok & s.isNotNull() & ~F.isnan(s) & s.between(0, 1), total + s
+    return F.coalesce(ok & (F.abs(total - 1) <= tolerance), F.lit(False))
+
+
+@query("flt11_malformed_json", "SELECT event_id % 10 = 3 AS malformed, count(*) AS n FROM events GROUP BY ALL")
+def malformed_json(t: Tables) -> DataFrame:
+    """Every tenth payload is cut in the middle."""
+    e = t.raw("events")
+    payload = F.when(F.col("event_id") % 10 == 3, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    return e.groupBy(A.malformed(payload).alias("malformed")).agg(F.count("*").alias("n"))
+
+
+def messages(t: Tables) -> DataFrame:
+    return t.raw("conversations").select("conv_id", "turn", "text", (F.col("conv_id") * 100 + F.col("turn")).alias("id"))
+
+
+_IDS = "c AS (SELECT *, conv_id * 100 + turn AS id FROM conversations)"
+
+
+@query(
+    "src9_bluesky",
+    _IDS + f", text_of AS (SELECT id, text, turn FROM c) SELECT id::VARCHAR AS id, 'THE' AS symbol, 'bluesky' AS platform, text, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 DAY * turn AS timestamp, greatest(1, turn + 2 * (id % 5) + 9)::INT AS engagement FROM text_of WHERE turn >= 1 AND {_matches(RULES[0])}",
+)
+def bluesky(t: Tables) -> DataFrame:
+    at = F.concat(F.lit("2024-01-"), F.lpad((F.col("turn") + 1).cast("string"), 2, "0"), F.lit("T00:00:00Z"))
+    post = F.struct(F.col("id").cast("string").alias("cid"), F.struct("text", at.alias("createdAt")).alias("record"), F.col("turn").alias("likeCount"), (F.col("id") % 5).alias("repostCount"), F.lit(3).alias("replyCount"))
+    payloads = messages(t).select(F.to_json(F.struct(F.array(post).alias("posts"))).alias("payload"))
+    rows = A.bluesky(payloads, RULES[0], F.lit("2024-01-01 00:00:00").cast("timestamp"), as_of())
+    return rows.withColumn("timestamp", ntz("timestamp"))
+
+
+@query("src10_stocktwits", _IDS + " SELECT 'st_' || id AS id, 'X' AS symbol, 'stocktwits' AS platform, text, CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-01-31 00:00:00' ELSE TIMESTAMP '2024-01-05 10:00:00' END AS timestamp, CASE WHEN id % 2 = 0 THEN greatest(1, turn)::INT ELSE 1 END AS engagement FROM c")
+def stocktwits(t: Tables) -> DataFrame:
+    at = F.when(F.col("id") % 3 == 0, "bad").otherwise("2024-01-05T10:00:00Z")
+    message = F.struct("id", F.col("text").alias("body"), at.alias("created_at"), F.when(F.col("id") % 2 == 0, F.struct(F.col("turn").alias("total"))).alias("likes"))
+    payloads = messages(t).select(F.to_json(F.struct(F.array(message).alias("messages"))).alias("payload"))
+    return A.stocktwits(payloads, "X", as_of()).withColumn("timestamp", ntz("timestamp"))
+
+
+@query(
+    "src11_reddit",
+    _IDS
+    + ", "
+    + "hits AS ("
+    + " UNION ALL ".join(f"SELECT id, text, '{r.symbol}' AS symbol FROM c WHERE {_matches(r)}" for r in RULES)
+    + ") SELECT 'rd_' || id AS id, symbol, 'reddit' AS platform, substr(trim(text), 1, 2000) AS text, TIMESTAMP '2023-11-14 22:13:20' AS timestamp, greatest(1, id % 7)::INT AS engagement FROM hits WHERE trim(text) <> '' AND id % 4 <> 0",
+)
+def reddit(t: Tables) -> DataFrame:
+    comment = F.struct(F.struct(F.col("id").cast("string").alias("id"), F.col("text").alias("body"), F.lit(1700000000.0).alias("created_utc"), (F.col("id") % 7).cast("string").alias("score")).alias("data"))
+    payloads = messages(t).select(F.to_json(F.struct(F.struct(F.array(comment).alias("children")).alias("data"))).alias("payload"))
+    seen = messages(t).where("id % 4 = 0").select(F.col("id").cast("string").alias("id"))
+    return A.reddit(payloads, RULES, as_of(), seen).withColumn("timestamp", ntz("timestamp"))
+
+
+_NEWS = _IDS + ", news AS (SELECT id, 'news ' || turn || '. ' || text AS text FROM c)"
+
+
+@query("src12_finnhub", _NEWS + f" SELECT 'finnhub_' || id AS id, 'THE' AS symbol, 'finnhub' AS platform, text, TIMESTAMP '2023-11-14 22:13:20' AS timestamp, 15 AS engagement FROM news WHERE {_matches(RULES[0])}")
+def finnhub(t: Tables) -> DataFrame:
+    item = F.struct("id", F.concat(F.lit("news "), F.col("turn").cast("string")).alias("headline"), F.col("text").alias("summary"), F.lit(1700000000).alias("datetime"))
+    return A.finnhub(messages(t).select(F.to_json(F.array(item)).alias("payload")), RULES[0], as_of()).withColumn("timestamp", ntz("timestamp"))
+
+
+@query("src13_alpaca", _NEWS + f" SELECT 'alpaca_' || id AS id, 'THE' AS symbol, 'alpaca' AS platform, text, CASE WHEN id % 2 = 0 THEN TIMESTAMP '2024-01-31 00:00:00' ELSE TIMESTAMP '2024-01-05 10:00:00' END AS timestamp, 1 AS engagement FROM news WHERE {_matches(RULES[0])}")
+def alpaca(t: Tables) -> DataFrame:
+    at = F.when(F.col("id") % 2 == 0, "never").otherwise("2024-01-05T10:00:00Z")
+    item = F.struct("id", F.concat(F.lit("news "), F.col("turn").cast("string")).alias("headline"), F.col("text").alias("summary"), at.alias("created_at"))
+    return A.alpaca(messages(t).select(F.to_json(F.struct(F.array(item).alias("news"))).alias("payload")), RULES[0], as_of()).withColumn("timestamp", ntz("timestamp"))
+
+
+def charts(t: Tables) -> DataFrame:
+    """A chart payload for each event: two bars, the second one without a consistent price for every third event."""
+    v = F.col("value")
+    high = F.when(F.col("event_id") % 3 == 0, v - 5).otherwise(v + 2)
+    quote = F.struct(F.array(v, v).alias("open"), F.array(v + 1, high).alias("high"), F.array(v * 0.5, v * 0.5).alias("low"), F.array(v, v + 1).alias("close"), F.array(F.lit(-4.0), F.col("user_id").cast("double")).alias("volume"))
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    result = F.struct(F.struct(F.lit(None).cast("double").alias("regularMarketVolume")).alias("meta"), F.array(at, at + 60, at + 120).alias("timestamp"), F.struct(F.array(quote).alias("quote")).alias("indicators"))
+    return t.raw("events").select("event_id", F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart"))).alias("payload"))
+
+
+_BARS = """b AS (SELECT event_id, date_trunc('second', ts) AS timestamp, value AS open, value + 1 AS high, value * 0.5 AS low, value AS close, 0.0::DOUBLE AS volume FROM events
+UNION ALL SELECT event_id, date_trunc('second', ts) + INTERVAL 60 SECONDS, value, value + 2, value * 0.5, value + 1, user_id::DOUBLE FROM events WHERE event_id % 3 <> 0)"""
+
+
+@query("src14_chart_bars", _BARS + " SELECT event_id, timestamp, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM b")
+def chart_bars(t: Tables) -> DataFrame:
+    bars = A.chart_bars(charts(t))
+    return bars.select("event_id", ntz("timestamp").alias("timestamp"), *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")], "volume")
+
+
+@query("src15_latest_bar", _BARS + " SELECT event_id, max(timestamp) AS timestamp, round(arg_max(close, timestamp), 6) AS price, arg_max(volume, timestamp)::BIGINT AS volume FROM b GROUP BY event_id")
+def latest_bar(t: Tables) -> DataFrame:
+    q = A.latest_quote(charts(t), ["event_id"])
+    return q.select("event_id", ntz("timestamp").alias("timestamp"), F.round("price", 6).alias("price"), "volume")
+
+
+@query(
+    "src16_session_bars",
+    _BARS + " SELECT event_id, timestamp, timestamp::DATE AS session_date, (timestamp::DATE - 1)::TIMESTAMP + INTERVAL 22 HOURS AS starts_at, timestamp::DATE::TIMESTAMP + INTERVAL 21 HOURS AS ends_at FROM b",
+)
+def session_bars(t: Tables) -> DataFrame:
+    """Sessions in UTC from 22:00 of the day before to 21:00."""
+    bars = A.session_bars(A.chart_bars(charts(t)), "UTC", 22 * 60, 21 * 60, True)
+    return bars.select("event_id", ntz("timestamp").alias("timestamp"), "session_date", ntz("starts_at").alias("starts_at"), ntz("ends_at").alias("ends_at"))
+
+
+@query("src17_index_bars", "SELECT o_orderdate::DATE AS session_date, round(max(o_totalprice), 2) AS open, round(max(o_totalprice), 2) AS high, round(max(o_totalprice), 2) AS low, round(max(o_totalprice), 2) AS close, NULL::DOUBLE AS volume FROM orders GROUP BY ALL")
+def index_bars(t: Tables) -> DataFrame:
+    """A payload for each day with its label and price."""
+    days = t.raw("orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.round(F.max("o_totalprice"), 2).alias("p"))
+    data = F.struct(F.array(F.date_format("d", "yyyy/MM/dd")).alias("labels"), F.array(F.struct(F.lit("price").alias("value_type"), F.array(F.col("p").cast("string")).alias("data"))).alias("datasets"))
+    return A.taiwan_index(days.select(F.to_json(F.struct(F.lit(False).alias("empty"), data.alias("data"))).alias("payload")))
+
+
+@query("src18_bar_providers", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 AND n_nationkey % 2 = 0 THEN 'taiwan_index' WHEN n_nationkey % 5 <> 0 THEN 'yahoo' END AS provider FROM nation")
+def bar_providers(t: Tables) -> DataFrame:
+    k = F.col("n_nationkey")
+    pairs = F.array_compact(F.array(F.when(k % 3 == 0, F.struct(F.lit("taiwan_index").alias("key"), F.lit("TW").alias("value"))), F.when(k % 5 != 0, F.struct(F.lit("yahoo").alias("key"), F.lit("^T").alias("value")))))
+    interval = F.when(k % 2 == 0, "1d").otherwise("1h")
+    return t.raw("nation").select("n_nationkey", A.bar_provider(interval, F.map_from_entries(pairs)).alias("provider"))
+
+
+@query(
+    "src19_articles",
+    "SELECT page_id, sha256('https://example.com/' || page_id || '?a=1&b=2') AS provider_event_id, 'https://example.com/' || page_id || '?a=1&b=2' AS canonical_url, 'first ' || page_id AS title, 'Example.com' AS source_name, CASE WHEN page_id % 2 = 0 THEN TIMESTAMP '2024-01-22 10:12:00' ELSE TIMESTAMP '2024-01-31 00:00:00' END AS occurred_at FROM pages",
+)
+def articles(t: Tables) -> DataFrame:
+    """Two articles with the same canonical link and one without a title, in each payload."""
+    one = lambda url, title: F.struct(url.alias("url"), title.alias("title"), F.lit(" Example.com ").alias("domain"), F.when(F.col("page_id") % 2 == 0, "20240122T101200Z").otherwise("soon").alias("seendate"))
+    p = F.col("page_id").cast("string")
+    a = F.array(one(F.concat(F.lit("HTTPS://Example.com:443/"), p, F.lit("?b=2&a=1#x")), F.concat(F.lit("first "), p)), one(F.concat(F.lit("https://example.com/"), p, F.lit("?a=1&b=2")), F.lit("second")), one(F.lit("https://example.com/none"), F.lit(" ")))
+    rows = A.gdelt(t.raw("pages").select("page_id", F.to_json(F.struct(a.alias("articles"))).alias("payload")), as_of(), ["page_id"])
+    return rows.select("page_id", "provider_event_id", "canonical_url", "title", "source_name", ntz("occurred_at").alias("occurred_at"))
+
+
+@query("str14_worst_outcomes", "SELECT user_id, arg_max(o, r) AS outcome FROM (SELECT user_id, CASE event_id % 5 WHEN 0 THEN 'success' WHEN 1 THEN 'blocked' WHEN 2 THEN 'rate_limited' WHEN 3 THEN 'transient_error' ELSE 'permanent_error' END AS o, CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 5 WHEN 3 THEN 3 ELSE 2 END AS r FROM events) GROUP BY user_id")
+def worst_outcomes(t: Tables) -> DataFrame:
+    status = F.element_at(F.array(*map(F.lit, (200, 403, 429, 503, 404))), (F.col("event_id") % 5 + 1).cast("int"))
+    return t.raw("events").select("user_id", A.http_outcome(status).alias("o")).groupBy("user_id").agg(A.worst(F.col("o")).alias("outcome"))
+
+
+@query("jsn2_post_events", "SELECT id, symbol, length('{\"id\":\"' || id || '\",\"symbol\":\"' || symbol || '\",\"engagement\":' || engagement || '}') AS n_chars FROM posts")
+def post_events(t: Tables) -> DataFrame:
+    """Notifications of new posts as JSON, their text cut to 1,000 characters (left out here)."""
+    return t.posts.select("id", "symbol", F.length(F.to_json(F.struct("id", "symbol", "engagement"))).alias("n_chars"))

@@ -1 +1,215 @@
+"""Sessions, fundamentals, exchange rates, synthetic fund values and model post-processing."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from brookline.functions import calendar, stats
+from brookline.operators import joins as J
+from brookline.plans.registry import query
+from brookline.sources.views import TOPICS, Tables, as_of, ntz
+
+# Holdings of the fund whose value is estimated, with their weights.
+HOLDINGS = {"SCHB": 0.55, "SCHF": 0.27, "SCHE": 0.08, "SCHZ": 0.06, "SCHP": 0.02, "SCHO": 0.02}
+INFLATION = 0.03
+
+_CALENDAR = """d AS (SELECT g::DATE AS day FROM generate_series(DATE '2014-12-01', DATE '2031-01-31', INTERVAL 1 DAY) s(g)),
+y AS (SELECT DISTINCT year(day) AS y FROM d),
+e AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y),
+e2 AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM e),
+e3 AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM e2),
+easter AS (SELECT y, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS k FROM e3),
+fixed AS (SELECT y, make_date(y, 1, 1) AS f FROM y UNION ALL SELECT y, make_date(y, 6, 19) FROM y UNION ALL SELECT y, make_date(y, 7, 4) FROM y UNION ALL SELECT y, make_date(y, 12, 25) FROM y UNION ALL SELECT y, make_date(y + 1, 1, 1) FROM y),
+floating AS (
+  SELECT day FROM d WHERE (month(day) = 1 AND isodow(day) = 1 AND day(day) BETWEEN 15 AND 21) OR (month(day) = 2 AND isodow(day) = 1 AND day(day) BETWEEN 15 AND 21) OR (month(day) = 5 AND isodow(day) = 1 AND day(day) >= 25) OR (month(day) = 9 AND isodow(day) = 1 AND day(day) <= 7) OR (month(day) = 11 AND isodow(day) = 4 AND day(day) BETWEEN 22 AND 28)
+), holidays AS (
+  SELECT CASE isodow(f) WHEN 6 THEN f - 1 WHEN 7 THEN f + 1 ELSE f END AS day FROM fixed UNION SELECT day FROM floating UNION SELECT make_date(y, k // 31, k % 31 + 1) - 2 FROM easter
+), calendar AS (
+  SELECT day, isodow(day) < 6 AND day NOT IN (SELECT day FROM holidays) AS is_trading_day,
+    (isodow(day) < 6 AND ((month(day) = 7 AND day(day) = 3) OR (month(day) = 12 AND day(day) = 24))) OR (month(day) = 11 AND isodow(day) = 5 AND day(day) BETWEEN 23 AND 29) AS is_early_close FROM d
+)"""
+
+
+@query("dt5_trading_calendar", _CALENDAR + " SELECT c.day, c.is_trading_day, c.is_early_close, (SELECT max(p.day) FROM calendar p WHERE p.is_trading_day AND p.day < c.day AND p.day >= c.day - 10) AS previous_trading_day FROM calendar c WHERE c.day BETWEEN DATE '2015-01-01' AND DATE '2030-12-31'")
+def trading_calendar(t: Tables) -> DataFrame:
+    return calendar.days(t.spark, "2015-01-01", "2030-12-31")
+
+
+@query("dt3_equity_sessions", "SELECT symbol, market_session, count(*) AS n FROM quotes GROUP BY ALL")
+def equity_sessions(t: Tables) -> DataFrame:
+    return t.quotes.groupBy("symbol", "market_session").agg(F.count("*").alias("n"))
+
+
+@query(
+    "dt4_futures_sessions",
+    """SELECT s, count(*) AS n FROM (SELECT CASE WHEN dow = 6 OR (dow = 5 AND h >= 17) OR (dow = 0 AND h < 18) THEN 'futures_closed' WHEN h = 17 THEN 'futures_break' ELSE 'futures_open' END AS s
+  FROM (SELECT dayofweek(ts - INTERVAL 5 HOURS) AS dow, hour(ts - INTERVAL 5 HOURS) AS h FROM events)) GROUP BY s""",
+)
+def futures_sessions(t: Tables) -> DataFrame:
+    return t.raw("events").groupBy(calendar.futures_session(F.col("ts").cast("timestamp")).alias("s")).agg(F.count("*").alias("n"))
+
+
+@query("flt12_polled_quotes", "SELECT symbol, count(*) AS n FROM quotes WHERE market_session <> 'closed' GROUP BY symbol")
+def polled_quotes(t: Tables) -> DataFrame:
+    return t.quotes.where(~F.col("market_session").isin("closed", "futures_closed", "futures_break")).groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@query("dt11_closed_month", "SELECT DATE '2023-12-01' AS start, DATE '2024-01-01' AS \"end\"")
+def closed_month(t: Tables) -> DataFrame:
+    first, next_ = calendar.month_bounds(F.to_date(as_of()))
+    return t.spark.range(1).select(first.alias("start"), next_.alias("end"))
+
+
+_HISTORY = """history AS (SELECT o_orderpriority AS symbol, o_orderdate::DATE AS day, round(avg(o_totalprice), 2) AS close FROM orders GROUP BY ALL),
+ret AS (SELECT * FROM (SELECT symbol, day, CASE WHEN lag(close) OVER w > 0 THEN close / lag(close) OVER w - 1 END AS r FROM history WINDOW w AS (PARTITION BY symbol ORDER BY day)) WHERE r IS NOT NULL),
+years AS (SELECT symbol, (arg_max(close, day) - arg_min(close, day)) / arg_min(close, day) AS y FROM history GROUP BY symbol),
+betas AS (SELECT s.symbol, CASE WHEN count(*) > 30 AND var_samp(b.r) <> 0 THEN covar_samp(s.r, b.r) / var_samp(b.r) ELSE 1.0 END AS beta FROM ret s JOIN ret b ON b.day = s.day AND b.symbol = '1-URGENT' GROUP BY s.symbol)"""
+
+
+def histories(t: Tables) -> DataFrame:
+    """Daily closes of five symbols over several years: mean order values by priority."""
+    return t.raw("orders").groupBy(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("day")).agg(F.round(F.avg("o_totalprice"), 2).alias("close"))
+
+
+def fundamentals(history: DataFrame, pe: DataFrame, baseline: str) -> DataFrame:
+    """Return, beta and their relations to a baseline symbol for every symbol."""
+    before = F.lag("close").over(W.partitionBy("symbol").orderBy("day"))
+    returns = history.withColumn("r", F.when(before > 0, F.col("close") / before - 1)).where("r IS NOT NULL")
+    base = returns.where(F.col("symbol") == baseline).select("day", F.col("r").alias("b"))
+    # one row for each day of the baseline: a size that the calendar bounds
+    pairs = returns.join(base, "day").groupBy("symbol").agg(F.count("*").alias("n"), F.covar_samp("r", "b").alias("cov"), F.var_samp("b").alias("var"))
+    betas = pairs.select("symbol", F.when((F.col("n") > 30) & (F.col("var") != 0), F.try_divide("cov", "var")).otherwise(1.0).alias("beta"))
+    first, last = F.min_by("close", "day"), F.max_by("close", "day")
+    year = history.groupBy("symbol").agg(F.when(first > 0, (last - first) / first).alias("avg_return_1y"))
+    rows = year.join(betas, "symbol", "left").join(pe, "symbol", "left").withColumn("beta", F.coalesce("beta", F.lit(1.0)))
+    of_base = rows.where(F.col("symbol") == baseline).select(F.col("avg_return_1y").alias("_br"), F.col("pe_ratio").alias("_bp"))
+    return rows.crossJoin(F.broadcast(of_base)).select(  # a single row
+        "symbol",
+        "pe_ratio",
+        "beta",
+        "avg_return_1y",
+        (F.col("avg_return_1y") - INFLATION).alias("inflation_adj_return_1y"),
+        stats.relative(F.col("pe_ratio"), F.col("_bp"), True).alias("pe_relative_sector"),
+        stats.relative(F.col("beta"), F.lit(1.0), True).alias("beta_relative_sector"),
+        stats.relative(F.col("avg_return_1y"), F.col("_br"), False).alias("return_relative_sector"),
+    )
+
+
+@query(
+    "mth7_fundamentals",
+    _HISTORY
+    + """, pe AS (SELECT symbol, 10.0::DOUBLE + length(symbol) AS pe_ratio FROM years), j AS (SELECT * FROM years JOIN betas USING (symbol) JOIN pe USING (symbol))
+SELECT symbol, pe_ratio, round(beta, 6) AS beta, round(y, 6) AS avg_return_1y, round(y - 0.03, 6) AS inflation_adj_return_1y, round(-(pe_ratio - bp) / bp, 6) AS pe_relative_sector, round(1.0::DOUBLE - beta, 6) AS beta_relative_sector, round((y - br) / br, 6) AS return_relative_sector
+FROM j, (SELECT y AS br, pe_ratio AS bp FROM j WHERE symbol = '1-URGENT')""",
+)
+def stock_fundamentals(t: Tables) -> DataFrame:
+    history = histories(t)
+    pe = history.select("symbol").distinct().withColumn("pe_ratio", (F.lit(10) + F.length("symbol")).cast("double"))
+    out = fundamentals(history, pe, "1-URGENT")
+    return out.select("symbol", *[c if c == "pe_ratio" else F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
+@query("mth6_relative_prices", "SELECT p_partkey, round(coalesce((p_retailprice - b) / nullif(b, 0), 0), 6) AS above, round(-coalesce((p_retailprice - b) / nullif(b, 0), 0), 6) AS below FROM (SELECT p_partkey, p_retailprice, avg(p_retailprice) OVER (PARTITION BY p_brand) AS b FROM part)")
+def relative_prices(t: Tables) -> DataFrame:
+    part = t.raw("part")
+    base = part.groupBy("p_brand").agg(F.avg("p_retailprice").alias("b"))
+    rows = part.join(base, "p_brand")
+    return rows.select("p_partkey", F.round(stats.relative(F.col("p_retailprice"), F.col("b"), False), 6).alias("above"), F.round(stats.relative(F.col("p_retailprice"), F.col("b"), True), 6).alias("below"))
+
+
+@query(
+    "mth8_fx_bars",
+    "SELECT symbol, d, round(1 / o, 9) AS open, round(1 / l, 9) AS high, round(1 / h, 9) AS low, round(1 / c, 9) AS close FROM (SELECT event_type AS symbol, ts::DATE AS d, arg_min(value, ts) AS o, max(value) AS h, min(value) AS l, arg_max(value, ts) AS c FROM events GROUP BY ALL)",
+)
+def fx_bars(t: Tables) -> DataFrame:
+    """Daily bars as local currency per dollar: inverted, high and low trading places."""
+    e = t.raw("events").groupBy(F.col("event_type").alias("symbol"), F.to_date("ts").alias("d"))
+    bars = e.agg(F.min_by("value", "ts").alias("o"), F.max("value").alias("h"), F.min("value").alias("l"), F.max_by("value", "ts").alias("c"))
+    turned = bars.withColumn("x", stats.local_per_dollar(F.col("o"), F.col("h"), F.col("l"), F.col("c"), F.lit(False)))
+    return turned.where("x IS NOT NULL").select("symbol", "d", *[F.round(f"x.{c}", 9).alias(c) for c in ("open", "high", "low", "close")])
+
+
+def fund_change(changes: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(day, change): weighted mean of the holdings' plausible changes, the weights of missing ones shared by the others."""
+    table = F.create_map(*[x for k, w in (weights or HOLDINGS).items() for x in (F.lit(k), F.lit(w))])
+    weighed = changes.withColumn("w", F.element_at(table, F.col("symbol"))).where(F.col("w").isNotNull() & stats.finite(F.col("change")) & (F.abs("change") <= 8))
+    mean = F.try_divide(F.sum(F.col("change") * F.col("w")), F.sum("w"))
+    return weighed.groupBy("day").agg(mean.alias("m")).select("day", stats.clamp(F.col("m"), -8.0, 8.0).alias("change"))
+
+
+_NAV = """named AS (SELECT CASE symbol WHEN 'click' THEN 'SCHB' WHEN 'error' THEN 'SCHF' WHEN 'purchase' THEN 'SCHE' WHEN 'signup' THEN 'SCHZ' ELSE 'SCHP' END AS symbol, day, 300 + close AS close FROM closes),
+moved AS (SELECT symbol, day, (close / lag(close) OVER (PARTITION BY symbol ORDER BY day) - 1) * 100 AS change FROM named),
+w(symbol, w) AS (VALUES ('SCHB', 0.55::DOUBLE), ('SCHF', 0.27), ('SCHE', 0.08), ('SCHZ', 0.06), ('SCHP', 0.02), ('SCHO', 0.02)),
+fund AS (SELECT day, greatest(-8, least(8, sum(change * w) / sum(w))) AS change FROM moved JOIN w USING (symbol) WHERE abs(change) <= 8 GROUP BY day)"""
+
+
+def proxy_moves(t: Tables) -> DataFrame:
+    names = F.when(F.col("symbol") == "click", "SCHB").when(F.col("symbol") == "error", "SCHF").when(F.col("symbol") == "purchase", "SCHE").when(F.col("symbol") == "signup", "SCHZ").otherwise("SCHP")
+    closes = t.closes.select(names.alias("symbol"), "day", (F.col("close") + 300).alias("close"))
+    before = F.lag("close").over(W.partitionBy("symbol").orderBy("day"))
+    return closes.select("symbol", "day", stats.proxy_change(before, F.col("close"), float("inf")).alias("change"))
+
+
+@query("mth10_fund_change", _NAV + " SELECT day, round(change, 6) AS change FROM fund")
+def fund_changes(t: Tables) -> DataFrame:
+    return fund_change(proxy_moves(t)).select("day", F.round("change", 6).alias("change"))
+
+
+@query("mth11_fund_values", _NAV + " SELECT day, round(20.0::DOUBLE * (1 + change / 100), 4) AS value FROM fund WHERE isodow(day) < 6 AND day NOT IN (DATE '2024-01-01', DATE '2024-01-15')")
+def fund_values(t: Tables) -> DataFrame:
+    """Estimated value on trading days from a baseline of 20, to four places."""
+    days = calendar.days(t.spark, "2024-01-01", "2024-12-31").where("is_trading_day").select("day")
+    return fund_change(proxy_moves(t)).join(days, "day", "left_semi").select("day", F.round(20 * (1 + F.col("change") / 100), 4).alias("value"))
+
+
+@query(
+    "mth12_softmax",
+    """SELECT vec_id, round(exp(n - m) / (exp(n - m) + exp(p - m) + exp(g - m)), 6) AS neutral, round(exp(p - m) / (exp(n - m) + exp(p - m) + exp(g - m)), 6) AS positive, round(exp(g - m) / (exp(n - m) + exp(p - m) + exp(g - m)), 6) AS negative, CASE WHEN n >= p AND n >= g THEN 'neutral' WHEN p >= g THEN 'positive' ELSE 'negative' END AS label
+FROM (SELECT vec_id, embedding[1]::DOUBLE AS n, embedding[2]::DOUBLE AS p, embedding[3]::DOUBLE AS g, greatest(n, p, g) AS m FROM embeddings)""",
+)
+def softmax(t: Tables) -> DataFrame:
+    logit = lambda i: F.element_at("embedding", i).cast("double")
+    e = t.raw("embeddings").withColumn("s", stats.softmax3(logit(1), logit(2), logit(3)))
+    return e.select("vec_id", *[F.round(f"s.{c}", 6).alias(c) for c in ("neutral", "positive", "negative")], F.col("s.label").alias("label"))
+
+
+@query(
+    "mth14_topics",
+    f"""SELECT vec_id, CASE WHEN list_max(q) >= 0.6 THEN list_position(q, list_max(q))::INT - 1 ELSE -1 END AS topic_id, CASE WHEN list_max(q) >= 0.6 THEN {TOPICS}[list_position(q, list_max(q))] ELSE 'General / Outlier' END AS topic_label
+FROM (SELECT vec_id, list_transform(range(1, 9), lambda i: 1 / (1 + exp(-20 * (embedding[i]::DOUBLE - embedding[i + 8]::DOUBLE)))) AS q FROM embeddings)""",
+)
+def topic_choice(t: Tables) -> DataFrame:
+    """Entailment of eight hypotheses, and the best of them."""
+    e = lambda i: 20 * F.element_at("embedding", i).cast("double")
+    q = t.raw("embeddings").select("vec_id", stats.best_topic(F.array(*[stats.entailment(e(i), e(i + 8)) for i in range(1, 9)])).alias("topic_id"))
+    label = F.when(F.col("topic_id") < 0, "General / Outlier").otherwise(F.element_at(F.array(*map(F.lit, TOPICS)), F.greatest("topic_id", F.lit(0)) + 1))
+    return q.select("vec_id", "topic_id", label.alias("topic_label"))
+
+
+@query("win12_recent_sessions", "SELECT symbol, day, close FROM closes QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY day DESC) <= 10")
+def recent_sessions(t: Tables) -> DataFrame:
+    place = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("day")))
+    return t.closes.withColumn("_k", place).where(F.col("_k") <= 10).select("symbol", "day", "close")
+
+
+@query("str9_price_alerts", "SELECT symbol, timestamp, price FROM (SELECT *, coalesce(lag(price < 20) OVER (PARTITION BY symbol ORDER BY timestamp), false) AS was FROM quotes) WHERE price < 20 AND NOT was")
+def price_alerts(t: Tables) -> DataFrame:
+    """Quotes at which a price falls below 20; the alert is armed again by a price that does not."""
+    below = F.col("price") < 20
+    was = F.coalesce(F.lag(below).over(W.partitionBy("symbol").orderBy("timestamp")), F.lit(False))
+    return t.quotes.withColumn("_was", was).where(below & ~F.col("_was")).select("symbol", ntz("timestamp").alias("timestamp"), "price")
+
+
+@query("agg17_latest_quote_age", "SELECT symbol, price, round(epoch(TIMESTAMP '2024-01-31 00:00:00' - timestamp), 3) AS age_seconds, price < 100 AND epoch(TIMESTAMP '2024-01-31 00:00:00' - timestamp) <= 86400 AS alert FROM (SELECT symbol, max(timestamp) AS timestamp, arg_max(price, timestamp) AS price FROM quotes GROUP BY symbol)")
+def latest_quote_age(t: Tables) -> DataFrame:
+    last = J.latest(t.quotes, ["symbol"], ["timestamp"]).select("latest.*")
+    age = (F.unix_micros(as_of()) - F.unix_micros("timestamp")) / 1e6
+    return last.select("symbol", "price", F.round(age, 3).alias("age_seconds"), ((F.col("price") < 100) & (age <= 86400)).alias("alert"))
+
+
+@query("ui3_vix_regimes", "SELECT CASE WHEN value < 15 THEN 'Low' WHEN value <= 20 THEN 'Norm' WHEN value <= 30 THEN 'Elev' ELSE 'High' END AS regime, count(*) AS n FROM events GROUP BY ALL")
+def vix_regimes(t: Tables) -> DataFrame:
+    v = F.col("value")
+    return t.raw("events").groupBy(F.when(v.isNull(), "Quiet").when(v < 15, "Low").when(v <= 20, "Norm").when(v <= 30, "Elev").otherwise("High").alias("regime")).agg(F.count("*").alias("n"))
