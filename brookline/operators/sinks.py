@@ -93,27 +93,31 @@ class Versions:
         self.path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def pointer(self) -> dict:
+        at = f"{self.folder}/current.json"
+        if not self.fs.exists(self.path(at)):
+            return {"version": 0, "folder": None}
+        return json.loads("".join(r[0] for r in self.spark.read.text(at).collect()))
+
     def current(self) -> int:
-        at = self.path(f"{self.folder}/current.json")
-        if not self.fs.exists(at):
-            return 0
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.folder}/current.json").collect()))["version"]
+        return self.pointer()["version"]
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/v{self.current()}")
+        return self.spark.read.parquet(f"{self.folder}/{self.pointer()['folder']}")
 
     def publish(self, df: DataFrame, seen: int) -> int:
-        """Write df as the version after `seen` and make it the current one."""
-        new = seen + 1
-        df.write.mode("overwrite").parquet(f"{self.folder}/v{new}")
+        """Write df as the version after `seen` and make it the current one. Every attempt has a folder of its own."""
+        name = f"v{seen + 1}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.folder}/{name}")
         if self.current() != seen:
+            self.fs.delete(self.path(f"{self.folder}/{name}"), True)
             raise RuntimeError("another writer has published a version meanwhile")
         draft = self.path(f"{self.folder}/.{uuid.uuid4().hex}.json")
         out = self.fs.create(draft)
-        out.write(bytearray(json.dumps({"version": new}).encode()))
+        out.write(bytearray(json.dumps({"version": seen + 1, "folder": name}).encode()))
         out.close()
         at = self.path(f"{self.folder}/current.json")
         self.fs.delete(at, False)
         if not self.fs.rename(draft, at):
             raise RuntimeError("the pointer could not be moved")
-        return new
+        return seen + 1
