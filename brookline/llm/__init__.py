@@ -1,8 +1 @@
 """Operators for preparing training data; nothing else in the library imports them."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Executors get the functions they run by value, so the package need not be installed on them.
-cloudpickle.register_pickle_by_value(sys.modules["brookline"])
