@@ -3,7 +3,8 @@
 A page is a line of words and tags. Words score +1, tags score below zero, each tag name by how much denser it is in
 boilerplate than in content. One linear scan finds the contiguous stretch with the highest sum: that is the content
 region. Its blocks are read out, without the elements that never hold article text (menus, forms, scripts, adverts,
-reader comments and the like); such an element costs the scan BOILERPLATE once, its words count for nothing.
+reader comments and the like); such an element costs the scan BOILERPLATE
+once (nothing within an article or main), and its words count for nothing.
 
 Weights come from labelled pages: pages with exactly one <article> (else one <main>) say themselves what is content.
 At most MAX_LABELLED of them are read for fitting, those with the lowest hash of their html; without any, every tag
@@ -81,7 +82,7 @@ def is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
 
 
 def line(page: str) -> Iterator[tuple[str, str, int]]:
-    """The page as (kind, what, words): `text`, `tag`, or `cut` for a whole boilerplate element."""
+    """The page as (kind, what, words): `text`, `tag`, or `cut` for a whole boilerplate element (then: whether it is in an article)."""
     skipping, depth, inside = "", 0, 0
     for kind, what, closing, attributes in pieces(page):
         if skipping:
@@ -94,7 +95,7 @@ def line(page: str) -> Iterator[tuple[str, str, int]]:
                     depth += -1 if closing else 1
                     if not depth:
                         skipping = ""
-                        yield "cut", what, 0
+                        yield "cut", what, int(inside > 0)
                 continue
         if kind == "text":
             yield "text", what, len(what.split())
@@ -111,7 +112,7 @@ def region(items: list[tuple[str, str, int]], weights: dict[str, float]) -> tupl
     """The stretch of items with the highest sum of scores, by one scan."""
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, what, words) in enumerate(items):
-        total += words if kind == "text" else BOILERPLATE if kind == "cut" else weights.get(what, LEAST)
+        total += words if kind == "text" else BOILERPLATE * (1 - words) if kind == "cut" else weights.get(what, LEAST)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:

@@ -221,9 +221,17 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
+def places(gram: np.ndarray, kind: np.ndarray) -> dict[tuple[int, int], list[int]]:
+    """Where the stretches of each gram and kind are in a text."""
+    out: dict[tuple[int, int], list[int]] = {}
+    for at, key in enumerate(zip(gram.view(np.int64).tolist(), kind.view(np.int64).tolist())):
+        out.setdefault(key, []).append(at)
+    return out
+
+
 def fetched(table: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The bytes of chosen stretches (uid, at, gram, kind, n)."""
-    lists = chosen.groupBy("uid").agg(F.collect_list(F.struct("at", "gram", "kind", "n")).alias("chosen"))  # of one text each
+    """The bytes of chosen stretches (uid, gram, kind, n)."""
+    lists = chosen.groupBy("uid").agg(F.collect_list(F.struct("gram", "kind", "n")).alias("chosen"))  # of one text each
     texts = table.select("uid", "text").join(lists, "uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,9 +239,11 @@ def fetched(table: DataFrame, chosen: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for uid, text, some in zip(batch.column("uid").to_pylist(), batch.column("text"), batch.column("chosen").to_pylist()):
                 data = bytes_of(text.as_py())
-                first, last, _, _ = stretches(data)
+                first, last, gram, kind = stretches(data)
+                place = places(gram, kind)
                 for c in some:
-                    part = data[first[c["at"]] : last[c["at"]] + WINDOW].tobytes()
+                    at = place[c["gram"], c["kind"]][0]
+                    part = data[first[at] : last[at] + WINDOW].tobytes()
                     out.append((c["gram"], c["kind"], c["n"], uid >> 33, len(part), part))
                 if len(out) > 20_000:
                     yield strings(out)
@@ -270,11 +280,11 @@ def counted_windows(strings: DataFrame) -> DataFrame:
 
 
 def repeated_spans(table: DataFrame) -> DataFrame:
-    """(uid, spans) of the texts with repeated windows; spans: structs of a stretch's number and its windows (null: all)."""
-    every = table.select("uid", F.posexplode(F.arrays_zip("grams", "kinds")).alias("at", "s")).select("uid", "at", F.col("s.grams").alias("gram"), F.col("s.kinds").alias("kind"))
-    kinds = every.groupBy("gram", "kind").agg(F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("one"))
+    """(uid, spans) of the texts with repeated windows; spans: structs of a stretch's gram and kind and its windows (null: all)."""
+    every = table.select("uid", F.explode(F.arrays_zip("grams", "kinds")).alias("s")).select("uid", F.col("s.grams").alias("gram"), F.col("s.kinds").alias("kind"))
+    kinds = every.groupBy("gram", "kind").agg(F.count("*").alias("n"), F.min("uid").alias("uid"))
     totals = kinds.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1").select("gram", "kinds")
-    shared = stage(kinds.join(totals, "gram").select("gram", "kind", "n", "kinds", F.col("one.uid").alias("uid"), F.col("one.at").alias("at")), "repeats-kinds")
+    shared = stage(kinds.join(totals, "gram").select("gram", "kind", "n", "kinds", "uid"), "repeats-kinds")
     chosen = shared.where("kinds > 1")
     n_chosen, n_hot = chosen.agg(F.count("*"), F.count_if(F.col("kinds") > HOT)).first()
     spark = table.sparkSession
@@ -287,20 +297,22 @@ def repeated_spans(table: DataFrame) -> DataFrame:
     whole = shared.where("n > 1").select("gram", "kind", F.lit(None).cast("array<long>").alias("spans"))
     part = found.join(shared.where("n = 1").select("gram", "kind"), ["gram", "kind"], "left_semi").select("gram", "kind", "spans")
     hits = every.join(whole.union(part), ["gram", "kind"])
-    return hits.groupBy("uid").agg(F.collect_list(F.struct("at", "spans")).alias("spans"))
+    return hits.groupBy("uid").agg(F.collect_set(F.struct("gram", "kind", "spans")).alias("spans"))
 
 
 def covered(data: np.ndarray, spans: list[dict] | None) -> np.ndarray:
     """Which bytes repeated windows cover."""
     change = np.zeros(len(data) + 1, dtype=np.int64)
     if spans:
-        first, last, _, _ = stretches(data)
+        first, last, gram, kind = stretches(data)
+        place = places(gram, kind)
         for s in spans:
-            a, b = int(first[s["at"]]), int(last[s["at"]])
-            pairs = [(0, b - a)] if s["spans"] is None else zip(s["spans"][::2], s["spans"][1::2])
-            for x, y in pairs:
-                change[a + x] += 1
-                change[a + y + WINDOW] -= 1
+            for at in place[s["gram"], s["kind"]]:
+                a, b = int(first[at]), int(last[at])
+                pairs = [(0, b - a)] if s["spans"] is None else zip(s["spans"][::2], s["spans"][1::2])
+                for x, y in pairs:
+                    change[a + x] += 1
+                    change[a + y + WINDOW] -= 1
     return np.cumsum(change[:-1]) > 0
 
 
