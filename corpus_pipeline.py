@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from brookline.llm import exact_dedup, mixing, packing, quality, similarity_join
 from brookline.llm.shared import stage, tracked, unstage
 
-#: Intermediate tables of the stage before. Its result has been written when the next one is called, so they can go.
+#: Intermediate tables of the stages before. Their results have been written when the next one is called, so they can go.
 _used: list[DataFrame] = []
 
 
@@ -22,8 +22,10 @@ def step(function):
 
     @wraps(function)
     def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        unstage(*_used)
-        _used.clear()
+        files = docs.inputFiles()  # whoever chains stages without writing still needs what docs reads
+        needed = [t for t in _used if any(t.staged_path in f for f in files)]
+        unstage(*[t for t in _used if all(t is not n for n in needed)])
+        _used[:] = needed
         with tracked(_used):
             return function(spark, docs, sf_dir)
 
