@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brookline.llm.hashing import mixed, powers, prefix_sums
-from brookline.llm.shared import LONG, col, documents, packed, stage
+from brookline.llm.shared import LONG, col, documents, packed, stage, unstage
 from brookline.llm.similarity_join import grouped
 
 WINDOW, STEP, GRAM, HOT, CHUNK = 400, 100, 32, 2_000, 1 << 20
@@ -230,8 +230,8 @@ def places(gram: np.ndarray, kind: np.ndarray) -> dict[tuple[int, int], list[int
 
 
 def fetched(table: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The bytes of chosen stretches (uid, gram, kind, n)."""
-    lists = chosen.groupBy("uid").agg(F.collect_list(F.struct("gram", "kind", "n")).alias("chosen"))  # of one text each
+    """The bytes of chosen stretches (uid, gram, kind, n, kinds), and whether their gram has too many for one task."""
+    lists = chosen.groupBy("uid").agg(F.collect_list(F.struct("gram", "kind", "n", (F.col("kinds") > HOT).alias("hot"))).alias("chosen"))  # of one text each
     texts = table.select("uid", "text").join(lists, "uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +244,7 @@ def fetched(table: DataFrame, chosen: DataFrame) -> DataFrame:
                 for c in some:
                     at = place[c["gram"], c["kind"]][0]
                     part = data[first[at] : last[at] + WINDOW].tobytes()
-                    out.append((c["gram"], c["kind"], c["n"], uid >> 33, len(part), part))
+                    out.append((c["gram"], c["kind"], c["n"], uid >> 33, len(part), part, c["hot"]))
                 if len(out) > 20_000:
                     yield strings(out)
                     out = []
@@ -253,9 +253,9 @@ def fetched(table: DataFrame, chosen: DataFrame) -> DataFrame:
 
     def strings(out: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*out))
-        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(columns[5], pa.binary())], names=["gram", "kind", "n", "shard", "size", "bytes"])
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(columns[5], pa.binary()), pa.array(columns[6], pa.bool_())], names=["gram", "kind", "n", "shard", "size", "bytes", "hot"])
 
-    return texts.mapInArrow(run, "gram long, kind long, n long, shard long, size long, bytes binary")
+    return texts.mapInArrow(run, "gram long, kind long, n long, shard long, size long, bytes binary, hot boolean")
 
 
 def counted_windows(strings: DataFrame) -> DataFrame:
@@ -283,17 +283,19 @@ def repeated_spans(table: DataFrame) -> DataFrame:
     """(uid, spans) of the texts with repeated windows; spans: structs of a stretch's gram and kind and its windows (null: all)."""
     every = table.select("uid", F.explode(F.arrays_zip("grams", "kinds")).alias("s")).select("uid", F.col("s.grams").alias("gram"), F.col("s.kinds").alias("kind"))
     kinds = every.groupBy("gram", "kind").agg(F.count("*").alias("n"), F.min("uid").alias("uid"))
-    totals = kinds.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1").select("gram", "kinds")
-    shared = stage(kinds.join(totals, "gram").select("gram", "kind", "n", "kinds", "uid"), "repeats-kinds")
+    several = every.groupBy("gram").agg(F.count("*").alias("total")).where("total > 1").select("gram")
+    met = kinds.join(several, "gram")
+    shared = stage(met.join(met.groupBy("gram").agg(F.count("*").alias("kinds")), "gram").select("gram", "kind", "n", "kinds", "uid"), "repeats-kinds")
     chosen = shared.where("kinds > 1")
     n_chosen, n_hot = chosen.agg(F.count("*"), F.count_if(F.col("kinds") > HOT)).first()
     spark = table.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_chosen // 5_000))
-    strings = fetched(table, chosen.where(F.col("kinds") <= HOT))
-    found = strings.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(merged, "gram long, kind long, spans array<long>")
+    strings = stage(fetched(table, chosen), "repeats-strings")
+    found = strings.where(~F.col("hot")).repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(merged, "gram long, kind long, spans array<long>")
     if n_hot:
-        found = found.union(counted_windows(stage(fetched(table, chosen.where(F.col("kinds") > HOT)), "repeats-hot")))
+        found = found.union(counted_windows(strings.where("hot")))
     found = stage(found, "repeats-windows")
+    unstage(strings)
     whole = shared.where("n > 1").select("gram", "kind", F.lit(None).cast("array<long>").alias("spans"))
     part = found.join(shared.where("n = 1").select("gram", "kind"), ["gram", "kind"], "left_semi").select("gram", "kind", "spans")
     hits = every.join(whole.union(part), ["gram", "kind"])
