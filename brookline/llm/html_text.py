@@ -160,8 +160,10 @@ def densities(page: str) -> Counter:
 def learned(pages: DataFrame, body: str = "html") -> dict[str, float]:
     """Weight of each tag name: SCALE times the logarithm of its density per word in content over that in boilerplate, from MOST to LEAST."""
     text = F.coalesce(col(body), F.lit(""))
-    marked = pages.select(text.alias("page")).where(F.lower("page").rlike("<(article|main)[\\s>]"))
-    sample = stage(marked.orderBy(F.xxhash64("page"), "page").limit(MAX_LABELLED), "html-labelled")
+    marked = pages.select(text.alias("page"), F.xxhash64(text).alias("h")).where(F.lower("page").rlike("<(article|main)[\\s>]"))
+    # the lowest hashes are found among hashes alone; equal pages have one, and count once
+    bound = marked.select("h").distinct().orderBy("h").limit(MAX_LABELLED).agg(F.max("h")).first()[0]
+    sample = stage(marked.where(F.col("h") <= (bound if bound is not None else 0)).dropDuplicates(["h"]).select("page"), "html-labelled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
