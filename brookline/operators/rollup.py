@@ -176,3 +176,10 @@ def snapshot_at(snapshots: DataFrame, at: Column) -> DataFrame:
     values = [c for c in snapshots.columns if c not in KEYS]
     latest = snapshots.where(F.col("as_of") <= at).groupBy(*KEYS).agg(F.max_by(F.struct(*values), "as_of").alias("v"))
     return latest.select(*KEYS, "v.*")
+
+
+def retain_quotes(quotes: DataFrame, hourly: DataFrame, daily: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(quotes that stay, hourly facts, daily facts): quotes before the cutoff, which may be within an hour, are folded."""
+    old = F.col("timestamp") < cutoff
+    gone = quotes.where(old)
+    return quotes.where(~old), merge_price_facts(hourly, price_facts(gone, "hour"), "hour"), merge_price_facts(daily, price_facts(gone, "day"), "day")
