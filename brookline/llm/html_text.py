@@ -139,21 +139,22 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 
 def densities(page: str) -> Counter:
-    """Counts of tags and words, inside and outside of the one article (else main) of a labelled page; none for others."""
-    parts = list(pieces(page))
-    opened = Counter(what for kind, what, closing, _ in parts if kind == "tag" and not closing)
-    mark = next((m for m in ("article", "main") if opened[m]), None)
+    """Counts of tags and words, inside and outside of the one article (else main) of a labelled page; none for others.
+    Boilerplate elements are not counted: the scan never sees their tags."""
+    items = list(line(page))
+    seen = Counter(what for kind, what, _ in items if kind == "tag")
+    mark = next((m for m in ("article", "main") if seen[m]), None)
     out: Counter = Counter()
-    if mark is None or opened[mark] != 1:
+    if mark is None or seen[mark] > 2:  # its start and its end
         return out
     inside = False
-    for kind, what, closing, _ in parts:
+    for kind, what, words in items:
         if kind == "tag" and what == mark:
-            inside = not closing
+            inside = not inside
         elif kind == "tag":
             out[inside, what] += 1
         elif kind == "text":
-            out[inside, ""] += len(what.split())
+            out[inside, ""] += words
     return out
 
 

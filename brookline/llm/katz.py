@@ -410,7 +410,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     spark = docs.sparkSession
     table = docs.select(F.monotonically_increasing_id().alias("uid"), col(doc_id).alias("doc_id"), col(text).alias("text"))
     size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_parts = min(1 << 15, tasks_for(spark, size, BYTES_PER_PARTITION))
+    n_parts = min(1 << 18, tasks_for(spark, size, BYTES_PER_PARTITION))
     train = table.where(fold(F.col("doc_id")) != HELD_OUT).select("uid", "text")
     sent = train.mapInArrow(lambda it: emit_training(it, n_parts), ROWS)
     counts = stage(sent.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(lambda it: reduce_training(it, n_parts), ROWS), "katz-counts")
