@@ -1,7 +1,7 @@
 """Main text of web pages as the maximum-scoring subsequence of their words and tags.
 
-A page is a line of words and tags. Words score +1, tags score below zero, each tag name by how much denser it is in
-boilerplate than in content. One linear scan finds the contiguous stretch with the highest sum: that is the content
+A page is a line of words and tags. Words score +1, tags score below zero, each tag name by how much commoner it is outside
+of content than in it. One linear scan finds the contiguous stretch with the highest sum: that is the content
 region. Its blocks are read out, without the elements that never hold article text (menus, forms, scripts, adverts,
 reader comments and the like); such an element costs the scan BOILERPLATE
 once (nothing within an article or main), and its words count for nothing.
@@ -159,7 +159,7 @@ def densities(page: str) -> Counter:
 
 
 def learned(pages: DataFrame, body: str = "html") -> dict[str, float]:
-    """Weight of each tag name: SCALE times the logarithm of its density per word in content over that in boilerplate, from MOST to LEAST."""
+    """Weight of each tag name: SCALE times the logarithm of how much commoner it is in content than elsewhere, from MOST to LEAST."""
     text = F.coalesce(col(body), F.lit(""))
     marked = pages.select(text.alias("page"), F.xxhash64(text).alias("h")).where(F.lower("page").rlike("<(article|main)[\\s>]"))
     # the lowest hashes are found among hashes alone; equal pages have one, and count once
@@ -177,8 +177,8 @@ def learned(pages: DataFrame, body: str = "html") -> dict[str, float]:
     summed = sample.mapInArrow(run, "inside boolean, name string, n long").groupBy("name").agg(*[F.coalesce(F.sum(F.when(F.col("inside") == x, F.col("n"))), F.lit(0)).alias(a) for a, x in (("content", True), ("rest", False))])
     # the tag names of HTML are few; of invented ones the commonest are enough
     rows = {r["name"]: (r["content"], r["rest"]) for r in summed.orderBy(F.desc(F.col("content") + F.col("rest"))).limit(1000).collect()}
-    words, other = rows.pop("", (0, 0))
-    odds = {name: SCALE * (math.log((a + 1) / (words + 1)) - math.log((b + 1) / (other + 1))) for name, (a, b) in rows.items()}
+    rows.pop("", None)
+    odds = {name: SCALE * (math.log(a + 1) - math.log(b + 1)) for name, (a, b) in rows.items()}
     return {name: min(LEAST, max(MOST if name in BLOCKS else MOST_INLINE, x)) for name, x in odds.items()}
 
 
