@@ -12,32 +12,51 @@ def latest(df: DataFrame, keys: list[str], order: list[str], name: str = "latest
     return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias(name))
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, strict: bool = False) -> DataFrame:
+def carry(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, bucket: Column | None = None, backward: bool = False, current: bool = True) -> DataFrame:
+    """df with the last value (not NULL) of each key's line up to, or before, each row; backward: the first value after it.
+
+    bucket: a coarse step of the order, such as the day. A line is then sorted bucket by bucket, and what a bucket begins
+    with comes from the buckets' last values, so that a key with a third of all rows is still spread over many tasks.
+    """
+    turn = (lambda c: F.desc(c)) if backward else (lambda c: F.asc(c))
+    end = 0 if current else -1
+    line = [turn(c) for c in order]
+    if bucket is None:
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(W.partitionBy(*keys).orderBy(*line).rowsBetween(W.unboundedPreceding, end)))
+    rows = df.withColumn("_bucket", bucket)
+    inside = F.last(value, ignorenulls=True).over(W.partitionBy(*keys, "_bucket").orderBy(*line).rowsBetween(W.unboundedPreceding, end))
+    edge = F.min_by if backward else F.max_by
+    last = rows.groupBy(*keys, "_bucket").agg(edge(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last"))
+    before = last.withColumn("_begin", F.last("_last", ignorenulls=True).over(W.partitionBy(*keys).orderBy(turn("_bucket")).rowsBetween(W.unboundedPreceding, -1))).drop("_last")
+    joined = rows.withColumn("_inside", inside).join(before, [*keys, "_bucket"])
+    return joined.withColumn(name, F.coalesce("_inside", "_begin")).drop("_bucket", "_inside", "_begin")
+
+
+def _both(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, first: int) -> DataFrame:
+    """Rows of both sides; at equal times those of right are at place `first`, those of left at the other one."""
+    mine = left.withColumn("_side", F.lit(1 - first)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_left", F.lit(True))
+    return mine.unionByName(right.select(*keys, at, F.lit(first).alias("_side"), F.col(value).alias("_v"), F.lit(False).alias("_left")), allowMissingColumns=True)
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, strict: bool = False, bucket: Column | None = None) -> DataFrame:
     """left with right's last value at or before (strict: before) its own time; NULL where there is none.
 
-    Both sides are put in one line per key and the last value is carried along it, which needs one sort and no pairs.
+    Both sides are put in one line per key and the last value is carried along it, which needs sorts but no pairs.
     """
-    side = F.lit(0 if strict else 1)
-    both = left.withColumn("_side", side).withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_left", F.lit(True)).unionByName(
-        right.select(*keys, at, F.lit(1 if strict else 0).alias("_side"), F.col(value).alias("_v"), F.lit(False).alias("_left")), allowMissingColumns=True
-    )
-    line = W.partitionBy(*keys).orderBy(at, "_side").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(line)).where("_left").drop("_side", "_v", "_left")
+    both = _both(left, right, keys, at, value, 1 if strict else 0)
+    return carry(both, keys, [at, "_side"], "_v", value, bucket).where("_left").drop("_side", "_v", "_left")
 
 
-def first_after(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+def first_after(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, bucket: Column | None = None) -> DataFrame:
     """left with right's first value strictly after its own time."""
-    both = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_left", F.lit(True)).unionByName(
-        right.select(*keys, at, F.lit(0).alias("_side"), F.col(value).alias("_v"), F.lit(False).alias("_left")), allowMissingColumns=True
-    )
-    line = W.partitionBy(*keys).orderBy(F.desc(at), F.desc("_side")).rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(line)).where("_left").drop("_side", "_v", "_left")
+    both = _both(left, right, keys, at, value, 0)
+    return carry(both, keys, [at, "_side"], "_v", value, bucket, backward=True).where("_left").drop("_side", "_v", "_left")
 
 
-def bracket(events: DataFrame, closes: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+def bracket(events: DataFrame, closes: DataFrame, keys: list[str], at: str, value: str, bucket: Column | None = None) -> DataFrame:
     """events with the last value strictly before and the first strictly after them."""
-    before = as_of(events, closes, keys, at, value, strict=True).withColumnRenamed(value, "before")
-    return first_after(before, closes, keys, at, value).withColumnRenamed(value, "after")
+    before = as_of(events, closes, keys, at, value, strict=True, bucket=bucket).withColumnRenamed(value, "before")
+    return first_after(before, closes, keys, at, value, bucket).withColumnRenamed(value, "after")
 
 
 def returns(closes: DataFrame, keys: list[str], at: str, close: str) -> DataFrame:

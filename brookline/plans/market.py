@@ -197,9 +197,9 @@ def recent_sessions(t: Tables) -> DataFrame:
 @query("str9_price_alerts", "SELECT symbol, timestamp, price FROM (SELECT *, coalesce(lag(price < 20) OVER (PARTITION BY symbol ORDER BY timestamp), false) AS was FROM quotes) WHERE price < 20 AND NOT was")
 def price_alerts(t: Tables) -> DataFrame:
     """Quotes at which a price falls below 20; the alert is armed again by a price that does not."""
-    below = F.col("price") < 20
-    was = F.coalesce(F.lag(below).over(W.partitionBy("symbol").orderBy("timestamp")), F.lit(False))
-    return t.quotes.withColumn("_was", was).where(below & ~F.col("_was")).select("symbol", ntz("timestamp").alias("timestamp"), "price")
+    marked = t.quotes.withColumn("_low", F.col("price") < 20)
+    was = J.carry(marked, ["symbol"], ["timestamp"], "_low", "_was", bucket=F.to_date("timestamp"), current=False)
+    return was.where(F.col("_low") & ~F.coalesce("_was", F.lit(False))).select("symbol", ntz("timestamp").alias("timestamp"), "price")
 
 
 @query("agg17_latest_quote_age", "SELECT symbol, price, round(epoch(TIMESTAMP '2024-01-31 00:00:00' - timestamp), 3) AS age_seconds, price < 100 AND epoch(TIMESTAMP '2024-01-31 00:00:00' - timestamp) <= 86400 AS alert FROM (SELECT symbol, max(timestamp) AS timestamp, arg_max(price, timestamp) AS price FROM quotes GROUP BY symbol)")

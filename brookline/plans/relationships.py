@@ -70,7 +70,7 @@ def price_since(t: Tables) -> DataFrame:
 def quote_before_post(t: Tables) -> DataFrame:
     """The last quote strictly before each loud post."""
     loud = t.posts.where("engagement >= 90").select("id", "symbol", "timestamp")
-    return J.as_of(loud, t.quotes.select("symbol", "timestamp", "price"), ["symbol"], "timestamp", "price", strict=True).select("id", "symbol", "price")
+    return J.as_of(loud, t.quotes.select("symbol", "timestamp", "price"), ["symbol"], "timestamp", "price", strict=True, bucket=F.to_date("timestamp")).select("id", "symbol", "price")
 
 
 _RETURNS = """returns AS (SELECT symbol, ends_at, r FROM (SELECT symbol, ends_at, CASE WHEN close > 0 AND lag(close) OVER w > 0 THEN close / lag(close) OVER w - 1 END AS r FROM closes WINDOW w AS (PARTITION BY symbol ORDER BY ends_at)) WHERE r IS NOT NULL)"""
@@ -196,7 +196,7 @@ def newest_events(t: Tables) -> DataFrame:
 def next_close_moves(t: Tables) -> DataFrame:
     """Move from the close before a post to the one after it."""
     events = t.posts.where("engagement = 99").select("id", "symbol", ntz("timestamp").alias("ends_at"))
-    around = J.bracket(events, t.closes.select("symbol", "ends_at", "close"), ["symbol"], "ends_at", "close")
+    around = J.bracket(events, t.closes.select("symbol", "ends_at", "close"), ["symbol"], "ends_at", "close", bucket=F.trunc("ends_at", "month"))
     move = F.when((F.col("before") > 0) & (F.col("after") > 0), (F.col("after") / F.col("before") - 1) * 100)
     return around.select("id", "symbol", "before", "after", F.round(move, 6).alias("move_pct"))
 

@@ -75,8 +75,11 @@ def test_forward_pairs(spark):
 def test_bracket(spark):
     closes = spark.createDataFrame([("k", 100, 1.0), ("k", 200, 2.0), ("k", 300, 3.0)], "k string, t int, c double")
     events = spark.createDataFrame([("k", t) for t in (100, 150, 200, 300)], "k string, t int")
-    got = {r.t: (r.before, r.after) for r in J.bracket(events, closes, ["k"], "t", "c").collect()}
-    assert got == {100: (None, 2.0), 150: (1.0, 2.0), 200: (1.0, 3.0), 300: (2.0, None)}
+    for bucket in (None, F.floor(F.col("t") / 50), F.floor(F.col("t") / 1000)):
+        got = {r.t: (r.before, r.after) for r in J.bracket(events, closes, ["k"], "t", "c", bucket).collect()}
+        assert got == {100: (None, 2.0), 150: (1.0, 2.0), 200: (1.0, 3.0), 300: (2.0, None)}
+    latest = {r.t: r.c for r in J.as_of(events, closes, ["k"], "t", "c", bucket=F.floor(F.col("t") / 100)).collect()}
+    assert latest == {100: 1.0, 150: 1.0, 200: 2.0, 300: 3.0}
 
 
 def test_exchange_rates(spark):
