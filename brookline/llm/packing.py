@@ -36,13 +36,39 @@ CAPACITY, END, ROWS_PER_BUCKET, CACHED_WORDS, CACHED_STEMS = 4096, 1, 50_000, 40
 _word = re.compile(r"[^ \t\r\n]+")
 
 
-def encoded(encoder, words: list[str], stems: dict[str, bytes]) -> dict[str, bytes]:
-    """The ids of each word as bytes. A stop or comma after a letter is a token of its own, and case is dropped. stems: what is encoded already."""
+def encoded_stems(encoder, words: list[str], ends: np.ndarray) -> dict[str, bytes]:
+    """The ids of each word as bytes. Words of letters alone are encoded many at a time, as one text; `ends` tells which
+    ids end a word, so the ids of each are found again. Should their number not fit, they are encoded one by one."""
+    letters, out = [w for w in words if w.isalpha()], {}
+    chunks = [letters[i : i + 2000] for i in range(0, len(letters), 2000)]
+    rest = [w for w in words if not w.isalpha()]
+    for chunk, e in zip(chunks, encoder.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)):
+        ids = np.array(e.ids, dtype="<u4")
+        last = np.flatnonzero(ends[ids]) + 1
+        if len(last) != len(chunk):
+            rest += chunk
+            continue
+        data, cuts = ids.tobytes(), (4 * last).tolist()
+        out.update((w, data[a:b]) for w, a, b in zip(chunk, [0, *cuts], cuts))
+    out.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, encoder.encode_batch_fast(rest, add_special_tokens=False)))
+    return out
+
+
+def word_ends(encoder) -> np.ndarray:
+    """For each id, whether its token ends a word."""
+    out = np.zeros(encoder.get_vocab_size() + 1, dtype=bool)
+    for token, i in encoder.get_vocab().items():
+        out[i] = token.endswith("</w>")
+    return out
+
+
+def encoded(encoder, words: list[str], stems: dict[str, bytes], ends: np.ndarray) -> dict[str, bytes]:
+    """The ids of each word as bytes. A stop or comma after a letter is a token of its own, and case is dropped. stems: what is encoded already; ends: see encoded_stems()."""
     bare = [w.rstrip(".,") for w in words]
     stem = [(s.lower() if s.isascii() else s) if s and s[-1].isalpha() else w for s, w in zip(bare, words)]
     tail = [w[len(s) :] for s, w in zip(stem, words)]
     new = list({*stem, *tail}.difference(stems))
-    stems.update(zip(new, [array("I", e.ids).tobytes() for e in encoder.encode_batch_fast(new, add_special_tokens=False)]))
+    stems.update(encoded_stems(encoder, new, ends))
     out = {w: stems[s] + stems[t] for s, t, w in zip(stem, tail, words)}
     if len(stems) > CACHED_STEMS:  # the first ones seen are the common ones
         for s in new:
@@ -63,8 +89,9 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
         # the encoder and the words that it has encoded stay with the worker process from task to task
         kept = vars(tokenizers).setdefault("_words_by_file", {})
         if tokenizer not in kept:
-            kept[tokenizer] = (tokenizers.Tokenizer.from_file(tokenizer), {}, {})
-        encoder, known, stems = kept[tokenizer]
+            made = tokenizers.Tokenizer.from_file(tokenizer)
+            kept[tokenizer] = (made, word_ends(made), {}, {})
+        encoder, ends, known, stems = kept[tokenizer]
         last = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             places: list[int] = []
@@ -72,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
             for first in range(0, batch.num_rows, 256):
                 texts = [_word.findall(t.as_py() or "") for t in batch.column("_text").slice(first, 256)]
                 words = set().union(*texts)
-                new = encoded(encoder, list(words.difference(known)), stems)
+                new = encoded(encoder, list(words.difference(known)), stems, ends)
                 known.update(new)
                 for at, text in enumerate(texts, first):
                     ids = b"".join(map(known.__getitem__, text)) + last
