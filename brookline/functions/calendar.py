@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ZONE = "America/New_York"
+FIRST_YEAR, LAST_YEAR = 1990, 2060
 
 
 def _day(year: Column, month: int, day: int) -> Column:
@@ -95,11 +96,16 @@ def equity_session(local: Column, trading: Column, early: Column) -> Column:
 
 
 def with_equity_session(df: DataFrame, at: str, name: str) -> DataFrame:
-    """df with the session of each row's time. Holidays are found once a day, not once a row: rows join the days they are on."""
+    """df with the session of each row's time; NULL becomes closed, as does a day outside of FIRST_YEAR to LAST_YEAR.
+
+    Holidays are worked out once for each day of those years, not once for each row. That table has the same 25,933 days
+    whatever the input, so it is broadcast.
+    """
+    day = F.explode(F.sequence(F.make_date(F.lit(FIRST_YEAR), F.lit(1), F.lit(1)), F.make_date(F.lit(LAST_YEAR), F.lit(12), F.lit(31))))
+    table = df.sparkSession.range(1).select(day.alias("_day")).select("_day", is_trading_day(F.col("_day")).alias("_open"), is_early_close(F.col("_day")).alias("_early"))
     local = F.from_utc_timestamp(at, ZONE)
-    days_ = df.select(F.to_date(local).alias("_day")).distinct().select("_day", is_trading_day(F.col("_day")).alias("_open"), is_early_close(F.col("_day")).alias("_early"))
-    joined = df.withColumn("_day", F.to_date(local)).join(days_, "_day", "left")
-    return joined.withColumn(name, equity_session(local, F.col("_open"), F.col("_early"))).drop("_day", "_open", "_early")
+    joined = df.withColumn("_day", F.to_date(local)).join(F.broadcast(table), "_day", "left")
+    return joined.withColumn(name, equity_session(local, F.coalesce("_open", F.lit(False)), F.col("_early"))).drop("_day", "_open", "_early")
 
 
 def futures_session(at: Column) -> Column:
