@@ -29,12 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _tracked: list[DataFrame] | None = None
+_folders: set[str] = set()
+
+
+def delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """Delete an application's intermediate tables, if its session still lives."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session has ended, and nobody is left to ask
+        pass
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to a new table in the shared folder and read it back: the lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/brookline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/brookline/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(delete_at_exit, spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     with shuffles_deleted(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
