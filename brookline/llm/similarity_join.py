@@ -40,6 +40,7 @@ from brookline.llm.shared import LONG, col, documents, packed, stage, unpacked,
 
 SHINGLE, THRESHOLD, TARGET, DEPTH, SEED = 5, (4, 5), 0.9999, 3, 7
 SMALL, BLOCK = 64, 1000
+ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], dtype=np.uint64)
 #: Bytes of keys up to which the classes with a partner are broadcast to fetch their texts.
 BROADCAST_BYTES = 32 << 20
 
@@ -79,7 +80,10 @@ def choices(tokens: np.ndarray, n_runs: int, threshold: float, depth: int = DEPT
         at, child = [], []
         for first in range(0, len(nodes), max(1, 2_000_000 // len(tokens))):  # so that long texts need no more memory
             some = nodes[first : first + max(1, 2_000_000 // len(tokens))]
-            h = mixed(tokens[None, :] ^ some[:, None])
+            h = tokens[None, :] ^ some[:, None]
+            h *= ODD[0]  # tokens and nodes are well mixed already: this is enough to choose by
+            h ^= h >> np.uint64(32)
+            h *= ODD[1]
             i, j = np.nonzero(h <= bound)
             at.append(i + first)
             child.append(mixed(h[i, j] + some[i]) | np.uint64(1))
