@@ -39,7 +39,6 @@ MOST, MOST_INLINE = -6.0, -1.0
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table caption tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("head title nav footer aside form button select textarea iframe object svg canvas noscript template dialog menu audio video map datalist fieldset".split())
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp")
 #: Words of class, id and role that name boilerplate.
 HINTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side footer cookie cookies consent notice notices alert gdpr comment comments commentlist disqus respond replies reply share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager toolbar tagcloud search complementary contentinfo masthead".split())
 OUTER_HINTS = frozenset(["header", "topbar"])

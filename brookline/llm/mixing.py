@@ -65,7 +65,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     row = packed(docs.select(*[col(c) for c in carry]) if carry else docs)
     sized = stage(docs.select(row, col(source).alias("source"), word_count(col(text)).alias("size"), ((digits + F.lit(0.5)) / F.lit(float(1 << 52))).alias("_u"), weight_of.cast("double").alias("_k"), F.monotonically_increasing_id().alias("_uid")), "mix-rows")
     totals = stage(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("_k") * F.col("size")).alias("_mass")), "mix-totals")
-    goal = by_source(totals.select("source", "_mass"), targets(totals.select("source", "source_size")).withColumnRenamed("source", "source"))
+    goal = by_source(totals.select("source", "_mass"), targets(totals.select("source", "source_size")))
     order = F.struct("_q", "_u", "size", "_uid")
     thin = drawn(by_source(sized.select("_uid", "source", "size", "_u", "_k"), goal))
     step = F.floor(F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), F.col("_q"))) * STEPS).cast("int")
