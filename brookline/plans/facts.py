@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brookline.operators import rollup as R
 from brookline.plans.registry import query
-from brookline.sources.views import AS_OF, PLATFORMS, Tables, as_of, ntz
+from brookline.sources.views import PLATFORMS, Tables, as_of, ntz
 
 CUTOFF = "2024-01-17 10:20:00"
 _TIMES = [*R.FIRSTS, *R.LASTS, "input_watermark"]
