@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from brookline.llm.shared import INT, LONG, bucket_of, col, documents, running_rank, stage
 
-CAPACITY, END, ROWS_PER_BUCKET, CACHED_WORDS, CACHED_STEMS = 4096, 1, 50_000, 400_000, 1_000_000
+CAPACITY, END, ROWS_PER_BUCKET, CACHED_WORDS, CACHED_STEMS = 4096, 1, 50_000, 200_000, 400_000
 #: White space by which words are split before they are encoded; the tokenizer drops it too.
 _word = re.compile(r"[^ \t\r\n]+")
 
