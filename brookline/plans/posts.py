@@ -118,10 +118,11 @@ def newest_posts(t: Tables) -> DataFrame:
 
 
 @query("src23_unclassified_posts", "SELECT id, symbol, timestamp FROM posts WHERE topic_id = -1 ORDER BY timestamp DESC, id DESC LIMIT 1000")
-def unclassified(t: Tables) -> DataFrame:
-    """Newest posts without a topic, for a later classification."""
+def unclassified(t: Tables, limit: int | None = None) -> DataFrame:
+    """Posts without a topic, newest first, for a later classification: all of them, or the first `limit` if it is given."""
     none = t.posts.withColumn("topic_label", F.when(F.col("topic_id") >= 0, F.col("topic_label"))).where(F.col("topic_label").isNull())
-    return newest(none, 1000).select("id", "symbol", ntz("timestamp").alias("timestamp"))
+    rows = none.orderBy(F.desc("timestamp"), F.desc("id")).select("id", "symbol", ntz("timestamp").alias("timestamp"))
+    return rows if limit is None else rows.limit(limit)
 
 
 @query("src2_active_symbols", "SELECT symbol FROM tracked_symbols WHERE is_active")

@@ -8,6 +8,8 @@ from brookline.operators import joins as J
 from brookline.operators import series as S
 from brookline.plans import activity, market, posts
 from brookline.sources import adapters as A
+from brookline.sources.views import Tables, with_views
+from tests.compare import connect, same
 
 
 def value(spark, column):
@@ -213,3 +215,13 @@ def test_catalog(spark, tmp_path):
     assert len(catalog.problems(bad)) == 8
     with pytest.raises(ValueError):
         catalog.load(spark, bad)
+
+
+def test_unclassified_posts_are_all_read(spark):
+    folder = "/root/testdata/sf0.01"
+    want = connect(folder).sql(with_views("SELECT id, symbol, timestamp FROM posts WHERE topic_id = -1 ORDER BY timestamp DESC, id DESC")).df()
+    assert len(want) > 1000
+    got = posts.unclassified(Tables(spark, folder)).toPandas()
+    same(got, want)
+    assert list(got["id"]) == list(want["id"])
+    assert list(posts.unclassified(Tables(spark, folder), 1100).toPandas()["id"]) == list(want["id"][:1100])
