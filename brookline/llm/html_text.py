@@ -11,8 +11,9 @@ At most MAX_LABELLED of them are read for fitting, those with the lowest hash of
 has the weight LEAST. Extraction itself reads every page, whole.
 
 Defined cases: a null, empty or tagless-and-wordless page has the empty text; a page without tags is one block; a tag,
-comment or script that is never closed ends with the page; an unclosed boilerplate element ends where an article or
-main begins; of regions with equal sums the one that ends first is taken; repeated rows get equal texts; an empty
+comment or script that is never closed ends with the page; elements end where HTML lets their end tag be left out (p by the
+next block, li, dt, dd, tr, td, option by their sibling) and with any element around them; an unclosed boilerplate element also
+ends where an article or main begins; of regions with equal sums the one that ends first is taken; repeated rows get equal texts; an empty
 table gives an empty result; other columns travel in a struct.
 """
 
@@ -43,10 +44,33 @@ SKIPPED = frozenset("head title nav footer aside form button select textarea ifr
 HINTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side footer cookie cookies consent notice notices alert gdpr comment comments commentlist disqus respond replies reply share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager toolbar tagcloud search complementary contentinfo masthead".split())
 OUTER_HINTS = frozenset(["header", "topbar"])
 
+CELLS = frozenset("td th caption object".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ROWS = frozenset("caption colgroup tbody td tfoot th thead tr".split())
+IN_HEAD = frozenset("base basefont bgsound head link meta".split())
+#: Elements whose end tag may be left out: start tag -> (what it ends, what they do not reach beyond).
+SIBLINGS = {
+    "li": (frozenset(["li"]), CELLS | frozenset("ul ol menu dir table".split())),
+    **dict.fromkeys(["dt", "dd"], (frozenset(["dt", "dd"]), CELLS | frozenset(["dl", "table"]))),
+    "option": (frozenset(["option"]), frozenset("select datalist optgroup".split())),
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
+    **dict.fromkeys(["td", "th"], (frozenset(["td", "th", "caption"]), frozenset(["tr", "table"]))),
+    "tr": (frozenset("tr td th caption colgroup".split()), frozenset(["table"])),
+    **dict.fromkeys(["tbody", "thead", "tfoot"], (ROWS, frozenset(["table"]))),
+    **{n: (frozenset([n]), CELLS | frozenset(["table"])) for n in ("a", "button")},
+}
+HEAD, P, AROUND_P = frozenset(["head"]), frozenset(["p"]), CELLS | frozenset(["table", "button"])
+ENDS_P = BLOCKS - ROWS - frozenset("body html option".split())
+#: End tags that end whatever is open in their element; others do not reach out of a table's cell.
+STRONG = frozenset("article main section body html table".split())
+#: An end is looked for among so many open elements (browsers nest no deeper).
+DEEPEST = 512
+
 _tag = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S | re.I)
 _named = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _hidden = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _letters = re.compile(r"[a-z]+")
+_value = re.compile(r"""=\s*[^\s"'>]+$""")
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, bool, str]]:
@@ -80,29 +104,97 @@ def is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+class Opened:
+    """The elements that are open, each as a list of its name. Tags give the elements that they end, by HTML's rules for end tags that are left out."""
+
+    def __init__(self) -> None:
+        self.elements: list[list[str]] = []
+        self.count: Counter = Counter()
+
+    def _close(self, i: int) -> list[list[str]]:
+        """Ends element i with all that is open in it; an inline element ends alone if a block is open in it."""
+        alone = i + 1 < len(self.elements) and self.elements[i][0] not in BLOCKS and any(e[0] in BLOCKS for e in self.elements[i + 1 :])
+        last = i + 1 if alone else len(self.elements)
+        gone = self.elements[i:last]
+        del self.elements[i:last]
+        for e in gone:
+            self.count[e[0]] -= 1
+        return gone
+
+    def _end(self, names: frozenset[str], barrier: frozenset[str], outermost: bool = False) -> list[list[str]]:
+        found = None
+        for i in range(len(self.elements) - 1, max(-1, len(self.elements) - 1 - DEEPEST), -1):
+            name = self.elements[i][0]
+            if name in names:
+                found = i
+                if not outermost:
+                    break
+            elif name in barrier:
+                break
+        return [] if found is None else self._close(found)
+
+    def implied(self, what: str) -> list[list[str]]:
+        """What a start tag ends."""
+        gone = self._end(HEAD, frozenset()) if self.count["head"] and what not in IN_HEAD else []
+        if self.count["p"] and what in ENDS_P:
+            gone += self._end(P, AROUND_P)
+        if what in SIBLINGS and any(self.count[n] for n in SIBLINGS[what][0]):
+            gone += self._end(*SIBLINGS[what], outermost=True)
+        if what in HEADINGS and self.elements and self.elements[-1][0] in HEADINGS:
+            gone += self._close(len(self.elements) - 1)
+        return gone
+
+    def start(self, what: str) -> list[str]:
+        element = [what]
+        if what != "form" or not self.count["form"]:  # forms do not nest
+            self.elements.append(element)
+            self.count[what] += 1
+        return element
+
+    def end(self, what: str) -> list[list[str]]:
+        """What an end tag ends."""
+        if what in ("body", "html"):
+            gone, self.elements = self.elements, []
+            self.count.clear()
+            return gone
+        if not self.count[what] and what not in HEADINGS:
+            return []
+        barrier = frozenset() if what in STRONG else frozenset(["table"]) if what in ROWS else CELLS
+        return self._end(HEADINGS if what in HEADINGS else frozenset([what]), barrier)
+
+
+def empty(what: str, attributes: str) -> bool:
+    """Whether a start tag opens nothing; a slash that ends an unquoted value does not say so."""
+    return what in VOID or attributes.rstrip().endswith("/") and not _value.search(attributes)
+
+
 def line(page: str) -> Iterator[tuple[str, str, int]]:
     """The page as (kind, what, words): `text`, `tag`, or `cut` for a whole boilerplate element (then: whether it is in an article)."""
-    skipping, depth, inside = "", 0, 0
+    opened, skipped, inside = Opened(), None, 0
     for kind, what, closing, attributes in pieces(page):
-        if skipping:
-            if kind != "tag":
-                continue
-            if what in ("article", "main") and not closing or what in ("body", "html") and closing:
-                skipping = ""  # it was never closed
-            else:
-                if what == skipping and what not in VOID:
-                    depth += -1 if closing else 1
-                    if not depth:
-                        skipping = ""
-                        yield "cut", what, int(inside > 0)
-                continue
         if kind == "text":
-            yield "text", what, len(what.split())
+            if skipped and skipped[0] == "head" and what.strip():
+                opened.implied("body")
+                skipped = None
+            if not skipped:
+                yield "text", what, len(what.split())
         elif kind == "tag":
+            if skipped and not closing and what in ("article", "main"):
+                skipped = None  # it was never closed
+            gone = opened.end(what) if closing else opened.implied(what)
+            if skipped and any(e is skipped for e in gone):
+                own, skipped = skipped[0] == what, None
+                if what not in ("body", "html"):
+                    yield "cut", what, int(inside > 0)
+                if closing and own:
+                    continue
+            element = None if closing or empty(what, attributes) else opened.start(what)
+            if skipped:
+                continue
             if what in ("article", "main"):
                 inside = max(0, inside + (-1 if closing else 1))
-            if not closing and what not in VOID and not attributes.rstrip().endswith("/") and is_boilerplate(what, attributes, inside > 0):
-                skipping, depth = what, 1
+            if element and is_boilerplate(what, attributes, inside > 0):
+                skipped = element
             else:
                 yield "tag", what, 0
 

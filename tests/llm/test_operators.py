@@ -376,6 +376,19 @@ def test_main_text():
     assert html_text.extract("a < b and c", {}) == "a < b and c"
 
 
+def test_omitted_end_tags_end_boilerplate():
+    rest = "<p>First part of it.</p><p>Second part of it.</p>"
+    want = "First part of it.\n\nSecond part of it."
+    for start in ('<p class="notice">Note', '<ul><li class="nav-item">Home<li class="nav-item">About</ul>', '<div><form><input>Sign up</div>', '<dl><dt class="ad">Buy<dd class="ad">now</dl>', '<table><tr><td class="ad">Buy<td class="ad">now</table>', "<select><option>a<option>b</select>", '<div><span class="share">Share</div>'):
+        for page in (f"<body><article>{start}{rest}</article></body>", f"<body><div>{start}{rest}</div></body>"):
+            assert html_text.extract(page, {}) == want, page
+    assert html_text.extract(f"<body><article>{rest}<div><form>Sign up</div></article><p>after", {}).startswith(want)
+    assert html_text.extract('<article><p>It is.</p><form>Sign up <p>for news</p></article><footer>foot</footer>', {}) == "It is."
+    assert html_text.extract('<article><ul><li>One item<li class="ad">Buy <ul><li>this</ul> now<li>Two items</ul></article>', {}) == "One item\n\nTwo items"
+    assert html_text.extract(f"<head><meta charset=x><body>{rest}", {}) == want
+    assert html_text.extract("<div>" * 3000 + '<p class="ad">x' + rest, {}) == want
+
+
 def test_region_has_the_highest_sum():
     rng = np.random.default_rng(3)
     weights = {"p": -0.5, "a": -3.0}
