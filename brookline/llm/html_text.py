@@ -2,9 +2,10 @@
 
 A page is a line of words and tags. Words score +1, tags score below zero, each tag name by how much commoner it is outside
 of content than in it. One linear scan finds the contiguous stretch with the highest sum: that is the content
-region. Its blocks are read out, without the elements that never hold article text (menus, forms, scripts, adverts,
-reader comments and the like); such an element costs the scan BOILERPLATE
-once (nothing within an article or main), and its words count for nothing.
+region. Its blocks are read out, without elements that are boilerplate by name or by a whole token of class, id or role
+(menus, forms, adverts, reader comments and the like); such an element costs the scan BOILERPLATE
+once (nothing within an article or main), and its words count for nothing. But an element that holds most of the words of
+its page, or of its article or main, is read like any other, however it is named: see `held`.
 
 Weights come from labelled pages: pages with exactly one <article> (else one <main>) say themselves what is content.
 At most MAX_LABELLED of them are read for fitting, those with the lowest hash of their html; without any, every tag
@@ -43,6 +44,14 @@ SKIPPED = frozenset("head title nav footer aside form button select textarea ifr
 #: Words of class, id and role that name boilerplate.
 HINTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side footer cookie cookies consent notice notices alert gdpr comment comments commentlist disqus respond replies reply share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager toolbar tagcloud search complementary contentinfo masthead".split())
 OUTER_HINTS = frozenset(["header", "topbar"])
+#: Words that make no other name of a hint beside it: share-buttons and page-nav are hints, has-sidebar and page-with-nav are not.
+PARTS = frozenset("area article bar block blog body bottom box btn button buttons card center col column container content count entry feed form global group header holder icon icons inner item items label left link links list lists main message module notification outer page panel placeholder post posts primary right row secondary section site slot sticky story text title top unit view wrap wrapper zone".split())
+#: A token of such words alone names content, whatever stands beside it.
+CONTENT = frozenset("article body content entry hentry main page post story text".split())
+#: Elements that hold no text to read, however much there is of it.
+NEVER = frozenset("head title button select textarea iframe object svg canvas noscript template audio video map datalist".split())
+#: How many times the words beside it an element must hold to be read in spite of its name, or as a wrapper.
+NAMED, WRAPPER = 4, 2
 
 CELLS = frozenset("td th caption object".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -67,9 +76,9 @@ STRONG = frozenset("article main section body html table".split())
 DEEPEST = 512
 
 _tag = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S | re.I)
-_named = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_hidden = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_letters = re.compile(r"[a-z]+")
+_attribute = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_none = re.compile(r"display\s*:\s*none", re.I)
+_words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _value = re.compile(r"""=\s*[^\s"'>]+$""")
 
 
@@ -89,29 +98,37 @@ def pieces(page: str) -> Iterator[tuple[str, str, bool, str]]:
         yield "text", page[at:], False, ""
 
 
-def is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
-    """inside: in an article or main, where a header belongs to the text."""
-    if name in SKIPPED or name == "header" and not inside:
-        return True
+def needed(name: str, attributes: str, inside: bool) -> float:
+    """0 for an element that is no boilerplate by its name and attributes, else how many times the words beside it it must hold to be read.
+    inside: in an article or main, where a header belongs to the text."""
+    if name in NEVER:
+        return math.inf
+    least = (WRAPPER if name in ("form", "fieldset") else NAMED) if name in SKIPPED or name == "header" and not inside else 0
     if name in ("body", "html", "article", "main") or not attributes:
-        return False
-    if _hidden.search(attributes):
-        return True
-    for m in _named.finditer(attributes):
-        words = set(_letters.findall((m[1] or m[2] or m[3] or "").lower()))
-        if not words.isdisjoint(HINTS) or not inside and not words.isdisjoint(OUTER_HINTS):
-            return True
-    return False
+        return least
+    given: dict[str, str] = {}
+    for m in _attribute.finditer(attributes):
+        given.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or _none.search(given.get("style", "")):
+        return max(least, NAMED)
+    content = False
+    for token in " ".join(given.get(a, "") for a in ("class", "id", "role")).split():
+        words = {w.lower() for w in _words.findall(token) if len(w) > 1}
+        content |= bool(words) and words <= CONTENT
+        hints = words & HINTS if inside else words & HINTS | words & OUTER_HINTS
+        if hints and words - hints <= PARTS:
+            least = max(least, NAMED)
+    return min(least, WRAPPER) if content else least
 
 
 class Opened:
-    """The elements that are open, each as a list of its name. Tags give the elements that they end, by HTML's rules for end tags that are left out."""
+    """The elements that are open, each as a list of its name (and what is added to it). Tags give the elements that they end, by HTML's rules for end tags that are left out."""
 
     def __init__(self) -> None:
-        self.elements: list[list[str]] = []
+        self.elements: list[list] = []
         self.count: Counter = Counter()
 
-    def _close(self, i: int) -> list[list[str]]:
+    def _close(self, i: int) -> list[list]:
         """Ends element i with all that is open in it; an inline element ends alone if a block is open in it."""
         alone = i + 1 < len(self.elements) and self.elements[i][0] not in BLOCKS and any(e[0] in BLOCKS for e in self.elements[i + 1 :])
         last = i + 1 if alone else len(self.elements)
@@ -121,7 +138,7 @@ class Opened:
             self.count[e[0]] -= 1
         return gone
 
-    def _end(self, names: frozenset[str], barrier: frozenset[str], outermost: bool = False) -> list[list[str]]:
+    def _end(self, names: frozenset[str], barrier: frozenset[str], outermost: bool = False) -> list[list]:
         found = None
         for i in range(len(self.elements) - 1, max(-1, len(self.elements) - 1 - DEEPEST), -1):
             name = self.elements[i][0]
@@ -133,7 +150,7 @@ class Opened:
                 break
         return [] if found is None else self._close(found)
 
-    def implied(self, what: str) -> list[list[str]]:
+    def implied(self, what: str) -> list[list]:
         """What a start tag ends."""
         gone = self._end(HEAD, frozenset()) if self.count["head"] and what not in IN_HEAD else []
         if self.count["p"] and what in ENDS_P:
@@ -144,14 +161,14 @@ class Opened:
             gone += self._close(len(self.elements) - 1)
         return gone
 
-    def start(self, what: str) -> list[str]:
+    def start(self, what: str) -> list:
         element = [what]
         if what != "form" or not self.count["form"]:  # forms do not nest
             self.elements.append(element)
             self.count[what] += 1
         return element
 
-    def end(self, what: str) -> list[list[str]]:
+    def end(self, what: str) -> list[list]:
         """What an end tag ends."""
         if what in ("body", "html"):
             gone, self.elements = self.elements, []
@@ -168,35 +185,107 @@ def empty(what: str, attributes: str) -> bool:
     return what in VOID or attributes.rstrip().endswith("/") and not _value.search(attributes)
 
 
-def line(page: str) -> Iterator[tuple[str, str, int]]:
-    """The page as (kind, what, words): `text`, `tag`, or `cut` for a whole boilerplate element (then: whether it is in an article)."""
-    opened, skipped, inside = Opened(), None, 0
+class Held:
+    """A page, an article or main, or a boilerplate element: where it is in the page's items, and its words outside of links."""
+
+    def __init__(self, name: str = "", start: int = 0, least: float = 0, inside: bool = False):
+        self.name, self.start, self.least, self.inside = name, start, least, inside
+        self.end, self.whole = start, True  # whole: not ended by an article or main that opens
+        self.plain, self.total, self.inner = 0, 0, []
+
+    def words(self) -> int:
+        return 0 if self.least == math.inf else self.total
+
+    def sum_up(self) -> None:
+        self.total = self.plain + sum(e.words() for e in self.inner)
+
+
+def held(page: str) -> tuple[list[tuple[str, str, int]], list[Held]]:
+    """(all items of the page, the elements to cut). A boilerplate element is cut unless it holds most of the words of what it
+    is in (the page, the article or main, or a boilerplate element that is itself read) and `least` times those that are in
+    none. Outside of articles and mains with words, all are cut. Words of links do not count."""
+    items: list[tuple[str, str, int]] = []
+    opened, inside = Opened(), 0
+    outer, now = Held(), None  # the page, and the outermost article or main that is open
+    scopes, found = [outer], []
+    open_: list[Held] = []  # boilerplate elements that are open, outermost first
     for kind, what, closing, attributes in pieces(page):
         if kind == "text":
-            if skipped and skipped[0] == "head" and what.strip():
-                opened.implied("body")
-                skipped = None
-            if not skipped:
-                yield "text", what, len(what.split())
+            if what.strip():
+                if opened.count["head"]:
+                    _ended(open_, opened.implied("body"), len(items))
+                if not opened.count["a"]:
+                    (open_[-1] if open_ else now or outer).plain += len(what.split())
+            items.append(("text", what, len(what.split())))
         elif kind == "tag":
-            if skipped and not closing and what in ("article", "main"):
-                skipped = None  # it was never closed
+            if not closing and what in ("article", "main"):
+                for e in open_:  # it was never closed
+                    e.end, e.whole = len(items), False
+                open_.clear()
             gone = opened.end(what) if closing else opened.implied(what)
-            if skipped and any(e is skipped for e in gone):
-                own, skipped = skipped[0] == what, None
-                if what not in ("body", "html"):
-                    yield "cut", what, int(inside > 0)
-                if closing and own:
-                    continue
+            own = _ended(open_, gone, len(items), what if closing else "", what not in ("body", "html"))
             element = None if closing or empty(what, attributes) else opened.start(what)
-            if skipped:
-                continue
             if what in ("article", "main"):
                 inside = max(0, inside + (-1 if closing else 1))
-            if element and is_boilerplate(what, attributes, inside > 0):
-                skipped = element
-            else:
-                yield "tag", what, 0
+                if not inside:
+                    now = None
+                elif now is None:
+                    now = Held(what, inside=True)
+                    scopes.append(now)
+            least = needed(what, attributes, inside > 0) if element else 0
+            if least:
+                e = Held(what, len(items), least, inside > 0)
+                (open_[-1] if open_ else now or outer).inner.append(e)
+                open_.append(e)
+                element.append(e)
+                found.append(e)
+            items.append(("tag", what, 0))
+            if own:
+                own.end = len(items)
+    for e in open_:
+        e.end, e.whole = len(items), False
+    for e in [*reversed(found), *scopes]:
+        e.sum_up()
+    cut, marked = [], False
+    for first in (scopes[1:], [outer]):
+        todo = list(first)
+        for s in todo:
+            for e in s.inner:
+                if e.words() * 2 > s.total and e.words() > e.least * s.plain and not (s is outer and marked):
+                    todo.append(e)
+                else:
+                    cut.append(e)
+        marked = any(s.plain for s in todo)
+    return items, sorted(cut, key=lambda e: e.start)
+
+
+def _ended(open_: list[Held], gone: list[list], at: int, closed: str = "", whole: bool = True) -> Held | None:
+    """Ends the boilerplate elements among `gone`; gives the first of these if the end tag is its own."""
+    for _, e in reversed([g for g in gone if len(g) > 1] if open_ else []):
+        if e in open_[-1:]:
+            open_.pop()
+        elif e in open_:
+            open_.remove(e)
+        else:
+            continue  # an article or main has ended it
+        e.end, e.whole = at, whole
+        if closed == e.name and gone[0][-1] is e:
+            return e
+    return None
+
+
+def line(page: str) -> Iterator[tuple[str, str, int]]:
+    """The page as (kind, what, words): `text`, `tag`, or `cut` for a whole boilerplate element (then: whether it is in an article)."""
+    items, cut = held(page)
+    at = 0
+    for e in cut:
+        if e.start < at:
+            continue
+        yield from items[at : e.start]
+        at = e.end
+        if e.whole:
+            yield "cut", e.name, int(e.inside)
+    yield from items[at:]
 
 
 def region(items: list[tuple[str, str, int]], weights: dict[str, float]) -> tuple[int, int]:
@@ -231,7 +320,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 def densities(page: str) -> Counter:
     """Counts of tags and words, inside and outside of the one article (else main) of a labelled page; none for others.
-    Boilerplate elements are not counted: the scan never sees their tags."""
+    Boilerplate elements that are cut are not counted: the scan never sees their tags."""
     items = list(line(page))
     seen = Counter(what for kind, what, _ in items if kind == "tag")
     mark = next((m for m in ("article", "main") if seen[m]), None)

@@ -389,6 +389,23 @@ def test_omitted_end_tags_end_boilerplate():
     assert html_text.extract("<div>" * 3000 + '<p class="ad">x' + rest, {}) == want
 
 
+def test_wrappers_that_hold_the_text_are_read():
+    text = " ".join(f"word{i}" for i in range(60))
+    body = f"<h1>The title</h1><p>{text}</p>"
+    want = f"The title\n\n{text}"
+    nav, foot = '<div class="nav-item">Go <a href="/">Home</a></div>', "<footer>All rights reserved</footer>"
+    for tag in ("<form>", "<form><fieldset>", '<div class="content has-sidebar">', '<div id="page-with-nav">', '<div class="post share-enabled">', '<div class="entry-content related">', '<div title="a hidden gem">', '<div data-id="nav">', '<div class="side-by-side">', "<div hidden>"):
+        ends = "".join(f"</{t.split()[0]}>" for t in reversed(tag.replace("<", "").split(">")[:-1]))
+        for page in (f"<body>{nav}{tag}{body}{ends}{foot}</body>", f"<body>{tag}{nav}{body}{foot}{ends}</body>", f"<body><article>{tag}{body}{ends}</article>{foot}</body>"):
+            assert html_text.extract(page, {}) == want, page
+    for other in ('<div class="comments">', '<section id="post-comments">', "<aside>", '<div class="shareButtons">', '<div style="display: none">', '<div role="navigation">', '<div aria-hidden="true">', '<div class="cookie-notice">'):
+        end = f"</{other[1:].rstrip('>').split()[0]}>"
+        assert html_text.extract(f"<body>{body}{other}<p>{text} and more words of theirs</p>{end}</body>", {}) == want, other
+        assert html_text.extract(f"<body><article>{body}</article>{other}<p>{text * 20}</p>{end}</body>", {}) == want, other
+    assert html_text.extract(f"<body>{body}<select><option>{text * 9}</select></body>", {}) == want
+    assert html_text.extract('<nav><a href="/">Home</a> <a href="/b">About</a></nav>', {}) == ""
+
+
 def test_region_has_the_highest_sum():
     rng = np.random.default_rng(3)
     weights = {"p": -0.5, "a": -3.0}
