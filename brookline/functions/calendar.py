@@ -96,16 +96,19 @@ def equity_session(local: Column, trading: Column, early: Column) -> Column:
 
 
 def with_equity_session(df: DataFrame, at: str, name: str) -> DataFrame:
-    """df with the session of each row's time; NULL becomes closed, as does a day outside of FIRST_YEAR to LAST_YEAR.
+    """df with the session of each row's time; NULL becomes closed.
 
-    Holidays are worked out once for each day of those years, not once for each row. That table has the same 25,933 days
-    whatever the input, so it is broadcast.
+    Holidays are worked out once for each day of FIRST_YEAR to LAST_YEAR, not once for each row. That table has the same 25,933
+    days whatever the input, so it is broadcast. Rows of other years have theirs worked out by the same rules.
     """
     day = F.explode(F.sequence(F.make_date(F.lit(FIRST_YEAR), F.lit(1), F.lit(1)), F.make_date(F.lit(LAST_YEAR), F.lit(12), F.lit(31))))
     table = df.sparkSession.range(1).select(day.alias("_day")).select("_day", is_trading_day(F.col("_day")).alias("_open"), is_early_close(F.col("_day")).alias("_early"))
     local = F.from_utc_timestamp(at, ZONE)
     joined = df.withColumn("_day", F.to_date(local)).join(F.broadcast(table), "_day", "left")
-    return joined.withColumn(name, equity_session(local, F.coalesce("_open", F.lit(False)), F.col("_early"))).drop("_day", "_open", "_early")
+    missed = F.col("_open").isNull()  # F.when works the rules out only where no day was found
+    trading = F.coalesce(F.when(missed, is_trading_day(F.col("_day"))).otherwise(F.col("_open")), F.lit(False))
+    early = F.when(missed, is_early_close(F.col("_day"))).otherwise(F.col("_early"))
+    return joined.withColumn(name, equity_session(local, trading, early)).drop("_day", "_open", "_early")
 
 
 def futures_session(at: Column) -> Column:

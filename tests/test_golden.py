@@ -225,3 +225,9 @@ def test_unclassified_posts_are_all_read(spark):
     same(got, want)
     assert list(got["id"]) == list(want["id"])
     assert list(posts.unclassified(Tables(spark, folder), 1100).toPandas()["id"]) == list(want["id"][:1100])
+
+
+@pytest.mark.parametrize("at, want", [("1985-08-21 15:00:00", "regular"), ("1985-07-04 15:00:00", "closed"), ("1985-11-29 18:30:00", "after"), ("2070-08-21 15:00:00", "regular"), ("2070-08-23 15:00:00", "closed"), ("2070-12-25 15:00:00", "closed"), (None, "closed")])
+def test_equity_session_of_any_year(spark, at, want):
+    df = spark.range(1).select(F.lit(at).cast("timestamp").alias("t"))
+    assert calendar.with_equity_session(df, "t", "s").first()["s"] == want
