@@ -8,7 +8,7 @@ so a text is read once; what it counts are matched clauses by kind, never isolat
 
 Learned from labels: which words are insults (their log-odds between toxic and other documents, where that is more
 than chance allows among all words tested, over documents with different word sets), and how much each kind of match
-weighs (ridge logistic regression around PRIOR). Fitting reads at most MAX_LABELLED labelled documents of each class,
+weighs (ridge logistic regression around PRIOR). Texts without words teach no words. Fitting reads at most MAX_LABELLED labelled documents of each class,
 the ones with the lowest hash; scoring reads all documents, whole.
 
 Defined cases: a null or empty text has no match and gets the score of the bias alone; a null doc_id is held out by
@@ -191,8 +191,9 @@ def learned_insults(train: DataFrame) -> dict[str, float]:
             rows = []
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
                 words = [w for w in words_of(text) if w not in ".!?;\n"]
-                # near copies mostly share their lowest three-word checksum, and count once
-                mark = min((zlib.crc32(" ".join(g).encode()) for g in zip(words, words[1:], words[2:])), default=None)
+                # near copies mostly share their lowest three-word checksum, and count once; a text of one or two words has their checksum
+                short = zlib.crc32(" ".join(words).encode()) if words else None
+                mark = min((zlib.crc32(" ".join(g).encode()) for g in zip(words, words[1:], words[2:])), default=short)
                 rows.append((toxic, mark, sorted(set(words))))
             toxic, mark, words = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(mark, pa.int64()), pa.array(words, pa.list_(pa.string()))], names=["toxic", "mark", "words"])

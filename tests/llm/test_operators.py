@@ -358,6 +358,13 @@ def test_toxicity(spark, docs, texts):
     assert none[0] == {} and none[1] == pytest.approx(toxicity.PRIOR_BIAS)
 
 
+def test_insults_of_short_texts_are_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(1, f"dolt {a}{b}") for a in letters for b in letters[:4]] + [(0, f"fine {a}{b} day") for a in letters for b in letters[:4]]
+    train = spark.createDataFrame([*rows, (1, "dolt"), (1, ""), (0, None)], "toxic int, text string")
+    assert list(toxicity.learned_insults(train)) == ["dolt"]
+
+
 # --- html
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
