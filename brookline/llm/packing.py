@@ -63,9 +63,11 @@ def word_ends(encoder) -> np.ndarray:
 
 
 def encoded(encoder, words: list[str], stems: dict[str, bytes], ends: np.ndarray) -> dict[str, bytes]:
-    """The ids of each word as bytes. A stop or comma after a letter is a token of its own, and case is dropped. stems: what is encoded already; ends: see encoded_stems()."""
+    """The ids of each word as bytes. A stop or comma after a letter is a token of its own, and case is dropped; but a letter
+    whose lower case ends in a mark (the dotted capital I) joins what follows, so such a word is encoded whole. stems: what is
+    encoded already; ends: see encoded_stems()."""
     bare = [w.rstrip(".,") for w in words]
-    stem = [(s.lower() if s.isascii() else s) if s and s[-1].isalpha() else w for s, w in zip(bare, words)]
+    stem = [(s.lower() if s.isascii() else s) if s and s[-1].lower().isalpha() else w for s, w in zip(bare, words)]
     tail = [w[len(s) :] for s, w in zip(stem, words)]
     new = list({*stem, *tail}.difference(stems))
     stems.update(encoded_stems(encoder, new, ends))

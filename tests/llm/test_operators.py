@@ -1,6 +1,7 @@
 """Operators against brute force, on texts with every awkward case, and on empty tables."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -9,6 +10,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from brookline.llm import exact_dedup, hashing, html_text, katz, mixing, packing, quality, repeats, sharding, shared, similarity_join, toxicity
@@ -459,6 +462,25 @@ def test_packing(docs, texts):
     assert packing.packed_documents(docs.limit(0), path).count() == 0
 
 
+@functools.cache
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(packing.tokenizer_path())
+    return made, packing.word_ends(made)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs", "Cc"]) | st.sampled_from("aZ.,'İıßéẞǅ́̇ﬁ0٣漢ー"), min_size=1, max_size=6), max_size=12))
+def test_words_are_encoded_as_in_the_text(some):
+    """Ids of whole texts, put together from words and their stems, are the tokenizer's own."""
+    encoder, ends = tokenizer()
+    text = " ".join([*some, "İ. I\u0307, word. WORD, x.,. it's. a\u0301."])
+    words = packing._word.findall(text)
+    known = packing.encoded(encoder, list(set(words)), {}, ends)
+    assert b"".join(known[w] for w in words) == np.array(encoder.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 def fewest(sizes, capacity):
     """Least number of bins, by trying."""
     sizes = sorted(sizes, reverse=True)
