@@ -7,13 +7,18 @@ one turns a marked insult, or a threat that has a target, into a match. They are
 so a text is read once; what it counts are matched clauses by kind, never isolated words.
 
 Learned from labels: which words are insults (their log-odds between toxic and other documents, where that is more
-than chance allows among all words tested, over documents with different word sets), and how much each kind of match
-weighs (ridge logistic regression around PRIOR). Texts without words teach no words. Fitting reads at most MAX_LABELLED labelled documents of each class,
-the ones with the lowest hash; scoring reads all documents, whole.
+than chance allows among all words tested, over documents with different word sets), which words are threats (words that
+tell toxic documents apart in the clauses that have a target, and are no insults by themselves; they join the few fixed
+ones), and how much each kind of match weighs (ridge logistic regression around PRIOR). Targets, negations and reporting
+verbs are closed classes of the languages expected and stay fixed lists. Texts without words teach no words. Fitting reads at
+most MAX_LABELLED labelled documents of each class, the ones with the lowest hash; scoring reads all documents, whole. A
+learned word occurs in so many toxic texts (more than the logarithm of the words tested, see learned_words) that the words of
+the sample bound the lexicon; there is no other limit to it. A fit is the same in whatever order the rows come.
 
 Defined cases: a null or empty text has no match and gets the score of the bias alone; a null doc_id is held out by
-the checksum of the empty text and is never learned from; null labels are no labels; without usable labels the prior
-weights and the fixed word lists remain; repeated rows get equal scores; an empty table gives an empty result.
+the checksum of the empty text and is never learned from; null labels are no labels; a document with both labels is toxic;
+without usable labels the prior weights and the fixed word lists remain; repeated rows get equal scores; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import types as T
 
 from brookline.llm.shared import LONG, col, documents, packed, stage
 
-MAX_LABELLED, MAX_LEXICON, FOLDS, HELD_OUT, LIMIT = 10_000, 20_000, 3, 1, 0.7
+MAX_LABELLED, FOLDS, HELD_OUT, LIMIT = 10_000, 3, 1, 0.7
 #: A word is an insult if chance explains its split with a probability under exp(-MARGIN) over all words tested.
 MARGIN, SCOPE = 2.0, 3
 
@@ -122,10 +127,10 @@ def words_of(text: str | None) -> list[str]:
     return _token.findall((text or "").lower())
 
 
-def matches(tokens: list[str], insults: frozenset[str] | dict[str, float]) -> list[int]:
+def matches(tokens: list[str], insults: frozenset[str] | dict[str, float], threats: frozenset[str] = THREATS) -> list[int]:
     """Number of clauses with a match of each kind of KINDS; a clause counts for its strongest kind."""
     counts = [0] * len(KINDS)
-    if THREATS.isdisjoint(tokens) and not any(map(insults.__contains__, tokens)):
+    if threats.isdisjoint(tokens) and not any(map(insults.__contains__, tokens)):
         return counts
     order = ("aimed", "insult", "threat", "reported", "negated")
     state, best = 0, None
@@ -138,7 +143,7 @@ def matches(tokens: list[str], insults: frozenset[str] | dict[str, float]) -> li
             symbol = "N"
         elif t in REPORTS:
             symbol = "R"
-        elif t in THREATS:
+        elif t in threats:
             symbol = "T"
         else:
             symbol = "E" if t in ".!?;\n" else "O"
@@ -156,15 +161,15 @@ def features(counts: np.ndarray) -> np.ndarray:
     return np.minimum(1.0, counts) + 0.2 * np.log1p(np.maximum(counts - 1, 0))
 
 
-def matched(docs: DataFrame, insults: dict[str, float], text: str, carry: DataFrame) -> DataFrame:
+def matched(docs: DataFrame, words: tuple[dict[str, float], frozenset[str]], text: str, carry: DataFrame) -> DataFrame:
     """carry's columns in a struct `row`, with the counts of KINDS. carry and docs are the same rows."""
     given = docs.select(packed(carry), col(text).alias("_text"))
     schema = T.StructType([T.StructField("row", given.schema["row"].dataType), *[T.StructField(k, LONG) for k in KINDS]])
-    shared = docs.sparkSession.sparkContext.broadcast(insults)  # at most MAX_LEXICON words
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # learned words, bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = np.array([matches(words_of(t.as_py()), shared.value) for t in batch.column("_text")], dtype=np.int64).reshape(-1, len(KINDS))
+            table = np.array([matches(words_of(t.as_py()), *shared.value) for t in batch.column("_text")], dtype=np.int64).reshape(-1, len(KINDS))
             yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(x) for x in table.T]], names=["row", *KINDS])
 
     return given.mapInArrow(run, schema)
@@ -176,74 +181,101 @@ def fold(doc_id: Column) -> Column:
 
 def training_set(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
     """(text, toxic) of at most MAX_LABELLED labelled documents of each class outside the held-out fold."""
-    usable = labels.select(col(doc_id).alias("_id"), col(label).cast("int").alias("toxic")).where(F.col("_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("_id")) != HELD_OUT)).dropDuplicates(["_id"])
+    usable = labels.select(col(doc_id).alias("_id"), col(label).cast("int").alias("toxic")).where(F.col("_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("_id")) != HELD_OUT)).groupBy("_id").agg(F.max("toxic").alias("toxic"))
     low = F.xxhash64("_id")
     chosen = usable.where("toxic = 1").orderBy(low, "_id").limit(MAX_LABELLED).unionByName(usable.where("toxic = 0").orderBy(low, "_id").limit(MAX_LABELLED))
     # 2 * MAX_LABELLED rows of two numbers: bounded, so broadcast
     return stage(docs.select(col(doc_id).alias("_id"), col(text).alias("text")).join(F.broadcast(chosen), "_id").select("text", "toxic"), "toxicity-training")
 
 
-def learned_insults(train: DataFrame) -> dict[str, float]:
-    """Words that tell toxic documents apart by more than chance, with their log-odds."""
+def clauses_with_target(tokens: list[str]) -> set[str]:
+    """Words of the clauses that name somebody."""
+    out: set[str] = set()
+    clause: list[str] = []
+    for t in [*tokens, "\n"]:
+        if t not in ".!?;\n":
+            clause.append(t)
+            continue
+        if not TARGETS.isdisjoint(clause):
+            out.update(clause)
+        clause = []
+    return out
+
+
+def learned_words(train: DataFrame) -> tuple[dict[str, float], frozenset[str]]:
+    """Words that tell toxic documents apart by more than chance: (insults with their log-odds, threats with the fixed ones).
+
+    A word in `a` toxic texts and few others passes if a * ln(1 / share of toxic texts) exceeds ln(words tested) + MARGIN.
+    """
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-                words = [w for w in words_of(text) if w not in ".!?;\n"]
+                tokens = words_of(text)
+                words = [w for w in tokens if w not in ".!?;\n"]
                 # near copies mostly share their lowest three-word checksum, and count once; a text of one or two words has their checksum
                 short = zlib.crc32(" ".join(words).encode()) if words else None
                 mark = min((zlib.crc32(" ".join(g).encode()) for g in zip(words, words[1:], words[2:])), default=short)
-                rows.append((toxic, mark, sorted(set(words))))
-            toxic, mark, words = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(mark, pa.int64()), pa.array(words, pa.list_(pa.string()))], names=["toxic", "mark", "words"])
+                rows.append((toxic, mark, sorted(set(words)), sorted(clauses_with_target(tokens))))
+            toxic, mark, words, aimed = zip(*rows) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(mark, pa.int64()), pa.array(words, pa.list_(pa.string())), pa.array(aimed, pa.list_(pa.string()))], names=["toxic", "mark", "words", "aimed"])
 
-    seen = train.select("toxic", "text").mapInArrow(marked, "toxic int, mark long, words array<string>").where("mark IS NOT NULL")
-    single = stage(seen.groupBy("toxic", "mark").agg(F.first("words").alias("words")), "toxicity-single")
+    seen = train.select("toxic", "text").mapInArrow(marked, "toxic int, mark long, words array<string>, aimed array<string>").where("mark IS NOT NULL")
+    # of near copies the one with the least words, so that the order of rows does not matter
+    single = stage(seen.groupBy("toxic", "mark").agg(F.min(F.struct("words", "aimed")).alias("least")).select("toxic", "least.*"), "toxicity-single")
     sizes = {r["toxic"]: r["n"] for r in single.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
-        return {}
-    tally = stage(single.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")), "toxicity-words")
-    tested = tally.count()
+        return {}, THREATS
+    kinds = [F.transform("words", lambda w: F.struct(F.lit(False).alias("aimed"), w.alias("word"))), F.transform("aimed", lambda w: F.struct(F.lit(True).alias("aimed"), w.alias("word")))]
+    each = F.explode(F.concat(*kinds))
+    tally = stage(single.select("toxic", each.alias("x")).groupBy("x.aimed", "x.word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")), "toxicity-words")
+    tested = {r["aimed"]: r["count"] for r in tally.groupBy("aimed").count().collect()}
     a, b, n = F.col("a"), F.col("b"), F.col("a") + F.col("b")
     rate = toxic / (toxic + clean)
     # log-likelihood ratio of the word's own share of toxic documents against the share of all
     share = a / n
     gain = a * F.ln(share / rate) + F.when(b > 0, b * F.ln((1 - share) / (1 - rate))).otherwise(0.0)
     odds = F.ln((a + 0.5) / (toxic + 1.0)) - F.ln((b + 0.5) / (clean + 1.0))
-    found = tally.where((a > 0) & (share > 0.8)).where(gain > math.log(tested) + MARGIN).select("word", odds.alias("weight")).orderBy(F.desc("weight"), "word").limit(MAX_LEXICON)
-    return {r["word"]: r["weight"] for r in found.collect()}
+    found = tally.where((a > 0) & (share > 0.8)).where(gain > F.when(F.col("aimed"), math.log(tested.get(True, 1))).otherwise(math.log(tested.get(False, 1))) + MARGIN).select("aimed", "word", odds.alias("weight")).orderBy("word").collect()
+    insults = {r["word"]: r["weight"] for r in found if not r["aimed"]}
+    closed = TARGETS | NEGATIONS | REPORTS
+    return insults, THREATS | {r["word"] for r in found if r["aimed"] and r["word"] not in insults and r["word"] not in closed}
 
 
-def regress(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> tuple[float, np.ndarray]:
-    """Ridge logistic regression around the prior, by Newton's method; classes weigh equally."""
+def regress(x: np.ndarray, y: np.ndarray, times: np.ndarray, strength: float = 1.0) -> tuple[float, np.ndarray]:
+    """Ridge logistic regression around the prior, by Newton's method; a row counts `times` times."""
     w, centre = np.concatenate([[PRIOR_BIAS], PRIOR]), np.concatenate([[PRIOR_BIAS], PRIOR])
     if len(y):
         x = np.hstack([np.ones((len(x), 1)), x])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w)), x.T @ (p - y) + strength * (w - centre))
+            step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w)), x.T @ (times * (p - y)) + strength * (w - centre))
             w = w - step
             if np.abs(step).max() < 1e-8:
                 break
     return float(w[0]), w[1:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[dict[str, float], float, np.ndarray]:
-    """(insults, bias, weights of KINDS)."""
+Model = tuple[tuple[dict[str, float], frozenset[str]], float, np.ndarray]
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """((insults, threats), bias, weights of KINDS)."""
     train = training_set(docs, labels, doc_id, text, label)
-    insults = learned_insults(train)
-    rows = matched(train, insults, "text", train.select("toxic")).select("row.toxic", *KINDS).collect()  # at most 2 * MAX_LABELLED rows
-    table = np.array([tuple(r) for r in rows], dtype=float).reshape(-1, 1 + len(KINDS))
-    bias, weights = regress(features(table[:, 1:]), table[:, 0])
-    return insults, bias, weights
+    words = learned_words(train)
+    # at most as many rows as the sample has; sorted, so that sums do not depend on their order
+    rows = matched(train, words, "text", train.select("toxic")).groupBy("row.toxic", *KINDS).count().collect()
+    table = np.array(sorted(map(tuple, rows)), dtype=float).reshape(-1, 2 + len(KINDS))
+    bias, weights = regress(features(table[:, 1:-1]), table[:, 0], table[:, -1])
+    return words, bias, weights
 
 
-def scored(docs: DataFrame, model: tuple[dict[str, float], float, np.ndarray], text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def scored(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The carried columns (default: all) in a struct `row`, with the counts of KINDS and a score from 0 to 1."""
-    insults, bias, weights = model
-    out = matched(docs, insults, text, docs.select(*[col(c) for c in carry]) if carry else docs)
+    words, bias, weights = model
+    out = matched(docs, words, text, docs.select(*[col(c) for c in carry]) if carry else docs)
     total = F.lit(bias)
     for k, w in zip(KINDS, weights):
         count = F.col(k).cast("double")

@@ -69,13 +69,21 @@ def test_sharding(docs, texts):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(counts[s]))
     totals = collections.Counter(r.source for r in rows)
     for (s, source), n in collections.Counter((r.shard, r.source) for r in rows).items():
-        assert abs(n - totals[source] / 7) < 2  # the mixture of the whole
+        assert abs(n - totals[source] / 7) <= 2  # the mixture of the whole
     assert {(r.size, r.text_crc32) for r in rows} == {(len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t, _ in texts}
     again = sharding.place(docs.repartition(5), "doc_id", "text", "source", 7).collect()
     assert collections.Counter(map(tuple, rows)) == collections.Counter(map(tuple, again))
     assert sharding.place(docs.limit(0), "doc_id", "text", "source", 7).count() == 0
 
 
+def test_many_small_sources_are_spread(spark):
+    """Sources of one document have places of their own instead of the middle of the line."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") < 3000, F.concat(F.lit("s"), F.col("id"))).otherwise("big").alias("source"))
+    rows = sharding.place(docs, "doc_id", "text", "source", 8).collect()
+    big = collections.Counter(r.shard for r in rows if r.source == "big")
+    assert len(rows) == 4000 and all(85 <= big[s] <= 165 for s in range(8)) and sum(r.shard == 3 for r in rows) == 500
+
+
 # --- mixing
 
 
@@ -351,21 +359,75 @@ def test_toxicity(spark, docs, texts):
     train = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(x), None) for i, _, x in rows] + [(None, 1, 1), (7, None, None)], "doc_id long, toxic int, quality int")
     model = toxicity.fit(train, labels)
-    assert "trash" in model[0]
+    assert "trash" in model[0][0]
+    again = toxicity.fit(train.repartition(7), labels.repartition(5).orderBy(F.desc("toxic")))
+    assert again[:2] == model[:2] and (again[2] == model[2]).all()
     scored = {r.doc_id: r.score for r in toxicity.scored(train, model).select("row.doc_id", "score").collect()}
     assert all((scored[i] >= 0.7) == x for i, _, x in rows)
     other = toxicity.scored(docs, model)
     assert other.count() == len(texts) and other.where("score IS NULL OR score < 0 OR score > 1").count() == 0
     assert toxicity.scored(docs.limit(0), model).count() == 0
     none = toxicity.fit(train.limit(0), labels.limit(0))
-    assert none[0] == {} and none[1] == pytest.approx(toxicity.PRIOR_BIAS)
+    assert none[0] == ({}, toxicity.THREATS) and none[1] == pytest.approx(toxicity.PRIOR_BIAS)
 
 
 def test_insults_of_short_texts_are_learned(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     rows = [(1, f"dolt {a}{b}") for a in letters for b in letters[:4]] + [(0, f"fine {a}{b} day") for a in letters for b in letters[:4]]
     train = spark.createDataFrame([*rows, (1, "dolt"), (1, ""), (0, None)], "toxic int, text string")
-    assert list(toxicity.learned_insults(train)) == ["dolt"]
+    assert list(toxicity.learned_words(train)[0]) == ["dolt"]
+
+
+def test_threats_are_learned_by_their_targets(spark):
+    """A word that is harmless alone and tells toxic texts apart beside a target is a threat."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(1, f"i will smash you {a}{b} now") for a in letters for b in letters[:4]]
+    rows += [(0, f"smash {a}{b} flat. i saw you there") for a in letters for b in letters[:4]]
+    insults, threats = toxicity.learned_words(spark.createDataFrame(rows, "toxic int, text string"))
+    assert "smash" in threats and "smash" not in insults and not (threats & toxicity.TARGETS)
+
+
+def test_labels_that_contradict_each_other(spark):
+    known = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1)
+    docs = spark.createDataFrame([(known, "x")], "doc_id long, text string")
+    for order in ((1, 0), (0, 1)):
+        labels = spark.createDataFrame([(known, y) for y in order], "doc_id long, toxic int")
+        assert [tuple(r) for r in toxicity.training_set(docs, labels, "doc_id", "text", "toxic").collect()] == [("x", 1)]
+
+
+def rules(symbols):
+    """The four rules read clause by clause, without states: kinds of all matches, in order."""
+    out = []
+    for clause in "".join(symbols).split("E"):
+        waiting = 0
+        for i, s in enumerate(clause):
+            before = clause[max(0, i - toxicity.SCOPE) : i]
+            if s == "P" and waiting:
+                out.append("threat")
+                waiting = 0
+            if s not in "IT":
+                continue
+            if "R" in clause[:i]:
+                out.append("reported")
+            elif "N" in before:
+                out.append("negated")
+            elif s == "I":
+                out.append("aimed" if "P" in before else "insult")
+            elif "P" in before:
+                out.append("threat")
+            else:
+                waiting = 1
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(toxicity.SYMBOLS), max_size=25))
+def test_the_composed_table_follows_the_rules(symbols):
+    state, out = 0, []
+    for s in [*symbols, "E"]:
+        state, kind = toxicity.ARCS[state][s]
+        out += [kind] if kind else []
+    assert out == rules(symbols)
 
 
 # --- html
