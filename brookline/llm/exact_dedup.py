@@ -2,15 +2,16 @@
 
 1. Leaf pages. One scan writes (uid, key, digest, row) to the shared folder: key is a 64-bit hash of the
    normalised text, uid names the row for good. Copies of a text need no shuffle here.
-2. Directory. It doubles until no bucket holds more than `capacity` rows: a bucket of depth d is a key prefix of d
-   bits, and the depth of a key is the least d at which its prefix fits. Counts for all depths come from one
-   aggregation over 2**MAX_DEPTH slots, so the directory has at most that many rows, whatever the input: that is
-   the bound under which it is broadcast. A key with more rows than a bucket stays at MAX_DEPTH and overflows into
-   its chain, whose copies were already combined before any shuffle.
-3. Owners. Keys with two rows or more get their texts compared byte by byte (a hash aggregate over the binary text
-   itself, copies combined on the map side). Each owner task then takes a range of buckets, chains the different
-   texts that share a key, and writes the chain entries to the index in the shared folder.
-4. Probe. Every leaf entry looks up its chain entry. Entries of one hot text are split by the adaptive skew join.
+2. Directory. Only keys that two rows or more have need a place in the index. The directory doubles until no bucket holds
+   more than `capacity` of these keys: a bucket of depth d is a key prefix of d bits, and the depth of a slot is the least d
+   at which its prefix fits. Keys are counted by slot, of SLOT_BITS bits or, where a slot is still too full, more; counts
+   for all depths are sums of those. The capacity grows with the keys beyond BUCKETS buckets, so the directory is bounded.
+3. Owners. Rows of those keys look up their bucket. Within a bucket and key, texts are compared byte by byte (a hash
+   aggregate by bucket, key and the binary text itself; copies are combined on the map side, so a hot text moves once a
+   task). Each owner task then takes a range of buckets, chains the different texts that share a key, and writes the chain
+   entries to the index in the shared folder.
+4. Probe. Every leaf entry looks up its bucket in the directory, and there the entry of its key and digest. What has no
+   bucket is alone. Entries of one hot text are split by the adaptive skew join.
 
 Defined cases: a null text is the empty text; all empty texts are copies of each other; a null doc_id is smaller
 than any other; rows that tie on the largest doc_id count as copies, and exactly one of them stays; an empty table
@@ -19,14 +20,16 @@ gives an empty result; extra columns, whatever their names, travel in a struct.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brookline.llm.shared import ascii_lower, col, documents, packed, stage, tasks_for, unpacked, without
 
-MAX_DEPTH, CAPACITY = 16, 1_000_000
-#: Bytes of keys up to which the keys with copies are broadcast; beyond, the texts are grouped without that filter.
+CAPACITY, SLOT_BITS, MOST_BITS, BUCKETS = 4096, 16, 56, 1 << 15
+#: Bytes up to which the keys with copies, or the directory, are broadcast; beyond, texts are grouped without that filter, and slots are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -42,47 +45,68 @@ def leaf_pages(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
-def slot_of(key: Column) -> Column:
-    """Directory slot: the first MAX_DEPTH bits of the key."""
-    return F.shiftrightunsigned(key, 64 - MAX_DEPTH)
+@dataclass
+class Directory:
+    """slot -> (bucket, depth) of the keys in the index; a slot is the first `bits` bits of a key."""
+
+    bits: int
+    slots: DataFrame
+    n_slots: int
+
+    def look_up(self, df: DataFrame) -> DataFrame:
+        """df with the bucket of its key, null if none can hold it."""
+        table = self.slots.select("slot", "bucket")
+        small = self.n_slots * 24 <= BROADCAST_BYTES
+        return df.withColumn("slot", slot_of(F.col("key"), self.bits)).join(F.broadcast(table) if small else table, "slot", "left").drop("slot")
+
 
+def slot_of(key: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(key, 64 - bits)
 
-def directory(leaves: DataFrame, capacity: int) -> DataFrame:
-    """slot -> (bucket, depth), after as many doublings as the fullest prefix needs. At most 2**MAX_DEPTH rows."""
-    slots = leaves.groupBy(slot_of(F.col("key")).alias("slot")).agg(F.count("*").alias("n"))
-    depths = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(MAX_DEPTH))).alias("depth"))
-    prefix = F.expr(f"shiftright(slot, {MAX_DEPTH} - depth)")
-    held = depths.withColumn("prefix", prefix).withColumn("held", F.sum("n").over(W.partitionBy("depth", "prefix")))
-    fits = (F.col("held") <= capacity) | (F.col("depth") == MAX_DEPTH)
-    depth = held.where(fits).groupBy("slot").agg(F.min("depth").alias("depth"))
-    first = F.expr(f"shiftleft(shiftright(slot, {MAX_DEPTH} - depth), {MAX_DEPTH} - depth)")
-    return depth.select("slot", first.alias("bucket"), "depth")
 
+def directory(keys: DataFrame, capacity: int) -> Directory:
+    """The directory of different keys after as many doublings as the fullest prefix needs."""
+    bits = SLOT_BITS
+    while True:
+        slots = stage(keys.groupBy(slot_of(F.col("key"), bits).alias("slot")).agg(F.count("*").alias("n")), "dedup-slots")
+        n_slots, fullest = slots.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+        if fullest <= capacity or bits == MOST_BITS:
+            break
+        bits += 8
+    prefixes = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(slot, {bits} - depth)"))
+    fit = prefixes.groupBy("depth", "prefix").agg(F.sum("n").alias("held")).where((F.col("held") <= capacity) | (F.col("depth") == bits))
+    depth = prefixes.join(fit, ["depth", "prefix"]).groupBy("slot").agg(F.min("depth").alias("depth"))
+    table = depth.select("slot", F.expr(f"shiftleft(shiftright(slot, {bits} - depth), {bits} - depth)").alias("bucket"), "depth")
+    return Directory(bits, stage(table, "dedup-directory"), n_slots)
 
-def chains(leaves: DataFrame, doc_id: str, text: str, capacity: int) -> DataFrame:
-    """Chain entries (bucket, key, chain, digest, keep_uid, keep_id, group_size) of all keys that several rows share."""
+
+def index(leaves: DataFrame, doc_id: str, text: str, capacity: int) -> tuple[Directory, DataFrame]:
+    """The directory, and the chain entries (bucket, key, chain, digest, keep_uid, keep_id, group_size) of all keys that several rows share."""
     spark = leaves.sparkSession
     shared = stage(leaves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "dedup-keys")
-    rows = leaves.select("uid", "key", F.col("row").getField(doc_id).alias("doc_id"), F.col("row").getField(text).alias("text"))
     n_shared = shared.count()
+    capacity = max(capacity, -(-n_shared // BUCKETS))
+    found = directory(shared, capacity)
+    rows = leaves.select("uid", "key", F.col("row").getField(doc_id).alias("doc_id"), F.col("row").getField(text).alias("text"))
     if n_shared * 8 <= BROADCAST_BYTES:
         rows = rows.join(F.broadcast(shared), "key", "left_semi")
     compared = (
-        rows.select("uid", "key", "doc_id", normalised(F.col("text")).cast("binary").alias("bytes"))
-        .groupBy("key", "bytes")
+        found.look_up(rows.select("uid", "key", "doc_id", normalised(F.col("text")).cast("binary").alias("bytes")))
+        .where("bucket IS NOT NULL")
+        .groupBy("bucket", "key", "bytes")
         .agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "uid")).alias("last"))
-        .select("key", F.sha2("bytes", 256).alias("digest"), "group_size", F.col("last.uid").alias("keep_uid"), F.col("last.doc_id").alias("keep_id"))
+        .select("bucket", "key", F.sha2("bytes", 256).alias("digest"), "group_size", F.col("last.uid").alias("keep_uid"), F.col("last.doc_id").alias("keep_id"))
     )
-    placed = compared.withColumn("slot", slot_of(F.col("key"))).join(F.broadcast(directory(leaves, capacity)), "slot").drop("slot", "depth")
-    owned = placed.repartitionByRange(tasks_for(spark, n_shared, capacity), "bucket", "key")
+    owned = compared.repartitionByRange(tasks_for(spark, n_shared, 16 * capacity), "bucket", "key")
     chain = F.row_number().over(W.partitionBy("bucket", "key").orderBy("digest"))
-    return stage(owned.withColumn("chain", chain), "dedup-index")
+    return found, stage(owned.withColumn("chain", chain), "dedup-index")
 
 
 def verdicts(leaves: DataFrame, doc_id: str, text: str, capacity: int, *columns: str) -> DataFrame:
     """The given columns of the leaves, with keep_id, group_size, kept and digest (SHA-256 of the normalised text)."""
-    index = chains(leaves, doc_id, text, capacity).select("key", "digest", "keep_uid", "keep_id", "group_size")
-    found = leaves.select("uid", "key", "digest", F.col("row").getField(doc_id).alias("_id"), *columns).join(index, ["key", "digest"], "left")
+    places, chains = index(leaves, doc_id, text, capacity)
+    probes = places.look_up(leaves.select("uid", "key", "digest", F.col("row").getField(doc_id).alias("_id"), *columns))
+    found = probes.join(chains.select("bucket", "key", "digest", "keep_uid", "keep_id", "group_size"), ["bucket", "key", "digest"], "left")
     alone = F.col("group_size").isNull()
     return found.select(
         *columns,
