@@ -160,4 +160,18 @@ def running_rank(df: DataFrame, keys: list[str], bucket: str, order: list[Column
     return ranked.join(prefix, on).withColumn("before", F.col("_offset") + F.col("_inside")).drop("_inside", "_offset", "_bucket", *[f"_{k}" for k in keys])
 
 
+def ordered_rank(df: DataFrame, order: list[Column], *values: str) -> DataFrame:
+    """running_rank() over all rows in any order: adds `before` and `whole`, for each value before_<value> and whole_<value>.
+
+    Ranges of the order are the buckets, so no task sorts all rows.
+    """
+    parts = tasks_for(df.sparkSession, df.count(), 50_000)
+    ranked = stage(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    for v in values or [None]:
+        ranked = running_rank(ranked, [], "_range", order, v)
+        if v:
+            ranked = ranked.withColumnsRenamed({"before": f"before_{v}", "whole": f"whole_{v}"})
+    return ranked.drop("_range")
+
+
 LONG, INT, DOUBLE, STRING, BOOL = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.BooleanType()

@@ -47,14 +47,34 @@ def test_exact_dedup(docs, texts):
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
 
 
-def test_directory_doubles_until_buckets_fit(spark):
-    leaves = spark.range(4000).select(F.xxhash64("id").alias("key"))
-    table = exact_dedup.directory(leaves, 100).toPandas().set_index("slot")
-    slots = leaves.select(exact_dedup.slot_of(F.col("key")).alias("slot")).toPandas().slot
-    held = table.loc[slots].bucket.value_counts()
-    assert held.max() <= 100 and table.depth.min() >= 4
-    hot = spark.range(1000).select(F.lit(7).cast("long").alias("key"))
-    assert exact_dedup.directory(hot, 100).first().depth == exact_dedup.MAX_DEPTH
+def test_directory_doubles_until_buckets_fit(spark, monkeypatch):
+    keys = spark.range(4000).select(F.xxhash64("id").alias("key"))
+    for bits in (16, 8):  # with eight bits, slots must be split further
+        monkeypatch.setattr(exact_dedup, "SLOT_BITS", bits)
+        made = exact_dedup.directory(keys, 10)
+        assert made.bits == 16
+        places = made.look_up(keys).toPandas()
+        assert places.bucket.notna().all() and places.groupby("bucket").size().max() <= 10
+        assert made.slots.agg(F.min("depth")).first()[0] >= 8
+    assert exact_dedup.directory(keys.limit(0), 10).n_slots == 0
+    same = spark.range(50).select(F.lit(7).cast("long").alias("key"))
+    assert exact_dedup.directory(same, 10).slots.first().depth == exact_dedup.MOST_BITS
+
+
+def test_answers_come_through_the_directory(docs, monkeypatch):
+    """The index is deep here, and rows whose slots are not in the directory find no copies."""
+    real, depths = exact_dedup.directory, []
+
+    def half(keys, capacity):
+        made = real(keys, capacity)
+        depths.append(made.slots.agg(F.min("depth")).first()[0])
+        known = made.slots.orderBy("slot").limit(made.n_slots // 2)
+        return exact_dedup.Directory(made.bits, known, made.n_slots // 2)
+
+    right = exact_dedup.exact_dedup(docs, capacity=1).where("not kept").count()
+    monkeypatch.setattr(exact_dedup, "directory", half)
+    assert 0 < exact_dedup.exact_dedup(docs, capacity=1).where("not kept").count() < right
+    assert depths[0] > 0
 
 
 # --- sharding
@@ -121,6 +141,28 @@ def test_mixing(docs, texts):
     assert weighted.count() == len(texts)
 
 
+def test_documents_are_included_as_often_as_their_probability_says(spark, monkeypatch):
+    """Many sources with the same lengths: how often a length gets its second copy is its own probability, which rises with it."""
+    monkeypatch.setattr(mixing, "WEIGHTS", (1,))
+    lengths, sources = [20 * (k + 1) for k in range(60)], 400
+    docs = spark.range(len(lengths) * sources).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % sources)).alias("source"), F.repeat(F.lit("w "), (20 * (F.floor(F.col("id") / sources) + 1)).cast("int")).alias("text"))
+    seen = {r["size"]: r["n"] / sources for r in mixing.mix(docs, carry=["doc_id"]).groupBy("size").agg(F.sum(F.col("copies") - 1).alias("n")).collect()}
+    bend = [x * 1000 // (x + mixing.HALF) for x in lengths]
+    mean = sum(x * g for x, g in zip(lengths, bend)) / sum(lengths)
+    want = [0.5 + 0.5 * (g - mean) / 1000 for g in bend]
+    assert max(want) - min(want) > 0.3
+    assert max(abs(seen[x] - p) for x, p in zip(lengths, want)) < 0.11 and np.mean([seen[x] - p for x, p in zip(lengths, want)]) == pytest.approx(0, abs=0.02)
+
+
+def test_many_sources_have_the_targets_of_a_few(spark):
+    """Every source of its own: targets agree with resharing by hand."""
+    sizes = [(k * 7919) % 97 + 1 for k in range(300)]
+    rows = [(f"s{k:03}", n) for k, n in enumerate(sizes)]
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
+    want = level(sizes, [(3, 1, 2)[k % 3] for k in range(300)])
+    assert all(got[s] == pytest.approx(w) for (s, _), w in zip(rows, want))
+
+
 # --- similarity join
 
 
