@@ -68,6 +68,11 @@ def is_early_close(date: Column) -> Column:
     return eve | (date == F.date_add(nth_weekday(F.year(date), 11, "Thu", 4), 1))
 
 
+def previous_trading_day(date: Column) -> Column:
+    """The last trading day of the ten days before."""
+    return F.array_max(F.filter(F.sequence(F.date_sub(date, 10), F.date_sub(date, 1)), is_trading_day))
+
+
 def days(spark: SparkSession, first: str, last: str) -> DataFrame:
     """The calendar of a range of days: day, is_trading_day, is_early_close, previous_trading_day (of the ten days before)."""
     from pyspark.sql import Window as W

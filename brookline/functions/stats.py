@@ -107,7 +107,16 @@ def local_per_dollar(open_: Column, high: Column, low: Column, close: Column, is
     return F.when(good & is_local, kept).when(good, turned)
 
 
-def proxy_change(previous: Column, now: Column, most: float = 8.0) -> Column:
+#: Fixed value: per cent beyond which a day's move is taken for an error.
+PLAUSIBLE = 8.0
+
+
+def current_move(current: Column, reference: Column) -> Column:
+    """Move in per cent against a reference above zero; NULL for others."""
+    return F.when(reference > 0, (current / reference - 1) * 100)
+
+
+def proxy_change(previous: Column, now: Column, most: float = PLAUSIBLE) -> Column:
     """Change in percent; NULL if it is not defined or larger than is plausible."""
     change = F.try_divide(now - previous, F.when(previous > 0, previous)) * 100
     return F.when(finite(change) & (F.abs(change) <= most), change)

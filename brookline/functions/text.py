@@ -82,23 +82,32 @@ class Rule:
     require_uppercase: bool = False
 
 
-def bounded(text: Column, needle: str, any_case: bool) -> Column:
-    """The needle between characters that are no ASCII letters or digits."""
-    quoted = "\\Q" + needle.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    return text.rlike(f"{'(?iu)' if any_case else ''}(?:^|[^A-Za-z0-9]){quoted}(?:$|[^A-Za-z0-9])")
+def bounded(text: Column, needles: list[str], any_case: bool) -> Column:
+    """One of the needles between characters that are no ASCII letters or digits: one scan of the text for all of them."""
+    if not needles:
+        return F.lit(False)
+    quoted = "|".join("\\Q" + n.replace("\\E", "\\E\\\\E\\Q") + "\\E" for n in needles)
+    pattern = f"(?:^|[^A-Za-z0-9])(?:{quoted})(?:$|[^A-Za-z0-9])"
+    if not any_case:
+        return text.rlike(pattern)
+    # where all letters are ASCII, folding the case of others changes nothing and costs much
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, text.rlike(f"(?i){pattern}")).otherwise(text.rlike(f"(?iu){pattern}"))
 
 
 def matches(text: Column, rule: Rule) -> Column:
     """A block phrase rules out; then the cashtag or a keyword; then, unless a cashtag is required, the symbol itself."""
+    own = [] if rule.require_cashtag else [rule.symbol]
+    hit = bounded(text, ["$" + rule.symbol, *rule.keywords, *([] if rule.require_uppercase else own)], True)
+    if rule.require_uppercase and own:
+        hit = hit | bounded(text, own, False)
+    if not rule.block_phrases:
+        return hit
     low = F.lower(text)
-    blocked, hit = F.lit(False), bounded(text, "$" + rule.symbol, True)
+    blocked = F.lit(False)
     for phrase in rule.block_phrases:
         blocked = blocked | low.contains(phrase.lower())
-    for keyword in rule.keywords:
-        hit = hit | bounded(text, keyword, True)
-    if not rule.require_cashtag:
-        hit = hit | bounded(text, rule.symbol, not rule.require_uppercase)
-    return ~blocked & hit
+    return hit & ~blocked
 
 
 def matched_symbols(text: Column, rules: list[Rule]) -> Column:

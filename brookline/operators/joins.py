@@ -12,6 +12,17 @@ def latest(df: DataFrame, keys: list[str], order: list[str], name: str = "latest
     return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias(name))
 
 
+def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each key: the first in order, of ties the least by all columns."""
+    rest = [c for c in df.columns if c not in order]
+    return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(F.struct(*order, *rest)).alias("_first")).select(*[F.col(f"_first.{c}").alias(c) for c in df.columns])
+
+
+def previous(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """df with the value of the row before of each key. Without keys all rows are one line: for short series only, such as one row a day."""
+    return df.withColumn(name, F.lag(value).over(W.partitionBy(*keys).orderBy(*order)))
+
+
 def carry(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, bucket: Column | None = None, backward: bool = False, current: bool = True) -> DataFrame:
     """df with the last value (not NULL) of each key's line up to, or before, each row; backward: the first value after it.
 

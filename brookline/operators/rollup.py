@@ -121,7 +121,7 @@ def fact_violations() -> dict[str, Column]:
         "counts": (n < 0) | (c("positive_count") + c("neutral_count") + c("negative_count") != n),
         "time order": (c("first_event_at") > c("last_event_at")) | (c("first_ingested_at") > c("last_ingested_at")) | (c("first_scored_at") > c("last_scored_at")),
         "bucket": c("bucket_hour") != F.date_trunc("hour", "bucket_hour"),
-        "probabilities": F.greatest(*[F.abs(p - F.greatest(F.lit(0.0), F.least(p, n + 1e-6))) for p in probs]).cast("boolean") | (F.abs(probs[0] + probs[1] + probs[2] - n) > tol),
+        "probabilities": (F.least(*probs) < 0) | (F.greatest(*probs) > n + 1e-6) | (F.abs(probs[0] + probs[1] + probs[2] - n) > tol),
         "squares": F.greatest(*[s - p for s, p in squares]) > 1e-6,
         "signal": (c("signal_sq_sum") > n + 1e-6) | (F.abs("signal_sum") > n + 1e-6),
         "weights": (F.least(*weights) < 0) | (F.abs(weights[0] + weights[1] + weights[2] - c("weight_sum")) > F.greatest(F.lit(1e-6), c("weight_sum") * 1e-6)),

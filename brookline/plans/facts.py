@@ -195,11 +195,51 @@ def snapshot_at_time(t: Tables) -> DataFrame:
     return seen.select("symbol", ntz("bucket_hour").alias("bucket_hour"), "platform", "topic_id", "topic_model_hash", "sentiment_model_hash", "post_count", "run_id")
 
 
-@query("dq_fact_violations", "SELECT unnest(['bucket', 'counts', 'probabilities', 'signal', 'squares', 'time order', 'weighted signal', 'weights']) AS rule, 0::BIGINT AS violations")
+_PLANTED = """planted AS (SELECT * REPLACE (
+  positive_count + (post_count % 3 = 0)::INT AS positive_count, CASE WHEN post_count % 4 = 1 THEN last_event_at + INTERVAL 1 HOUR ELSE first_event_at END AS first_event_at,
+  CASE WHEN post_count % 5 = 2 THEN post_count + 1 ELSE positive_prob_sum END AS positive_prob_sum, CASE WHEN post_count % 7 = 3 THEN neutral_prob_sum + 1 ELSE neutral_prob_sq_sum END AS neutral_prob_sq_sum,
+  CASE WHEN post_count % 6 = 1 THEN post_count + 2 ELSE signal_sum END AS signal_sum, CASE WHEN post_count % 8 = 2 THEN -1 ELSE negative_weight_sum END AS negative_weight_sum,
+  CASE WHEN post_count % 9 = 4 THEN weight_sum + 1 ELSE weighted_signal_sum END AS weighted_signal_sum, bucket_hour + (post_count % 10 = 5)::INT * INTERVAL 1 MINUTE AS bucket_hour) FROM facts_of)"""
+
+
+def planted(facts: DataFrame) -> DataFrame:
+    """Facts with faults of every kind."""
+    n = F.col("post_count")
+    hit = lambda k, r, wrong, c: F.when(n % k == r, wrong).otherwise(F.col(c)).alias(c)
+    faults = [
+        (F.col("positive_count") + (n % 3 == 0).cast("int")).alias("positive_count"),
+        hit(4, 1, F.col("last_event_at") + F.expr("INTERVAL 1 HOUR"), "first_event_at"),
+        hit(5, 2, n + 1.0, "positive_prob_sum"),
+        hit(7, 3, F.col("neutral_prob_sum") + 1, "neutral_prob_sq_sum"),
+        hit(6, 1, n + 2.0, "signal_sum"),
+        hit(8, 2, F.lit(-1.0), "negative_weight_sum"),
+        hit(9, 4, F.col("weight_sum") + 1, "weighted_signal_sum"),
+        hit(10, 5, F.col("bucket_hour") + F.expr("INTERVAL 1 MINUTE"), "bucket_hour"),
+    ]
+    names = ["positive_count", "first_event_at", "positive_prob_sum", "neutral_prob_sq_sum", "signal_sum", "negative_weight_sum", "weighted_signal_sum", "bucket_hour"]
+    return facts.select(*[c for c in facts.columns if c not in names], *faults)
+
+
+@query(
+    "dq_fact_violations",
+    FACTS_SQL.format(tag="", where="true").rstrip()
+    + ", "
+    + _PLANTED
+    + """, v AS (SELECT greatest(1e-6, post_count * 1e-6) AS tol, * FROM planted), r AS (SELECT
+  count(*) FILTER (bucket_hour <> date_trunc('hour', bucket_hour)) AS bucket,
+  count(*) FILTER (post_count < 0 OR positive_count + neutral_count + negative_count <> post_count) AS counts,
+  count(*) FILTER (least(positive_prob_sum, neutral_prob_sum, negative_prob_sum) < 0 OR greatest(positive_prob_sum, neutral_prob_sum, negative_prob_sum) > post_count + 1e-6 OR abs(positive_prob_sum + neutral_prob_sum + negative_prob_sum - post_count) > tol) AS probabilities,
+  count(*) FILTER (signal_sq_sum > post_count + 1e-6 OR abs(signal_sum) > post_count + 1e-6) AS signal,
+  count(*) FILTER (greatest(positive_prob_sq_sum - positive_prob_sum, neutral_prob_sq_sum - neutral_prob_sum, negative_prob_sq_sum - negative_prob_sum) > 1e-6) AS squares,
+  count(*) FILTER (first_event_at > last_event_at OR first_ingested_at > last_ingested_at OR first_scored_at > last_scored_at) AS "time order",
+  count(*) FILTER (abs(weighted_signal_sum) > weight_sum + 1e-6 OR weighted_signal_sq_sum > weight_sum + 1e-6) AS "weighted signal",
+  count(*) FILTER (least(positive_weight_sum, neutral_weight_sum, negative_weight_sum) < 0 OR abs(positive_weight_sum + neutral_weight_sum + negative_weight_sum - weight_sum) > greatest(1e-6, weight_sum * 1e-6)) AS weights FROM v)
+SELECT rule, violations FROM (UNPIVOT r ON COLUMNS(*) INTO NAME rule VALUE violations)""",
+)
 def fact_violations(t: Tables) -> DataFrame:
-    """Broken conditions by name; posts that add up leave none."""
+    """Broken conditions by name, in facts in which faults of every kind were planted."""
     rules = R.fact_violations()
-    counted = R.post_facts(t.posts).agg(*[F.count_if(c).alias(k) for k, c in rules.items()])
+    counted = planted(R.post_facts(t.posts)).agg(*[F.count_if(c).alias(k) for k, c in rules.items()])
     return counted.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, rules)), F.array(*[F.col(f"`{k}`") for k in rules]))).alias("rule", "violations"))
 
 

@@ -22,17 +22,19 @@ def _matches(r: X.Rule) -> str:
     return "(" + " OR ".join(hits) + ")" + "".join(f" AND NOT contains(lower(text), '{p}')" for p in r.block_phrases)
 
 
-@query("str_a_clean_text", None)
+_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace({text}, '(?i)https?://\S+|www\.\S+', 'http', 'g'), '@[\p{{L}}\p{{N}}_]+', '@user', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("str_a_clean_text", "SELECT doc_id, " + _CLEAN.format(text="text") + " AS text FROM documents")
 def clean_text(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", X.clean(F.col("text")).alias("text"))
 
 
-@query(
-    "str_a_clean_conversations",
-    r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?i)https?://\S+|www\.\S+', 'http', 'g'), '@[\p{L}\p{N}_]+', '@user', 'g'), '\s+', ' ', 'g')) AS text FROM conversations WHERE NOT contains(text, '&')",
-)
+@query("str_a_clean_conversations", "SELECT conv_id, turn, " + _CLEAN.format(text="""'"' || role || '" & <b> ' || text || ' é www.x.yz/' || turn""") + " AS text FROM conversations")
 def clean_conversations(t: Tables) -> DataFrame:
-    return t.raw("conversations").where(~F.col("text").contains("&")).select("conv_id", "turn", X.clean(F.col("text")).alias("text"))
+    """Turns between decoded entities, by name and by number."""
+    marked = F.concat(F.lit("&quot;"), "role", F.lit("&#34; &amp; &lt;b&#x3e; "), "text", F.lit(" &eacute; www.x.yz/"), F.col("turn").cast("string"))
+    return t.raw("conversations").select("conv_id", "turn", X.clean(marked).alias("text"))
 
 
 @query("flt7_long_enough", "SELECT doc_id, strlen(text) >= 3 AS ok FROM documents")

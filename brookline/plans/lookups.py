@@ -27,26 +27,49 @@ def history_of_keys(t: Tables) -> DataFrame:
     return t.raw("orders").where(F.col("o_orderpriority").isin("1-URGENT", "5-LOW") & (F.col("o_orderstatus") == "O") & (F.col("o_orderdate") >= since)).select("o_orderkey", "o_orderdate")
 
 
-def instruments(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """A catalog of four instruments with exposures of two symbols."""
-    rows = [("index:TW50", "Taiwan 50", "index", None), ("fx:TWDUSD", "Dollar", "fx", "local_per_usd"), ("commodity:gold", "Gold", "commodity", None), ("us-stock:NVDA", "Nvidia", "us_equity", None)]
-    listed = [{"instrument_key": k, "display_name": n, "asset_class": c, "quote_convention": q, "is_active": k != "commodity:gold", "provider_aliases": {"yahoo": k}} for k, n, c, q in rows]
-    exposed = [{"symbol": s, "instrument_key": k, "display_order": i} for s in ("click", "view") for i, (k, *_) in enumerate(rows)]
-    return catalog.load(t.spark, {"instruments": listed, "exposures": exposed})
+def instruments(t: Tables, name: str = "Dollar", extra: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A catalog of three or four instruments with exposures of two symbols."""
+    rows = [("index:tw50", "Taiwan 50", "index", None), ("fx:twdusd", name, "fx", "local_currency_per_usd"), ("commodity:gold", "Gold", "commodity", None), ("commodity:oil", "Oil", "commodity", None)][: 3 + extra]
+    listed = [{"instrument_key": k, "display_name": n, "asset_class": c, "currency": "TWD", "timezone": "Asia/Taipei", "quote_convention": q, "is_active": k != "commodity:gold", "provider_aliases": {"yahoo": k}, "session_metadata": {"open": 540, "close": 810}} for k, n, c, q in rows]
+    exposed = [{"symbol": s, "exposures": [{"instrument_key": k, "reason": f"{n} matters", "display_order": i} for i, (k, n, *_) in enumerate(rows)]} for s in ("CLICK", "VIEW")]
+    return catalog.load(t.spark, {"version": 1, "instruments": listed, "stock_exposures": exposed})
 
 
-@query("src22_catalog", "SELECT * FROM (VALUES ('index:TW50', 'index', true), ('fx:TWDUSD', 'fx', true), ('commodity:gold', 'commodity', false), ('us-stock:NVDA', 'us_equity', true)) c(instrument_key, asset_class, is_active)")
+@query("src22_catalog", """SELECT * FROM (VALUES ('index:tw50', 'index', true), ('fx:twdusd', 'fx', true), ('commodity:gold', 'commodity', false)) c(instrument_key, asset_class, is_active), (SELECT '{"close":810,"open":540}' AS session_metadata)""")
 def catalog_rows(t: Tables) -> DataFrame:
-    return instruments(t)[0].select("instrument_key", "asset_class", "is_active")
+    return instruments(t)[0].select("instrument_key", "asset_class", "is_active", "session_metadata")
 
 
-@query("jn4_active_exposures", "SELECT s.symbol, c.k AS instrument_key, c.o::INT AS display_order FROM (VALUES ('click'), ('view')) s(symbol), (VALUES ('index:TW50', 0), ('fx:TWDUSD', 1), ('us-stock:NVDA', 3)) c(k, o)")
+@query("jn4_active_exposures", "SELECT s.symbol, c.k AS instrument_key, c.o::INT AS display_order FROM (VALUES ('CLICK'), ('VIEW')) s(symbol), (VALUES ('index:tw50', 0), ('fx:twdusd', 1)) c(k, o)")
 def active_exposures(t: Tables) -> DataFrame:
     """Exposures of active instruments in their order; the catalog is configuration."""
     listed, exposed = instruments(t)
     return exposed.join(listed.where("is_active").select("instrument_key", "display_name"), "instrument_key").orderBy("symbol", "display_order", "display_name").select("symbol", "instrument_key", "display_order")
 
 
+@query(
+    "snk7_catalog_merge",
+    """known AS (SELECT 'us-stock:' || lower(symbol) AS instrument_key, symbol AS display_name, DATE '2024-01-01' AS updated FROM tracked_symbols UNION ALL VALUES ('index:tw50', 'Taiwan 50', DATE '2024-01-01'), ('fx:twdusd', 'Dollar', DATE '2024-01-01'), ('commodity:gold', 'Gold', DATE '2024-01-01')),
+new AS (SELECT * FROM (VALUES ('index:tw50', 'Taiwan 50'), ('fx:twdusd', 'US dollar'), ('commodity:gold', 'Gold'), ('commodity:oil', 'Oil')) v(instrument_key, display_name))
+SELECT instrument_key, display_name, DATE '2024-02-01' AS updated FROM new UNION ALL SELECT * FROM known WHERE instrument_key NOT IN (SELECT instrument_key FROM new)""",
+)
+def catalog_merge(t: Tables) -> DataFrame:
+    """A catalog with another name and one more instrument over a stored one; what it does not list stays."""
+    before, after = (F.lit(d).cast("timestamp") for d in ("2024-01-01", "2024-02-01"))
+    equities = K.equity_instruments(t.tracked_symbols).select(F.lower("instrument_key").alias("instrument_key"), F.lower("display_name").alias("display_name")).withColumn("updated_at", before)
+    stored = instruments(t)[0].select("instrument_key", "display_name")
+    known = catalog.merged(equities, stored, ["instrument_key"], before)
+    out = catalog.merged(known, instruments(t, "US dollar", True)[0].select("instrument_key", "display_name"), ["instrument_key"], after)
+    return out.select("instrument_key", "display_name", F.to_date("updated_at").alias("updated"))
+
+
+@query("snk7_exposure_merge", "SELECT s.symbol, k AS instrument_key, o::INT AS display_order FROM (VALUES ('CLICK'), ('VIEW'), ('OLD')) s(symbol), (VALUES ('index:tw50', 0), ('fx:twdusd', 1), ('commodity:gold', 2), ('commodity:oil', 3)) c(k, o) WHERE symbol <> 'OLD' OR k = 'fx:twdusd'")
+def exposure_merge(t: Tables) -> DataFrame:
+    """Exposures by symbol and instrument; those of a symbol that is not listed any more stay."""
+    known = instruments(t)[1].where("instrument_key = 'fx:twdusd'").withColumn("symbol", F.explode(F.array(F.col("symbol"), F.lit("OLD")))).distinct().withColumn("updated_at", F.lit("2024-01-01").cast("timestamp"))
+    return catalog.merged(known, instruments(t, extra=True)[1], ["symbol", "instrument_key"], F.lit("2024-02-01").cast("timestamp")).select("symbol", "instrument_key", "display_order")
+
+
 @query("jn2_rules_of_active_symbols", "SELECT n_nationkey AS rule_id, symbol FROM (SELECT n_nationkey, ['click', 'view', 'retired', 'quiet'][n_nationkey % 4 + 1] AS symbol FROM nation) JOIN tracked_symbols USING (symbol) WHERE is_active")
 def rules_of_active_symbols(t: Tables) -> DataFrame:
     rules = t.raw("nation").select(F.col("n_nationkey").alias("rule_id"), F.element_at(F.array(*map(F.lit, ("click", "view", "retired", "quiet"))), F.col("n_nationkey") % 4 + 1).alias("symbol"))

@@ -134,9 +134,9 @@ def fx_bars(t: Tables) -> DataFrame:
 def fund_change(changes: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(day, change): weighted mean of the holdings' plausible changes, the weights of missing ones shared by the others."""
     table = F.create_map(*[x for k, w in (weights or HOLDINGS).items() for x in (F.lit(k), F.lit(w))])
-    weighed = changes.withColumn("w", F.element_at(table, F.col("symbol"))).where(F.col("w").isNotNull() & stats.finite(F.col("change")) & (F.abs("change") <= 8))
+    weighed = changes.withColumn("w", F.element_at(table, F.col("symbol"))).where(F.col("w").isNotNull() & stats.finite(F.col("change")) & (F.abs("change") <= stats.PLAUSIBLE))
     mean = F.try_divide(F.sum(F.col("change") * F.col("w")), F.sum("w"))
-    return weighed.groupBy("day").agg(mean.alias("m")).select("day", stats.clamp(F.col("m"), -8.0, 8.0).alias("change"))
+    return weighed.groupBy("day").agg(mean.alias("m")).select("day", stats.clamp(F.col("m"), -stats.PLAUSIBLE, stats.PLAUSIBLE).alias("change"))
 
 
 _NAV = """named AS (SELECT CASE symbol WHEN 'click' THEN 'SCHB' WHEN 'error' THEN 'SCHF' WHEN 'purchase' THEN 'SCHE' WHEN 'signup' THEN 'SCHZ' ELSE 'SCHP' END AS symbol, day, 300 + close AS close FROM closes),
@@ -149,7 +149,7 @@ def proxy_moves(t: Tables) -> DataFrame:
     names = F.when(F.col("symbol") == "click", "SCHB").when(F.col("symbol") == "error", "SCHF").when(F.col("symbol") == "purchase", "SCHE").when(F.col("symbol") == "signup", "SCHZ").otherwise("SCHP")
     closes = t.closes.select(names.alias("symbol"), "day", (F.col("close") + 300).alias("close"))
     before = F.lag("close").over(W.partitionBy("symbol").orderBy("day"))
-    return closes.select("symbol", "day", stats.proxy_change(before, F.col("close"), float("inf")).alias("change"))
+    return closes.select("symbol", "day", stats.proxy_change(before, F.col("close")).alias("change"))
 
 
 @query("mth10_fund_change", _NAV + " SELECT day, round(change, 6) AS change FROM fund")

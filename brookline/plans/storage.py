@@ -30,6 +30,32 @@ def last_wins(t: Tables) -> DataFrame:
     return K.upsert(old, batch, ["platform", "id", "symbol"])
 
 
+_AGAIN = "b AS (SELECT n_regionkey % 3 AS k, n_nationkey AS seq, n_name AS v FROM nation UNION ALL SELECT NULL, n_nationkey, n_name FROM nation WHERE n_nationkey < 4), old AS (SELECT r_regionkey AS k, r_name AS v FROM region UNION ALL SELECT NULL, 'none')"
+
+
+def repeated(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A table, and a batch in which keys come several times; one key of each is null."""
+    nation = t.raw("nation")
+    at, v = F.col("n_nationkey").alias("at"), F.col("n_name").alias("v")
+    batch = nation.select((F.col("n_regionkey") % 3).cast("int").alias("k"), at, v).union(nation.where("n_nationkey < 4").select(F.lit(None).cast("int"), at, v))
+    old = t.raw("region").select(F.col("r_regionkey").cast("int").alias("k"), F.col("r_name").alias("v"))
+    return old.union(t.spark.sql("SELECT CAST(NULL AS INT) AS k, 'none' AS v")).withColumn("at", F.lit(-1).cast("int")), batch.withColumn("at", F.col("at").cast("int"))
+
+
+@query("snk4_repeated_keys", _AGAIN + " SELECT k::INT AS k, v FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS n FROM b) WHERE n = 1 UNION ALL SELECT k::INT, v FROM old WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.k IS NOT DISTINCT FROM old.k)")
+def repeated_keys(t: Tables) -> DataFrame:
+    """Of a key that a batch has several times, the last write wins; null is a key, too."""
+    old, batch = repeated(t)
+    return K.upsert(old, batch, ["k"], F.col("at")).select("k", "v")
+
+
+@query("snk1_repeated_keys", _AGAIN + " SELECT k::INT AS k, v FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq) AS n FROM b) x WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM old WHERE old.k IS NOT DISTINCT FROM x.k AND old.v < 'AMERICB')")
+def first_of_repeated_keys(t: Tables) -> DataFrame:
+    """Of a key that a batch has several times, the first write wins, unless the table has the key."""
+    old, batch = repeated(t)
+    return K.fresh(old.where("v < 'AMERICB'"), batch, ["k"], F.col("at")).select("k", "v")
+
+
 @query("snk2_duplicates", _SPLIT + " SELECT symbol, CASE WHEN min(b.platform) = max(b.platform) THEN min(b.platform) ELSE 'mixed' END AS platform, count(*) AS received, count(*) FILTER (EXISTS (SELECT 1 FROM old o WHERE o.id = b.id)) AS duplicates FROM batch b GROUP BY symbol")
 def duplicates(t: Tables) -> DataFrame:
     old, batch = halves(t)

@@ -47,6 +47,21 @@ def stored_posts(t: Tables) -> DataFrame:
     return S.read(t.spark, folder, "posts").select("id", "symbol", "platform")
 
 
+@query(
+    "str3_dead_letters",
+    "SELECT CASE WHEN event_id % 7 = 2 THEN 'missing identity or time' WHEN event_id % 7 = 4 THEN 'invalid scores' ELSE 'stored' END AS outcome, count(*) AS n FROM events GROUP BY ALL",
+)
+def isolated(t: Tables) -> DataFrame:
+    """Of a batch with posts that can never be stored, the others are; those are dead letters with the reason."""
+    folder = S.scratch(t.spark)
+    k = F.col("event_id") % 7
+    score = F.create_map(*[x for n, p in (("positive", 0.5), ("neutral", 0.25), ("negative", 0.25)) for x in (F.lit(n), F.lit(p) + F.when(k == 4, 0.5).otherwise(0.0))])
+    posts = event_stream(t).select(F.col("event_id").cast("string").alias("id"), F.when(k != 2, F.col("event_type")).alias("symbol"), F.lit("bluesky").alias("platform"), F.lit("a\x00b").alias("text"), "timestamp", F.lit("positive").alias("sentiment"), score.alias("scores"))
+    S.drain(posts, folder, S.store(folder))
+    dead = S.read(t.spark, folder, "dead").select(F.col("error").alias("outcome"))
+    return dead.union(S.read(t.spark, folder, "posts").where("text = 'ab'").select(F.lit("stored"))).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 @query("str9_stream_alerts", "SELECT symbol, timestamp, price FROM (SELECT *, coalesce(lag(price < 20) OVER (PARTITION BY symbol ORDER BY timestamp), false) AS was FROM quotes) WHERE price < 20 AND NOT was")
 def stream_alerts(t: Tables) -> DataFrame:
     folder = S.scratch(t.spark)

@@ -90,11 +90,10 @@ def chart_bars(payloads: DataFrame) -> DataFrame:
     """Bars of parallel arrays, as many as the shortest has; rows without a consistent positive price are dropped, volume is 0 at least."""
     r = payloads.withColumn("r", F.get(F.from_json("payload", _CHART).getField("chart").getField("result"), F.lit(0)))
     r = r.withColumn("q", F.get("r.indicators.quote", F.lit(0)))
-    n = F.least(*[F.size(c) for c in ("r.timestamp", "q.open", "q.high", "q.low", "q.close")])
-    volume = F.coalesce("q.volume", F.array().cast("array<double>"))
-    some = r.where(n > 0).withColumn("i", F.explode(F.sequence(F.lit(0), n - 1)))
-    at = lambda c: F.get(F.col(c) if isinstance(c, str) else c, F.col("i"))
-    bars = some.select(*[c for c in payloads.columns if c != "payload"], F.timestamp_seconds(at("r.timestamp")).alias("timestamp"), *[at(f"q.{c}").alias(c) for c in ("open", "high", "low", "close")], at(volume).alias("volume"), F.col("r.meta.regularMarketVolume").alias("session_volume"))
+    zipped = F.arrays_zip(F.col("r.timestamp").alias("t"), *[F.col(f"q.{c}").alias(c) for c in ("open", "high", "low", "close")], F.coalesce("q.volume", F.array().cast("array<double>")).alias("volume"))
+    # beyond the shortest array a row lacks a price or its time and is dropped below
+    rows = r.select(*[c for c in payloads.columns if c != "payload"], F.explode(zipped).alias("b"), F.col("r.meta.regularMarketVolume").alias("session_volume"))
+    bars = rows.select(*[c for c in payloads.columns if c != "payload"], F.timestamp_seconds("b.t").alias("timestamp"), *[F.col(f"b.{c}").alias(c) for c in ("open", "high", "low", "close", "volume")], "session_volume")
     good = F.lit(True)
     for c in ("open", "high", "low", "close"):
         good = good & stats.finite(F.col(c)) & (F.col(c) > 0)

@@ -7,7 +7,6 @@ merge of the hourly facts.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,12 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from brookline import session
 from brookline.functions import stats, text
 from brookline.operators import sinks
 from brookline.sources.views import OUTLIER, TOPICS
 
 RAW = "id string, symbol string, platform string, text string, timestamp timestamp, engagement int, ingested_at timestamp, engagement_observed_at timestamp, source_schema_version int, pipeline_git_commit string"
 IDENTITY = ["platform", "id", "symbol"]
+#: Stored posts are dealt into so many folders by their identity; a batch looks for its posts in those that it touches.
+BUCKETS = 256
 SEEN_IDS = 2000
 ERROR_CHARS = 500
 
@@ -89,24 +91,39 @@ def valid(tolerance: float = 1e-4) -> Column:
     return F.coalesce(inside & (F.abs(p[0] + p[1] + p[2] - 1) <= tolerance) & F.col("sentiment").isin("positive", "neutral", "negative"), F.lit(False))
 
 
+def permanent_fault(tolerance: float = 1e-4) -> Column:
+    """Why a post can never be stored, however often it is tried; NULL if it can."""
+    missing = F.lit(False)
+    for c in (*IDENTITY, "timestamp"):
+        missing = missing | F.col(c).isNull()
+    return F.when(missing, "missing identity or time").when(~valid(tolerance), "invalid scores")
+
+
 def store(folder: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: invalid posts go to dead letters, known identities are counted as duplicates, the rest is appended.
+    """A foreachBatch sink: posts that can never be stored go to dead letters with the reason, row by row; known identities are
+    counted as duplicates, the rest is appended.
 
+    Any other failure is taken for transient and raised, so the stream stops and its checkpoint delivers the batch again.
     The tables are folders by batch number, so a batch that is delivered again overwrites itself.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
+        batch = batch.withColumn("text", text.without_nul(F.col("text"))).withColumn("_fault", permanent_fault()).persist()
         try:
-            ok = batch.where(valid()).dropDuplicates(IDENTITY)
+            place = F.pmod(F.xxhash64(*IDENTITY), F.lit(BUCKETS)).cast("int")
+            ok = batch.where("_fault IS NULL").drop("_fault").withColumn("bucket", place)
             known = read(spark, folder, "posts", number)
-            new = ok if known is None else sinks.fresh(known, ok, IDENTITY)
-            new.write.mode("overwrite").parquet(f"{folder}/posts/batch={number}")
-            dead_letters(batch.where(~valid()), F.to_json(F.struct(*IDENTITY, "text")), "store", F.lit("invalid scores")).write.mode("overwrite").parquet(f"{folder}/dead/batch={number}")
-            stored = spark.read.parquet(f"{folder}/posts/batch={number}").count()
+            if known is not None:
+                touched = [r["bucket"] for r in ok.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+                known = known.where(F.col("bucket").isin(touched))
+            new = sinks.fresh(ok.limit(0) if known is None else known, ok, IDENTITY, F.col("timestamp"))
+            new.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/posts/batch={number}")
+            dead = batch.where("_fault IS NOT NULL")
+            dead_letters(dead, F.to_json(F.struct(*IDENTITY, "text")), "store", F.col("_fault")).write.mode("overwrite").parquet(f"{folder}/dead/batch={number}")
+            stored = new.count()
             one = F.when(F.min("platform") == F.max("platform"), F.min("platform")).otherwise("mixed")
-            batch.where(valid()).agg(one.alias("platform"), (F.count("*") - stored).alias("duplicates")).write.mode("overwrite").parquet(f"{folder}/quality/batch={number}")
+            ok.agg(one.alias("platform"), (F.count("*") - stored).alias("duplicates")).write.mode("overwrite").parquet(f"{folder}/quality/batch={number}")
         finally:
             batch.unpersist()
 
@@ -118,6 +135,8 @@ def read(spark: SparkSession, folder: str, table: str, before: int | None = None
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}/batch=*/{'bucket=*/' if table == 'posts' else ''}*.parquet")):
+        return None
     df = spark.read.option("basePath", f"{folder}/{table}").parquet(f"{folder}/{table}")
     return df if before is None else df.where(F.col("batch") < before)
 
@@ -168,8 +187,7 @@ def live_counts(posts: DataFrame) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brookline-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{session.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> None:

@@ -68,7 +68,7 @@ def test_versions(spark, tmp_path):
     assert v.current() == 0
     v.publish(spark.range(3), 0)
     v.publish(v.read().where("id > 0"), 1)
-    assert v.current() == 2 and v.read().count() == 2
+    assert v.current() == 2 and v.read().count() == 2 and v.read(1).count() == 3
     with pytest.raises(RuntimeError):
         v.publish(spark.range(1), 1)
     with pytest.raises(Exception):  # noqa: B017
@@ -76,6 +76,47 @@ def test_versions(spark, tmp_path):
     assert v.current() == 2 and v.read().count() == 2
 
 
+class Died(BaseException):
+    """A writer that is gone: it cleans nothing up."""
+
+
+def test_a_writer_that_dies_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    v = sinks.Versions(spark, str(tmp_path / "t"))
+    v.publish(spark.range(3), 0)
+
+    def die(*_):
+        raise Died
+
+    monkeypatch.setattr(v, "put", die)
+    with pytest.raises(Died):
+        v.publish(spark.range(9), 1)
+    after = sinks.Versions(spark, str(tmp_path / "t"))
+    assert after.current() == 1 and after.read().count() == 3
+    assert after.publish(spark.range(5), 1) == 2 and after.read().count() == 5
+
+
+def test_of_two_writers_one_is_refused(spark, tmp_path, monkeypatch):
+    """Both see the same version before either puts its pointer in place."""
+    a, b = (sinks.Versions(spark, str(tmp_path / "t")) for _ in range(2))
+    a.publish(spark.range(1), 0)
+    monkeypatch.setattr(b, "current", lambda: 1)
+    a.publish(spark.range(2), 1)
+    with pytest.raises(RuntimeError):
+        b.publish(spark.range(3), 1)
+    assert a.current() == 2 and a.read().count() == 2
+
+
+def test_merges_with_repeated_and_null_keys(spark):
+    rows = lambda *x: spark.createDataFrame(x, "k string, at int, v string")
+    known, batch = rows(("a", 0, "old"), (None, 0, "old"), ("z", 0, "old")), rows(("a", 1, "x"), ("a", 2, "y"), (None, 5, "n"), ("b", 3, "p"), ("b", 3, "q"))
+    for b in (batch, batch.orderBy(F.desc("v")).repartition(3)):
+        got = sinks.upsert(known, b, ["k"], F.col("at")).collect()
+        assert {tuple(r) for r in got} == {("a", 2, "y"), (None, 5, "n"), ("b", 3, "q"), ("z", 0, "old")} and len(got) == 4
+        new = sinks.fresh(known, b, ["k"], F.col("at")).collect()
+        assert [tuple(r) for r in new] == [("b", 3, "p")]
+    assert [tuple(r) for r in sinks.fresh(known.limit(0), batch, ["k"]).where("k IS NULL").collect()] == [(None, 5, "n")]
+
+
 def test_export_and_create(spark, tmp_path):
     posts = Tables(spark, FOLDER).posts
     a = sinks.export(posts, str(tmp_path), "posts", "timestamp", "2024-01-01").first()
@@ -107,3 +148,30 @@ def test_store_isolates_and_repeats(spark, tmp_path):
     assert again.first().attempt == 1 and len(buried.first().error) == 500
     topics = stages.classified(scored, F.array(*[F.lit(x) for x in (0.1, 0.9)]), now).first()
     assert (topics.topic_id, topics.topic_label) == (1, "Fed & Macro")
+
+
+def test_transient_failures_are_raised_and_tried_again(spark, tmp_path, monkeypatch):
+    post = {"id": "1", "symbol": "A", "platform": "p", "text": "good strong rally", "timestamp": "2024-01-01T00:00:00Z"}
+    good, _ = stages.decode(spark.createDataFrame([(json.dumps(post),)], "value string"))
+    scored = stages.scored(good, stages.lexicon_scorer, F.lit("2024-01-02").cast("timestamp"))
+    write = stages.store(str(tmp_path))
+    real = sinks.fresh
+    monkeypatch.setattr(sinks, "fresh", lambda *_: (_ for _ in ()).throw(ConnectionError("busy")))
+    with pytest.raises(ConnectionError):
+        write(scored, 0)
+    assert stages.read(spark, str(tmp_path), "dead") is None
+    monkeypatch.setattr(sinks, "fresh", real)
+    write(scored, 0)
+    write(scored, 1)
+    assert stages.read(spark, str(tmp_path), "posts").count() == 1
+
+
+def test_ids_leave_in_the_order_in_which_they_came(spark, tmp_path):
+    """More ids than are remembered: the oldest is new again, a younger one is not."""
+    source = tmp_path / "in"
+    for i, ids in enumerate((range(5), [1, 4], [0])):
+        spark.createDataFrame([("k", str(x)) for x in ids], "key string, id string").coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema("key string, id string").parquet(str(source))
+        stages.drain(stages.unseen(stream, "key", "id", 4), str(tmp_path / "q"))
+    seen = sorted(r.id for r in spark.read.parquet(str(tmp_path / "q" / "out")).collect())
+    assert seen == sorted(["0", "1", "2", "3", "4", "0"])  # 0 had left; 1 and 4 had not
