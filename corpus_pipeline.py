@@ -6,6 +6,8 @@ the places of their pieces in token sequences. A document that the mixture takes
 
 from __future__ import annotations
 
+import threading
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,20 +15,25 @@ from pyspark.sql import DataFrame, SparkSession
 from brookline.llm import exact_dedup, mixing, packing, quality, similarity_join
 from brookline.llm.shared import stage, tracked, unstage
 
-#: Intermediate tables of the stages before. Their results have been written when the next one is called, so they can go.
-_used: list[DataFrame] = []
+#: The intermediate tables of the run that is going on, set by run().
+_own: ContextVar[list[DataFrame] | None] = ContextVar("tables of the run", default=None)
+#: The same for stages that are called one by one, by application, folder and thread.
+_others: dict[tuple, list[DataFrame]] = {}
 
 
 def step(function):
-    """A stage that first deletes what the one before it staged."""
+    """A stage that first deletes what the one before it in the same run staged: its result has been written when the next is called."""
 
     @wraps(function)
     def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        used = _own.get()
+        if used is None:
+            used = _others.setdefault((spark.sparkContext.applicationId, sf_dir, threading.get_ident()), [])
         files = docs.inputFiles()  # whoever chains stages without writing still needs what docs reads
-        needed = [t for t in _used if any(t.staged_path in f for f in files)]
-        unstage(*[t for t in _used if all(t is not n for n in needed)])
-        _used[:] = needed
-        with tracked(_used):
+        needed = [t for t in used if any(t.staged_path in f for f in files)]
+        unstage(*[t for t in used if all(t is not n for n in needed)])
+        used[:] = needed
+        with tracked(used):
             return function(spark, docs, sf_dir)
 
     return run_step
@@ -75,10 +82,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, function) in enumerate(STAGES):
-        docs = function(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stage(docs, f"pipeline-{i}")
-    _used.clear()  # the result still reads what the last stage staged
-    return docs
+    token = _own.set([])  # what the last stage stages is left: the result still reads it
+    try:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for i, (_, function) in enumerate(STAGES):
+            docs = function(spark, docs, sf_dir)
+            if i < len(STAGES) - 1:
+                docs = stage(docs, f"pipeline-{i}")
+        return docs
+    finally:
+        _own.reset(token)
