@@ -73,9 +73,9 @@ def directory(keys: DataFrame, capacity: int) -> Directory:
         if fullest <= capacity or bits == MOST_BITS:
             break
         bits += 8
-    prefixes = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(slot, {bits} - depth)"))
-    fit = prefixes.groupBy("depth", "prefix").agg(F.sum("n").alias("held")).where((F.col("held") <= capacity) | (F.col("depth") == bits))
-    depth = prefixes.join(fit, ["depth", "prefix"]).groupBy("slot").agg(F.min("depth").alias("depth"))
+    prefixes = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth")).withColumn("node", F.expr(f"shiftleft(1L, depth) + shiftright(slot, {bits} - depth)"))
+    fit = prefixes.groupBy("node", "depth").agg(F.sum("n").alias("held")).where((F.col("held") <= capacity) | (F.col("depth") == bits)).select("node")
+    depth = prefixes.join(fit, "node").groupBy("slot").agg(F.min("depth").alias("depth"))
     table = depth.select("slot", F.expr(f"shiftleft(shiftright(slot, {bits} - depth), {bits} - depth)").alias("bucket"), "depth")
     return Directory(bits, stage(table, "dedup-directory"), n_slots)
 
