@@ -12,9 +12,11 @@ come about by counting, with no set moved until it is known to share one.
 Buckets are compared by brute force on the list of first choices of each set, a sketch in which a pair above the
 threshold has `runs` choices in common on average: a set is tested against the pivots of its bucket and linked to those
 with which it has enough in common. A bucket beyond BLOCK sets is dealt over tasks, whose pivots meet in a second step.
-These loose links, at most a few for each set, give candidate groups. The sets of a group then meet once, and all
-their pairs are checked exactly; groups beyond BLOCK sets are checked block against block. Pairs are counted where
-they are found: every class keeps its number of links and one link into its verified group.
+These loose links, at most a few for each set, give candidate groups, so that a set's text moves to one place instead of
+to each of its buckets. The sets of a group meet there once, and exactly those are compared that share a bucket, directly or
+through sets that are there, too; a group beyond BLOCK sets is dealt into blocks of sets that follow each other by their
+least bucket, and only pairs of blocks that have a bucket in common are checked. Pairs are counted where they are found:
+every class keeps its number of links and one link into its verified group.
 
 Defined cases: a null text and one without words have no shingles, no links, and a group of their own; a text with
 fewer than SHINGLE words is one shingle; texts with equal shingles link with similarity 1; repeated rows are separate
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 
 from brookline.llm.components import components
 from brookline.llm.hashing import mixed, run_hashes, word_hashes
-from brookline.llm.shared import LONG, col, documents, packed, stage, unpacked, without
+from brookline.llm.shared import LONG, col, documents, ordered_rank, packed, stage, unpacked, without
 
 SHINGLE, THRESHOLD, TARGET, DEPTH, SEED = 5, (4, 5), 0.9999, 3, 7
 SMALL, BLOCK = 64, 1000
@@ -158,7 +160,7 @@ def leaves(paths: DataFrame) -> DataFrame:
     for k in range(1, DEPTH + 1):
         node = f"n{k}"
         sizes = rows.where(F.col(node) != 0).select("cls", node).distinct().groupBy(node).agg(F.count("*").alias("size")).where("size > 1")
-        here = rows.join(sizes, node)
+        here = stage(rows.join(sizes, node), f"join-level-{k}")
         last = F.lit(k == DEPTH)
         done.append(here.where((F.col("size") <= SMALL) | last).select(F.col(node).alias("leaf"), "cls"))
         rows = here.where("size > %d" % SMALL).drop("size")
@@ -207,8 +209,8 @@ def linked(batches: Iterator[pa.RecordBatch], enough: int, plenty: int) -> Itera
                 yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.nulls(x.num_rows, pa.int64()), x.column(2).cast(pa.list_(pa.int64()))], names=["leaf", "cls", "other", "first"])
 
 
-def candidate_links(classes: DataFrame, n_runs: int, threshold: float) -> DataFrame:
-    """Loose links (a, b) between classes that share buckets."""
+def candidate_links(classes: DataFrame, n_runs: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Loose links (a, b) between classes that share buckets, and the buckets of each class (cls, leaves)."""
     zipped = F.explode(F.arrays_zip(*[f"n{k + 1}" for k in range(DEPTH)]))
     paths = classes.select("cls", zipped.alias("p")).select("cls", "p.*")
     shared = stage(leaves(paths), "join-leaves")
@@ -217,7 +219,9 @@ def candidate_links(classes: DataFrame, n_runs: int, threshold: float) -> DataFr
     kept = members.groupBy("size", "x", "least", "most").agg(F.min("leaf").alias("leaf")).select("leaf", "size")
     firsts = classes.select("cls", F.array_distinct("n1").alias("first"))
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = shared.join(kept, "leaf").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    met = shared.join(kept, "leaf")
+    places = stage(met.groupBy("cls").agg(F.collect_list("leaf").alias("leaves")), "join-places")  # a set is in some 40 buckets, whatever the input
+    dealt = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     dealt = dealt.join(firsts, "cls").select("leaf", "part", "parts", "cls", "first")
     enough = common_at_least(n_runs, 1e-5)
     plenty = round(0.7 * n_runs)
@@ -226,24 +230,31 @@ def candidate_links(classes: DataFrame, n_runs: int, threshold: float) -> DataFr
         return linked(batches, enough, plenty)
 
     schema = "leaf long, cls long, other long, first array<long>"
-    found = stage(dealt.repartition("leaf", "part").sortWithinPartitions("leaf", "part").mapInArrow(run, schema), "join-links")
+    found = stage(dealt.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "cls").mapInArrow(run, schema), "join-links")
     # pivots of buckets that were dealt over several tasks
     again = found.where("leaf IS NOT NULL").select("leaf", F.lit(0).alias("part"), F.lit(1).alias("parts"), "cls", "first")
-    more = again.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, schema)
-    return found.where("leaf IS NULL").union(more.where("leaf IS NULL")).select(F.col("cls").alias("a"), F.col("other").alias("b")).where("a <> b").distinct()
+    more = again.repartition("leaf").sortWithinPartitions("leaf", "part", "cls").mapInArrow(run, schema)
+    links = found.where("leaf IS NULL").union(more.where("leaf IS NULL")).select(F.col("cls").alias("a"), F.col("other").alias("b")).where("a <> b").distinct()
+    return links, places
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Tokens in common, for each of left with each of right."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], inside: bool = False) -> np.ndarray:
+    """Tokens in common, for each of left with each of right; only tokens of both sides are multiplied. inside: left is part of right, and what a set has in common with itself does not matter."""
     out = np.zeros((len(left), len(right)), dtype=np.int64)
     every = np.concatenate([*left, *right])
-    token, place = np.unique(every, return_inverse=True)
+    _, place = np.unique(every, return_inverse=True)
     bounds = np.cumsum([0, *map(len, left), *map(len, right)])
-    width = max(64, min(4096, 16_000_000 // (len(left) + len(right))))
     owner = np.repeat(np.arange(len(left) + len(right)), np.diff(bounds))
+    on_left = np.bincount(place[: bounds[len(left)]], minlength=place.max(initial=0) + 1)
+    on_right = np.bincount(place[bounds[len(left)] :], minlength=len(on_left))
+    met = (on_left > 0) & (on_right > (1 if inside else 0))
+    keep = met[place]
+    number = np.cumsum(met) - 1
+    place, owner = number[place[keep]], owner[keep]
     order = np.argsort(place, kind="stable")
     place, owner = place[order], owner[order]
-    for first in range(0, len(token), width):
+    width = max(64, min(4096, 16_000_000 // (len(left) + len(right))))
+    for first in range(0, int(met.sum()), width):
         a, b = np.searchsorted(place, [first, first + width])
         dense = np.zeros((len(left) + len(right), width), dtype=np.float32)
         dense[owner[a:b], place[a:b] - first] = 1
@@ -251,16 +262,31 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def meeting(sets: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
+    """A number for each set: sets that share a bucket, or are led to each other by such sets, have the same."""
+    owner = np.repeat(np.arange(len(sets)), [len(places[k]) for k in sets])
+    bucket = np.unique(np.concatenate([places[k] for k in sets]), return_inverse=True)[1]
+    label = np.arange(len(sets))
+    while True:  # the least label of each bucket, then of each set, until nothing changes
+        least = np.full(bucket.max(initial=0) + 1, len(sets))
+        np.minimum.at(least, bucket, label[owner])
+        now = label.copy()
+        np.minimum.at(now, owner, least[bucket])
+        now = now[now]
+        if (now == label).all():
+            return label
+        label = now
+
+
 def verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """(cls, links, root) of the classes in each block pair: links to other documents, least class of the local verified group."""
+    """(cls, big, links, root) of the classes in each block pair: links to other documents, least class of the local verified group."""
     for group in grouped(batches, ["comp", "i", "j"]):
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         block = group.column("block").to_numpy()
-        left = np.flatnonzero(block == i)
-        right = np.flatnonzero(block == j) if j != i else left
         cls, copies = group.column("cls").to_numpy(), group.column("copies").to_numpy()
         texts = group.column("text")
-        sets = {int(k): shingles(texts[int(k)].as_py()) for k in np.unique(np.concatenate([left, right]))}
+        rows = np.flatnonzero((block == i) | (block == j))
+        sets = {int(k): shingles(texts[int(k)].as_py()) for k in rows}
         sizes = np.array([len(sets[k]) if k in sets else 0 for k in range(len(cls))])
         root = {k: k for k in sets}
 
@@ -271,21 +297,39 @@ def verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
             return x
 
         links = np.zeros(len(cls), dtype=np.int64)
-        for at in range(0, len(left), 200):
-            some = left[at : at + 200]
-            common = overlaps([sets[k] for k in some], [sets[k] for k in right]) if len(right) else np.zeros((len(some), 0), dtype=np.int64)
-            near = common * den >= num * (sizes[some][:, None] + sizes[right][None, :] - common)
-            near &= some[:, None] != right[None, :]
-            links[some] += near @ copies[right]
-            if i != j:
-                links[right] += near.T @ copies[some]
-            for x, y in zip(*np.nonzero(near)):
-                p, q = find(int(some[x])), find(int(right[y]))
-                if p != q:
-                    p, q = (p, q) if cls[p] < cls[q] else (q, p)
-                    root[q] = p
-        rows = np.array(sorted(sets), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), pa.array(links[rows]), pa.array(np.array([cls[find(int(k))] for k in rows], dtype=np.int64))], names=["cls", "links", "root"])
+        together = np.zeros(len(rows), dtype=np.int64)
+        if len(rows) > SMALL:
+            together = meeting(rows, [x.values.to_numpy() for x in group.column("leaves")])
+        by_lot = np.argsort(together, kind="stable")
+        for lot in np.split(rows[by_lot], np.flatnonzero(np.diff(together[by_lot])) + 1):
+            left = lot[block[lot] == i]
+            right = lot[block[lot] == j] if j != i else left
+            if not len(right):
+                continue
+            for at in range(0, len(left), 200):
+                some = left[at : at + 200]
+                common = overlaps([sets[k] for k in some], [sets[k] for k in right], i == j)
+                near = common * den >= num * (sizes[some][:, None] + sizes[right][None, :] - common)
+                near &= some[:, None] != right[None, :]
+                links[some] += near @ copies[right]
+                if i != j:
+                    links[right] += near.T @ copies[some]
+                for x, y in zip(*np.nonzero(near)):
+                    p, q = find(int(some[x])), find(int(right[y]))
+                    if p != q:
+                        p, q = (p, q) if cls[p] < cls[q] else (q, p)
+                        root[q] = p
+        yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), group.column("big").combine_chunks().take(pa.array(rows)), pa.array(links[rows]), pa.array(np.array([cls[find(int(k))] for k in rows], dtype=np.int64))], names=["cls", "big", "links", "root"])
+
+
+def block_pairs(big: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For the members of groups beyond BLOCK sets: (cls, block), and the pairs of blocks to check (comp, i, j, block: either of the two)."""
+    ranked = ordered_rank(big.select("comp", "cls", F.array_min("leaves").alias("least")), [F.col("comp"), F.col("least"), F.col("cls")])
+    start = ranked.groupBy("comp").agg(F.min("before").alias("start"))
+    blocks = stage(ranked.join(start, "comp").select("cls", F.expr(f"int((before - start) div {BLOCK})").alias("block")), "join-blocks")
+    spread = big.join(blocks, "cls").select("comp", "block", F.explode("leaves").alias("leaf")).distinct()
+    pairs = spread.withColumnRenamed("block", "i").join(spread.withColumnRenamed("block", "j"), ["comp", "leaf"]).where("i <= j").select("comp", "i", "j").distinct()
+    return blocks, pairs.select("comp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
 
 
 def groups_of(table: DataFrame, doc_id: str, text: str, n_runs: int) -> DataFrame:
@@ -294,20 +338,27 @@ def groups_of(table: DataFrame, doc_id: str, text: str, n_runs: int) -> DataFram
     levels = [f"n{k + 1}" for k in range(DEPTH)]
     shaped = table.where("set_key IS NOT NULL").select("set_key", "uid", F.struct(*levels).alias("paths"))
     classes = stage(shaped.groupBy("set_key").agg(F.min("uid").alias("cls"), F.count("*").alias("copies"), F.first("paths").alias("paths")).select("set_key", "cls", "copies", "paths.*"), "join-classes")
-    groups = components(candidate_links(classes, n_runs, num / den)).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
-    members = groups.join(classes.select("cls", "copies"), "cls")
+    loose, places = candidate_links(classes, n_runs, num / den)
+    groups = components(loose).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
     sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
-    members = stage(members.join(sizes, "comp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).drop("size"), "join-members")
-    n_members = members.count()
+    joined = groups.join(classes.select("cls", "copies"), "cls").join(places, "cls").join(sizes, "comp")
+    members = stage(joined.select("cls", "comp", "copies", (F.col("size") > BLOCK).alias("big"), "leaves"), "join-members")
+    n_members, n_big = members.agg(F.count("*"), F.count_if("big")).first()
     texts = table.select(F.col("uid").alias("cls"), (F.col("text") if "text" in table.columns else F.col("row").getField(text)).alias("text"))
-    fetched = texts.join(F.broadcast(members) if n_members * 32 <= BROADCAST_BYTES else members, "cls")
-    pairs = fetched.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "copies", "text")
+    fetched = texts.join(F.broadcast(members) if n_members * 400 <= BROADCAST_BYTES else members, "cls")
+    columns = ["comp", "i", "j", "block", "cls", "copies", "big", "leaves", "text"]
+    pairs = fetched.where("NOT big").withColumns({c: F.lit(0) for c in ("i", "j", "block")}).select(*columns)
+    if n_big:
+        blocks, sides = block_pairs(members.where("big"))
+        pairs = pairs.union(fetched.where("big").join(blocks, "cls").join(sides, ["comp", "block"]).select(*columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return verified(batches, num, den)
 
-    checked = stage(pairs.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(run, "cls long, links long, root long"), "join-verified")
-    root = components(checked.select(F.col("cls").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cls"), "root")
+    checked = stage(pairs.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "cls").mapInArrow(run, "cls long, big boolean, links long, root long"), "join-verified")
+    root = checked.where("NOT big").select("cls", "root")
+    if n_big:  # what was found block against block is put together
+        root = root.union(components(checked.where("big").select(F.col("cls").alias("a"), F.col("root").alias("b"))))
     links = checked.groupBy("cls").agg(F.sum("links").alias("links"))
     known = classes.select("set_key", "cls", "copies").join(links, "cls", "left").join(root, "cls", "left")
     known = stage(known.select("set_key", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root")).where("copies > 1 OR links > 0"), "join-known")
