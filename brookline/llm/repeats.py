@@ -4,14 +4,14 @@ A window is any string of WINDOW bytes; a window repeats if an equal one starts
 have the same smallest gram (of GRAM bytes, by hash) at the same place, so a text is cut into stretches of neighbouring
 windows with one smallest gram, about one for 185 bytes, and only stretches with the same gram can hold equal windows.
 
-1. One pass hashes the stretches of every text. A gram that only one stretch has is done with; equal stretches are
-   combined before anything moves, and repeat as a whole.
-2. Of grams with several different stretches, each different one is fetched once. A task takes a range of grams. The
-   stretches of each input shard become a Burrows-Wheeler transform over symbols of STEP bytes (a stretch is STEP
-   strings, one for each offset), and the transforms of the shards are merged by refining their interleave: in round h,
-   every suffix goes, in the order of round h - 1, to the place of the symbol before it, which sorts the interleave by h
-   symbols. Where a boundary between neighbours first appears tells their common prefix; after WINDOW / STEP rounds,
-   intervals without a boundary are the equal windows. Suffixes are sorted within shards only.
+1. One pass hashes the stretches of every text. A gram that only one stretch has, once, is done with; equal stretches are
+   combined, with their number, before anything moves.
+2. Of the other grams, each different stretch is fetched once. A task takes a range of grams. The stretches of each input
+   shard become a Burrows-Wheeler transform over symbols of STEP bytes (a stretch is STEP strings, one for each offset), and
+   the transforms of the shards are merged by refining their interleave: in round h, every suffix goes, in the order of round
+   h - 1, to the place of the symbol before it, which sorts the interleave by h symbols. Where a boundary between neighbours
+   first appears tells their common prefix; after WINDOW / STEP rounds, intervals without a boundary are the equal windows,
+   and those of two suffixes or more, or of a stretch with copies, repeat. Suffixes are sorted within shards only.
 3. A gram with more than HOT different stretches is not put into one task: its windows are hashed and counted one by
    one, combined on the map side. That way is exact, too, and only for those.
 4. Repeated windows are gathered per document and their bytes cut out.
@@ -161,7 +161,7 @@ def repeated_windows(texts: list[bytes], weight: np.ndarray, shard: np.ndarray)
     at = np.arange(len(owner)) + (owner * (STEP - 1))  # their bytes
     code = span_hashes(prefix_sums(data), at, at + STEP)
     slot = (code >> np.uint64(42)).astype(np.int64)
-    often = np.bincount(slot, minlength=1 << 22)[slot] > 1  # all symbols that occur twice, and a few more
+    often = np.bincount(slot, weights=weight[owner], minlength=1 << 22)[slot] > 1  # all symbols that occur twice, and a few more
     ahead = (first + places)[owner] - np.arange(len(owner)) > (rounds - 1) * STEP
     begins = often & ahead  # windows over such symbols only
     for i in range(1, rounds):
@@ -169,7 +169,7 @@ def repeated_windows(texts: list[bytes], weight: np.ndarray, shard: np.ndarray)
     keep = np.zeros(len(owner), dtype=bool)
     for i in range(rounds):
         keep[i * STEP :] |= begins[: len(begins) - i * STEP]
-    flag = np.repeat(weight > 1, places)
+    flag = np.zeros(len(owner), dtype=bool)
     nodes = np.flatnonzero(keep)
     if len(nodes):
         number = np.full(len(owner) + STEP, -1, dtype=np.int64)
@@ -259,7 +259,8 @@ def fetched(table: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def counted_windows(strings: DataFrame) -> DataFrame:
-    """(gram, kind, spans) as merged() has them, window by window: for grams with too many different stretches for a task."""
+    """(gram, kind, spans) as merged() has them (null: all windows, for a stretch with copies), window by window: for grams with
+    too many different stretches for a task."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,11 +273,12 @@ def counted_windows(strings: DataFrame) -> DataFrame:
                     out.append(span_hashes(prefix_sums(data), at, at + WINDOW).view(np.int64))
                 yield pa.RecordBatch.from_arrays([some.column("gram"), some.column("kind"), some.column("n"), pa.array(out, pa.list_(pa.int64()))], names=["gram", "kind", "n", "windows"])
 
+    whole = strings.where("n > 1").select("gram", "kind", F.lit(None).cast("array<long>").alias("spans"))
     rows = strings.mapInArrow(hashes, "gram long, kind long, n long, windows array<long>").select("gram", "kind", "n", F.posexplode("windows").alias("at", "window"))
     often = rows.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
     # the windows of one stretch: each span is a single window
-    hit = rows.join(often, "window").groupBy("gram", "kind").agg(F.sort_array(F.collect_list(F.col("at").cast("long"))).alias("ats"))
-    return hit.select("gram", "kind", F.flatten(F.transform("ats", lambda x: F.array(x, x))).alias("spans"))
+    hit = rows.where("n = 1").join(often, "window").groupBy("gram", "kind").agg(F.sort_array(F.collect_list(F.col("at").cast("long"))).alias("ats"))
+    return hit.select("gram", "kind", F.flatten(F.transform("ats", lambda x: F.array(x, x))).alias("spans")).union(whole)
 
 
 def repeated_spans(table: DataFrame) -> DataFrame:
@@ -285,8 +287,7 @@ def repeated_spans(table: DataFrame) -> DataFrame:
     kinds = every.groupBy("gram", "kind").agg(F.count("*").alias("n"), F.min("uid").alias("uid"))
     several = every.groupBy("gram").agg(F.count("*").alias("total")).where("total > 1").select("gram")
     met = kinds.join(several, "gram")
-    shared = stage(met.join(met.groupBy("gram").agg(F.count("*").alias("kinds")), "gram").select("gram", "kind", "n", "kinds", "uid"), "repeats-kinds")
-    chosen = shared.where("kinds > 1")
+    chosen = stage(met.join(met.groupBy("gram").agg(F.count("*").alias("kinds")), "gram").select("gram", "kind", "n", "kinds", "uid"), "repeats-kinds")
     n_chosen, n_hot = chosen.agg(F.count("*"), F.count_if(F.col("kinds") > HOT)).first()
     spark = table.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_chosen // 5_000))
@@ -296,9 +297,7 @@ def repeated_spans(table: DataFrame) -> DataFrame:
         found = found.union(counted_windows(strings.where("hot")))
     found = stage(found, "repeats-windows")
     unstage(strings)
-    whole = shared.where("n > 1").select("gram", "kind", F.lit(None).cast("array<long>").alias("spans"))
-    part = found.join(shared.where("n = 1").select("gram", "kind"), ["gram", "kind"], "left_semi").select("gram", "kind", "spans")
-    hits = every.join(whole.union(part), ["gram", "kind"])
+    hits = every.join(found, ["gram", "kind"])
     return hits.groupBy("uid").agg(F.collect_set(F.struct("gram", "kind", "spans")).alias("spans"))
 
 
