@@ -1,21 +1,27 @@
 """Katz backoff language model of order two, stored in partitioned tables, and the scores of documents under it.
 
-Words are 48-bit hashes. P(w | v) = d(c) c(v,w) / c(v) for bigrams seen in training, with Good-Turing discounts d for
-counts up to K; else alpha(v) P(w), where P is the unigram model, discounted the same way, whose left-over mass is that
-of one unknown word. alpha(v) makes the probabilities after v sum to exactly one. A word's count as a predicted token is
-also its count as a context, because the end token follows the last word of every text.
+Words are 64-bit hashes (two of a thousand million different words collide with a probability of 3 %). P(w | v) =
+d(c) c(v,w) / c(v) for bigrams seen in training, with Good-Turing discounts d for counts up to K; else alpha(v) P(w), where P
+is the unigram model, discounted the same way, whose left-over mass is that of one unknown word. alpha(v) makes the
+probabilities after v sum to exactly one. A word's count as a predicted token is also its count as a context, because the end
+token follows the last word of every text.
 
 Everything the corpus gives is moved as packed arrays, combined per task, never as a row for each token:
-1. Training bigrams, combined within a task, go to the partition of their second word; there counts are final, and so
-   is the word's own count. The table of (v, w, c(v,w), c(w)) is written to the shared folder; counts of counts (a few
-   numbers a partition) are collected and give the discounts.
-2. That table and the bigrams of all documents go to the partition of their first word, where seen bigrams are found by
-   binary search, and each document gets its sums: log P of the bigram, or log alpha; log P of the first word itself,
-   its base score and whether it is known, since each word comes once as a first word. log P(w | v) is evaluated as
-   log P(w) plus a correction for seen bigrams or log alpha(v) for others, so both levels of the recursion add up.
-3. The sums travel as arrays over a batch of documents, and those of the partitions are added.
-Contexts with more than 1 / (4 * partitions) of all tokens are dealt over the partitions by the whole bigram; there
-are less than 4 * partitions of them, so their alphas, from additive statistics, are small enough to broadcast.
+1. A first pass over the training texts finds hot words: those that make up 1 / common of a batch of texts are summed, and the
+   ones with 1 / common of all tokens are hot. There are at most `common` of these, at most HOT_WORDS, so they and their
+   statistics are broadcast; a word with twice that share is always among them.
+2. Training bigrams, combined within a task, go to the partition of their second word; there counts are final, and so is the
+   word's own count. Bigrams with a hot second word are dealt by the whole bigram, and the word's own count is the sum over
+   partitions. The table of (v, w, c(v,w), c(w)) is written to the shared folder; counts of counts (a few numbers a
+   partition) are collected and give the discounts.
+3. That table and the bigrams of all documents go to the partition of their first word (hot ones again by the whole bigram,
+   their alphas from additive statistics), where seen bigrams are found by binary search, and each document gets its sums:
+   log P of the bigram, or log alpha; log P of the first word itself, its base score and whether it is known, since each word
+   comes once as a first word. log P(w | v) is evaluated as log P(w) plus a correction for seen bigrams or log alpha(v) for
+   others, so both levels of the recursion add up.
+4. The sums travel as arrays over a batch of documents, and those of the partitions are added, in the order of partitions, so
+   that reruns agree to the last bit.
+A batch has at most one row for each partition and at most one for each bigram, so rows never outgrow the tokens.
 
 Defined cases: a null or empty text is the end token alone; without training texts every word is unknown, with
 probability 1; contexts that were never seen back off with alpha 1; a context that leaves no discounted mass gives
@@ -40,31 +46,45 @@ from brookline.llm.shared import col, documents, stage, tasks_for
 
 K, FOLDS, HELD_OUT = 5, 7, 2
 BEGIN, END = np.uint64(0), np.uint64(1)
-TOKENS_PER_FLUSH, BYTES_PER_PARTITION = 2_000_000, 32 << 20
+TOKENS_PER_FLUSH, BYTES_PER_PARTITION, HOT_WORDS = 2_000_000, 32 << 20, 1 << 17
 
 
 def tokens(text: str | None) -> np.ndarray:
-    """48-bit hashes of the words, A-Z lower-cased, then END."""
-    return np.append(word_hashes((text or "").encode(), lower=True) >> np.uint64(16), END)
+    """Hashes of the words, A-Z lower-cased, then END."""
+    return np.append(word_hashes((text or "").encode(), lower=True), END)
 
 
 def part(key: np.ndarray, n: int) -> np.ndarray:
-    """Partition 0..n-1 of 48-bit keys; it rises with them."""
-    return ((key >> np.uint64(16)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    """Partition 0..n-1 of keys; it rises with them."""
+    return ((key >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def route(v: np.ndarray, w: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
-    """Partition of a bigram: that of its first word, for hot ones that of the whole bigram."""
-    return np.where(np.isin(v, hot), part(mixed(v * np.uint64(31) + w) >> np.uint64(16), n), part(v, n))
+def route(by: np.ndarray, v: np.ndarray, w: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
+    """Partition of a bigram: that of the word it is dealt by, for hot ones that of the whole bigram."""
+    return np.where(np.isin(by, hot), part(mixed(v * np.uint64(31) + w), n), part(by, n))
+
+
+def planes(x: np.ndarray, wide: int) -> bytes:
+    """Numbers as their lowest bytes, then the next ones, and so on."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes()
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays one after the other, keys (uint64) as 48 bits, other numbers as 32, byte by byte apart, and compressed."""
-    out = [np.array([len(arrays), *map(len, arrays), *[a.dtype == np.uint64 for a in arrays]], dtype="<i8").tobytes()]
+    """Arrays one after the other, compressed: numbers as 32 bits, keys (uint64) as the steps between the different ones and,
+    where they do not rise, their places among these."""
+    head, out = [len(arrays)], []
     for a in arrays:
-        wide = 6 if a.dtype == np.uint64 else 4
-        out.append(np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes())
-    plain = b"".join(out)
+        if a.dtype != np.uint64:
+            head += [len(a), -1]
+            out.append(planes(a, 4))
+            continue
+        rising = bool((a[1:] > a[:-1]).all())
+        keys, places = (a, None) if rising else np.unique(a, return_inverse=True)
+        head += [len(a), -2 if rising else len(keys)]
+        out.append(planes(np.diff(keys, prepend=np.uint64(0)), 8))
+        if not rising:
+            out.append(planes(places, 4))
+    plain = b"".join([np.array(head, dtype="<i8").tobytes(), *out])
     return len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
 
 
@@ -73,12 +93,20 @@ def unpack(data: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(data, "<i8", 1)[0])
     head = np.frombuffer(data, "<i8", 1 + 2 * n)
     at, out = 8 * len(head), []
-    for size, is_key in zip(head[1 : n + 1].tolist(), head[n + 1 :].tolist()):
-        wide = 6 if is_key else 4
+
+    def numbers(size: int, wide: int) -> np.ndarray:
+        nonlocal at
         full = np.zeros((size, 8), dtype=np.uint8)
         full[:, :wide] = np.frombuffer(data, np.uint8, size * wide, at).reshape(wide, size).T
-        out.append(full.reshape(-1).view("<u8" if is_key else "<i8"))
         at += size * wide
+        return full.reshape(-1).view("<i8")
+
+    for size, different in head[1:].reshape(-1, 2).tolist():
+        if different == -1:
+            out.append(numbers(size, 4))
+            continue
+        keys = np.cumsum(numbers(size if different == -2 else different, 8).view("<u8"), dtype=np.uint64)
+        out.append(keys if different == -2 else keys[numbers(size, 4)])
     return out
 
 
@@ -142,10 +170,30 @@ def counted(v: np.ndarray, w: np.ndarray, n: np.ndarray | None = None) -> tuple[
     return v[at], w[at], total
 
 
-def emit_training(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.RecordBatch]:
+def common_words(batches: Iterator[pa.RecordBatch], common: int) -> Iterator[pa.RecordBatch]:
+    """Of each batch of texts, the words that make up 1 / common of it (kind 1) and its tokens (kind 0)."""
+    for texts, _, _ in bigrams_of(batches):
+        every = np.concatenate(texts)
+        words, n = np.unique(every, return_counts=True)
+        keep = n * common >= len(every)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(0, np.ones(keep.sum(), dtype=np.int64)), pa.int32()), pa.array(np.append(0, words[keep].view(np.int64))), pa.array(np.append(len(every), n[keep]))], names=["kind", "word", "n"])
+
+
+def hot_words(train: DataFrame, common: int) -> np.ndarray:
+    """Words with 1 / common of all tokens in the batches where they make up as much, BEGIN and END, in order."""
+    sums = stage(train.mapInArrow(lambda it: common_words(it, common), "kind int, word long, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")), "katz-common")
+    total = sums.where("kind = 0").agg(F.sum("n")).first()[0] or 0
+    rows = sums.where("kind = 1").where(F.col("n") * common >= total).select("word").collect()  # at most `common`
+    return np.unique(np.array([int(BEGIN), int(END), *[r["word"] for r in rows]], dtype=np.int64).view(np.uint64))
+
+
+def emit_training(batches: Iterator[pa.RecordBatch], hot: np.ndarray, n_parts: int) -> Iterator[pa.RecordBatch]:
     for texts, _, _ in bigrams_of(batches):
         v, w, c = counted(*pairs(texts))
-        at = np.searchsorted(part(w, n_parts), np.arange(n_parts + 1))
+        p = route(w, v, w, hot, n_parts)
+        order = np.argsort(p, kind="stable")
+        v, w, c, p = v[order], w[order], c[order], p[order]
+        at = np.searchsorted(p, np.arange(n_parts + 1))
         out = []
         for q, (a, b) in enumerate(zip(at, at[1:])):
             if b > a:
@@ -171,8 +219,8 @@ def class_counts(c: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(c, K + 2), minlength=K + 3)[: K + 2]
 
 
-def reduce_training(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.RecordBatch]:
-    """The count table (kind 0), counts of counts (kind 1), and the commonest words (kind 2: words, counts)."""
+def reduce_training(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The count table (kind 0), counts of counts (kind 1), and the shares of hot words' counts (kind 2)."""
     for q, rows in by_part(batches):
         parts = [unpack(d) for _, d in rows]
         w = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
@@ -180,9 +228,9 @@ def reduce_training(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator
         first = starts_of(w)
         own = np.add.reduceat(c, first)
         sizes = runs(first, len(w))
-        out = [(q, 1, np.concatenate([class_counts(c), class_counts(own), [own.sum(), len(own)]]).astype("<i8").tobytes())]
-        top = np.argsort(own)[::-1][: 4 * n_parts]
-        out.append((q, 2, pack(w[first][top], own[top])))
+        is_hot = np.isin(w[first], hot)
+        out = [(q, 1, np.concatenate([class_counts(c), class_counts(own[~is_hot]), [own[~is_hot].sum(), (~is_hot).sum()]]).astype("<i8").tobytes())]
+        out.append((q, 2, pack(w[first][is_hot], own[is_hot])))
         for a in range(0, len(first), 100_000):
             b = min(len(first), a + 100_000)
             lo, hi = first[a], first[b] if b < len(first) else len(w)
@@ -190,6 +238,12 @@ def reduce_training(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator
         yield rows_out(out)
 
 
+def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, _, data in row_batches(batches):
+        words, n = unpack(data.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+
 def discounts(n: np.ndarray) -> np.ndarray:
     """Katz's discounts for counts 0..K+1 from counts of counts n[0..K+1] (the last is 1, for all larger counts).
 
@@ -253,15 +307,17 @@ def statistics(c: np.ndarray, own: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     return np.add.reduceat(c, at), *classes(c), *classes(own)
 
 
-def table_rows(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def table_rows(data: bytes, hot: np.ndarray, hot_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(v, w, c(v,w), c(w)) of a row of the count table."""
     w, sizes, own, v, c = unpack(data)
+    at, is_hot = found(hot, w)
+    own = np.where(is_hot, hot_counts[at], own)
     return v, np.repeat(w, sizes), c, np.repeat(own, sizes)
 
 
-def hot_statistics(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+def hot_statistics(batches: Iterator[pa.RecordBatch], hot: np.ndarray, hot_counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     for _, _, data in row_batches(batches):
-        v, _, c, own = table_rows(data.as_py())
+        v, _, c, own = table_rows(data.as_py(), hot, hot_counts)
         keep = np.flatnonzero(np.isin(v, hot))
         keep = keep[np.argsort(v[keep], kind="stable")]
         if not len(keep):
@@ -269,7 +325,7 @@ def hot_statistics(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterat
         at = starts_of(v[keep])
         total, a, b, lower, more = statistics(c[keep], own[keep], at)
         table = np.column_stack([total, a, b, lower, more])
-        yield pa.RecordBatch.from_arrays([pa.array(v[keep][at].astype(np.int64)), *[pa.array(x) for x in table.T]], names=["v", *[f"s{i}" for i in range(table.shape[1])]])
+        yield pa.RecordBatch.from_arrays([pa.array(v[keep][at].view(np.int64)), *[pa.array(x) for x in table.T]], names=["v", *[f"s{i}" for i in range(table.shape[1])]])
 
 
 def with_batch(rows: list[tuple[int, int, bytes]], batch: int, ids: list, id_type: pa.DataType) -> pa.RecordBatch:
@@ -281,10 +337,10 @@ def with_batch(rows: list[tuple[int, int, bytes]], batch: int, ids: list, id_typ
     )
 
 
-def emit_table(batches: Iterator[pa.RecordBatch], hot: np.ndarray, n_parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def emit_table(batches: Iterator[pa.RecordBatch], hot: np.ndarray, hot_counts: np.ndarray, n_parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     for _, _, data in row_batches(batches):
-        v, w, c, own = table_rows(data.as_py())
-        p = route(v, w, hot, n_parts)
+        v, w, c, own = table_rows(data.as_py(), hot, hot_counts)
+        p = route(v, v, w, hot, n_parts)
         order = np.lexsort((v, p))
         v, w, c, own, p = v[order], w[order], c[order], own[order], p[order]
         at = np.searchsorted(p, np.arange(n_parts + 1))
@@ -298,7 +354,7 @@ def emit_queries(batches: Iterator[pa.RecordBatch], hot: np.ndarray, n_parts: in
         v, w = pairs(texts)
         lengths = np.array([len(t) for t in texts])
         doc = np.repeat(np.arange(len(texts)), lengths)
-        p = route(v, w, hot, n_parts)
+        p = route(v, v, w, hot, n_parts)
         order = np.lexsort((w, v, p))
         v, w, p, doc = v[order], w[order], p[order], doc[order]
         at = np.searchsorted(p, np.arange(n_parts + 1))
@@ -312,7 +368,7 @@ def emit_queries(batches: Iterator[pa.RecordBatch], hot: np.ndarray, n_parts: in
 
 
 def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index, whether it is there) of wanted in sorted keys."""
+    """(index, whether it is there) of wanted in sorted keys, of which there may be none."""
     at = np.searchsorted(keys, wanted)
     at[at == len(keys)] = 0
     return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
@@ -410,33 +466,39 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     spark = docs.sparkSession
     table = docs.select(F.monotonically_increasing_id().alias("uid"), col(doc_id).alias("doc_id"), col(text).alias("text"))
     size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_parts = min(1 << 18, tasks_for(spark, size, BYTES_PER_PARTITION))
+    n_parts = tasks_for(spark, size, BYTES_PER_PARTITION)
     train = table.where(fold(F.col("doc_id")) != HELD_OUT).select("uid", "text")
-    sent = train.mapInArrow(lambda it: emit_training(it, n_parts), ROWS)
-    counts = stage(sent.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(lambda it: reduce_training(it, n_parts), ROWS), "katz-counts")
-
+    words = spark.sparkContext.broadcast(hot_words(train, min(8 * n_parts, HOT_WORDS)))
+    sent = train.mapInArrow(lambda it: emit_training(it, words.value, n_parts), ROWS)
+    counts = stage(sent.repartitionById(n_parts, F.col("part")).sortWithinPartitions("part").mapInArrow(lambda it: reduce_training(it, words.value), ROWS), "katz-counts")
+
+    hot = words.value
+    own = np.zeros(len(hot), dtype=np.int64)
+    for r in counts.where("kind = 2").select("part", "kind", "data").mapInArrow(shares, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # at most HOT_WORDS + 2 rows
+        own[np.searchsorted(hot, np.array(r["word"], dtype=np.int64).view(np.uint64))] = r["n"]
     stats = np.zeros(2 * K + 6, dtype=np.int64)
     for r in counts.where("kind = 1").select("data").collect():  # some 128 bytes a partition
         stats += np.frombuffer(r["data"], "<i8")
+    stats[K + 2 : 2 * K + 4] += class_counts(own[own > 0])
+    stats[-2:] += [own.sum(), (own > 0).sum()]
     model = model_of(stats)
-    # each partition's commonest 4 * n_parts words are enough to find all with more than 1 / (4 * n_parts) of the tokens
-    common = counts.where("kind = 2").select("part", "kind", "data").mapInArrow(lambda it: hot_words(it, model.n, n_parts), "v long, n long").collect()
-    hot = np.unique(np.array([int(BEGIN), *[r["v"] for r in common]], dtype=np.uint64))
-    sums = counts.where("kind = 0").mapInArrow(lambda it: hot_statistics(it, hot), "v long, " + ", ".join(f"s{i} long" for i in range(2 * K + 3)))
-    hot_table = np.zeros((len(hot), 2 * K + 3), dtype=np.int64)
-    for r in sums.groupBy("v").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(2 * K + 3)]).collect():  # at most 4 * n_parts + 1 rows
-        hot_table[np.searchsorted(hot, np.uint64(r["v"]))] = r[1:]
+    known = spark.sparkContext.broadcast((hot, own))
+    sums = counts.where("kind = 0").mapInArrow(lambda it: hot_statistics(it, *known.value), "v long, " + ", ".join(f"s{i} long" for i in range(2 * K + 3)))
+    table_of_hot = np.zeros((len(hot), 2 * K + 3), dtype=np.int64)
+    for r in sums.groupBy("v").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(2 * K + 3)]).collect():  # at most HOT_WORDS + 2 rows
+        table_of_hot[np.searchsorted(hot, np.array(r["v"], dtype=np.int64).view(np.uint64))] = r[1:]
+    hot_table = spark.sparkContext.broadcast(table_of_hot)  # 104 bytes a word
 
     kind_of_id = table.schema["doc_id"].dataType
     id_type = to_arrow_type(kind_of_id)
     rows = ROWS + f", batch long, ids array<{kind_of_id.simpleString()}>"
-    grams = counts.where("kind = 0").mapInArrow(lambda it: emit_table(it, hot, n_parts, id_type), rows)
-    queries = table.mapInArrow(lambda it: emit_queries(it, hot, n_parts, id_type), rows)
-    met = grams.union(queries).repartition(n_parts, "part").sortWithinPartitions("part", "kind")
-    sums = met.mapInArrow(lambda it: score_parts(it, model, hot, hot_table, id_type), rows)
-    total = sums.repartition(n_parts, "batch").sortWithinPartitions("batch", "kind").mapInArrow(lambda it: totals(it, id_type), f"doc_id {kind_of_id.simpleString()}, n_tokens long, known long, base double, score double")
+    grams = counts.where("kind = 0").mapInArrow(lambda it: emit_table(it, *known.value, n_parts, id_type), rows)
+    queries = table.mapInArrow(lambda it: emit_queries(it, words.value, n_parts, id_type), rows)
+    met = grams.union(queries).repartitionById(n_parts, F.col("part")).sortWithinPartitions("part", "kind")
+    sums = met.mapInArrow(lambda it: score_parts(it, model, words.value, hot_table.value, id_type), rows)
+    total = sums.repartition(n_parts, "batch").sortWithinPartitions("batch", "kind", "part").mapInArrow(lambda it: totals(it, id_type), f"doc_id {kind_of_id.simpleString()}, n_tokens long, known long, base double, score double")
     # the end token, the same for every document
-    ends = int(hot_table[np.searchsorted(hot, BEGIN), 0])
+    ends = int(table_of_hot[np.searchsorted(hot, BEGIN), 0])
     end_base = math.log10((ends + 1) / (model.n + model.v + 1)) if model.n else 0.0
     end_score = float(np.log10(model.single(np.array([ends]))[0]))
     return total.select(
@@ -450,12 +512,5 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     )
 
 
-def hot_words(batches: Iterator[pa.RecordBatch], total: int, n_parts: int) -> Iterator[pa.RecordBatch]:
-    for _, _, data in row_batches(batches):
-        words, n = unpack(data.as_py())
-        keep = n * 4 * n_parts > total
-        yield pa.RecordBatch.from_arrays([pa.array(words[keep].astype(np.int64)), pa.array(n[keep])], names=["v", "n"])
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(documents(spark, sf_dir, "doc_id", "text"))

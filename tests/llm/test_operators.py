@@ -258,6 +258,15 @@ def test_repeats(docs, texts, monkeypatch, hot, merge):
     assert repeats.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_repeats_of_a_whole_table(spark):
+    """Every window of every document of sf0.01, counted; planted passages under 400 bytes keep their bytes, by contract."""
+    folder = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    want = dict(zip(docs, brute_repeats(docs.values())))
+    got = {r.doc_id: tuple(r)[1:] for r in repeats.query(spark, folder).collect()}
+    assert got == want and sum(w[1] > 0 for w in want.values()) > 100
+
+
 def test_merged_transforms_sort_all_suffixes():
     """The interleave of shard transforms is the order of all suffixes by their first symbols."""
     rng = np.random.default_rng(1)
@@ -340,6 +349,28 @@ def test_katz(docs, texts):
     assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in only_held)
 
 
+def test_katz_without_hot_words_and_with_many(docs, monkeypatch):
+    """Hot words, of any number, only say where bigrams meet; reruns over other partitions give the same numbers."""
+    key = lambda r: str(r)
+    rows = sorted(katz.scores(docs).collect(), key=key)
+    for n in (1, 100_000):
+        monkeypatch.setattr(katz, "hot_words", lambda train, common, n=n: np.unique(np.concatenate([[katz.BEGIN, katz.END], katz.tokens("w1 w2 w3 w17 the same words" * (n > 1))]).astype(np.uint64)))
+        for a, b in zip(rows, sorted(katz.scores(docs).collect(), key=key)):
+            assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+    train = docs.select(F.lit(1).alias("uid"), "text")
+    monkeypatch.undo()
+    hot = katz.hot_words(train, 8)
+    assert 2 <= len(hot) <= 10 and np.isin(katz.tokens("same")[:1], katz.hot_words(train, 400)).all()
+
+
+def test_packed_arrays_come_back():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 1000):
+        keys = rng.integers(0, 2**64 - 1, n, dtype=np.uint64, endpoint=True)
+        some = [np.unique(keys), keys, np.repeat(keys, 3), rng.integers(0, 2**32, n), np.sort(np.repeat(keys, 2))]
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(katz.unpack(katz.pack(*some)), some))
+
+
 def test_hashes_of_words():
     assert len(hashing.word_hashes(b"")) == 0 and len(hashing.word_hashes(b" \n\t")) == 0
     a = hashing.word_hashes("x Äb\x0bÄb AB".encode())
