@@ -27,7 +27,7 @@ _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace({text}, '(?i)https?
 
 @query("str_a_clean_text", "SELECT doc_id, " + _CLEAN.format(text="text") + " AS text FROM documents")
 def clean_text(t: Tables) -> DataFrame:
-    return t.raw("documents").select("doc_id", X.clean(F.col("text")).alias("text"))
+    return t.spread("documents").select("doc_id", X.clean(F.col("text")).alias("text"))
 
 
 @query("str_a_clean_conversations", "SELECT conv_id, turn, " + _CLEAN.format(text="""'"' || role || '" & <b> ' || text || ' é www.x.yz/' || turn""") + " AS text FROM conversations")
@@ -53,7 +53,7 @@ def spam_gate(t: Tables) -> DataFrame:
 @query("flt9_symbol_matches", " UNION ALL ".join(f"SELECT doc_id, '{r.symbol}' AS symbol FROM documents WHERE {_matches(r)}" for r in RULES))
 def symbol_matches(t: Tables) -> DataFrame:
     """A document and every symbol that it matches."""
-    return t.raw("documents").select("doc_id", F.explode(X.matched_symbols(F.col("text"), RULES)).alias("symbol"))
+    return t.spread("documents").select("doc_id", F.explode(X.matched_symbols(F.col("text"), RULES)).alias("symbol"))
 
 
 @query(
@@ -165,7 +165,7 @@ def charts(t: Tables) -> DataFrame:
     quote = F.struct(F.array(v, v).alias("open"), F.array(v + 1, high).alias("high"), F.array(v * 0.5, v * 0.5).alias("low"), F.array(v, v + 1).alias("close"), F.array(F.lit(-4.0), F.col("user_id").cast("double")).alias("volume"))
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
     result = F.struct(F.struct(F.lit(None).cast("double").alias("regularMarketVolume")).alias("meta"), F.array(at, at + 60, at + 120).alias("timestamp"), F.struct(F.array(quote).alias("quote")).alias("indicators"))
-    return t.raw("events").select("event_id", F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart"))).alias("payload"))
+    return t.spread("events").select("event_id", F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart"))).alias("payload"))
 
 
 _BARS = """b AS (SELECT event_id, date_trunc('second', ts) AS timestamp, value AS open, value + 1 AS high, value * 0.5 AS low, value AS close, 0.0::DOUBLE AS volume FROM events

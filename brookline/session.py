@@ -7,7 +7,7 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,3 +45,9 @@ def shared_folder(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions, as small tables of one file do; larger tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.select().rdd.getNumPartitions() < cores else df

@@ -40,6 +40,10 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for work that costs much a row."""
+        return session.spread(self.raw(name))
+
     @cached_property
     def posts(self) -> DataFrame:
         e = self.raw("events")
