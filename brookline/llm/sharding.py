@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from brookline.llm.shared import bucket_of, col, documents, running_rank, stage
 
-SHARDS, SEED, ROWS_PER_BUCKET = 40, 20240131, 50_000
+SHARDS, SEED, ROWS_PER_BUCKET = 40, 20240131, 5_000
 
 
 def seeded(seed: int, value: Column) -> Column:
