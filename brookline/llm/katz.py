@@ -280,7 +280,7 @@ class Model:
         """(scale of seen probabilities, alpha) of contexts, from additive statistics: count, bigrams by count 1..K, the
         larger counts' sum, and the same two of the followers' own counts."""
         r = np.arange(1, K + 1)
-        seen = (classes @ (self.bigram[1 : K + 1] * r) + rest) / np.maximum(total, 1)
+        seen = np.maximum((classes @ (self.bigram[1 : K + 1] * r) + rest) / np.maximum(total, 1), 1e-300)  # a hot word may be no context
         left = np.maximum(1 - seen, 1 / (total + 1.0))
         below = (lower @ (self.unigram[1 : K + 1] * r) + more) / max(1, self.n) * self.scale
         return (1 - left) / seen, left / np.maximum(1 - below, self.unknown)
