@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brookline.llm.shared import LONG, STRING, col, packed, stage
+from brookline.session import spread
 
 MAX_LABELLED = 2_000
 LEAST, SCALE, BOILERPLATE = -0.25, 2.0, -3.0
@@ -352,11 +353,10 @@ def learned(pages: DataFrame, body: str = "html") -> dict[str, float]:
             for page in batch.column("page").to_pylist():
                 total.update(densities(page))
         keys = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.bool_()), pa.array([k[1][:40] for k in keys], pa.string()), pa.array([total[k] for k in keys], pa.int64())], names=["inside", "name", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.bool_()), pa.array([k[1] for k in keys], pa.string()), pa.array([total[k] for k in keys], pa.int64())], names=["inside", "name", "n"])
 
     summed = sample.mapInArrow(run, "inside boolean, name string, n long").groupBy("name").agg(*[F.coalesce(F.sum(F.when(F.col("inside") == x, F.col("n"))), F.lit(0)).alias(a) for a, x in (("content", True), ("rest", False))])
-    # the tag names of HTML are few; of invented ones the commonest are enough
-    rows = {r["name"]: (r["content"], r["rest"]) for r in summed.orderBy(F.desc(F.col("content") + F.col("rest"))).limit(1000).collect()}
+    rows = {r["name"]: (r["content"], r["rest"]) for r in summed.collect()}  # the tag names of at most MAX_LABELLED pages
     rows.pop("", None)
     odds = {name: SCALE * (math.log(a + 1) - math.log(b + 1)) for name, (a, b) in rows.items()}
     return {name: min(LEAST, max(MOST if name in BLOCKS else MOST_INLINE, x)) for name, x in odds.items()}
@@ -376,6 +376,6 @@ def main_text(pages: DataFrame, weights: dict[str, float], body: str = "html", c
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     out = main_text(pages, learned(pages), carry=["page_id", "url"])
     return out.select("row.page_id", "row.url", "text", "n_chars")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brookline.session import shared_folder
+from brookline.session import shared_folder, spread
 
 #: A word of the contracts, as a pattern that Java, DuckDB and Python read alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,7 +86,7 @@ def unstage(*tables: DataFrame) -> None:
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return df.select(*columns) if columns else df
+    return spread(df.select(*columns) if columns else df)
 
 
 def col(name: str) -> Column:
