@@ -117,7 +117,7 @@ def newest_posts(t: Tables) -> DataFrame:
     return shown(newest(filtered(t.posts, "purchase"), 500))
 
 
-@query("src23_unclassified_posts", "SELECT id, symbol, timestamp FROM posts WHERE topic_id = -1 ORDER BY timestamp DESC, id DESC LIMIT 1000")
+@query("src23_unclassified_posts", "SELECT id, symbol, timestamp FROM posts WHERE topic_id = -1 ORDER BY timestamp DESC, id DESC")
 def unclassified(t: Tables, limit: int | None = None) -> DataFrame:
     """Posts without a topic, newest first, for a later classification: all of them, or the first `limit` if it is given."""
     none = t.posts.withColumn("topic_label", F.when(F.col("topic_id") >= 0, F.col("topic_label"))).where(F.col("topic_label").isNull())
