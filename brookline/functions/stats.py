@@ -120,3 +120,10 @@ def proxy_change(previous: Column, now: Column, most: float = PLAUSIBLE) -> Colu
     """Change in percent; NULL if it is not defined or larger than is plausible."""
     change = F.try_divide(now - previous, F.when(previous > 0, previous)) * 100
     return F.when(finite(change) & (F.abs(change) <= most), change)
+
+
+def nearest_rank(values: Column, per_cent: float) -> Column:
+    """The value at rank ceil(per_cent / 100 * n) of an array, the first at least; NULL of none."""
+    n = F.size(values)
+    rank = F.least(F.greatest(F.ceil(F.lit(per_cent / 100) * n), F.lit(1)), n)
+    return F.when(n > 0, F.element_at(F.array_sort(values), rank.cast("int")))

@@ -82,6 +82,11 @@ def manifest(rows: DataFrame, dataset: str, at: str, first: str) -> DataFrame:
     return rows.agg(F.count("*").alias("row_count"), F.min(at).alias("min_event"), F.max(at).alias("max_event")).select(F.lit(dataset).alias("dataset"), start.alias("range_start"), F.add_months(start, 1).alias("range_end"), "row_count", "min_event", "max_event")
 
 
+def archived(staged: DataFrame, selected_at: Column, now: Column) -> DataFrame:
+    """Staged rows of a selection are marked as archived; later ones, and those marked before, stay as they are."""
+    return staged.withColumn("archived_at", F.coalesce("archived_at", F.when(F.col("staged_at") <= selected_at, now)))
+
+
 def purge(rows: DataFrame, at: str, as_of: Column, days: int) -> DataFrame:
     return rows.where(~F.coalesce(F.col(at) < as_of - F.expr(f"INTERVAL {days} DAYS"), F.lit(False)))
 

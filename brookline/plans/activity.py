@@ -13,9 +13,7 @@ def ago(interval: str) -> Column:
     return as_of() - F.expr(f"INTERVAL {interval}")
 
 
-@query(
-    "leaderboard",
-    f"""
+_BOARD = f"""
 current_posts AS (
   SELECT symbol, count(*) AS n, (count(*) FILTER (sentiment = 'positive') - count(*) FILTER (sentiment = 'negative'))::DOUBLE / nullif(count(*), 0) AS sentiment_index
   FROM posts WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL 4 HOURS AND timestamp < TIMESTAMP '{AS_OF}' GROUP BY symbol
@@ -28,8 +26,10 @@ current_posts AS (
 SELECT s.symbol, coalesce(c.n, 0) AS posts_4h, round(c.sentiment_index, 6) AS sentiment_index_4h, round(b.mean, 6) AS baseline_mean, coalesce(b.samples, 0) AS baseline_samples,
   CASE WHEN b.samples >= 8 AND b.deviation > 0 THEN round((coalesce(c.n, 0) / 4.0::DOUBLE - b.mean) / b.deviation, 6) END AS buzz_z
 FROM tracked_symbols s LEFT JOIN current_posts c USING (symbol) LEFT JOIN baseline b USING (symbol) WHERE s.is_active
-""",
-)
+"""
+
+
+@query("leaderboard", _BOARD)
 def leaderboard(t: Tables) -> DataFrame:
     """Posts of the last four hours per active symbol, as a z-score against the hours of 28 days that had any."""
     up, down = F.count_if(F.col("sentiment") == "positive"), F.count_if(F.col("sentiment") == "negative")
@@ -104,10 +104,17 @@ def hourly_counts(t: Tables) -> DataFrame:
     return past.groupBy("symbol", F.date_trunc("hour", "timestamp").alias("h")).agg(F.count("*").alias("n")).select("symbol", ntz("h").alias("bucket_hour"), "n")
 
 
-@query("ui8_sort_modes", f"SELECT symbol, n AS posts, rank() OVER (ORDER BY n DESC, symbol) AS by_volume, rank() OVER (ORDER BY i DESC, symbol) AS by_sentiment FROM (SELECT symbol, count(*) AS n, avg(p_pos - p_neg) AS i FROM posts GROUP BY symbol)")
+_BY_BUZZ = _BOARD.replace("SELECT s.symbol, coalesce(c.n, 0) AS posts_4h", ", board AS (SELECT s.symbol, coalesce(c.n, 0) AS posts_4h").replace("), baseline AS (", "), baseline AS (").rstrip() + ")"
+
+
+@query(
+    "ui8_sort_modes",
+    _BY_BUZZ
+    + " SELECT symbol, posts_4h AS posts, rank() OVER (ORDER BY coalesce(buzz_z, -999) DESC, symbol) AS by_buzz, rank() OVER (ORDER BY posts_4h DESC, symbol) AS by_volume, rank() OVER (ORDER BY coalesce(sentiment_index_4h, -999) DESC, symbol) AS by_sentiment FROM board",
+)
 def sort_modes(t: Tables) -> DataFrame:
-    """Places of the symbols by volume and by sentiment. One row for each symbol is ranked."""
+    """Places of the symbols by buzz, volume and sentiment; what has none comes last. One row for each tracked symbol is ranked."""
     from pyspark.sql import Window as W
 
-    rows = t.posts.groupBy("symbol").agg(F.count("*").alias("posts"), F.avg(F.col("p_pos") - F.col("p_neg")).alias("i"))
-    return rows.select("symbol", "posts", F.rank().over(W.orderBy(F.desc("posts"), "symbol")).alias("by_volume"), F.rank().over(W.orderBy(F.desc("i"), "symbol")).alias("by_sentiment"))
+    place = lambda c: F.rank().over(W.orderBy(F.coalesce(c, F.lit(-999.0)).desc(), "symbol"))
+    return leaderboard(t).select("symbol", F.col("posts_4h").alias("posts"), place(F.col("buzz_z")).alias("by_buzz"), place(F.col("posts_4h").cast("double")).alias("by_volume"), place(F.col("sentiment_index_4h")).alias("by_sentiment"))

@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from brookline.plans import activity, context, facts, ingest, lookups, market, posts, relationships, series, storage, streams  # noqa: F401
+    from brookline.plans import activity, context, facts, ingest, lookups, market, operations, posts, relationships, series, storage, streams  # noqa: F401

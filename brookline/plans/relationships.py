@@ -81,9 +81,13 @@ def daily_returns(t: Tables) -> DataFrame:
     return J.returns(t.closes, ["symbol"], "ends_at", "close").select("symbol", "ends_at", F.round("r", 6).alias("r"))
 
 
+# Which factors a stock is compared with: configuration, as a catalog's exposures are.
+EXPOSURES = {"click": ["view", "error"], "view": ["click", "purchase"], "purchase": ["view", "signup", "click"], "signup": ["error"], "error": ["purchase", "missing"]}
 _PAIRS = (
     _RETURNS
-    + """, sides AS (SELECT f.symbol AS factor, s.symbol AS stock FROM (SELECT DISTINCT symbol FROM returns) f, (SELECT DISTINCT symbol FROM returns) s WHERE f.symbol <> s.symbol),
+    + """, sides(factor, stock) AS (VALUES """
+    + ", ".join(f"('{f}', '{s}')" for s, factors in EXPOSURES.items() for f in factors)
+    + """),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ends_at) AS rn FROM returns),
 firsts AS (SELECT d.factor, d.stock, f.ends_at, f.r AS x, (SELECT min(n.rn) FROM numbered n WHERE n.symbol = d.stock AND n.ends_at > f.ends_at) AS rn FROM sides d JOIN returns f ON f.symbol = d.factor),
 paired AS (SELECT a.factor, a.stock, l.lag, a.ends_at, a.x, n.r AS y FROM firsts a CROSS JOIN (SELECT unnest([0, 1, 2]) AS lag) l JOIN numbered n ON n.symbol = a.stock AND n.rn = a.rn + l.lag)"""
@@ -91,10 +95,9 @@ paired AS (SELECT a.factor, a.stock, l.lag, a.ends_at, a.x, n.r AS y FROM firsts
 
 
 def paired(t: Tables) -> DataFrame:
-    """Returns of every other symbol as a factor, aligned without looking ahead at lags 0, 1 and 2."""
+    """Returns of each stock's factors and its own, aligned without looking ahead at lags 0, 1 and 2: as many lines as there are exposures."""
     r = J.returns(t.closes, ["symbol"], "ends_at", "close").withColumnRenamed("ends_at", "at")
-    names = r.select("symbol").distinct()
-    sides = names.select(F.col("symbol").alias("factor")).join(names.select(F.col("symbol").alias("stock")), F.col("factor") != F.col("stock"))
+    sides = t.spark.createDataFrame([(f, s) for s, factors in EXPOSURES.items() for f in factors], "factor string, stock string")
     sides = sides.withColumn("pair", F.struct("factor", "stock"))
     factor = sides.join(r, F.col("factor") == F.col("symbol")).select("pair", "at", "r")
     stock = sides.join(r, F.col("stock") == F.col("symbol")).select("pair", "at", "r")

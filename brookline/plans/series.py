@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brookline.functions import stats
@@ -10,7 +10,7 @@ from brookline.operators import rollup, series as S
 from brookline.plans.registry import query
 from brookline.sources.views import AS_OF, Tables, as_of, ntz
 
-HOURS, VIX, VALUATION = 168, 14.0, 0.5
+HOURS = 168
 _END, _START = f"TIMESTAMP '{AS_OF}'", f"TIMESTAMP '{AS_OF}' - INTERVAL {HOURS} HOURS"
 
 
@@ -161,6 +161,21 @@ def closed_regions(t: Tables) -> DataFrame:
     return S.closed_regions(base(t), now).select("symbol", ntz("start").alias("start"), ntz("end").alias("end"))
 
 
+# No input table has a volatility index or valuations: they follow from the hour and the symbol, so that all bands, and gaps, occur.
+_VIX = "CASE WHEN hour(bucket_hour) % 5 < 4 THEN 12 + 4 * (hour(bucket_hour) % 5) END"
+_VALUATION = "CASE symbol WHEN 'click' THEN 0.5 WHEN 'view' THEN -0.5 WHEN 'error' THEN 0 END"
+
+
+def vix() -> Column:
+    """12, 16, 20, 24, then none."""
+    k = F.hour("bucket_hour") % 5
+    return F.when(k < 4, 12.0 + 4 * k)
+
+
+def valuation() -> Column:
+    return F.when(F.col("symbol") == "click", 0.5).when(F.col("symbol") == "view", -0.5).when(F.col("symbol") == "error", 0.0)
+
+
 _OPPORTUNITY_SQL = (
     LEVELS_SQL
     + f""", trail AS (
@@ -169,7 +184,7 @@ _OPPORTUNITY_SQL = (
 ), points AS (
   SELECT *, CASE WHEN price > 0 AND support_all > 0 THEN (price - support_all) / price END AS distance, coalesce(len(ps) >= 3 AND len(ss) >= 3 AND ps[-1] - ps[1] < 0 AND ss[-1] - ss[1] > 0.1, false) AS diverges FROM trail
 ), scored AS (
-  SELECT *, 10.0 * (CASE WHEN distance <= 0.025 THEN 3.0 WHEN distance <= 0.05 THEN 1.5 ELSE 0 END + CASE WHEN sentiment_index > sentiment_sma THEN CASE WHEN sentiment_sma > 0 THEN 3.0 ELSE 1.5 END ELSE 0 END + CASE WHEN diverges THEN 2.0 ELSE 0 END + {2.0 if VALUATION > 0 else 0.0}) AS raw FROM points
+  SELECT *, 10.0 * (CASE WHEN distance <= 0.025 THEN 3.0 WHEN distance <= 0.05 THEN 1.5 ELSE 0 END + CASE WHEN sentiment_index > sentiment_sma THEN CASE WHEN sentiment_sma > 0 THEN 3.0 ELSE 1.5 END ELSE 0 END + CASE WHEN diverges THEN 2.0 ELSE 0 END + CASE WHEN valuation > 0 THEN 2.0 WHEN valuation = 0 THEN 1.0 ELSE 0 END) AS raw FROM (SELECT *, {_VALUATION} AS valuation, coalesce({_VIX}, 15) AS vix FROM points)
 ), final AS (
   SELECT *, greatest(0, least(100, raw))::DOUBLE AS score FROM scored
 )"""
@@ -180,19 +195,19 @@ _OPPORTUNITY_SQL = (
     "mth15_opportunities",
     _OPPORTUNITY_SQL
     + """ SELECT symbol, bucket_hour, score, CASE WHEN score >= 75 THEN 'STRONG BUY' WHEN score >= 50 THEN 'ACCUMULATE' WHEN score >= 30 THEN 'HOLD / NEUTRAL' ELSE 'CAUTION / OVERBOUGHT' END AS classification, CASE WHEN score >= 75 THEN 'emerald' WHEN score >= 50 THEN 'teal' WHEN score >= 30 THEN 'slate' ELSE 'rose' END AS color,
-  CASE WHEN score >= 50 THEN 'Long Call Option (Buy Call)' WHEN score >= 30 THEN 'Hold / Sell Covered Calls' ELSE 'Protect Longs / Buy Puts' END AS strategy, score >= 50 AS buy_signal,
+  CASE WHEN score >= 50 THEN CASE WHEN vix < 15 THEN 'Long Call Option (Buy Call)' WHEN vix <= 22 THEN 'Long Shares / Bull Call Spread' ELSE 'Sell Put Credit Spreads' END WHEN score >= 30 THEN 'Hold / Sell Covered Calls' WHEN vix > 22 THEN 'Sell Call Credit Spreads' ELSE 'Protect Longs / Buy Puts' END AS strategy, score >= 50 AS buy_signal,
   CASE WHEN score < 50 OR price IS NULL OR coalesce(len(ahead), 0) = 0 THEN 'pending' WHEN list_max(ahead[1:2]) > price * 1.002 THEN 'good' ELSE 'bad' END AS signal_quality,
   concat_ws(';', CASE WHEN distance <= 0.025 THEN 'Price near support level' WHEN distance <= 0.05 THEN 'Price approaching support level' END, CASE WHEN sentiment_index > sentiment_sma THEN CASE WHEN sentiment_sma > 0 THEN 'Bullish sentiment crossover (above positive SMA)' ELSE 'Bullish sentiment crossover (above negative SMA)' END END,
-    CASE WHEN diverges THEN 'Bullish sentiment divergence (price down, sentiment rising)' END, 'Undervalued relative to sector benchmarks') AS checklist FROM final""",
+    CASE WHEN diverges THEN 'Bullish sentiment divergence (price down, sentiment rising)' END, CASE WHEN valuation > 0 THEN 'Undervalued relative to sector benchmarks' WHEN valuation = 0 THEN 'Fairly valued relative to sector benchmarks' END) AS checklist FROM final""",
 )
 def opportunities(t: Tables) -> DataFrame:
-    out = S.scored(levelled(t), F.lit(VIX), F.lit(VALUATION))
+    out = S.scored(levelled(t), vix(), valuation())
     return out.select("symbol", ntz("bucket_hour").alias("bucket_hour"), *[F.col(f"opportunity.{c}").alias(c) for c in ("score", "classification", "color", "strategy")], "buy_signal", "signal_quality", F.array_join("opportunity.checklist", ";").alias("checklist"))
 
 
 @query("mth19_current_opportunity", _OPPORTUNITY_SQL + f" SELECT symbol, score, price, round(sentiment_index, 6) AS sentiment_index FROM final WHERE bucket_hour = {_END}")
 def current_opportunity(t: Tables) -> DataFrame:
-    out = S.scored(levelled(t), F.lit(VIX), F.lit(VALUATION)).where(F.col("bucket_hour") == as_of())
+    out = S.scored(levelled(t), vix(), valuation()).where(F.col("bucket_hour") == as_of())
     return out.select("symbol", F.col("opportunity.score").alias("score"), "price", F.round("sentiment_index", 6).alias("sentiment_index"))
 
 

@@ -10,10 +10,10 @@ from brookline.sources.views import Tables, as_of, ntz
 from brookline.streaming import stages as S
 
 
-def event_stream(t: Tables) -> DataFrame:
-    """`events` as a file stream."""
+def event_stream(t: Tables, files: int = 4) -> DataFrame:
+    """`events` as a file stream, at most so many files a batch."""
     schema = t.raw("events").schema
-    rows = t.spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(t.sf_dir)
+    rows = t.spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", files).parquet(t.sf_dir)
     return rows.withColumn("timestamp", F.col("ts").cast("timestamp"))
 
 

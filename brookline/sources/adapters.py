@@ -169,3 +169,16 @@ def http_outcome(status: Column, rows: Column | None = None) -> Column:
 def worst(outcome: Column) -> Column:
     """Aggregate: the outcome that is reported of several."""
     return F.max_by(outcome, F.array_position(F.array(*map(F.lit, OUTCOMES)), outcome))
+
+
+def price_earnings(payloads: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pe_ratio) of summaries: the trailing ratio, where there is none the forward one; NULL if neither is a finite number."""
+    ratio = "struct<raw string>"
+    detail = F.get(F.from_json("payload", f"quoteSummary struct<result array<struct<summaryDetail struct<trailingPE {ratio}, forwardPE {ratio}>>>>").getField("quoteSummary").getField("result"), F.lit(0)).getField("summaryDetail")
+    rows = payloads.select(*keys, detail.alias("d")).select(*keys, F.coalesce("d.trailingPE.raw", "d.forwardPE.raw").try_cast("double").alias("pe"))
+    return rows.select(*keys, F.when(stats.finite(F.col("pe")), F.col("pe")).alias("pe_ratio"))
+
+
+def daily_history(payloads: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, day, close) of a year's chart."""
+    return chart_bars(payloads).select(*keys, F.to_date("timestamp").alias("day"), "close")

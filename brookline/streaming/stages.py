@@ -11,8 +11,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brookline import session
@@ -190,6 +191,22 @@ def scratch(spark: SparkSession) -> str:
     return f"{session.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def counted(posts: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """posts, with counters that are ready when they have been written: how many there were, of how many symbols and platforms."""
+    seen = Observation(name)
+    return posts.observe(seen, F.count("*").alias("posts"), F.approx_count_distinct("symbol").alias("symbols"), F.approx_count_distinct("platform").alias("platforms")), seen
+
+
+def after_restart(items: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
+    """What is new after a start: ids that were there before it count as seen."""
+    return sinks.without_keys(items, existing, keys)
+
+
+def follow(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None], every: str = "1 second") -> StreamingQuery:
+    """Run a stream until it is stopped, a batch each time the interval is over; how much a batch holds is set at the source."""
+    return stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(processingTime=every).foreachBatch(write).start()
+
+
 def drain(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> None:
     """Run a stream over what is there now, to Parquet under folder/out or to a function."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
