@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brookline.llm.shared import INT, LONG, bucket_of, col, documents, running_rank, stage
+from brookline.llm.shared import INT, LONG, col, documents, running_rank, stage
 
-CAPACITY, END, ROWS_PER_BUCKET, CACHED_WORDS, CACHED_STEMS = 4096, 1, 50_000, 200_000, 400_000
+CAPACITY, END, ROWS_PER_BUCKET, CACHED_WORDS, CACHED_STEMS = 4096, 1, 1_000, 200_000, 400_000
 #: White space by which words are split before they are encoded; the tokenizer drops it too.
 _word = re.compile(r"[^ \t\r\n]+")
 
@@ -251,10 +251,12 @@ def pack(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """A staged table of pieces with sequence_id and offset; its columns are kept."""
     counts = {r["length"]: r["count"] for r in table.groupBy("length").count().collect()}  # at most `capacity` rows
     places, _ = plan(counts, capacity)
-    buckets = max(1, -(-sum(counts.values()) // ROWS_PER_BUCKET))
-    mixed = table.withColumn("_h", F.xxhash64("doc_id", "piece", "ids_crc32"))
+    # a length that many pieces have is ranked in as many buckets as it needs; one row for each length, so broadcast
+    sizes = table.sparkSession.createDataFrame([(n, -(-k // ROWS_PER_BUCKET)) for n, k in counts.items()], "length long, _n int")
+    mixed = table.withColumn("_h", F.xxhash64("doc_id", "piece", "ids_crc32")).join(F.broadcast(sizes), "length")
     unit = (F.shiftright("_h", 12) + F.lit(1 << 51)) / F.lit(float(1 << 52))
-    ranked = running_rank(mixed.withColumn("_b", bucket_of(unit, buckets)), ["length"], "_b", [F.col("_h"), F.col("piece")]).drop("_h", "_b", "whole")
+    bucket = F.least(F.floor(unit * F.col("_n")), F.col("_n") - 1).cast("int")
+    ranked = running_rank(mixed.withColumn("_b", bucket), ["length"], "_b", [F.col("_h"), F.col("piece")]).drop("_h", "_b", "_n", "whole")
     shared = table.sparkSession.sparkContext.broadcast(places)
     names = table.columns
     schema = T.StructType([table.schema[c] for c in names] + [T.StructField("sequence_id", LONG), T.StructField("offset", LONG)])
