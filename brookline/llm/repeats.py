@@ -16,6 +16,11 @@ windows with one smallest gram, about one for 185 bytes, and only stretches with
    one, combined on the map side. That way is exact, too, and only for those.
 4. Repeated windows are gathered per document and their bytes cut out.
 
+What is cut follows windows of WINDOW bytes. Beside that, and without any effect on it, `n_shared_words` tells how many words of
+a text are in passages that another document has, too, down to PASSAGE words, which may be less than a window: runs of RUN
+words are sampled by the least hash of neighbouring ones, so that every PASSAGE words hold a sampled run, wherever they are,
+and runs of two documents or more are counted. No passage of PASSAGE words that two documents have is missed.
+
 Defined cases: a null text is empty; a text shorter than WINDOW keeps all its bytes; overlapping windows of one text
 count as starting elsewhere; repeated rows repeat each other; an empty table gives an empty result; a removed run may
 end within a character, so what is kept is bytes; carried columns travel in a struct.
@@ -32,11 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brookline.llm.hashing import mixed, powers, prefix_sums
+from brookline.llm.hashing import mixed, powers, prefix_sums, word_spans
 from brookline.llm.shared import LONG, col, documents, packed, stage, unstage
 from brookline.llm.similarity_join import grouped
 
 WINDOW, STEP, GRAM, HOT, CHUNK = 400, 100, 32, 2_000, 1 << 20
+PASSAGE, RUN = 50, 30
 #: Suffixes that are merged at a time; more grams than that go one after the other.
 SUFFIXES_PER_MERGE = 1_500_000
 
@@ -78,22 +84,52 @@ def stretches(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def sampled_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the sampled runs of a text: those with the least hash among PASSAGE - RUN + 1 neighbours."""
+    start, end = word_spans(data)
+    width = PASSAGE - RUN + 1
+    parts = []
+    for at in range(0, len(start) - PASSAGE + 1, CHUNK):
+        s, e = start[at : at + CHUNK + PASSAGE - 1], end[at : at + CHUNK + PASSAGE - 1]
+        sums = prefix_sums(data[s[0] : e[-1]])
+        run = span_hashes(sums, s[: len(s) - RUN + 1] - s[0], e[RUN - 1 :] - s[0])
+        least = sliding_min(run, width)
+        # a run is sampled if it is the least of a group that it is in: if the greatest of their minima is its own hash
+        padded = np.concatenate([np.zeros(width - 1, dtype=np.uint64), least, np.zeros(width - 1, dtype=np.uint64)])
+        most = ~sliding_min(~padded, width)
+        pick = np.flatnonzero(run == most)
+        parts.append((pick + at, run[pick]))
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def shared_words(data: np.ndarray, shared: list[int] | None) -> int:
+    """Words of a text in sampled runs that another document has."""
+    if not shared:
+        return 0
+    at, run = sampled_runs(data)
+    at = np.unique(at[np.isin(run.view(np.int64), np.array(shared, dtype=np.int64))])
+    return int(np.minimum(np.diff(at, append=at[-1:] + RUN), RUN).sum())
+
+
 def bytes_of(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode(), dtype=np.uint8)
 
 
 def scanned(docs: DataFrame, text: str, carry: list[str] | None) -> DataFrame:
-    """uid, row, text and, in order, the grams and hashes of the text's stretches; staged."""
+    """uid, row, text and, in order, the grams and hashes of the text's stretches, and the different sampled runs; staged."""
     kept = docs.select(*[col(c) for c in carry]) if carry else docs
     given = docs.select(F.monotonically_increasing_id().alias("uid"), packed(kept), col(text).alias("text"))
-    schema = T.StructType([*given.schema.fields, T.StructField("grams", T.ArrayType(LONG)), T.StructField("kinds", T.ArrayType(LONG))])
+    schema = T.StructType([*given.schema.fields, T.StructField("grams", T.ArrayType(LONG)), T.StructField("kinds", T.ArrayType(LONG)), T.StructField("runs", T.ArrayType(LONG))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                found = [stretches(bytes_of(t.as_py())) for t in batch.column("text")]
-                own = [pa.array([f[k].view(np.int64) for f in found], pa.list_(pa.int64())) for k in (2, 3)]
+                texts = [bytes_of(t.as_py()) for t in batch.column("text")]
+                found = [(*stretches(t)[2:], np.unique(sampled_runs(t)[1])) for t in texts]
+                own = [pa.array([f[k].view(np.int64) for f in found], pa.list_(pa.int64())) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=schema.fieldNames())
 
     return stage(given.mapInArrow(run, schema), "repeats-documents")
@@ -301,6 +337,13 @@ def repeated_spans(table: DataFrame) -> DataFrame:
     return hits.groupBy("uid").agg(F.collect_set(F.struct("gram", "kind", "spans")).alias("spans"))
 
 
+def shared_runs(table: DataFrame) -> DataFrame:
+    """(uid, shared) of the texts with sampled runs that another document has."""
+    every = table.select("uid", F.explode("runs").alias("run"))
+    several = every.groupBy("run").agg(F.min("uid").alias("a"), F.max("uid").alias("b")).where("a <> b").select("run")
+    return every.join(several, "run").groupBy("uid").agg(F.collect_list("run").alias("shared"))  # of one text each
+
+
 def covered(data: np.ndarray, spans: list[dict] | None) -> np.ndarray:
     """Which bytes repeated windows cover."""
     change = np.zeros(len(data) + 1, dtype=np.int64)
@@ -318,28 +361,29 @@ def covered(data: np.ndarray, spans: list[dict] | None) -> np.ndarray:
 
 
 def without_repeats(docs: DataFrame, text: str = "text", carry: list[str] | None = None, with_kept: bool = True) -> DataFrame:
-    """The carried columns (default: all) in a struct `row`, with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
+    """The carried columns (default: all) in a struct `row`, with n_bytes, n_removed, n_spans, kept_sha256, n_shared_words and, if asked for, the kept bytes."""
     table = scanned(docs, text, carry)
     spans = stage(repeated_spans(table), "repeats-spans")
-    given = table.select("uid", "row", "text").join(spans, "uid", "left").select("row", "text", "spans")
-    fields = [T.StructField("row", given.schema["row"].dataType), *[T.StructField(c, LONG) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())]
+    runs = stage(shared_runs(table), "repeats-runs")
+    given = table.select("uid", "row", "text").join(spans, "uid", "left").join(runs, "uid", "left").select("row", "text", "spans", "shared")
+    fields = [T.StructField("row", given.schema["row"].dataType), *[T.StructField(c, LONG) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), T.StructField("n_shared_words", LONG)]
     schema = T.StructType(fields + ([T.StructField("kept", T.BinaryType())] if with_kept else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column("text"), batch.column("spans")):
+            for text, spans, shared in zip(batch.column("text"), batch.column("spans"), batch.column("shared")):
                 data = bytes_of(text.as_py())
                 gone = covered(data, spans.as_py())
                 kept = data[~gone].tobytes()
-                rows.append((len(data), int(gone.sum()), len(intervals(gone)) // 2, hashlib.sha256(kept).hexdigest(), kept))
-            columns = list(zip(*rows)) if rows else [()] * 5
-            arrays = [batch.column("row"), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays + ([pa.array(columns[4], pa.binary())] if with_kept else []), names=schema.fieldNames())
+                rows.append((len(data), int(gone.sum()), len(intervals(gone)) // 2, hashlib.sha256(kept).hexdigest(), shared_words(data, shared.as_py()), kept))
+            columns = list(zip(*rows)) if rows else [()] * 6
+            arrays = [batch.column("row"), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string()), pa.array(columns[4], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays + ([pa.array(columns[5], pa.binary())] if with_kept else []), names=schema.fieldNames())
 
     return given.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(documents(spark, sf_dir, "doc_id", "text"), carry=["doc_id"], with_kept=False)
-    return out.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words")

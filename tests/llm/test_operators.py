@@ -7,6 +7,7 @@ import itertools
 import math
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -263,8 +264,31 @@ def test_repeats_of_a_whole_table(spark):
     folder = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
     want = dict(zip(docs, brute_repeats(docs.values())))
-    got = {r.doc_id: tuple(r)[1:] for r in repeats.query(spark, folder).collect()}
-    assert got == want and sum(w[1] > 0 for w in want.values()) > 100
+    rows = repeats.query(spark, folder).collect()
+    assert {r.doc_id: tuple(r)[1:5] for r in rows} == want and sum(w[1] > 0 for w in want.values()) > 100
+    # words of the text between the first and last byte of the run, white space and all
+    seen = collections.defaultdict(set)
+    spans = {i: [m.span() for m in WORD.finditer(t or "")] for i, t in docs.items()}
+    for i, t in docs.items():
+        for k in range(len(spans[i]) - 49):
+            seen[hash(t[spans[i][k][0] : spans[i][k + 49][1]])].add(i)
+    passages = {i for ids in seen.values() if len(ids) > 1 for i in ids}
+    reported = {r.doc_id: r.n_shared_words for r in rows}
+    assert len(passages) > 100 and all(reported[i] >= 30 for i in passages)
+    assert all(0 <= n <= len(spans[i]) for i, n in reported.items()) and sum(n > 0 for n in reported.values()) < len(docs) / 2
+
+
+def test_every_passage_holds_a_sampled_run(monkeypatch):
+    rng = np.random.default_rng(5)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 3000, 4000)).encode()
+    data = np.frombuffer(text, dtype=np.uint8)
+    at, run = repeats.sampled_runs(data)
+    assert len(at) == len(set(run.tolist())) and np.diff(at).max() <= 21 and at[0] <= 20 and at[-1] >= 4000 - 50
+    assert len(at) < 4000 / 8
+    monkeypatch.setattr(repeats, "CHUNK", 100)  # cut in many parts, the same runs are sampled
+    assert (np.unique(repeats.sampled_runs(data)[0]) == at).all()
+    assert repeats.shared_words(data, run[:1].view(np.int64).tolist()) == 30 and repeats.shared_words(data, run.view(np.int64).tolist()) >= 3900
+    assert [len(x) for x in repeats.sampled_runs(data[:100])] == [0, 0] and repeats.shared_words(data, []) == 0
 
 
 def test_merged_transforms_sort_all_suffixes():
@@ -401,6 +425,49 @@ def test_quality(docs, texts):
     assert quality.judged(docs.limit(0)).count() == 0
 
 
+def test_verdicts_of_a_table(spark):
+    """Ballots, expectation-maximisation and posteriors of every document of sf0.001, document by document in plain Python."""
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    measured = {r.doc_id: dict(zip(quality.MEASURES, quality.measure(r.text))) for r in rows}
+
+    def votes(m):
+        out = []
+        for share, side, bad, good in quality.RULES.values():
+            a, b = share.split("/")
+            x = m[a] / max(1, m[b])
+            worse = (lambda bound: x > bound) if side == ">" else (lambda bound: x < bound)
+            better = (lambda bound: x <= bound) if side == ">" else (lambda bound: x >= bound)
+            out.append(None if not m["n_words"] else False if bad is not None and worse(bad) else True if good is not None and better(good) else None)
+        return out
+
+    ballots = {i: votes(m) for i, m in measured.items()}
+    share, good, bad = 0.5, [quality.PRIOR] * len(quality.RULES), [quality.PRIOR] * len(quality.RULES)
+
+    def probability(b):
+        p, q = share, 1 - share
+        for v, g, w in zip(b, good, bad):
+            if v is not None:
+                p, q = p * (g if v else 1 - g), q * (1 - w if v else w)
+        return p / (p + q)
+
+    for _ in range(quality.ROUNDS):
+        ps = {i: probability(b) for i, b in ballots.items()}
+        share = min(0.99, max(0.01, sum(ps.values()) / len(ps)))
+        for k in range(len(good)):
+            for side, weight, hit in ((good, lambda i: ps[i], True), (bad, lambda i: 1 - ps[i], False)):
+                said = [(weight(i), b[k]) for i, b in ballots.items() if b[k] is not None]
+                mean = (sum(w for w, v in said if v is hit) + 2 * quality.PRIOR) / (sum(w for w, _ in said) + 2)
+                side[k] = min(quality.ACCURACY[1], max(quality.ACCURACY[0], mean))
+    got = {r.doc_id: r for r in quality.query(spark, folder).collect()}
+    assert len(got) == len(ballots)
+    for i, b in ballots.items():
+        m = measured[i]
+        failed = m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"]
+        assert got[i].probability == pytest.approx(probability(b), abs=1e-6) and got[i].base_failed == failed
+        assert got[i].kept == (not failed and probability(b) >= quality.THRESHOLD)
+
+
 def test_em_recovers_accuracies():
     rng = np.random.default_rng(2)
     good = rng.random(20_000) < 0.8
@@ -572,6 +639,52 @@ def test_main_text_of_a_table(spark):
     assert html_text.main_text(pages.limit(0), html_text.learned(pages.limit(0))).count() == 0
 
 
+class Reader(HTMLParser):
+    """Words in the article that are in no element of a few names and classes, read by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.words, self.inside, self.skipped = [], 0, []
+
+    def handle_starttag(self, tag, attrs):
+        marks = set(" ".join(v or "" for k, v in attrs if k in ("class", "id")).split())
+        if tag == "article":
+            self.inside += 1
+        if tag not in html_text.VOID and (self.skipped and tag == self.skipped[-1] or tag in ("nav", "aside", "form", "footer", "script", "style") or marks & {"ad", "comments", "share", "sidebar", "related", "cookie", "notice"}):
+            self.skipped.append(tag)
+
+    def handle_endtag(self, tag):
+        if self.skipped and tag == self.skipped[-1]:
+            self.skipped.pop()
+        if tag == "article":
+            self.inside -= 1
+
+    def handle_data(self, data):
+        if self.inside and not self.skipped:
+            self.words.append(data)
+
+
+def test_articles_of_a_table(spark):
+    """Every page of sf0.01: the words are the article's, with and without the element that says so."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("html IS NOT NULL")
+    want = {}
+    for r in pages.collect():
+        reader = Reader()
+        reader.feed(r.html)
+        want[r.page_id] = "".join(f"{w} " for w in reader.words).split()
+    plain = pages.withColumn("html", F.regexp_replace("html", "(</?)(article|main)\\b", "$1div"))
+    for table in (pages, plain):
+        got = {r.page_id: r.text for r in html_text.main_text(table, html_text.learned(table), carry=["page_id"]).select("row.page_id", "text").collect()}
+        assert len(got) == len(want) and sum("".join(got[i].split()) == "".join(want[i]) for i in want) >= 0.99 * len(want)
+
+
+def test_tag_names_are_whole_and_all_counted(spark):
+    name = "x" * 60
+    page = "<article><p>some words in it</p></article>" + "".join(f"<{name}{i}>a</{name}{i}>" for i in range(1100))
+    weights = html_text.learned(spark.createDataFrame([(page,)], "html string"))
+    assert len(weights) > 1100 and f"{name}7" in weights
+
+
 # --- packing
 
 
