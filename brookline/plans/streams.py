@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brookline.functions import calendar
+from brookline.operators import rollup as R
+from brookline.operators import sinks as K
+from brookline.plans.facts import _PRICES, shown_prices
 from brookline.plans.registry import query
 from brookline.sources.views import Tables, as_of, ntz
 from brookline.streaming import stages as S
@@ -34,7 +38,7 @@ def windowed_counts(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{folder}/result").select(ntz("start").alias("start"), "symbol", "n")
 
 
-@query("str5_stored_posts", "SELECT event_id::VARCHAR AS id, event_type AS symbol, 'bluesky' AS platform FROM events WHERE event_id % 10 <> 3")
+@query("str5_stored_posts", "SELECT event_id::VARCHAR AS id, event_type AS symbol, 'bluesky' AS platform, CASE WHEN event_id % 9 < 8 THEN (event_id % 9)::INT ELSE -1 END AS topic_id FROM events WHERE event_id % 10 <> 3")
 def stored_posts(t: Tables) -> DataFrame:
     """Messages through all stages to the store: every tenth is malformed, every post comes twice."""
     folder = S.scratch(t.spark)
@@ -42,9 +46,10 @@ def stored_posts(t: Tables) -> DataFrame:
     body = F.when(F.col("event_id") % 10 == 3, "{broken").otherwise(F.to_json(post))
     messages = event_stream(t).select(F.explode(F.array(body, body)).alias("value"))
     good, _ = S.decode(messages)
-    posts = S.scored(S.cleaned(good, as_of()), S.lexicon_scorer, as_of())
-    S.drain(posts, folder, S.store(folder))
-    return S.read(t.spark, folder, "posts").select("id", "symbol", "platform")
+    entailments = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(i == F.col("id").cast("long") % 9, 0.8).otherwise(F.lit(0.2)))
+    classified = S.classified(S.cleaned(good, as_of()), entailments, as_of())
+    S.drain(S.scored(classified, S.lexicon_scorer, as_of()), folder, S.store(folder))
+    return S.read(t.spark, folder, "posts").select("id", "symbol", "platform", "topic_id")
 
 
 @query(
@@ -77,3 +82,58 @@ def unseen_ids(t: Tables) -> DataFrame:
     ids = event_stream(t).select(F.col("event_type").alias("key"), F.explode(F.array(F.col("event_id").cast("string"), F.col("event_id").cast("string"))).alias("id"))
     S.drain(S.unseen(ids, "key", "id"), folder)
     return t.spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("n"))
+
+
+@query("str2_micro_batches", "SELECT count(*) AS n, 3::BIGINT AS batches FROM events")
+def micro_batches(t: Tables) -> DataFrame:
+    """Five files, two a batch, taken as they come until nothing is left."""
+    folder = S.scratch(t.spark)
+    t.raw("events").select("event_id").repartition(5).write.parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema("event_id long").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/n={number}")
+
+    running = S.follow(stream, folder, write, "0 seconds")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return t.spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("n"), F.count_distinct("batch").alias("batches"))
+
+
+@query("snk13_published", "SELECT id, symbol, '{\"type\":\"post\",\"id\":\"' || id || '\",\"symbol\":\"' || symbol || '\"}' AS envelope FROM posts")
+def published(t: Tables) -> DataFrame:
+    """An envelope of every stored post, written by the batch that stores it; a batch that comes again writes the same."""
+    folder = S.scratch(t.spark)
+    posts = event_stream(t).select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("symbol"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        envelope = F.to_json(F.struct(F.lit("post").alias("type"), "id", "symbol"))
+        batch.withColumn("envelope", envelope).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    S.drain(posts, folder, write)
+    return t.spark.read.parquet(f"{folder}/out").select("id", "symbol", "envelope")
+
+
+_CUT = "2024-01-17 10:20:00"
+
+
+@query("str16_scheduled_retention", _PRICES.format(bucket="date_trunc('hour', timestamp)", name="bucket_hour").replace("FROM quotes", f"FROM quotes WHERE timestamp < TIMESTAMP '{_CUT}'"))
+def scheduled_retention(t: Tables) -> DataFrame:
+    """A job that a scheduler starts: it folds the old quotes of what has come since its last run into versioned facts and ends.
+    A batch has a version of its own, so one that is delivered again changes nothing."""
+    folder = S.scratch(t.spark)
+    facts = K.Versions(t.spark, f"{folder}/facts")
+    rows = event_stream(t).select(F.col("event_type").alias("symbol"), "timestamp", F.col("value").alias("price"), F.col("user_id").cast("long").alias("volume"), F.when(F.col("event_id") % 2 == 0, "yahoo").otherwise("synthetic").alias("provider"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        seen = facts.current()
+        if seen > number:
+            return
+        old = calendar.with_equity_session(batch.where(F.col("timestamp") < F.lit(_CUT).cast("timestamp")), "timestamp", "market_session")
+        new = R.price_facts(old, "hour")
+        facts.publish(R.merge_price_facts(facts.read(), new, "hour") if seen else new, seen)
+
+    S.drain(rows, folder, write)
+    return shown_prices(facts.read())
