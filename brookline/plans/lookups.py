@@ -149,10 +149,12 @@ def bars_due(t: Tables) -> DataFrame:
     return t.raw("events").select("event_id", calendar.bar_due(F.col("ts").cast("timestamp"), calendar.ZONE, [1, 2, 3, 4, 5], 16 * 60, 15, done).alias("due"))
 
 
-@query("flt13_fundamental_symbols", "SELECT s FROM (VALUES ('NVDA'), ('MU')) t(s)")
+@query("flt13_fundamental_symbols", "SELECT DISTINCT upper(event_type) AS s FROM events WHERE user_id % 3 = 2")
 def fundamental_symbols(t: Tables) -> DataFrame:
-    """No futures and no indexes."""
-    s = t.spark.sql("SELECT upper(trim(s)) AS s FROM VALUES (' nvda'), ('ES=F'), ('^VIX'), ('mu ') AS t(s)")
+    """No futures and no indexes, in capitals; a third of the symbols comes as each."""
+    k, name = F.col("user_id") % 3, F.col("event_type")
+    raw = F.when(k == 0, F.concat(name, F.lit("=F"))).when(k == 1, F.concat(F.lit("^"), name)).otherwise(F.concat(F.lit(" "), name, F.lit(" ")))
+    s = t.raw("events").select(F.upper(F.trim(raw)).alias("s")).distinct()
     return s.where(~F.col("s").endswith("=F") & ~F.col("s").startswith("^"))
 
 

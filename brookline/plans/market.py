@@ -56,10 +56,11 @@ def polled_quotes(t: Tables) -> DataFrame:
     return t.quotes.where(~F.col("market_session").isin("closed", "futures_closed", "futures_break")).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
-@query("dt11_closed_month", "SELECT DATE '2023-12-01' AS start, DATE '2024-01-01' AS \"end\"")
+@query("dt11_closed_month", "SELECT o_orderkey, (date_trunc('month', o_orderdate) - INTERVAL 1 MONTH)::DATE AS start, date_trunc('month', o_orderdate)::DATE AS \"end\" FROM orders")
 def closed_month(t: Tables) -> DataFrame:
-    first, next_ = calendar.month_bounds(F.to_date(as_of()))
-    return t.spark.range(1).select(first.alias("start"), next_.alias("end"))
+    """The last month that was over on the day of each order."""
+    first, next_ = calendar.month_bounds(F.to_date("o_orderdate"))
+    return t.raw("orders").select("o_orderkey", first.cast("date").alias("start"), next_.cast("date").alias("end"))
 
 
 _HISTORY = """history AS (SELECT o_orderpriority AS symbol, o_orderdate::DATE AS day, round(avg(o_totalprice), 2) AS close FROM orders GROUP BY ALL),

@@ -9,10 +9,11 @@ from brookline.functions import stats
 from brookline.functions import text as X
 from brookline.operators import rollup as R
 from brookline.operators import sinks as K
+from brookline.plans import series as P
 from brookline.plans.facts import _OLD, CUTOFF, at
-from brookline.plans.registry import query
+from brookline.plans.registry import ORACLES, query
 from brookline.sources import adapters as A
-from brookline.sources.views import OUTLIER, TOPICS, Tables, as_of, ntz
+from brookline.sources.views import AS_OF, OUTLIER, TOPICS, Tables, as_of, ntz
 from brookline.streaming import stages as S
 
 
@@ -161,3 +162,14 @@ def dashboard(t: Tables) -> DataFrame:
         rows = rows.join(part, "symbol", "left")
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("positive", "neutral", "negative")]
     return rows.select("symbol", *counts, "topics", "posts", F.coalesce("market_rows", F.lit(0)).alias("market_rows"), ntz("quoted_at").alias("quoted_at"), "price")
+
+
+@query(
+    "correlation",
+    f"SELECT a.*, b.score, b.price, b.sentiment_index, c.support, c.resistance, c.support_pct, c.resistance_pct, d.low, d.high FROM ({ORACLES['mth20_correlation_summary']}) a JOIN ({ORACLES['mth19_current_opportunity']}) b USING (symbol) JOIN ({ORACLES['win6_levels']}) c ON c.symbol = a.symbol AND c.bucket_hour = TIMESTAMP '{AS_OF}' LEFT JOIN ({ORACLES['ui9_price_axis']}) d ON d.symbol = a.symbol",
+)
+def correlation(t: Tables) -> DataFrame:
+    """The summary beside the correlation series, one row a symbol: lag and strength, the current score, levels and the price axis."""
+    levels = P.levels(t).where(F.col("bucket_hour") == ntz(as_of())).select("symbol", "support", "resistance", "support_pct", "resistance_pct")
+    rows = P.correlation_summary(t).join(P.current_opportunity(t), "symbol").join(levels, "symbol").join(P.price_axis(t), "symbol", "left")
+    return rows.select("symbol", "max_r", "best_lag", "strength", "correlation_text", "score", "price", "sentiment_index", "support", "resistance", "support_pct", "resistance_pct", "low", "high")
