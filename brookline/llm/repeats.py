@@ -63,52 +63,129 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def stretches(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, gram, stretch hash) of the stretches of a text. Long texts are cut into chunks, the same everywhere in effect: a stretch may only be split in two."""
+Stretches = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def lots(texts: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Bounds of neighbouring texts with CHUNK bytes together at most, or of a single longer one: many short texts cost what a long one does."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > first and size + len(t) > CHUNK:
+            yield first, i
+            first, size = i, 0
+        size += len(t)
+    if len(texts) > first:
+        yield first, len(texts)
+
+
+def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts one after the other, a line feed after each, and where each starts."""
+    start = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    out = np.full(start[-1], 10, dtype=np.uint8)
+    for t, a in zip(texts, start):
+        out[a : a + len(t)] = t
+    return out, start
+
+
+def windows_of(data: np.ndarray, valid: np.ndarray) -> Stretches:
+    """(first window, last window, gram, stretch hash) of the stretches of valid windows."""
+    sums = prefix_sums(data)
+    place = np.arange(len(data) - GRAM + 1)
+    gram = span_hashes(sums, place, place + GRAM)
+    # the place in the low bits makes the leftmost of equal grams the smallest
+    low = np.uint64((CHUNK << 2) - 1)
+    least = sliding_min((gram & ~low) | place.astype(np.uint64), WINDOW - GRAM + 1)
+    new = valid.copy()
+    new[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
+    first = np.flatnonzero(new)
+    last = first + np.bincount(np.cumsum(new)[valid] - 1, minlength=len(first)) - 1 if len(first) else first
+    anchor = (least[first] & low).astype(np.int64)
+    return first, last, gram[anchor], mixed(span_hashes(sums, first, last + WINDOW) + (anchor - first).astype(np.uint64))
+
+
+def stretches_of(texts: list[np.ndarray]) -> list[Stretches]:
+    """The stretches of each text. Texts beyond CHUNK are cut into chunks, the same everywhere in effect: a stretch may only be split in two."""
+    out: list[Stretches] = []
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    for a, b in lots(texts):
+        if b == a + 1:
+            out.append(stretches(texts[a]))
+            continue
+        data, start = joined(texts[a:b])
+        if len(data) < WINDOW:
+            out += [none] * (b - a)
+            continue
+        valid = np.ones(len(data) - WINDOW + 1, dtype=bool)
+        for end in start[1:]:  # windows over the end of a text
+            valid[max(0, end - WINDOW) : end] = False
+        found = windows_of(data, valid)
+        cuts = np.searchsorted(found[0], start)
+        for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
+            out.append((found[0][x:y] - start[k], found[1][x:y] - start[k], found[2][x:y], found[3][x:y]))
+    return out
+
+
+def stretches(data: np.ndarray) -> Stretches:
+    """The stretches of one text, chunk by chunk."""
     parts = []
     for at in range(0, max(1, len(data) - WINDOW + 1), CHUNK):
         chunk = data[at : at + CHUNK + WINDOW - 1]
         if len(chunk) < WINDOW:
             continue
-        sums = prefix_sums(chunk)
-        place = np.arange(len(chunk) - GRAM + 1)
-        gram = span_hashes(sums, place, place + GRAM)
-        # the place in the low bits makes the leftmost of equal grams the smallest
-        least = sliding_min((gram & np.uint64(~((CHUNK << 1) - 1) & (2**64 - 1))) | place.astype(np.uint64), WINDOW - GRAM + 1)
-        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        last = np.append(first[1:] - 1, len(least) - 1)
-        anchor = (least[first] & np.uint64((CHUNK << 1) - 1)).astype(np.int64)
-        parts.append((first + at, last + at, gram[anchor], mixed(span_hashes(sums, first, last + WINDOW) + (anchor - first).astype(np.uint64))))
+        first, last, gram, kind = windows_of(chunk, np.ones(len(chunk) - WINDOW + 1, dtype=bool))
+        parts.append((first + at, last + at, gram, kind))
     if not parts:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def picked(data: np.ndarray, start: np.ndarray, end: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of runs with the least hash of a group of PASSAGE - RUN + 1 neighbours; valid: groups, by their first word."""
+    width = PASSAGE - RUN + 1
+    sums = prefix_sums(data[start[0] : end[-1]])
+    run = span_hashes(sums, start[: len(start) - RUN + 1] - start[0], end[RUN - 1 :] - start[0])
+    least = np.where(valid, sliding_min(run, width), np.uint64(0))
+    # a run is the least of a group that it is in if the greatest of these groups' minima is its own hash
+    padded = np.concatenate([np.zeros(width - 1, dtype=np.uint64), least, np.zeros(width - 1, dtype=np.uint64)])
+    at = np.flatnonzero(run == ~sliding_min(~padded, width))
+    return at, run[at]
+
+
 def sampled_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of the sampled runs of a text: those with the least hash among PASSAGE - RUN + 1 neighbours."""
+    """(first word, hash) of the sampled runs of a text."""
     start, end = word_spans(data)
-    width = PASSAGE - RUN + 1
     parts = []
     for at in range(0, len(start) - PASSAGE + 1, CHUNK):
         s, e = start[at : at + CHUNK + PASSAGE - 1], end[at : at + CHUNK + PASSAGE - 1]
-        sums = prefix_sums(data[s[0] : e[-1]])
-        run = span_hashes(sums, s[: len(s) - RUN + 1] - s[0], e[RUN - 1 :] - s[0])
-        least = sliding_min(run, width)
-        # a run is sampled if it is the least of a group that it is in: if the greatest of their minima is its own hash
-        padded = np.concatenate([np.zeros(width - 1, dtype=np.uint64), least, np.zeros(width - 1, dtype=np.uint64)])
-        most = ~sliding_min(~padded, width)
-        pick = np.flatnonzero(run == most)
-        parts.append((pick + at, run[pick]))
+        first, run = picked(data, s, e, np.ones(len(s) - PASSAGE + 1, dtype=bool))
+        parts.append((first + at, run))
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def shared_words(data: np.ndarray, shared: list[int] | None) -> int:
-    """Words of a text in sampled runs that another document has."""
+def sampled_runs_of(texts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The sampled runs of each text, many short texts at a time."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for a, b in lots(texts):
+        data, begin = joined(texts[a:b])
+        start, end = word_spans(data)
+        if b == a + 1 or len(start) < PASSAGE:
+            out += [sampled_runs(t) for t in texts[a:b]]
+            continue
+        owner = np.searchsorted(begin, start, side="right") - 1
+        at, run = picked(data, start, end, owner[PASSAGE - 1 :] == owner[: len(owner) - PASSAGE + 1])
+        words = np.searchsorted(start, begin)  # the first word of each text
+        cuts = np.searchsorted(at, words)
+        out += [(at[x:y] - words[k], run[x:y]) for k, (x, y) in enumerate(zip(cuts, cuts[1:]))]
+    return out
+
+
+def shared_words(runs: tuple[np.ndarray, np.ndarray], shared: list[int] | None) -> int:
+    """Words of a text in those of its sampled runs that another document has."""
     if not shared:
         return 0
-    at, run = sampled_runs(data)
+    at, run = runs
     at = np.unique(at[np.isin(run.view(np.int64), np.array(shared, dtype=np.int64))])
     return int(np.minimum(np.diff(at, append=at[-1:] + RUN), RUN).sum())
 
@@ -128,7 +205,7 @@ def scanned(docs: DataFrame, text: str, carry: list[str] | None) -> DataFrame:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
                 texts = [bytes_of(t.as_py()) for t in batch.column("text")]
-                found = [(*stretches(t)[2:], np.unique(sampled_runs(t)[1])) for t in texts]
+                found = [(*x[2:], np.unique(runs)) for x, (_, runs) in zip(stretches_of(texts), sampled_runs_of(texts))]
                 own = [pa.array([f[k].view(np.int64) for f in found], pa.list_(pa.int64())) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=schema.fieldNames())
 
@@ -140,15 +217,16 @@ class Shard:
 
     def __init__(self, symbol: np.ndarray, follower: np.ndarray, before: np.ndarray, nodes: np.ndarray):
         """nodes: the shard's suffixes; symbol, follower (its next suffix) and before (the symbol before it) by suffix."""
-        rank = np.zeros(len(symbol), dtype=np.int64)
-        rank[nodes] = np.unique(symbol[nodes], return_inverse=True)[1]
-        ahead, width = follower, 1
-        while width < WINDOW // STEP:  # prefix doubling: ranks by 1, 2, 4, ... symbols
-            key = rank[nodes] * (len(nodes) + 1) + np.where(ahead[nodes] >= 0, rank[ahead[nodes]] + 1, 0)
+        rank, ahead, width = symbol.astype(np.int64), follower, 1  # symbols are in order already
+        while True:  # prefix doubling: ranks by 1, 2, 4, ... symbols
+            key = rank[nodes] * (int(rank.max(initial=0)) + 2) + np.where(ahead[nodes] >= 0, rank[ahead[nodes]] + 1, 0)
+            width *= 2
+            if width >= WINDOW // STEP:
+                break
+            rank = np.zeros(len(symbol), dtype=np.int64)
             rank[nodes] = np.unique(key, return_inverse=True)[1]
             ahead = np.where(ahead >= 0, ahead[ahead], -1)
-            width *= 2
-        self.order = nodes[np.argsort(rank[nodes], kind="stable")]
+        self.order = nodes[np.argsort(key, kind="stable")]
         self.transform = before[self.order]
 
 
@@ -271,11 +349,10 @@ def fetched(table: DataFrame, chosen: DataFrame) -> DataFrame:
     texts = table.select("uid", "text").join(lists, "uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
             out: list[tuple] = []
-            for uid, text, some in zip(batch.column("uid").to_pylist(), batch.column("text"), batch.column("chosen").to_pylist()):
-                data = bytes_of(text.as_py())
-                first, last, gram, kind = stretches(data)
+            texts = [bytes_of(t.as_py()) for t in batch.column("text")]
+            for uid, data, some, (first, last, gram, kind) in zip(batch.column("uid").to_pylist(), texts, batch.column("chosen").to_pylist(), stretches_of(texts)):
                 place = places(gram, kind)
                 for c in some:
                     at = place[c["gram"], c["kind"]][0]
@@ -344,11 +421,11 @@ def shared_runs(table: DataFrame) -> DataFrame:
     return every.join(several, "run").groupBy("uid").agg(F.collect_list("run").alias("shared"))  # of one text each
 
 
-def covered(data: np.ndarray, spans: list[dict] | None) -> np.ndarray:
-    """Which bytes repeated windows cover."""
+def covered(data: np.ndarray, spans: list[dict] | None, own: Stretches | None) -> np.ndarray:
+    """Which bytes repeated windows cover; own: the text's stretches, if it has spans."""
     change = np.zeros(len(data) + 1, dtype=np.int64)
     if spans:
-        first, last, gram, kind = stretches(data)
+        first, last, gram, kind = own
         place = places(gram, kind)
         for s in spans:
             for at in place[s["gram"], s["kind"]]:
@@ -370,13 +447,16 @@ def without_repeats(docs: DataFrame, text: str = "text", carry: list[str] | None
     schema = T.StructType(fields + ([T.StructField("kept", T.BinaryType())] if with_kept else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
             rows = []
-            for text, spans, shared in zip(batch.column("text"), batch.column("spans"), batch.column("shared")):
-                data = bytes_of(text.as_py())
-                gone = covered(data, spans.as_py())
+            texts, spans_of, shared_of = [bytes_of(t.as_py()) for t in batch.column("text")], batch.column("spans").to_pylist(), batch.column("shared").to_pylist()
+            some, others = [i for i, x in enumerate(spans_of) if x], [i for i, x in enumerate(shared_of) if x]
+            own = dict(zip(some, stretches_of([texts[i] for i in some])))
+            runs_of = dict(zip(others, sampled_runs_of([texts[i] for i in others])))
+            for i, (data, spans, shared) in enumerate(zip(texts, spans_of, shared_of)):
+                gone = covered(data, spans, own.get(i))
                 kept = data[~gone].tobytes()
-                rows.append((len(data), int(gone.sum()), len(intervals(gone)) // 2, hashlib.sha256(kept).hexdigest(), shared_words(data, shared.as_py()), kept))
+                rows.append((len(data), int(gone.sum()), len(intervals(gone)) // 2, hashlib.sha256(kept).hexdigest(), shared_words(runs_of.get(i), shared), kept))
             columns = list(zip(*rows)) if rows else [()] * 6
             arrays = [batch.column("row"), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string()), pa.array(columns[4], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(columns[5], pa.binary())] if with_kept else []), names=schema.fieldNames())

@@ -287,8 +287,25 @@ def test_every_passage_holds_a_sampled_run(monkeypatch):
     assert len(at) < 4000 / 8
     monkeypatch.setattr(repeats, "CHUNK", 100)  # cut in many parts, the same runs are sampled
     assert (np.unique(repeats.sampled_runs(data)[0]) == at).all()
-    assert repeats.shared_words(data, run[:1].view(np.int64).tolist()) == 30 and repeats.shared_words(data, run.view(np.int64).tolist()) >= 3900
-    assert [len(x) for x in repeats.sampled_runs(data[:100])] == [0, 0] and repeats.shared_words(data, []) == 0
+    some = lambda r: repeats.shared_words((at, run), r.view(np.int64).tolist())
+    assert some(run[:1]) == 30 and some(run) >= 3900 and some(run[:0]) == 0
+    assert [len(x) for x in repeats.sampled_runs(data[:100])] == [0, 0]
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 3000])
+def test_texts_at_a_time_and_one_by_one(monkeypatch, chunk):
+    """Stretches and sampled runs of a text do not depend on the texts beside it."""
+    rng = np.random.default_rng(6)
+    texts = [np.frombuffer(" ".join(f"w{x}" for x in rng.integers(0, 50, n)).encode() + b" " * (n % 3), dtype=np.uint8) for n in (0, 1, 60, 300, 0, 49, 50, 51, 130, 2000, 3, 100, 99, 120, 55)]
+    texts += [texts[3], np.full(900, 97, dtype=np.uint8), np.full(399, 97, dtype=np.uint8), np.full(400, 97, dtype=np.uint8)]
+    alone = [(repeats.stretches(t), repeats.sampled_runs(t)) for t in texts]
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    if chunk > 10_000:
+        for (x, y), p, q in zip(alone, repeats.stretches_of(texts), repeats.sampled_runs_of(texts)):
+            assert all((m == n).all() and len(m) == len(n) for m, n in zip((*x, *y), (*p, *q)))
+    for t, p, q in zip(texts, repeats.stretches_of(texts), repeats.sampled_runs_of(texts)):
+        assert p[0].tolist() == sorted(p[0]) and (not len(p[0]) or (p[0][0] == 0 and p[1][-1] == len(t) - 400 and (p[0][1:] == p[1][:-1] + 1).all()))
+        assert set(q[1].tolist()) == set(repeats.sampled_runs(t)[1].tolist())
 
 
 def test_merged_transforms_sort_all_suffixes():
