@@ -43,6 +43,8 @@ from brookline.llm.similarity_join import grouped
 
 WINDOW, STEP, GRAM, HOT, CHUNK = 400, 100, 32, 2_000, 1 << 20
 PASSAGE, RUN = 50, 30
+#: Bytes of neighbouring texts that are handled at a time: their arrays stay in a core's cache.
+LOT = 1 << 16
 #: Suffixes that are merged at a time; more grams than that go one after the other.
 SUFFIXES_PER_MERGE = 1_500_000
 
@@ -67,10 +69,10 @@ Stretches = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def lots(texts: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Bounds of neighbouring texts with CHUNK bytes together at most, or of a single longer one: many short texts cost what a long one does."""
+    """Bounds of neighbouring texts with LOT bytes together at most, or of a single longer one: many short texts cost what a long one does."""
     first, size = 0, 0
     for i, t in enumerate(texts):
-        if i > first and size + len(t) > CHUNK:
+        if i > first and size + len(t) > LOT:
             yield first, i
             first, size = i, 0
         size += len(t)
