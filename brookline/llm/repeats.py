@@ -46,7 +46,7 @@ PASSAGE, RUN = 50, 30
 #: Bytes of neighbouring texts that are handled at a time: their arrays stay in a core's cache.
 LOT = 1 << 16
 #: Suffixes that are merged at a time; more grams than that go one after the other.
-SUFFIXES_PER_MERGE = 1_500_000
+SUFFIXES_PER_MERGE = 300_000
 
 
 def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -276,8 +276,8 @@ def repeated_windows(texts: list[bytes], weight: np.ndarray, shard: np.ndarray)
     owner = np.repeat(np.arange(len(texts)), places)
     at = np.arange(len(owner)) + (owner * (STEP - 1))  # their bytes
     code = span_hashes(prefix_sums(data), at, at + STEP)
-    slot = (code >> np.uint64(42)).astype(np.int64)
-    often = np.bincount(slot, weights=weight[owner], minlength=1 << 22)[slot] > 1  # all symbols that occur twice, and a few more
+    slot = (code >> np.uint64(61 - len(code).bit_length())).astype(np.int64)
+    often = np.bincount(slot, weights=weight[owner])[slot] > 1  # all symbols that occur twice, and a few more
     ahead = (first + places)[owner] - np.arange(len(owner)) > (rounds - 1) * STEP
     begins = often & ahead  # windows over such symbols only
     for i in range(1, rounds):
