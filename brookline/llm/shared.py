@@ -15,6 +15,7 @@ from brookline.session import shared_folder, spread
 
 #: A word of the contracts, as a pattern that Java, DuckDB and Python read alike.
 WORD = r"[^\x20\x09-\x0D]+"
+ROWS_PER_RANGE = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -153,10 +154,13 @@ def running_rank(df: DataFrame, keys: list[str], bucket: str, order: list[Column
 def ordered_rank(df: DataFrame, order: list[Column], *values: str) -> DataFrame:
     """running_rank() over all rows in any order: adds `before` and `whole`, for each value before_<value> and whole_<value>.
 
-    Ranges of the order are the buckets, so no task sorts all rows.
+    Ranges of the order, of ROWS_PER_RANGE rows or so, are the buckets, so no task sorts all rows.
     """
-    parts = tasks_for(df.sparkSession, df.count(), 50_000)
-    ranked = stage(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    parts = -(-df.count() // ROWS_PER_RANGE)
+    if parts <= 1:
+        ranked = df.withColumn("_range", F.lit(0))
+    else:
+        ranked = stage(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     for v in values or [None]:
         ranked = running_rank(ranked, [], "_range", order, v)
         if v:

@@ -155,8 +155,10 @@ def test_documents_are_included_as_often_as_their_probability_says(spark, monkey
     assert max(abs(seen[x] - p) for x, p in zip(lengths, want)) < 0.11 and np.mean([seen[x] - p for x, p in zip(lengths, want)]) == pytest.approx(0, abs=0.02)
 
 
-def test_many_sources_have_the_targets_of_a_few(spark):
-    """Every source of its own: targets agree with resharing by hand."""
+@pytest.mark.parametrize("rows", [50_000, 40])
+def test_many_sources_have_the_targets_of_a_few(spark, monkeypatch, rows):
+    """Targets agree with resharing by hand, in one range of sources and in many."""
+    monkeypatch.setattr(shared, "ROWS_PER_RANGE", rows)
     sizes = [(k * 7919) % 97 + 1 for k in range(300)]
     rows = [(f"s{k:03}", n) for k, n in enumerate(sizes)]
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
