@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from brookline.llm import exact_dedup, html_text, katz, mixing, packing, quality, repeats, sharding, similarity_join, toxicity
+from brookline.llm import exact_dedup, html_text, katz, mixing, packing, quality, repeats, resampling, sharding, similarity_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": html_text.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_grammar": toxicity.query,
     "op9_dominance_packing": packing.query,
     "op10_extendible_dedup": exact_dedup.query,
+    "op11_importance_resampling": resampling.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -27,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op2_interleaved_shards": sharding.SQL,
     "op3_pareto_mix": mixing.SQL,
     "op10_extendible_dedup": exact_dedup.SQL,
+    "op11_importance_resampling": resampling.SQL,
 }
