@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from brookline.llm import exact_dedup, html_text, katz, mixing, packing, quality, repeats, resampling, sharding, similarity_join, toxicity
+from brookline.llm import byte_bpe, conversation_trie, exact_dedup, html_text, katz, mixing, packing, quality, repeats, resampling, sharding, similarity_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": html_text.query,
@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_dominance_packing": packing.query,
     "op10_extendible_dedup": exact_dedup.query,
     "op11_importance_resampling": resampling.query,
+    "op12_byte_bpe": byte_bpe.query,
+    "op13_conversation_trie": conversation_trie.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -29,4 +31,5 @@ ORACLES: dict[str, str] = {
     "op3_pareto_mix": mixing.SQL,
     "op10_extendible_dedup": exact_dedup.SQL,
     "op11_importance_resampling": resampling.SQL,
+    "op13_conversation_trie": conversation_trie.SQL,
 }
