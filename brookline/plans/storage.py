@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brookline.operators import sinks as K
+from brookline.operators.store import Store, insert, retention
+from brookline.plans.facts import _CHALLENGE, _OLD, _PLATFORMS, _SAMPLE, CUTOFF, at
 from brookline.plans.registry import query
 from brookline.sources.views import AS_OF, Tables, as_of, ntz
+from brookline.streaming import stages as S
 
 _SPLIT = "old AS (SELECT id, symbol, platform, engagement FROM posts WHERE id::BIGINT % 3 <> 0), batch AS (SELECT id, symbol, platform, engagement + 1000 AS engagement FROM posts WHERE id::BIGINT % 2 = 0)"
 
@@ -117,3 +120,46 @@ def pruned_links(t: Tables) -> DataFrame:
     orders = t.raw("orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").cast("timestamp").alias("at"))
     events = K.purge(orders, "at", F.lit("2001-08-01 00:00:00").cast("timestamp"), 366)
     return orders.join(events.select("event_id"), "event_id", "left_semi").select("event_id")
+
+
+@query(
+    "ret6_one_commit",
+    f"""old AS (SELECT *, date_trunc('hour', timestamp) AS hour FROM posts WHERE {_OLD}), f AS (SELECT count(*) AS n FROM old GROUP BY hour, symbol, platform, topic_id, topic_model_hash, sentiment_model_hash)
+SELECT 'posts' AS name, count(*) AS n, count(*) AS posts FROM posts WHERE NOT {_OLD} UNION ALL SELECT 'facts', count(*), coalesce(sum(n), 0)::BIGINT FROM f UNION ALL SELECT 'snapshots', count(*), coalesce(sum(n), 0)::BIGINT FROM f
+UNION ALL SELECT 'labels', count(DISTINCT (symbol, hour)), count(*) FROM old UNION ALL SELECT 'staged', count(*), count(*) FROM ({_SAMPLE} AND {_OLD} UNION ALL {_CHALLENGE.replace('>= 95', '>= 100').replace('>= 0.5', '>= 0.8')} AND {_OLD})
+UNION ALL SELECT 'runs', count(DISTINCT (symbol, hour)), count(*) FROM old""",
+)
+def one_commit(t: Tables) -> DataFrame:
+    """Two retention runs at the same time over one store: each post is folded once, and all tables change in one commit."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = Store(t.spark, S.scratch(t.spark))
+    for part in range(2):
+        store.transact(lambda tx: insert(tx, "posts", t.posts.where(F.col("id").cast("long") % 2 == part), S.IDENTITY, "timestamp"))  # noqa: B023
+    run = lambda name: retention(store, at(CUTOFF), as_of(), name, list(_PLATFORMS), 0.25)
+    with ThreadPoolExecutor(2) as pool:
+        done = list(pool.map(run, ("run-1", "run-2")))
+    now = store.snapshot()
+    rows = lambda name, posts: now.read(name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.coalesce(posts, F.lit(0)).cast("long").alias("posts"))
+    out = t.spark.createDataFrame([("runs", sum(d[0] for d in done), sum(d[1] for d in done))], "name string, n long, posts long")
+    classes = F.sum(F.col("positive_count") + F.col("neutral_count") + F.col("negative_count"))
+    for name, posts in (("posts", F.count("*")), ("facts", F.sum("post_count")), ("snapshots", F.sum("post_count")), ("labels", classes), ("staged", F.count("*"))):
+        out = out.unionByName(rows(name, posts))
+    return out
+
+
+@query(
+    "str5_known_identities",
+    "SELECT b.batch, count(*) AS received, count(*) FILTER (id::BIGINT % 4 < b.batch) AS duplicates FROM posts, (SELECT unnest([0, 1, 2, 3])::INT AS batch) b WHERE id::BIGINT % 4 = b.batch OR (id::BIGINT % 4 < b.batch AND id::BIGINT % 12 < 2) GROUP BY ALL",
+)
+def known_identities(t: Tables) -> DataFrame:
+    """Four batches; each brings its own posts and some that batches before it had, a day later: the identity decides, not the time."""
+    folder = S.scratch(t.spark)
+    write, n = S.store(folder), F.col("id").cast("long")
+    score = F.create_map(F.lit("positive"), F.col("p_pos"), F.lit("neutral"), F.col("p_neu"), F.lit("negative"), F.col("p_neg"))
+    posts = t.posts.withColumn("scores", score)
+    for k in range(4):
+        late = F.when(n % 4 < k, F.col("timestamp") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("timestamp"))
+        write(posts.where((n % 4 == k) | (n % 4 < k) & (n % 12 < 2)).withColumn("timestamp", late), k)
+    stored = S.read(t.spark, folder, "posts").groupBy((n % 4).cast("int").alias("batch")).agg(F.count("*").alias("stored"))
+    return S.read(t.spark, folder, "quality").join(stored, "batch").select("batch", (F.col("stored") + F.col("duplicates")).alias("received"), "duplicates")

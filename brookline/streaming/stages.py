@@ -19,12 +19,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from brookline import session
 from brookline.functions import stats, text
 from brookline.operators import sinks
+from brookline.operators.store import Store, Transaction, insert
 from brookline.sources.views import OUTLIER, TOPICS
 
 RAW = "id string, symbol string, platform string, text string, timestamp timestamp, engagement int, ingested_at timestamp, engagement_observed_at timestamp, source_schema_version int, pipeline_git_commit string"
 IDENTITY = ["platform", "id", "symbol"]
-#: Stored posts are dealt into so many folders by their identity; a batch looks for its posts in those that it touches.
-BUCKETS = 256
 SEEN_IDS = 2000
 ERROR_CHARS = 500
 
@@ -100,46 +99,43 @@ def permanent_fault(tolerance: float = 1e-4) -> Column:
     return F.when(missing, "missing identity or time").when(~valid(tolerance), "invalid scores")
 
 
-def store(folder: str) -> Callable[[DataFrame, int], None]:
+def store(folder: str, source: str = "stream") -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: posts that can never be stored go to dead letters with the reason, row by row; known identities are
-    counted as duplicates, the rest is appended.
+    counted as duplicates, the rest is appended. All tables, and the number of the batch, are one commit.
 
     Any other failure is taken for transient and raised, so the stream stops and its checkpoint delivers the batch again.
-    The tables are folders by batch number, so a batch that is delivered again overwrites itself.
+    A batch of a source that was committed changes nothing when it is delivered again; streams with checkpoints of their own
+    need a `source` of their own.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         batch = batch.withColumn("text", text.without_nul(F.col("text"))).withColumn("_fault", permanent_fault()).persist()
-        try:
-            place = F.pmod(F.xxhash64(*IDENTITY), F.lit(BUCKETS)).cast("int")
-            ok = batch.where("_fault IS NULL").drop("_fault").withColumn("bucket", place)
-            known = read(spark, folder, "posts", number)
-            if known is not None:
-                touched = [r["bucket"] for r in ok.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-                known = known.where(F.col("bucket").isin(touched))
-            new = sinks.fresh(ok.limit(0) if known is None else known, ok, IDENTITY, F.col("timestamp"))
-            new.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/posts/batch={number}")
-            dead = batch.where("_fault IS NOT NULL")
-            dead_letters(dead, F.to_json(F.struct(*IDENTITY, "text")), "store", F.col("_fault")).write.mode("overwrite").parquet(f"{folder}/dead/batch={number}")
-            stored = new.count()
+
+        def change(tx: Transaction) -> None:
+            if tx.manifest["notes"].get(source, -1) >= number:
+                return
+            tx.manifest["notes"][source] = number
+            ok = batch.where("_fault IS NULL").drop("_fault")
+            stored = insert(tx, "posts", ok, IDENTITY, "timestamp")
+            dead = dead_letters(batch.where("_fault IS NOT NULL"), F.to_json(F.struct(*IDENTITY, "text")), "store", F.col("_fault"))
+            if not dead.isEmpty():
+                tx.append("dead", dead)
             one = F.when(F.min("platform") == F.max("platform"), F.min("platform")).otherwise("mixed")
-            ok.agg(one.alias("platform"), (F.count("*") - stored).alias("duplicates")).write.mode("overwrite").parquet(f"{folder}/quality/batch={number}")
+            files = F.lit(len(tx.opened))
+            tx.append("quality", ok.agg(one.alias("platform"), (F.count("*") - stored).alias("duplicates"), files.alias("opened")).withColumn("batch", F.lit(number)))
+
+        try:
+            Store(batch.sparkSession, folder).transact(change)
         finally:
             batch.unpersist()
 
     return write
 
 
-def read(spark: SparkSession, folder: str, table: str, before: int | None = None) -> DataFrame | None:
-    """A table of store(), without the batch `before` and later ones; None if there is nothing."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}/batch=*/{'bucket=*/' if table == 'posts' else ''}*.parquet")):
-        return None
-    df = spark.read.option("basePath", f"{folder}/{table}").parquet(f"{folder}/{table}")
-    return df if before is None else df.where(F.col("batch") < before)
+def read(spark: SparkSession, folder: str, table: str) -> DataFrame | None:
+    """A table of store(); None if nothing was committed."""
+    kept = Store(spark, folder)
+    return kept.snapshot().read(table) if kept.current() else None
 
 
 def unseen(items: DataFrame, key: str, id_: str, most: int = SEEN_IDS) -> DataFrame:
