@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from brookline.functions import calendar, stats
 from brookline.operators import rollup as R
+from brookline.operators import selection
 from brookline.operators import sinks as K
 from brookline.plans.facts import _PRICES, at, shown_prices
 from brookline.plans.registry import query
@@ -124,8 +125,8 @@ def pearson_and_beta(t: Tables) -> DataFrame:
 
 @query("mth4_price_percentiles", "SELECT symbol, timestamp::DATE AS day, list_sort(list(price))[floor((count(*) - 1) * 0.05)::INT + 1] AS p05, list_sort(list(price))[floor((count(*) - 1) * 0.95)::INT + 1] AS p95 FROM quotes GROUP BY ALL")
 def price_percentiles(t: Tables) -> DataFrame:
-    days = t.quotes.groupBy("symbol", F.to_date("timestamp").alias("day")).agg(F.collect_list("price").alias("p"))
-    return days.select("symbol", "day", stats.percentile(F.col("p"), 0.05).alias("p05"), stats.percentile(F.col("p"), 0.95).alias("p95"))
+    prices = t.quotes.select("symbol", F.to_date("timestamp").alias("day"), "price")
+    return selection.at_ranks(prices, ["symbol", "day"], "price", {"p05": selection.floor_rank(0.05), "p95": selection.floor_rank(0.95)})
 
 
 _DAYS = "d AS (SELECT symbol, day, CASE WHEN day(day) % 4 <> 0 THEN close END AS v FROM closes)"

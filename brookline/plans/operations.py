@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookline.functions import stats
 from brookline.functions import text as X
 from brookline.operators import rollup as R
+from brookline.operators import selection
 from brookline.operators import sinks as K
 from brookline.plans import series as P
 from brookline.plans.facts import _OLD, CUTOFF, at
@@ -95,8 +95,15 @@ def classified(t: Tables) -> DataFrame:
 @query("mth24_nearest_ranks", "SELECT symbol, timestamp::DATE AS day, list_sort(list(price))[ceil(0.5 * count(*))::INT] AS p50, list_sort(list(price))[ceil(0.95 * count(*))::INT] AS p95 FROM quotes GROUP BY ALL")
 def nearest_ranks(t: Tables) -> DataFrame:
     """Median and 95th percentile by nearest rank, of each symbol's prices of a day."""
-    lists = t.quotes.groupBy("symbol", F.to_date("timestamp").alias("day")).agg(F.collect_list("price").alias("p"))
-    return lists.select("symbol", "day", stats.nearest_rank(F.col("p"), 50).alias("p50"), stats.nearest_rank(F.col("p"), 95).alias("p95"))
+    prices = t.quotes.select("symbol", F.to_date("timestamp").alias("day"), "price")
+    return selection.at_ranks(prices, ["symbol", "day"], "price", {"p50": selection.nearest_rank(50), "p95": selection.nearest_rank(95)})
+
+
+@query("udaf1_price_ranks_of_symbols", "SELECT symbol, list_sort(list(price))[floor((count(*) - 1) * 0.1)::INT + 1] AS p10, list_sort(list(price))[ceil(0.5 * count(*))::INT] AS p50, max(price) AS top FROM quotes GROUP BY symbol")
+def price_ranks_of_symbols(t: Tables) -> DataFrame:
+    """Ranks of all prices of a symbol, of which there are more than a task may hold: sketches and counts find them."""
+    ranks = {"p10": selection.floor_rank(0.1), "p50": selection.nearest_rank(50), "top": selection.floor_rank(1.0)}
+    return selection.at_ranks(t.quotes, ["symbol"], "price", ranks)
 
 
 @query("agg26_rollup_counters", f"SELECT (SELECT count(*) FROM posts WHERE {_OLD}) AS posts, count(*) AS quotes, count(DISTINCT (symbol, date_trunc('hour', timestamp))) AS hours, count(DISTINCT (symbol, timestamp::DATE)) AS days FROM quotes WHERE timestamp < TIMESTAMP '{CUTOFF}'")
