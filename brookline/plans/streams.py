@@ -10,8 +10,9 @@ from brookline.operators import rollup as R
 from brookline.operators import sinks as K
 from brookline.plans.facts import _PRICES, shown_prices
 from brookline.plans.registry import query
-from brookline.sources.views import Tables, as_of, ntz
+from brookline.sources.views import PLATFORMS, Tables, as_of, ntz
 from brookline.streaming import stages as S
+from brookline.streaming import stateful as M
 
 
 def event_stream(t: Tables, files: int = 4) -> DataFrame:
@@ -137,3 +138,110 @@ def scheduled_retention(t: Tables) -> DataFrame:
 
     S.drain(rows, folder, write)
     return shown_prices(facts.read())
+
+
+@query(
+    "str2_batches_by_count_or_idle",
+    "c AS (SELECT event_id % 4 AS lane, count(*) AS n FROM events GROUP BY ALL) SELECT lane, 'full' AS reason, n // 32 AS batches, n // 32 * 32 AS n, 32 AS largest FROM c WHERE n >= 32 UNION ALL SELECT lane, 'idle', 1, n % 32, n % 32 FROM c WHERE n % 32 > 0",
+)
+def batches_by_count_or_idle(t: Tables) -> DataFrame:
+    """Batches of 32; what is left of a lane goes when it has been idle for a second."""
+    folder = S.scratch(t.spark)
+    items = event_stream(t).select((F.col("event_id") % 4).alias("lane"), "event_id", "timestamp")
+
+    written: dict[int, int] = {}
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/n={number}")
+        written[number] = batch.sparkSession.read.parquet(f"{folder}/out/n={number}").count()
+
+    running, total = S.follow(M.in_batches(items, "lane"), folder, write, "2 seconds"), t.raw("events").count()
+    try:
+        for _ in range(90):  # the timers are those of the wall clock; such a stream is never through
+            if sum(written.values()) >= total and not running.status["isTriggerActive"] or running.awaitTermination(0.5):
+                break
+    finally:
+        running.stop()
+    batches = t.spark.read.parquet(f"{folder}/out").groupBy("lane", "batch", "reason").agg(F.count("*").alias("n"))
+    return batches.groupBy("lane", "reason").agg(F.count("*").alias("batches"), F.sum("n").alias("n"), F.max("n").alias("largest"))
+
+
+@query(
+    "str6_evicted_ids",
+    "c AS (SELECT event_type AS key, count(*) AS n FROM events GROUP BY ALL) SELECT key, n + (SELECT greatest(min(n) // 2, 1) FROM c) AS passed FROM c",
+)
+def evicted_ids(t: Tables) -> DataFrame:
+    """A cursor with room for half of the rarest key's ids. Of each key two blocks of as many come after the rest; the first one again,
+    which is new as the second has displaced it, and again, which is not."""
+    from pyspark.sql import Window as W
+
+    folder = S.scratch(t.spark)
+    ids = t.raw("events").select(F.col("event_type").alias("key"), F.col("event_id").cast("string").alias("id"), "event_id")
+    most = max(1, (ids.groupBy("key").count().agg(F.min("count")).first()[0] or 0) // 2)
+    ranked = ids.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy("event_id"))).select("key", "id", F.when(F.col("k") <= most, 0).when(F.col("k") <= 2 * most, 1).otherwise(2).alias("block"))
+    ranked.write.partitionBy("block").parquet(f"{folder}/blocks")
+    for block in (2, 0, 1, 0, 0):
+        t.spark.read.schema("key string, id string, block int").parquet(f"{folder}/blocks").where(F.col("block") == block).drop("block").write.mode("append").parquet(f"{folder}/in")
+        S.drain(S.unseen(t.spark.readStream.schema("key string, id string").parquet(f"{folder}/in"), "key", "id", most), f"{folder}/q")
+    return t.spark.read.parquet(f"{folder}/q/out").groupBy("key").agg(F.count("*").alias("passed"))
+
+
+@query("str11_newest_posts", "p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC, id DESC) AS place, count(*) FILTER (sentiment = 'positive') OVER (PARTITION BY symbol) AS positive, count(*) FILTER (sentiment = 'neutral') OVER (PARTITION BY symbol) AS neutral, count(*) FILTER (sentiment = 'negative') OVER (PARTITION BY symbol) AS negative FROM posts) SELECT symbol, place::INT AS place, id, positive, neutral, negative FROM p WHERE place <= 500")
+def newest_posts(t: Tables) -> DataFrame:
+    """The newest 500 posts of each symbol beside the counts, after three batches of which the first has the newest."""
+    folder = S.scratch(t.spark)
+    for k in (2, 0, 1):
+        part = t.posts.where(F.col("id").cast("long") % 3 == k)
+        part.select("symbol", "timestamp", "id", "sentiment").write.mode("append").parquet(f"{folder}/in")
+        stream = t.spark.readStream.schema("symbol string, timestamp timestamp, id string, sentiment string").parquet(f"{folder}/in")
+        S.drain(M.newest(stream, "symbol"), f"{folder}/q", lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}"), "update")
+    out = t.spark.read.parquet(f"{folder}/out")
+    last = out.groupBy("key").agg(F.max("batch").alias("batch"))
+    return out.join(last, ["key", "batch"]).select(F.col("key").alias("symbol"), "place", "id", "positive", "neutral", "negative")
+
+
+#: A listener's turn after batch k: from where it is, or the oldest message of the buffer, as many as it takes.
+_TURN = """s{k} AS (SELECT channel, listener, most, beg + least(head - beg, most) AS cur, delivered + least(head - beg, most) AS delivered, skipped + beg - cur AS skipped
+  FROM (SELECT p.*, head, greatest(cur, head - 256) AS beg FROM ({before}) p JOIN h USING (channel) WHERE b = {k}))"""
+_NEW = "SELECT DISTINCT channel, '{0}' AS listener, {1}::BIGINT AS most, 0::BIGINT AS cur, 0::BIGINT AS delivered, 0::BIGINT AS skipped FROM h"
+
+
+@query(
+    "str12_fan_out",
+    "n AS (SELECT event_type AS channel, event_id % 3 AS b, count(*) AS n FROM events GROUP BY ALL), h AS (SELECT c.channel, k.b, coalesce(sum(n.n), 0)::BIGINT AS head FROM (SELECT DISTINCT channel FROM n) c, (SELECT unnest([0, 1, 2]) AS b) k LEFT JOIN n ON n.channel = c.channel AND n.b <= k.b GROUP BY ALL), "
+    + ", ".join([
+        _TURN.format(k=0, before=_NEW.format("steady", 256) + " UNION ALL " + _NEW.format("slow", 100)),
+        _TURN.format(k=1, before="SELECT * FROM s0"),
+        _TURN.format(k=2, before="SELECT * FROM s1 UNION ALL " + _NEW.format("late", 256)),
+    ])
+    + " SELECT channel, listener, delivered, skipped FROM s2",
+)
+def fan_out(t: Tables) -> DataFrame:
+    """Three batches of messages; of the listeners one keeps up with the buffer, one takes 100 each time, one comes at the end. Those that lag skip, and learn how many."""
+    folder = S.scratch(t.spark)
+    schema = "channel string, listener string, at timestamp, id string, payload string, most long"
+    channels = t.raw("events").select(F.col("event_type").alias("channel")).distinct()
+    for k in range(3):
+        told = t.raw("events").where(F.col("event_id") % 3 == k).select(F.col("event_type").alias("channel"), F.lit(None).cast("string").alias("listener"), F.col("ts").cast("timestamp").alias("at"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"), F.col("event_id").cast("string").alias("payload"), F.lit(None).cast("long").alias("most"))
+        takers = {"steady": 256, "slow": 100} | ({"late": 256} if k == 2 else {})
+        asked = channels.select("channel", F.explode(F.create_map(*[F.lit(x) for p in takers.items() for x in p])).alias("listener", "most"))
+        polls = asked.select("channel", "listener", F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("payload"), F.col("most").cast("long"))
+        told.union(polls).write.mode("append").parquet(f"{folder}/in")
+        S.drain(M.fan_out(t.spark.readStream.schema(schema).parquet(f"{folder}/in")), f"{folder}/q")
+    out = t.spark.read.parquet(f"{folder}/q/out")
+    return out.groupBy("channel", "listener").agg(F.count("seq").alias("delivered"), F.coalesce(F.sum("skipped"), F.lit(0)).alias("skipped"))
+
+
+@query("snk20_stream_counters", "SELECT 'platform' AS family, platform AS label, count(*) AS value FROM posts GROUP BY ALL UNION ALL SELECT 'topic', CASE WHEN topic_id < 0 THEN 'none' ELSE 'some' END, count(*) FROM posts GROUP BY ALL UNION ALL SELECT 'rows', 'all', count(*) FROM posts")
+def stream_counters(t: Tables) -> DataFrame:
+    """Counters of a stream by platform and topic, as a listener adds them up while it runs."""
+    folder, counters = S.scratch(t.spark), M.Counters()
+    t.posts.select("id", "platform", "topic_id").repartition(3).write.parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema("id string, platform string, topic_id int").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    labels = {"platform": {p: F.col("platform") == p for p in PLATFORMS}, "topic": {"none": F.col("topic_id") < 0, "some": F.col("topic_id") >= 0}}
+    t.spark.streams.addListener(counters)
+    try:
+        counters.wait(S.drain(M.with_counters(stream, "posts", labels), folder))
+    finally:
+        t.spark.streams.removeListener(counters)
+    return counters.table(t.spark).where("value > 0").select("family", "label", "value")

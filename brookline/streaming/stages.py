@@ -203,11 +203,12 @@ def follow(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], Non
     return stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(processingTime=every).foreachBatch(write).start()
 
 
-def drain(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> None:
-    """Run a stream over what is there now, to Parquet under folder/out or to a function."""
+def drain(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> str:
+    """Run a stream over what is there now, to Parquet under folder/out or to a function; the query's id."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     query = (writer.foreachBatch(write) if write else writer.format("parquet").option("path", f"{folder}/out")).start()
     query.awaitTermination()
+    return str(query.id)
 
 
 def every_batch(folder: str) -> Callable[[DataFrame, int], None]:

@@ -175,3 +175,37 @@ def test_ids_leave_in_the_order_in_which_they_came(spark, tmp_path):
         stages.drain(stages.unseen(stream, "key", "id", 4), str(tmp_path / "q"))
     seen = sorted(r.id for r in spark.read.parquet(str(tmp_path / "q" / "out")).collect())
     assert seen == sorted(["0", "1", "2", "3", "4", "0"])  # 0 had left; 1 and 4 had not
+
+
+def test_a_publish_that_fails_is_delivered_again(spark, tmp_path):
+    """Ids count as seen when the sink has taken them, not before."""
+    spark.createDataFrame([("k", str(x)) for x in range(5)], "key string, id string").write.parquet(str(tmp_path / "in"))
+    out, tries = [], []
+
+    def publish(batch, number):
+        tries.append(number)
+        if len(tries) == 1:
+            raise ConnectionError("not confirmed")
+        out.extend(r.id for r in batch.collect())
+
+    stream = lambda: stages.unseen(spark.readStream.schema("key string, id string").parquet(str(tmp_path / "in")), "key", "id")
+    with pytest.raises(Exception, match="not confirmed"):
+        stages.drain(stream(), str(tmp_path / "q"), publish)
+    stages.drain(stream(), str(tmp_path / "q"), publish)
+    stages.drain(stream(), str(tmp_path / "q"), publish)
+    assert sorted(out) == list("01234") and tries[:2] == [0, 0]
+
+
+def test_a_lagging_listener_skips(spark, tmp_path):
+    from brookline.streaming import stateful
+
+    schema = "channel string, listener string, at timestamp, id string, payload string, most long"
+    row = lambda i: ("c", None, None, f"{i:03}", f"m{i}", None)
+    batches = [[row(i) for i in range(3)] + [("c", "a", None, None, None, 2)], [row(i) for i in range(3, 9)] + [("c", "a", None, None, None, 9), ("c", "b", None, None, None, 1)], [("c", "b", None, None, None, 9)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stages.drain(stateful.fan_out(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), buffer=4), str(tmp_path / "q"))
+    got = spark.read.parquet(str(tmp_path / "q" / "out")).collect()
+    took = lambda who: [r.payload for r in sorted((r for r in got if r.listener == who and r.seq), key=lambda r: r.seq)]
+    assert took("a") == ["m0", "m1", "m5", "m6", "m7", "m8"] and took("b") == ["m5", "m6", "m7", "m8"]
+    assert sorted((r.listener, r.skipped) for r in got if r.skipped) == [("a", 3), ("b", 5)]
