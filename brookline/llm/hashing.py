@@ -1,7 +1,14 @@
-"""64-bit hashes of words and word runs of whole texts, by numpy over their UTF-8 bytes."""
+"""64-bit hashes of words, word runs and byte ranges of whole texts.
+
+Where equal hashes are taken for equal strings, they come from BLAKE2b: no texts are known that collide. The polynomial
+sums modulo 2 ** 64 are fast, but texts can be built that collide under any base, so they only propose: whoever uses them
+compares bytes or a digest afterwards.
+"""
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -28,21 +35,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def tables() -> tuple[np.ndarray, np.ndarray]:
-    """A random-looking number for each byte value, as it is and with A-Z lower-cased."""
-    plain = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-    low = plain.copy()
-    low[65:91] = plain[97:123]
-    return plain, low
-
-
-PLAIN, LOW = tables()
+#: A random-looking number for each byte value.
+PLAIN = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
-def prefix_sums(data: np.ndarray, table: np.ndarray = PLAIN) -> np.ndarray:
-    """s with s[j] - s[i] = sum of table[data[k]] * BASE ** k over i <= k < j."""
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """s with s[j] - s[i] = sum of PLAIN[data[k]] * BASE ** k over i <= k < j."""
     out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(table[data] * powers(len(data) + 1)[0][: len(data)], out=out[1:])
+    np.cumsum(PLAIN[data] * powers(len(data) + 1)[0][: len(data)], out=out[1:])
     return out
 
 
@@ -54,14 +54,35 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def digest(data: bytes) -> int:
+    """64 bits of a cryptographic digest."""
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little")
+
+
+class Digests(dict):
+    """Digests of words, kept for the next time; emptied when there are KNOWN_WORDS."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = out = digest(word)
+        return out
+
+
+KNOWN_WORDS = 300_000
+_digests = Digests()
+
+
 def word_hashes(text: bytes, lower: bool = False) -> np.ndarray:
-    """One hash for each word; equal words have equal hashes."""
-    data = np.frombuffer(text, dtype=np.uint8)
-    start, end = word_spans(data)
-    if not len(start):
-        return np.zeros(0, dtype=np.uint64)
-    s = prefix_sums(data, LOW if lower else PLAIN)
-    return mixed((s[end] - s[start]) * powers(len(data) + 1)[1][start] + (end - start).astype(np.uint64))
+    """One hash for each word (a run of bytes other than space and 9 to 13); equal words have equal hashes."""
+    words = (text.lower() if lower else text).split()
+    return np.fromiter(map(_digests.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def range_digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One digest for each byte range."""
+    raw = data.tobytes()
+    return np.fromiter((digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist())), dtype=np.uint64, count=len(start))
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -12,8 +12,8 @@ Everything the corpus gives is moved as packed arrays, combined per task, never
    statistics are broadcast; a word with twice that share is always among them.
 2. Training bigrams, combined within a task, go to the partition of their second word; there counts are final, and so is the
    word's own count. Bigrams with a hot second word are dealt by the whole bigram, and the word's own count is the sum over
-   partitions. The table of (v, w, c(v,w), c(w)) is written to the shared folder; counts of counts (a few numbers a
-   partition) are collected and give the discounts.
+   partitions. The table of (v, w, c(v,w), c(w)) is written to the shared folder; counts of counts are added up
+   there and give the discounts.
 3. That table and the bigrams of all documents go to the partition of their first word (hot ones again by the whole bigram,
    their alphas from additive statistics), where seen bigrams are found by binary search, and each document gets its sums:
    log P of the bigram, or log alpha; log P of the first word itself, its base score and whether it is known, since each word
@@ -45,6 +45,7 @@ from brookline.llm.hashing import mixed, word_hashes
 from brookline.llm.shared import col, documents, stage, tasks_for
 
 K, FOLDS, HELD_OUT = 5, 7, 2
+MOST_DISCOUNTED = 0.75
 BEGIN, END = np.uint64(0), np.uint64(1)
 TOKENS_PER_FLUSH, BYTES_PER_PARTITION, HOT_WORDS = 2_000_000, 32 << 20, 1 << 17
 
@@ -244,6 +245,15 @@ def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
 
 
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a task's counts of counts, by place."""
+    total = np.zeros(2 * K + 6, dtype=np.int64)
+    for batch in batches:
+        for data in batch.column("data"):
+            total += np.frombuffer(data.as_py(), "<i8")
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["at", "n"])
+
+
 def discounts(n: np.ndarray) -> np.ndarray:
     """Katz's discounts for counts 0..K+1 from counts of counts n[0..K+1] (the last is 1, for all larger counts).
 
@@ -252,7 +262,7 @@ def discounts(n: np.ndarray) -> np.ndarray:
     d = np.ones(K + 2)
     n = n.astype(float)
     common = (K + 1) * n[K + 1] / n[1] if n[1] else 1.0
-    absolute = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+    absolute = min(n[1] / (n[1] + 2 * n[2]), MOST_DISCOUNTED) if n[1] else 0.5  # without a count of two all of it would go
     for r in range(1, K + 1):
         raw = (r + 1) * n[r + 1] / n[r] / r if n[r] else 0.0
         good = (raw - common) / (1 - common) if common < 1 else 0.0
@@ -477,8 +487,8 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     for r in counts.where("kind = 2").select("part", "kind", "data").mapInArrow(shares, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # at most HOT_WORDS + 2 rows
         own[np.searchsorted(hot, np.array(r["word"], dtype=np.int64).view(np.uint64))] = r["n"]
     stats = np.zeros(2 * K + 6, dtype=np.int64)
-    for r in counts.where("kind = 1").select("data").collect():  # some 128 bytes a partition
-        stats += np.frombuffer(r["data"], "<i8")
+    for r in counts.where("kind = 1").select("data").mapInArrow(added, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # 16 rows
+        stats[r["at"]] = r["n"]
     stats[K + 2 : 2 * K + 4] += class_counts(own[own > 0])
     stats[-2:] += [own.sum(), (own > 0).sum()]
     model = model_of(stats)

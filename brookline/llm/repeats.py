@@ -4,15 +4,15 @@ A window is any string of WINDOW bytes; a window repeats if an equal one starts
 have the same smallest gram (of GRAM bytes, by hash) at the same place, so a text is cut into stretches of neighbouring
 windows with one smallest gram, about one for 185 bytes, and only stretches with the same gram can hold equal windows.
 
-1. One pass hashes the stretches of every text. A gram that only one stretch has, once, is done with; equal stretches are
+1. One pass names the stretches of every text by a digest. A gram that only one stretch has, once, is done with; equal stretches are
    combined, with their number, before anything moves.
 2. Of the other grams, each different stretch is fetched once. A task takes a range of grams. The stretches of each input
    shard become a Burrows-Wheeler transform over symbols of STEP bytes (a stretch is STEP strings, one for each offset), and
    the transforms of the shards are merged by refining their interleave: in round h, every suffix goes, in the order of round
    h - 1, to the place of the symbol before it, which sorts the interleave by h symbols. Where a boundary between neighbours
-   first appears tells their common prefix; after WINDOW / STEP rounds, intervals without a boundary are the equal windows,
+   first appears tells their common prefix; symbols are numbered by hash, and their bytes compared; after WINDOW / STEP rounds, intervals without a boundary are the equal windows,
    and those of two suffixes or more, or of a stretch with copies, repeat. Suffixes are sorted within shards only.
-3. A gram with more than HOT different stretches is not put into one task: its windows are hashed and counted one by
+3. A gram with more than HOT different stretches is not put into one task: digests of its windows are counted one by
    one, combined on the map side. That way is exact, too, and only for those.
 4. Repeated windows are gathered per document and their bytes cut out.
 
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brookline.llm.hashing import mixed, powers, prefix_sums, word_spans
+from brookline.llm.hashing import mixed, powers, prefix_sums, range_digests, word_spans
 from brookline.llm.shared import LONG, col, documents, packed, stage, unstage
 from brookline.llm.similarity_join import grouped
 
@@ -102,7 +102,7 @@ def windows_of(data: np.ndarray, valid: np.ndarray) -> Stretches:
     first = np.flatnonzero(new)
     last = first + np.bincount(np.cumsum(new)[valid] - 1, minlength=len(first)) - 1 if len(first) else first
     anchor = (least[first] & low).astype(np.int64)
-    return first, last, gram[anchor], mixed(span_hashes(sums, first, last + WINDOW) + (anchor - first).astype(np.uint64))
+    return first, last, gram[anchor], mixed(range_digests(data, first, last + WINDOW) + (anchor - first).astype(np.uint64))
 
 
 def stretches_of(texts: list[np.ndarray]) -> list[Stretches]:
@@ -262,6 +262,16 @@ def interleave(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray
     return suffix, block, common
 
 
+def symbols(data: np.ndarray, at: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Numbers of the STEP bytes at each place, equal for equal bytes and for no others. Hashes propose them and bytes decide."""
+    rows = np.lib.stride_tricks.sliding_window_view(data, STEP)
+    _, one, out = np.unique(code, return_index=True, return_inverse=True)
+    for a in range(0, len(at), 50_000):
+        if (rows[at[a : a + 50_000]] != rows[at[one[out[a : a + 50_000]]]]).any():  # a built collision: number the bytes themselves
+            return np.unique(np.ascontiguousarray(rows[at]).view(f"V{STEP}").ravel(), return_inverse=True)[1]
+    return out
+
+
 def repeated_windows(texts: list[bytes], weight: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
     """For every stretch, which of its windows repeat among all of them; a stretch counts `weight` times.
 
@@ -293,7 +303,7 @@ def repeated_windows(texts: list[bytes], weight: np.ndarray, shard: np.ndarray)
         own = owner[nodes]
         follower = np.where((first + places)[own] - nodes > STEP, number[nodes + STEP], -1)
         previous = np.where(nodes - first[own] >= STEP, number[np.maximum(nodes - STEP, 0)], -1)
-        symbol = np.unique(code[nodes], return_inverse=True)[1] + 1  # 0 is the end of a string
+        symbol = symbols(data, at[nodes], code[nodes]) + 1  # 0 is the end of a string
         last = np.flatnonzero(follower < 0)
         ends = len(nodes) + np.arange(len(last))
         follower[last] = ends
@@ -385,14 +395,14 @@ def counted_windows(strings: DataFrame) -> DataFrame:
                 for part in some.column("bytes"):
                     data = np.frombuffer(part.as_py(), dtype=np.uint8)
                     at = np.arange(len(data) - WINDOW + 1)
-                    out.append(span_hashes(prefix_sums(data), at, at + WINDOW).view(np.int64))
+                    out.append(range_digests(data, at, at + WINDOW).view(np.int64))
                 yield pa.RecordBatch.from_arrays([some.column("gram"), some.column("kind"), some.column("n"), pa.array(out, pa.list_(pa.int64()))], names=["gram", "kind", "n", "windows"])
 
     whole = strings.where("n > 1").select("gram", "kind", F.lit(None).cast("array<long>").alias("spans"))
     rows = strings.mapInArrow(hashes, "gram long, kind long, n long, windows array<long>").select("gram", "kind", "n", F.posexplode("windows").alias("at", "window"))
-    often = rows.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
+    often = rows.groupBy("gram", "window").agg(F.sum("n").alias("n")).where("n > 1").select("gram", "window")
     # the windows of one stretch: each span is a single window
-    hit = rows.where("n = 1").join(often, "window").groupBy("gram", "kind").agg(F.sort_array(F.collect_list(F.col("at").cast("long"))).alias("ats"))
+    hit = rows.where("n = 1").join(often, ["gram", "window"]).groupBy("gram", "kind").agg(F.sort_array(F.collect_list(F.col("at").cast("long"))).alias("ats"))
     return hit.select("gram", "kind", F.flatten(F.transform("ats", lambda x: F.array(x, x))).alias("spans")).union(whole)
 
 
