@@ -183,3 +183,31 @@ def retain_quotes(quotes: DataFrame, hourly: DataFrame, daily: DataFrame, cutoff
     old = F.col("timestamp") < cutoff
     gone = quotes.where(old)
     return quotes.where(~old), merge_price_facts(hourly, price_facts(gone, "hour"), "hour"), merge_price_facts(daily, price_facts(gone, "day"), "day")
+
+
+def coverage(facts: DataFrame, legacy: DataFrame, since: Column, only: Column | None = None) -> DataFrame:
+    """How far back each symbol's hours reach, and whether that is far enough: facts alone under a filter of their dimensions, legacy hours beside them without one."""
+    hours = (facts if only is None else facts.where(only)).select("symbol", "bucket_hour")
+    if only is None:
+        hours = hours.unionByName(legacy.select("symbol", "bucket_hour"))
+    start = hours.groupBy("symbol").agg(F.min("bucket_hour").alias("coverage_start"))
+    mode = "legacy-unfiltered+canonical" if only is None else "dimension-preserving"
+    return start.select("symbol", F.lit(mode).alias("coverage_mode"), "coverage_start", (F.col("coverage_start") <= since).alias("coverage_complete"))
+
+
+# Defaults and domains of request parameters.
+DEFAULTS = {"hours": 24, "limit": 20, "offset": 0}
+DOMAINS = {"hours": (1, 8760), "limit": (1, 1000), "offset": (0, None)}
+
+
+def checked(requests: DataFrame) -> DataFrame:
+    """Requests with defaults for what is missing, `all` as no filter, and `fault`: the first parameter outside its domain."""
+    filled = requests.withColumns({c: F.coalesce(c, F.lit(v)).cast("long") for c, v in DEFAULTS.items()} | {"sentiment": F.when(F.col("sentiment") != "all", F.col("sentiment"))})
+    fault = F.lit(None).cast("string")
+    if "horizon" in requests.columns:
+        fault = F.when(~F.col("horizon").isin(30, 90), "horizon").otherwise(fault)
+    fault = F.when(~F.col("sentiment").isin("positive", "neutral", "negative"), "sentiment").otherwise(fault)
+    for c, (low, high) in reversed(DOMAINS.items()):
+        outside = F.col(c) < low if high is None else ~F.col(c).between(low, high)
+        fault = F.when(outside, c).otherwise(fault)
+    return filled.withColumn("fault", fault)

@@ -44,8 +44,12 @@ def upsert_by_rank(rows: DataFrame, keys: list[str], rank: Column) -> DataFrame:
 
 
 def duplicate_counts(known: DataFrame, batch: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """How much of a batch was there before; the platform is `mixed` if there are several."""
-    marked = batch.join(known.select(*keys).withColumn("_had", F.lit(1)), keys, "left")
+    """How much of a batch was there before, null being a key like any other; the platform is `mixed` if there are several."""
+    there = known.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).distinct().withColumn("_had", F.lit(1))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_{i}"))
+    marked = batch.join(there, same, "left")
     one = F.when(F.min("platform") == F.max("platform"), F.min("platform")).otherwise("mixed")
     return marked.groupBy(*by).agg(one.alias("platform"), F.count("*").alias("received"), F.count("_had").alias("duplicates"))
 
@@ -104,15 +108,24 @@ def purge_bars(bars: DataFrame, as_of: Column) -> DataFrame:
 
 
 def export(df: DataFrame, folder: str, dataset: str, at: str, first: str) -> DataFrame:
-    """Writes a closed month as sorted zstd Parquet under dataset/year/month; the manifest as a table."""
+    """Writes a closed month as sorted zstd Parquet under dataset/year/month; the manifest as a table. The month that was there stays until
+    the new one is whole."""
+    spark = df.sparkSession
     rows = month_of(df, at, first).sort(at)
     year, month = first.split("-")[:2]
-    path = f"{folder}/{dataset}/year={year}/month={month}"
-    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    written = df.sparkSession.read.parquet(path)
+    path, draft = f"{folder}/{dataset}/year={year}/month={month}", f"{folder}/.draft-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(draft)
+    written = spark.read.parquet(draft)
     content = written.agg(F.bit_xor(F.xxhash64(*written.columns)).alias("x"), F.count("*").alias("n")).first()
     key = hashlib.sha256(f"{dataset}|{first}|{content['x']}|{content['n']}".encode()).hexdigest()
-    return manifest(written, dataset, at, first).withColumn("object_key", F.lit(f"{dataset}/{first}-{key[:16]}"))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    if fs.exists(target):
+        fs.delete(target, True)
+    fs.rename(hadoop.Path(draft), target)
+    return manifest(spark.read.parquet(path), dataset, at, first).withColumn("object_key", F.lit(f"{dataset}/{first}-{key[:16]}"))
 
 
 class Versions:

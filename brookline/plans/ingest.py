@@ -229,7 +229,7 @@ def worst_outcomes(t: Tables) -> DataFrame:
     return t.raw("events").select("user_id", A.http_outcome(status).alias("o")).groupBy("user_id").agg(A.worst(F.col("o")).alias("outcome"))
 
 
-@query("jsn2_post_events", "SELECT id, symbol, length('{\"id\":\"' || id || '\",\"symbol\":\"' || symbol || '\",\"engagement\":' || engagement || '}') AS n_chars FROM posts")
+@query("jsn2_post_events", """SELECT id, symbol, '{"id":"' || id || '","symbol":"' || symbol || '","text":"' || text || '","engagement":' || engagement || '}' AS body FROM posts""")
 def post_events(t: Tables) -> DataFrame:
-    """Notifications of new posts as JSON, their text cut to 1,000 characters (left out here)."""
-    return t.posts.select("id", "symbol", F.length(F.to_json(F.struct("id", "symbol", "engagement"))).alias("n_chars"))
+    """New posts as JSON."""
+    return t.posts.select("id", "symbol", F.to_json(F.struct("id", "symbol", F.left("text", F.lit(1000)).alias("text"), "engagement")).alias("body"))

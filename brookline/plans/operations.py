@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brookline.functions import text as X
+from brookline.operators import archive
 from brookline.operators import rollup as R
 from brookline.operators import selection
 from brookline.operators import sinks as K
 from brookline.plans import series as P
 from brookline.plans.facts import _OLD, CUTOFF, at
+from brookline.operators.store import Store
 from brookline.plans.registry import ORACLES, query
 from brookline.sources import adapters as A
 from brookline.sources.views import AS_OF, OUTLIER, TOPICS, Tables, as_of, ntz
@@ -180,3 +182,92 @@ def correlation(t: Tables) -> DataFrame:
     levels = P.levels(t).where(F.col("bucket_hour") == ntz(as_of())).select("symbol", "support", "resistance", "support_pct", "resistance_pct")
     rows = P.correlation_summary(t).join(P.current_opportunity(t), "symbol").join(levels, "symbol").join(P.price_axis(t), "symbol", "left")
     return rows.select("symbol", "max_r", "best_lag", "strength", "correlation_text", "score", "price", "sentiment_index", "support", "resistance", "support_pct", "resistance_pct", "low", "high")
+
+
+_CHOSEN = "2024-01-20 00:00:00"
+_MONTH = "timestamp >= TIMESTAMP '2024-01-01 00:00:00' AND timestamp < TIMESTAMP '2024-02-01 00:00:00'"
+_COUNTED = "SELECT '{0}' AS dataset, count(*) AS row_count, min(moment)::TIMESTAMP AS min_event, max(moment)::TIMESTAMP AS max_event FROM ({1})"
+_FACT_KEYS = "symbol, platform, topic_id, topic_model_hash, sentiment_model_hash"
+
+
+@query(
+    "snk14_nine_datasets",
+    "SELECT *, 0::BIGINT AS written_again FROM ("
+    + " UNION ALL ".join(
+        _COUNTED.format(name, sql)
+        for name, sql in {
+            "hourly_sentiment_facts": f"SELECT date_trunc('hour', timestamp) AS moment FROM posts WHERE {_MONTH} GROUP BY moment, {_FACT_KEYS}",
+            "hourly_sentiment_fact_snapshots": f"SELECT date_trunc('hour', timestamp) AS moment FROM posts WHERE {_MONTH} AND {_OLD} GROUP BY moment, {_FACT_KEYS}",
+            "hourly_pipeline_quality_facts": f"SELECT date_trunc('hour', timestamp) AS moment FROM posts WHERE {_MONTH} GROUP BY moment, platform",
+            "analytical_signal_snapshots": f"SELECT date_trunc('day', timestamp) AS moment FROM posts WHERE {_MONTH} GROUP BY moment, symbol",
+            "market_hourly_facts": f"SELECT date_trunc('hour', timestamp) AS moment FROM quotes WHERE {_MONTH} GROUP BY moment, symbol",
+            "market_daily_facts": f"SELECT date_trunc('day', timestamp) AS moment FROM quotes WHERE {_MONTH} GROUP BY moment, symbol",
+            "model_artifacts": "SELECT min(ingested_at) AS moment FROM (SELECT 'topic' AS kind, topic_model_hash AS hash, ingested_at FROM posts UNION ALL SELECT 'sentiment', sentiment_model_hash, ingested_at FROM posts) GROUP BY kind, hash HAVING moment < TIMESTAMP '2024-02-01 00:00:00'",
+            "model_artifact_aliases": "SELECT min(ingested_at) AS moment FROM (SELECT 'topic' AS kind, topic_model_hash AS hash, model_version, ingested_at FROM posts UNION ALL SELECT 'sentiment', sentiment_model_hash, model_version, ingested_at FROM posts) GROUP BY kind, hash, model_version HAVING moment < TIMESTAMP '2024-02-01 00:00:00'",
+            "raw_post_archive_staging": f"SELECT timestamp AS moment FROM posts WHERE {_MONTH} AND engagement >= 50 AND ingested_at <= TIMESTAMP '{_CHOSEN}'",
+        }.items()
+    )
+    + ")",
+)
+def nine_datasets(t: Tables) -> DataFrame:
+    """The manifest of a month of all nine datasets, read from the store; a second run finds all but the staged rows as they were, and of those none that is pending."""
+    folder = S.scratch(t.spark)
+    store, place, now = Store(t.spark, f"{folder}/store"), f"{folder}/archive", F.lit("2024-02-02 00:00:00").cast("timestamp")
+    facts, day = R.post_facts(t.posts), F.date_trunc("day", "timestamp")
+    versions = lambda k: t.posts.select(F.lit(k).alias("kind"), F.col(f"{k}_model_hash").alias("hash"), "model_version", "ingested_at")
+    models = versions("topic").unionByName(versions("sentiment"))
+    first_seen = lambda *keys: models.groupBy(*keys).agg(F.min("ingested_at").alias("first_seen_at"))
+    tables = {
+        "hourly_sentiment_facts": facts,
+        "hourly_sentiment_fact_snapshots": facts.where(F.col("bucket_hour") < F.date_trunc("hour", at(CUTOFF))).withColumn("run_id", F.lit("run-1")),
+        "hourly_pipeline_quality_facts": t.posts.groupBy(F.date_trunc("hour", "timestamp").alias("bucket_hour"), "platform").agg(F.count("*").alias("count")),
+        "analytical_signal_snapshots": t.posts.groupBy(day.alias("as_of"), "symbol").agg(F.avg(F.col("p_pos") - F.col("p_neg")).alias("signal")),
+        "market_hourly_facts": R.price_facts(t.quotes, "hour"),
+        "market_daily_facts": R.price_facts(t.quotes, "day"),
+        "model_artifacts": first_seen("kind", "hash"),
+        "model_artifact_aliases": first_seen("kind", "hash", "model_version"),
+    }
+    staged = t.posts.where("engagement >= 50").select("id", "platform", "symbol", "text", F.col("timestamp").alias("event_at"), F.col("ingested_at").alias("staged_at"), F.lit(None).cast("timestamp").alias("archived_at"))
+    store.transact(lambda tx: tx.append(archive.STAGED, staged, F.col("event_at")))
+    archive.export_all(store, place, tables, "2024-01-01", at(_CHOSEN), now)
+    _, again = archive.export_all(store, place, tables, "2024-01-01", at("2024-01-01 00:00:00"), now)
+    shown = store.snapshot().read("archive_manifests").where("row_count > 0")
+    return shown.select("dataset", "row_count", ntz("min_event").alias("min_event"), ntz("max_event").alias("max_event"), F.lit(again - 1).cast("long").alias("written_again"))
+
+
+@query(
+    "snk13_notifications",
+    """SELECT id, '{"id":"' || id || '","symbol":"' || symbol || '","platform":"' || platform || '","text":"' || left(repeat(text || ' ', 10 + engagement), 1000) || '","sentiment":"' || sentiment || '","topic_id":' || topic_id || ',"engagement":' || engagement || '}' AS payload FROM posts""",
+)
+def notifications(t: Tables) -> DataFrame:
+    """What listeners are told of a new post; texts of up to some thousand characters are cut to 1,000."""
+    posts = t.posts.withColumn("text", F.expr("repeat(text || ' ', 10 + engagement)"))
+    return posts.select("id", S.notification().alias("payload"))
+
+
+@query(
+    "set2_coverage",
+    """c AS (SELECT symbol, min(timestamp) AS a FROM posts GROUP BY symbol), f AS (SELECT symbol, min(timestamp) AS a FROM posts WHERE platform = 'bluesky' AND timestamp >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY symbol)
+SELECT symbol, 'legacy-unfiltered+canonical' AS coverage_mode, date_trunc('hour', a) AS coverage_start, date_trunc('hour', a) <= TIMESTAMP '2024-01-05 00:00:00' AS coverage_complete FROM c
+UNION ALL SELECT symbol, 'dimension-preserving', date_trunc('hour', a), date_trunc('hour', a) <= TIMESTAMP '2024-01-05 00:00:00' FROM f""",
+)
+def coverage(t: Tables) -> DataFrame:
+    """How far a series reaches: without a filter legacy hours count, too; with one, only facts that keep the dimension."""
+    facts = R.post_facts(t.posts)
+    canonical, legacy = facts.where(F.col("bucket_hour") >= at("2024-01-10 00:00:00")), R.label_facts(facts)
+    rows = R.coverage(canonical, legacy, at("2024-01-05 00:00:00")).unionByName(R.coverage(canonical, legacy, at("2024-01-05 00:00:00"), F.col("platform") == "bluesky"))
+    return rows.select("symbol", "coverage_mode", ntz("coverage_start").alias("coverage_start"), "coverage_complete")
+
+
+@query(
+    "flt6_checked_requests",
+    """r AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id * 9 - 100 END AS hours, CASE WHEN event_id % 7 = 0 THEN NULL ELSE user_id % 1500 END AS n, CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id % 40 - 3 END AS skip, CASE event_id % 6 WHEN 0 THEN 'all' WHEN 1 THEN 'positive' WHEN 2 THEN 'mixed' WHEN 3 THEN 'neutral' WHEN 4 THEN 'negative' END AS mood, CASE WHEN event_id % 4 = 0 THEN 30 WHEN event_id % 4 = 1 THEN 45 ELSE 90 END AS horizon FROM events)
+SELECT event_id, CASE WHEN coalesce(hours, 24) NOT BETWEEN 1 AND 8760 THEN 'hours' WHEN coalesce(n, 20) NOT BETWEEN 1 AND 1000 THEN 'limit' WHEN coalesce(skip, 0) < 0 THEN 'offset' WHEN mood NOT IN ('all', 'positive', 'neutral', 'negative') THEN 'sentiment' WHEN horizon NOT IN (30, 90) THEN 'horizon' END AS fault,
+  coalesce(hours, 24)::BIGINT AS hours, coalesce(n, 20)::BIGINT AS "limit", coalesce(skip, 0)::BIGINT AS "offset", nullif(mood, 'all') AS sentiment FROM r""",
+)
+def checked_requests(t: Tables) -> DataFrame:
+    """Requests with defaults filled in, and the first parameter that is out of its domain."""
+    k, u = F.col("event_id"), F.col("user_id").cast("long")
+    mood = F.when(k % 6 == 0, "all").when(k % 6 == 1, "positive").when(k % 6 == 2, "mixed").when(k % 6 == 3, "neutral").when(k % 6 == 4, "negative")
+    asked = t.raw("events").select("event_id", F.when(k % 5 != 0, u * 9 - 100).alias("hours"), F.when(k % 7 != 0, u % 1500).alias("limit"), F.when(k % 3 != 0, u % 40 - 3).alias("offset"), mood.alias("sentiment"), F.when(k % 4 == 0, 30).when(k % 4 == 1, 45).otherwise(90).alias("horizon"))
+    return R.checked(asked).select("event_id", "fault", "hours", "limit", "offset", "sentiment")

@@ -177,6 +177,15 @@ def alerts(quotes: DataFrame, key: str, price: str, at: str, threshold: float) -
     return quotes.groupBy(key).applyInPandasWithState(check, quotes.schema, "low boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Fixed value: characters of a post's text that listeners are told.
+TOLD_CHARS = 1000
+
+
+def notification() -> Column:
+    """What listeners are told of a new post, as JSON, its text cut."""
+    return F.to_json(F.struct("id", "symbol", "platform", F.left("text", F.lit(TOLD_CHARS)).alias("text"), "sentiment", "topic_id", "engagement"))
+
+
 def live_counts(posts: DataFrame) -> DataFrame:
     """Counts of the dashboard; for output mode complete or update."""
     return posts.groupBy("symbol", "sentiment").agg(F.count("*").alias("n"))
