@@ -6,6 +6,7 @@ import atexit
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ ROWS_PER_RANGE = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-_tracked: list[DataFrame] | None = None
+#: Where the tables staged by this thread's run are listed.
+_tracked: ContextVar[list[DataFrame] | None] = ContextVar("staged tables", default=None)
 _folders: set[str] = set()
 
 
@@ -44,20 +46,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
-    if _tracked is not None:
-        _tracked.append(out)
+    if (listed := _tracked.get()) is not None:
+        listed.append(out)
     return out
 
 
 @contextmanager
 def tracked(tables: list[DataFrame]) -> Iterator[None]:
     """Tables staged inside are added to the list, for whoever can tell when they are done with."""
-    global _tracked
-    before, _tracked = _tracked, tables
+    token = _tracked.set(tables)
     try:
         yield
     finally:
-        _tracked = before
+        _tracked.reset(token)
 
 
 def without(df: DataFrame, gone: DataFrame, key: str = "uid", most: int = 32 << 20) -> DataFrame:

@@ -46,3 +46,24 @@ def test_run_agrees_with_its_stages(spark):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_sql(spark, name):
     same(registry.QUERIES[name](spark, FOLDER).toPandas(), connect(FOLDER).sql(registry.ORACLES[name]).df())
+
+
+def test_tables_of_runs_in_threads_are_listed_apart(spark):
+    """Two runs at the same time: neither lists, and so neither deletes, what the other stages."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from brookline.llm import shared
+
+    meet = Barrier(2)
+
+    def run(n):
+        own = []
+        with shared.tracked(own):
+            meet.wait(timeout=60)
+            made = [shared.stage(spark.range(n), f"thread-{n}") for _ in range(2)]
+            meet.wait(timeout=60)
+        return [t.staged_path for t in own] == [t.staged_path for t in made]
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(run, (1, 2))) == [True, True]
