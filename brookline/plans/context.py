@@ -111,11 +111,11 @@ _VALUES = "[CASE WHEN n_nationkey % 5 = 0 THEN ' ' ELSE 'C' || n_regionkey END,
 
 @query(
     "flt17_exposure_payloads",
-    "e AS (SELECT p_partkey, p_partkey % 40 AS request, 'k' || p_size // 6 AS key, p_type AS reason, p_size - 2 AS display_order FROM part) SELECT request, count(*) FILTER (display_order < 0) > 0 AS negative, count(*) <> count(DISTINCT key) AS repeated, count(*) FILTER (length(reason) NOT BETWEEN 1 AND 1000 OR length(key) NOT BETWEEN 1 AND 120) > 0 AS lengths FROM e GROUP BY request",
+    "e AS (SELECT p_partkey, p_partkey // 50 AS request, 'k' || p_size // 6 AS key, p_type AS reason, p_size - 2 AS display_order FROM part) SELECT request, count(*) FILTER (display_order < 0) > 0 AS negative, count(*) <> count(DISTINCT key) AS repeated, count(*) FILTER (length(reason) NOT BETWEEN 1 AND 1000 OR length(key) NOT BETWEEN 1 AND 120) > 0 AS lengths FROM e GROUP BY request",
 )
 def exposure_payloads(t: Tables) -> DataFrame:
-    """What is wrong with replacements of exposures, as lists of one request each."""
-    rows = t.raw("part").select((F.col("p_partkey") % 40).alias("request"), F.struct(F.concat(F.lit("k"), F.expr("p_size div 6").cast("string")).alias("instrument_key"), F.col("p_type").alias("reason"), (F.col("p_size") - 2).alias("display_order")).alias("x"))
+    """What is wrong with replacements of exposures, as lists of one request of at most 50 each."""
+    rows = t.raw("part").select(F.expr("p_partkey div 50").alias("request"), F.struct(F.concat(F.lit("k"), F.expr("p_size div 6").cast("string")).alias("instrument_key"), F.col("p_type").alias("reason"), (F.col("p_size") - 2).alias("display_order")).alias("x"))
     bodies = rows.groupBy("request").agg(F.collect_list("x").alias("exposures"))
     wrong = payloads.exposure_problems(F.col("exposures"))
     has = lambda *p: F.arrays_overlap(wrong, F.array(*map(F.lit, p)))

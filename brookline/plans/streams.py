@@ -72,8 +72,8 @@ def isolated(t: Tables) -> DataFrame:
 def stream_alerts(t: Tables) -> DataFrame:
     folder = S.scratch(t.spark)
     quotes = event_stream(t).select(F.col("event_type").alias("symbol"), "timestamp", F.col("value").alias("price"))
-    S.drain(S.alerts(quotes, "symbol", "price", "timestamp", 20.0), folder)
-    return t.spark.read.parquet(f"{folder}/out").select("symbol", ntz("timestamp").alias("timestamp"), "price")
+    S.drain(quotes, folder, S.alerts(f"{folder}/store", "symbol", "price", "timestamp", 20.0))
+    return S.read(t.spark, f"{folder}/store", "alerts").select("symbol", ntz("timestamp").alias("timestamp"), "price")
 
 
 @query("str6_unseen_ids", "SELECT count(DISTINCT event_id) AS n FROM events")

@@ -161,20 +161,36 @@ def unseen(items: DataFrame, key: str, id_: str, most: int = SEEN_IDS) -> DataFr
     return items.groupBy(key).applyInPandasWithState(check, schema, "ids array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
-def alerts(quotes: DataFrame, key: str, price: str, at: str, threshold: float) -> DataFrame:
-    """A row when a key's price falls below the threshold, not again until it has been at or above it."""
+def alerts(folder: str, key: str, price: str, at: str, threshold: float, source: str = "alerts") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: a row when a key's price falls below the threshold, not again until it has been at or above it.
 
-    def check(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        low = bool(state.get[0]) if state.exists else False
-        rows = pd.concat(list(batches)).sort_values(at)
-        fired = []
-        for below in rows[price] < threshold:
-            fired.append(bool(below) and not low)
-            low = bool(below)
-        state.update((low,))
-        yield rows[fired]
-
-    return quotes.groupBy(key).applyInPandasWithState(check, quotes.schema, "low boolean", "append", GroupStateTimeout.NoTimeout)
+    A key's rows are compared within each hour, and hours by their last rows, so no task has all rows of a hot key. Where each key was
+    last is a table of the store: it, the alerts and the number of the batch are one commit.
+    """
+    from pyspark.sql import Window as W
+
+    def write(batch: DataFrame, number: int) -> None:
+        def change(tx: Transaction) -> None:
+            if tx.manifest["notes"].get(source, -1) >= number:
+                return
+            tx.manifest["notes"][source] = number
+            rows = batch.withColumns({"_low": F.coalesce(F.col(price) < threshold, F.lit(False)), "_hour": F.date_trunc("hour", at)})
+            line = W.partitionBy(key, "_hour").orderBy(at, price)
+            ends = rows.groupBy(key, "_hour").agg(F.max_by("_low", F.struct(at, price)).alias("_end"))
+            last = tx.read("last")
+            ends = ends.withColumn("_was", F.lag("_end").over(W.partitionBy(key).orderBy("_hour")))  # a row an hour
+            ends = ends.withColumn("_low_before", F.lit(None).cast("boolean")) if last is None else ends.join(last.withColumnRenamed("low", "_low_before"), key, "left")
+            before = ends.select(F.col(key).alias("_k"), F.col("_hour").alias("_h"), F.coalesce("_was", "_low_before", F.lit(False)).alias("_before"))
+            told = rows.withColumn("_inside", F.lag("_low").over(line)).join(before, F.col(key).eqNullSafe(F.col("_k")) & F.col("_hour").eqNullSafe(F.col("_h")))
+            tx.append("alerts", told.where(F.col("_low") & ~F.coalesce("_inside", "_before")).select(*batch.columns))
+            now = ends.groupBy(key).agg(F.max_by("_end", "_hour").alias("low"))
+            after = now if last is None else sinks.without_keys(last, now, [key]).unionByName(now)
+            tx.drop("last", {None})
+            tx.append("last", after)
+
+        Store(batch.sparkSession, folder).transact(change)
+
+    return write
 
 
 #: Fixed value: characters of a post's text that listeners are told.

@@ -209,3 +209,16 @@ def test_a_lagging_listener_skips(spark, tmp_path):
     took = lambda who: [r.payload for r in sorted((r for r in got if r.listener == who and r.seq), key=lambda r: r.seq)]
     assert took("a") == ["m0", "m1", "m5", "m6", "m7", "m8"] and took("b") == ["m5", "m6", "m7", "m8"]
     assert sorted((r.listener, r.skipped) for r in got if r.skipped) == [("a", 3), ("b", 5)]
+
+
+def test_alerts_fire_on_the_way_down_only(spark, tmp_path):
+    """Within an hour, from hour to hour, from batch to batch; a batch that comes again changes nothing."""
+    at = F.col("at").cast("timestamp")
+    frame = lambda *rows: spark.createDataFrame([(k, f"2026-02-01 {t}", p) for k, t, p in rows], "k string, at string, p double").withColumn("at", at)
+    write = stages.alerts(str(tmp_path), "k", "p", "at", 10.0)
+    first = frame(("a", "10:00:00", 12.0), ("a", "10:10:00", 9.0), ("a", "10:20:00", 8.0), ("a", "11:00:00", 7.0), ("a", "11:30:00", 11.0), ("a", "12:00:00", 9.5), ("b", "10:00:00", 1.0))
+    write(first, 0)
+    write(first, 0)
+    write(frame(("a", "12:30:00", 3.0), ("b", "13:00:00", 20.0), ("b", "13:10:00", 2.0), ("c", "10:00:00", None)), 1)
+    got = sorted((r.k, str(r["at"])[11:16]) for r in stages.read(spark, str(tmp_path), "alerts").collect())
+    assert got == [("a", "10:10"), ("a", "12:00"), ("b", "10:00"), ("b", "13:10")]
