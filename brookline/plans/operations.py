@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brookline.functions import scorers, stats
 from brookline.functions import text as X
 from brookline.operators import archive
 from brookline.operators import rollup as R
@@ -271,3 +272,30 @@ def checked_requests(t: Tables) -> DataFrame:
     mood = F.when(k % 6 == 0, "all").when(k % 6 == 1, "positive").when(k % 6 == 2, "mixed").when(k % 6 == 3, "neutral").when(k % 6 == 4, "negative")
     asked = t.raw("events").select("event_id", F.when(k % 5 != 0, u * 9 - 100).alias("hours"), F.when(k % 7 != 0, u % 1500).alias("limit"), F.when(k % 3 != 0, u % 40 - 3).alias("offset"), mood.alias("sentiment"), F.when(k % 4 == 0, 30).when(k % 4 == 1, 45).otherwise(90).alias("horizon"))
     return R.checked(asked).select("event_id", "fault", "hours", "limit", "offset", "sentiment")
+
+
+def folded(doc_id: str = "doc_id") -> Column:
+    """Whether a document is held out of fitting: every third by the checksum of its id."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+
+
+@query("udf4_topic_model", "SELECT lang, count(*) AS n, true AS learned FROM documents GROUP BY lang")
+def topic_model(t: Tables) -> DataFrame:
+    """Texts classified by a model fitted on two thirds of them, whose topics are the languages; learned: nine of ten held-out texts of 20 words or more are right."""
+    docs = t.spread("documents").select("doc_id", "text", "lang")
+    model = scorers.fit(docs.where(~folded()), "lang")
+    rows = model.scores(docs).withColumn("topic_id", stats.best_topic(F.col("probabilities"), 0.4))
+    right = F.element_at(F.array(*map(F.lit, model.classes)), F.greatest("topic_id", F.lit(0)) + 1) == F.col("lang")
+    judged = folded() & (F.size(F.split("text", r"\s+")) >= 20)
+    learned = rows.agg((F.count_if(judged & right) >= 0.9 * F.count_if(judged)).alias("learned"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n")).join(F.broadcast(learned), F.lit(True))  # one row
+
+
+@query("udf3_sentiment_model", "SELECT CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS class, count(*) AS n, true AS valid FROM labels JOIN documents USING (doc_id) GROUP BY ALL")
+def sentiment_model(t: Tables) -> DataFrame:
+    """Sentiment of labelled texts by a model fitted on two thirds of them, where toxic texts stand for negative and good ones for positive ones; the probabilities of every text are a distribution."""
+    label = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
+    rows = t.raw("labels").select("doc_id", label.alias("class")).join(t.spread("documents").select("doc_id", "text"), "doc_id")
+    model = scorers.fit(rows.where(~folded()), "class", classes=["neutral", "positive", "negative"])
+    scored = S.with_sentiment(model.scores(rows), *[F.col("logits")[i] for i in range(3)], as_of())
+    return scored.groupBy("class").agg(F.count("*").alias("n"), F.bool_and(S.valid()).alias("valid"))

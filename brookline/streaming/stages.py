@@ -77,9 +77,14 @@ def scored(posts: DataFrame, scorer: Scorer, now: Column, version: str = "legacy
         for batch in texts:
             yield scorer(batch)[["neutral", "positive", "negative"]].astype(float)
 
-    out = posts.withColumn("_l", logits("text")).withColumn("_s", stats.softmax3(F.col("_l.neutral"), F.col("_l.positive"), F.col("_l.negative")))
+    return with_sentiment(posts.withColumn("_l", logits("text")), F.col("_l.neutral"), F.col("_l.positive"), F.col("_l.negative"), now, version).drop("_l")
+
+
+def with_sentiment(posts: DataFrame, neutral: Column, positive: Column, negative: Column, now: Column, version: str = "legacy") -> DataFrame:
+    """Posts with a sentiment and its probabilities from three logits."""
+    out = posts.withColumn("_s", stats.softmax3(neutral, positive, negative))
     scores = F.create_map(*[x for k in ("positive", "neutral", "negative") for x in (F.lit(k), F.col(f"_s.{k}"))])
-    return out.withColumn("sentiment", F.col("_s.label")).withColumn("scores", F.when(F.col("_s").isNotNull(), scores)).withColumn("sentiment_scored_at", now).withColumn("sentiment_model_version", F.lit(version)).drop("_l", "_s")
+    return out.withColumn("sentiment", F.col("_s.label")).withColumn("scores", F.when(F.col("_s").isNotNull(), scores)).withColumn("sentiment_scored_at", now).withColumn("sentiment_model_version", F.lit(version)).drop("_s")
 
 
 def valid(tolerance: float = 1e-4) -> Column:
