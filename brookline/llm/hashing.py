@@ -1,8 +1,8 @@
 """64-bit hashes of words, word runs and byte ranges of whole texts.
 
-Where equal hashes are taken for equal strings, they come from BLAKE2b: no texts are known that collide. The polynomial
-sums modulo 2 ** 64 are fast, but texts can be built that collide under any base, so they only propose: whoever uses them
-compares bytes or a digest afterwards.
+Where equal hashes are taken for equal strings, they are BLAKE2b digests of byte ranges, or hashes of words by blocks whose step cannot
+be solved for a block: texts that collide are found by chance alone. The polynomial sums modulo 2 ** 64 are fast, but texts can be built
+that collide under any base, so they only propose: whoever uses them compares bytes or a digest afterwards.
 """
 
 from __future__ import annotations
@@ -59,24 +59,30 @@ def digest(data: bytes) -> int:
     return int.from_bytes(blake2b(data, digest_size=8).digest(), "little")
 
 
-class Digests(dict):
-    """Digests of words, kept for the next time; emptied when there are KNOWN_WORDS."""
+def compressed(h: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """The next state of a hash. The block goes in on both sides of a sum of two bijections, so no block can be worked out for a wanted state."""
+    return mixed(h ^ (block * FIRST)) + mixed((h << np.uint64(23) | h >> np.uint64(41)) + block * SECOND)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = out = digest(word)
-        return out
 
-
-KNOWN_WORDS = 300_000
-_digests = Digests()
+FIRST, SECOND = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25)
+#: The lowest 0 to 8 bytes of a block.
+LOWEST = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 
 def word_hashes(text: bytes, lower: bool = False) -> np.ndarray:
-    """One hash for each word (a run of bytes other than space and 9 to 13); equal words have equal hashes."""
-    words = (text.lower() if lower else text).split()
-    return np.fromiter(map(_digests.__getitem__, words), dtype=np.uint64, count=len(words))
+    """One hash for each word; equal words have equal hashes. Eight bytes of every word at a time."""
+    raw = (text.lower() if lower else text) + bytes(8)
+    start, end = word_spans(np.frombuffer(raw, dtype=np.uint8)[:-8])
+    size = end - start
+    eight = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))  # the eight bytes from every byte on
+    out = compressed(mixed(size.astype(np.uint64) + np.uint64(1)), eight[start] & LOWEST[np.minimum(size, 8)])
+    some = np.flatnonzero(size > 8)
+    done = 8
+    while len(some):
+        out[some] = compressed(out[some], eight[start[some] + done] & LOWEST[np.minimum(size[some] - done, 8)])
+        done += 8
+        some = some[size[some] > done]
+    return out
 
 
 def range_digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
