@@ -11,8 +11,8 @@ when no token that such a pair makes can be part of a pair of lower rank. The vo
 
 Decoding. Rows (text, pos, id) join the vocabulary, and an ordered aggregation joins the bytes of each text.
 
-Memory is bounded by what is held at a time: texts of AT_ONCE bytes, or one text; words of WORD_BYTES bytes in a query; a cache of CACHED
-words and pieces for each Python worker. No shuffle; nothing but the result leaves a task, so a lost executor costs its tasks only.
+Memory is bounded by what is held at a time: texts of AT_ONCE bytes, or one text; words of WORD_BYTES bytes in a query; a cache of PIECES
+pieces and WORDS words for each Python worker. No shuffle; nothing but the result leaves a task, so a lost executor costs its tasks only.
 
 Defined cases: a null text is empty and has no tokens; repeated rows are encoded each for itself; an empty table gives an empty
 result; extra columns, whatever their names, travel in a struct; letters and digits are those of the tiktoken library's own Unicode tables.
@@ -21,6 +21,7 @@ result; extra columns, whatever their names, travel in a struct; letters and dig
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 import sys
@@ -34,19 +35,17 @@ from pyspark.sql import types as T
 
 from brookline.llm.shared import LONG, STRING, col, documents, packed
 
-AT_ONCE, WORD_BYTES, LONG_WORD, CACHED = 4 << 20, 1 << 19, 64, 200_000
+AT_ONCE, WORD_BYTES, LONG_WORD, PIECES, WORDS = 4 << 20, 1 << 19, 64, 200_000, 500_000
 #: White space of the pattern, in the order of code points.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
-START = """start AS (SELECT word, unnest(range(1, octet_length(bytes) + 1))::INT AS pos, bytes FROM words),
-state(word, pos, token, after, step) AS (
-  SELECT word, pos, byte_tokens.token, pos + 1, 0 FROM start JOIN byte_tokens ON ('0x' || hex(bytes[pos:pos]))::INT = byte_tokens.byte
-  UNION ALL
-"""
 #: A row is a token of a word; `after` is where the next one begins. One pair a word and step.
-SHORT = f"""
-WITH RECURSIVE {START} (
+SHORT = """
+WITH RECURSIVE state(word, pos, token, after, step) AS (
+  SELECT word, pos, token, pos + 1, 0 FROM bytes_of_words
+  UNION ALL
+  (
   WITH best AS (
     SELECT x.word, min(rank * 4294967296 + x.pos) AS least, arg_min(y.pos, rank * 4294967296 + x.pos) AS gone, arg_min(y.after, rank * 4294967296 + x.pos) AS beyond
     FROM state x JOIN state y ON x.word = y.word AND x.after = y.pos JOIN merges ON x.token = merges.first AND y.token = merges.second GROUP BY x.word
@@ -54,14 +53,13 @@ WITH RECURSIVE {START} (
   SELECT word, pos, CASE WHEN pos = least & 4294967295 THEN (least >> 32)::INT ELSE token END, CASE WHEN pos = least & 4294967295 THEN beyond ELSE after END, step + 1
   FROM state JOIN best USING (word) WHERE pos <> gone
 ))
-SELECT word, pos, token FROM state QUALIFY step = max(step) OVER (PARTITION BY word) ORDER BY word, pos
+SELECT word, pos, token FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step) ORDER BY word, pos
 """
 #: All pairs of the least rank that do not overlap, if the rank is a safe one, else the leftmost. Of a run of overlapping pairs every
 #: other one counts. The keyed state is overwritten from step to step; token -1 marks what was contracted away.
 LONG_ONES = """
-WITH RECURSIVE start AS (SELECT word, unnest(range(1, octet_length(bytes) + 1))::INT AS pos, bytes FROM words),
-state(word, pos, token) USING KEY (word, pos) AS (
-  SELECT word, pos, byte_tokens.token FROM start JOIN byte_tokens ON ('0x' || hex(bytes[pos:pos]))::INT = byte_tokens.byte
+WITH RECURSIVE state(word, pos, token) USING KEY (word, pos) AS (
+  SELECT word, pos, token FROM bytes_of_words
   UNION
   (
   WITH pairs AS (
@@ -75,7 +73,7 @@ state(word, pos, token) USING KEY (word, pos) AS (
 )
 SELECT word, pos, token FROM state WHERE token >= 0 ORDER BY word, pos
 """
-DECODE = "SELECT item, string_agg(bytes, '' ORDER BY pos) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY item"
+DECODE = "SELECT item, array_to_string(list(bytes ORDER BY pos), '') AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY item"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -114,18 +112,20 @@ class Coder:
 
         self.ranks, self.split = read_ranks(path), split_pattern(pattern).findall
         self.longest = max(map(len, self.ranks))
-        self.words: dict[str, np.ndarray] = {}
-        self.pieces: dict[str, tuple[np.ndarray, str]] = {}
+        # ids as bytes; of pieces also in decimal, joined by commas
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.decimal: dict[str, str] = {}
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         unsafe = {part for *parts, rank in merges for part in parts if rank < part}
         first, second, rank = (pa.array(x, pa.int32()) for x in zip(*merges))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self.table("merges", first=first, second=second, rank=rank.cast(pa.int64()), safe=pa.array([r not in unsafe for *_, r in merges]))
-        self.table("byte_tokens", byte=pa.array(range(256), pa.int32()), token=pa.array([self.ranks[bytes([b])] for b in range(256)], pa.int32()))
+        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         # every byte as the letter of that number, so that bytes that are no UTF-8 by themselves can be strings
         self.table("vocabulary", id=pa.array(list(self.ranks.values()), pa.int32()), bytes=pa.array([t.decode("latin-1") for t in self.ranks]))
 
-    def table(self, name: str, **columns: pa.Array) -> None:
+    def table(self, name: str, **columns: pa.Array | np.ndarray) -> None:
         given = pa.table(columns)
         self.db.register("given", given)
         self.db.sql(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
@@ -134,13 +134,16 @@ class Coder:
     def result(self, query: str) -> pa.Table:
         return self.db.sql(query).to_arrow_table()
 
-    def merged(self, words: list[bytes], query: str) -> list[np.ndarray]:
-        """The tokens of each word."""
-        self.table("words", word=pa.array(range(len(words)), pa.int32()), bytes=pa.array(words, pa.binary()))
+    def merged(self, words: list[bytes], query: str) -> list[bytes]:
+        """The ids of each word, as bytes."""
+        sizes = np.array(list(map(len, words)))
+        first = np.cumsum(sizes) - sizes
+        pos = np.arange(sizes.sum()) - np.repeat(first, sizes)
+        self.table("bytes_of_words", word=np.repeat(np.arange(len(words), dtype=np.int32), sizes), pos=pos.astype(np.int32), token=self.of_byte[np.frombuffer(b"".join(words), dtype=np.uint8)])
         out = self.result(query)
-        word, token = np.asarray(out["word"]), np.asarray(out["token"])
-        cuts = np.searchsorted(word, np.arange(1, len(words)))
-        return np.split(token, cuts)
+        data = np.asarray(out["token"]).astype("<i4").tobytes()
+        cuts = 4 * np.searchsorted(np.asarray(out["word"]), np.arange(len(words) + 1))
+        return [data[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
     def segments(self, word: bytes) -> list[bytes]:
         """The word, cut wherever no token of the vocabulary reaches across: no pair there is ever contracted."""
@@ -163,10 +166,10 @@ class Coder:
         for w in words:
             data = w.encode()
             if data in self.ranks:
-                self.words[w] = np.array([self.ranks[data]], dtype=np.int32)
+                self.words[w] = self.ranks[data].to_bytes(4, "little")
             else:
                 parts[w] = [data] if len(data) <= LONG_WORD else self.segments(data)
-        done: dict[bytes, np.ndarray] = {}
+        done: dict[bytes, bytes] = {}
         held: dict[str, list[bytes]] = {SHORT: [], LONG_ONES: []}
         size = dict.fromkeys(held, 0)
 
@@ -185,26 +188,34 @@ class Coder:
         for query in held:
             run(query)
         for w, cut in parts.items():
-            self.words[w] = done[cut[0]] if len(cut) == 1 else np.concatenate([done[x] for x in cut])
+            self.words[w] = b"".join(map(done.__getitem__, cut))
+
+    def split_piece(self, piece: str) -> list[str]:
+        """The words of a piece by the pattern; a space, letters, then full stops and commas are what most pieces are."""
+        stem = piece.rstrip(".,")
+        if piece[0] == " " and stem[1:].isalpha():
+            return [stem, piece[len(stem) :]] if len(stem) < len(piece) else [piece]
+        return self.split(piece)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """Of each text, its ids and the same in decimal, joined by commas."""
-        cut = [_chunks.findall(t) for t in texts]
+        cut = list(map(_chunks.findall, texts))
         new = list(set().union(*cut).difference(self.pieces))
-        split = [self.split(p) for p in new]
+        split = list(map(self.split_piece, new))
         unknown = list(set().union(*split).difference(self.words))
         self.encode_words(unknown)
-        for piece, words in zip(new, split):
-            ids = np.concatenate([self.words[w] for w in words]) if len(words) > 1 else self.words[words[0]]
-            self.pieces[piece] = (ids, ",".join(map(str, ids.tolist())))
-        out = []
-        for pieces in cut:
-            found = [self.pieces[p] for p in pieces]
-            out.append((np.concatenate([f[0] for f in found]) if found else np.zeros(0, dtype=np.int32), ",".join([f[1] for f in found])))
-        for known, added in ((self.pieces, new), (self.words, unknown)):
-            if len(known) > CACHED:  # what was seen first is what is common
+        ids = [b"".join(map(self.words.__getitem__, words)) for words in split]
+        every = list(map(str, np.frombuffer(b"".join(ids), dtype="<i4").tolist()))
+        self.pieces.update(zip(new, ids))
+        at = 0
+        for piece, data in zip(new, ids):
+            self.decimal[piece] = ",".join(every[at : (at := at + len(data) // 4)])
+        out = [(np.frombuffer(b"".join(map(self.pieces.__getitem__, pieces)), dtype="<i4"), ",".join(map(self.decimal.__getitem__, pieces))) for pieces in cut]
+        for most, added, *known in ((PIECES, new, self.pieces, self.decimal), (WORDS, unknown, self.words)):
+            if len(known[0]) > most:  # what was seen first is what is common
                 for x in added:
-                    del known[x]
+                    for k in known:
+                        del k[x]
         return out
 
     def decode(self, lists: list[np.ndarray]) -> list[bytes]:
@@ -223,12 +234,14 @@ class Coder:
 
 
 def coder(path: str, pattern: str) -> Coder:
-    """The worker's coder; it stays with the worker process from task to task."""
+    """The worker's coder; it stays with the worker process from task to task. What it holds has no cycles: the process need not look for any."""
     import duckdb
 
     kept = vars(duckdb).setdefault("_coders_by_file", {})
     if (path, pattern) not in kept:
         kept[path, pattern] = Coder(path, pattern)
+        gc.freeze()
+        gc.set_threshold(1_000_000)
     return kept[path, pattern]
 
 
