@@ -98,12 +98,16 @@ def best_topic(scores: Column, threshold: float = 0.6) -> Column:
     return F.when(top >= threshold, F.array_position(clean, top).cast("int") - 1).otherwise(F.lit(-1))
 
 
-def local_per_dollar(open_: Column, high: Column, low: Column, close: Column, is_local: Column) -> Column:
-    """Prices in local currency per dollar: inverted (high and low change places) unless they are so already; NULL unless all are positive and finite."""
-    good = finite(open_) & finite(high) & finite(low) & finite(close) & (open_ > 0) & (high > 0) & (low > 0) & (close > 0)
+def local_per_dollar(open_: Column, high: Column, low: Column, close: Column, is_local: Column, zero: bool = False) -> Column:
+    """Prices in local currency per dollar: inverted (high and low change places) unless they are so already; NULL unless all are positive and finite.
+    zero: a price may be zero, which inverted is infinite."""
+    good = F.lit(True)
+    for c in (open_, high, low, close):
+        good = good & finite(c) & (c >= 0 if zero else c > 0)
     names = ("open", "high", "low", "close")
     kept = F.struct(*[c.alias(n) for c, n in zip((open_, high, low, close), names)])
-    turned = F.struct(*[F.try_divide(F.lit(1.0), c).alias(n) for c, n in zip((open_, low, high, close), names)])
+    inverse = lambda c: F.coalesce(F.try_divide(F.lit(1.0), c), F.lit(float("inf")))
+    turned = F.struct(*[inverse(c).alias(n) for c, n in zip((open_, low, high, close), names)])
     return F.when(good & is_local, kept).when(good, turned)
 
 
