@@ -86,8 +86,9 @@ def alpaca(payloads: DataFrame, rule: text.Rule, now: Column) -> DataFrame:
 _CHART = "chart struct<result array<struct<meta struct<regularMarketVolume double, regularMarketPrice double>, timestamp array<long>, indicators struct<quote array<struct<open array<double>, high array<double>, low array<double>, close array<double>, volume array<double>>>>>>>"
 
 
-def chart_bars(payloads: DataFrame) -> DataFrame:
-    """Bars of parallel arrays, as many as the shortest has; rows without a consistent positive price are dropped, volume is 0 at least."""
+def chart_bars(payloads: DataFrame, zero: bool = False) -> DataFrame:
+    """Bars of parallel arrays, as many as the shortest has; rows without a consistent positive price are dropped, volume is 0 at least.
+    zero: a price may be zero, as of what has lost all its value."""
     r = payloads.withColumn("r", F.get(F.from_json("payload", _CHART).getField("chart").getField("result"), F.lit(0)))
     r = r.withColumn("q", F.get("r.indicators.quote", F.lit(0)))
     zipped = F.arrays_zip(F.col("r.timestamp").alias("t"), *[F.col(f"q.{c}").alias(c) for c in ("open", "high", "low", "close")], F.coalesce("q.volume", F.array().cast("array<double>")).alias("volume"))
@@ -96,7 +97,7 @@ def chart_bars(payloads: DataFrame) -> DataFrame:
     bars = rows.select(*[c for c in payloads.columns if c != "payload"], F.timestamp_seconds("b.t").alias("timestamp"), *[F.col(f"b.{c}").alias(c) for c in ("open", "high", "low", "close", "volume")], "session_volume")
     good = F.lit(True)
     for c in ("open", "high", "low", "close"):
-        good = good & stats.finite(F.col(c)) & (F.col(c) > 0)
+        good = good & stats.finite(F.col(c)) & (F.col(c) >= 0 if zero else F.col(c) > 0)
     good = good & (F.col("low") <= F.least("open", "close")) & (F.col("high") >= F.greatest("open", "close")) & F.col("timestamp").isNotNull()
     return bars.where(good).withColumn("volume", F.when(stats.finite(F.col("volume")), F.greatest("volume", F.lit(0.0))))
 
