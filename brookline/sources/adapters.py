@@ -102,9 +102,9 @@ def chart_bars(payloads: DataFrame, zero: bool = False) -> DataFrame:
     return bars.where(good).withColumn("volume", F.when(stats.finite(F.col("volume")), F.greatest("volume", F.lit(0.0))))
 
 
-def latest_quote(payloads: DataFrame, keys: list[str]) -> DataFrame:
+def latest_quote(payloads: DataFrame, keys: list[str], zero: bool = False) -> DataFrame:
     """The last bar's close of each key; volume of the session, else of the bar, else 0."""
-    last = chart_bars(payloads).groupBy(*keys).agg(F.max_by(F.struct("timestamp", "close", "volume", "session_volume"), "timestamp").alias("b"))
+    last = chart_bars(payloads, zero).groupBy(*keys).agg(F.max_by(F.struct("timestamp", "close", "volume", "session_volume"), "timestamp").alias("b"))
     return last.select(*keys, F.col("b.timestamp").alias("timestamp"), F.col("b.close").alias("price"), F.coalesce("b.session_volume", "b.volume", F.lit(0.0)).cast("long").alias("volume"))
 
 
