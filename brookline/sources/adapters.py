@@ -180,6 +180,6 @@ def price_earnings(payloads: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.when(stats.finite(F.col("pe")), F.col("pe")).alias("pe_ratio"))
 
 
-def daily_history(payloads: DataFrame, keys: list[str]) -> DataFrame:
+def daily_history(payloads: DataFrame, keys: list[str], zero: bool = False) -> DataFrame:
     """(keys, day, close) of a year's chart."""
-    return chart_bars(payloads).select(*keys, F.to_date("timestamp").alias("day"), "close")
+    return chart_bars(payloads, zero).select(*keys, F.to_date("timestamp").alias("day"), "close")

@@ -17,7 +17,7 @@ def folder(tmp_path_factory):
     return str(made)
 
 
-@pytest.mark.parametrize("name", ["mth8_fx_bars", "src14_chart_bars", "src15_latest_bar", "src16_session_bars"])
+@pytest.mark.parametrize("name", ["mth8_fx_bars", "src14_chart_bars", "src15_latest_bar", "src16_session_bars", "src21_histories"])
 def test_zero_prices_are_kept(spark, folder, name):
     duck = duckdb.connect()
     for table in ("events", "embeddings"):
