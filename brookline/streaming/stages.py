@@ -8,6 +8,7 @@ merge of the hourly facts.
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -143,25 +144,30 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame | None:
     return kept.snapshot().read(table) if kept.current() else None
 
 
+def admitted(values: pd.Series, ids: deque, known: set, most: int) -> list[bool]:
+    """Which values are new, in their order; the cursor (ids by age, and the same as a set) takes them in. The oldest leaves in the same time however many there are."""
+    keep = []
+    for x in values:
+        fresh = x not in known
+        keep.append(fresh)
+        if fresh:
+            ids.append(x)
+            known.add(x)
+            if len(ids) > most:
+                known.discard(ids.popleft())
+    return keep
+
+
 def unseen(items: DataFrame, key: str, id_: str, most: int = SEEN_IDS) -> DataFrame:
     """Rows whose id is not among the last `most` new ids of their key; ids leave in the order in which they came."""
     schema = items.schema
 
     def check(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids = list(state.get[0]) if state.exists else []
+        ids = deque(state.get[0] if state.exists else ())
         known = set(ids)
         for pdf in batches:
-            keep = []
-            for x in pdf[id_]:
-                fresh = x not in known
-                keep.append(fresh)
-                if fresh:
-                    ids.append(x)
-                    known.add(x)
-                    if len(ids) > most:
-                        known.discard(ids.pop(0))
-            yield pdf[keep]
-        state.update((ids,))
+            yield pdf[admitted(pdf[id_], ids, known, most)]
+        state.update((list(ids),))
 
     return items.groupBy(key).applyInPandasWithState(check, schema, "ids array<string>", "append", GroupStateTimeout.NoTimeout)
 

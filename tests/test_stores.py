@@ -177,6 +177,18 @@ def test_ids_leave_in_the_order_in_which_they_came(spark, tmp_path):
     assert seen == sorted(["0", "1", "2", "3", "4", "0"])  # 0 had left; 1 and 4 had not
 
 
+def test_a_large_cursor_takes_no_longer_for_an_id():
+    """300,000 ids displace others of 1,000,000, which took minutes when each of them moved the whole cursor."""
+    from collections import deque
+    from time import process_time
+
+    ids = deque(range(1_000_000))
+    known, before = set(ids), process_time()
+    assert all(stages.admitted(range(1_000_000, 1_300_000), ids, known, 1_000_000)) and process_time() - before < 10
+    assert ids[0] == 300_000 and len(ids) == len(known) == 1_000_000
+    assert stages.admitted([300_000, 0, 0], ids, known, 1_000_000) == [False, True, False]
+
+
 def test_a_publish_that_fails_is_delivered_again(spark, tmp_path):
     """Ids count as seen when the sink has taken them, not before."""
     spark.createDataFrame([("k", str(x)) for x in range(5)], "key string, id string").write.parquet(str(tmp_path / "in"))
