@@ -14,19 +14,21 @@ from pyspark.sql import types as T
 # Patterns of what cleaning replaces.
 LINK, MENTION, SPACE = r"(?iU)https?://\S+|www\.\S+", r"(?U)@\w+", r"(?U)\s+"
 SPAM_WORDS = ["rt", "via"]
+# A character reference as HTML has it, the one that html.unescape looks for.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 UNSAFE_IN_QUERY = r"[^\p{L}\p{N}_ .,'&+:/()-]"
 LEAST_BYTES = 3
 
 
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or "&" not in t else html.unescape(t))
+def _decode(references: pd.Series) -> pd.Series:
+    return references.map(lambda r: None if r is None else [html.unescape(x) for x in r])
 
 
 def _canonical(urls: pd.Series) -> pd.Series:
     return urls.map(canonical_url)
 
 
-unescape = F.pandas_udf(_unescape, T.StringType())
+_decoded = F.pandas_udf(_decode, T.ArrayType(T.StringType()))
 canonical = F.pandas_udf(_canonical, T.StringType())
 
 
@@ -46,6 +48,15 @@ def canonical_url(raw: str | None) -> str | None:
     return urlunsplit((scheme, host, parts.path or "/", urlencode(sorted(parse_qsl(parts.query, keep_blank_values=True))), ""))
 
 
+def unescape(text: Column) -> Column:
+    """Character references decoded. Only they go to Python, so what a task holds there does not follow the length of its texts."""
+    has = text.contains("&")
+    decoded = _decoded(F.when(has, F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))))
+    between = F.split(text, REFERENCE, -1)
+    whole = F.zip_with(between, decoded, lambda plain, one: F.concat(plain, F.coalesce(one, F.lit(""))))
+    return F.when(has, F.array_join(whole, "")).otherwise(text)
+
+
 def clean(text: Column) -> Column:
     """Entities decoded, links and mentions replaced, white space squeezed."""
     plain = F.regexp_replace(unescape(text), LINK, "http")

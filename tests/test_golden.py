@@ -267,3 +267,16 @@ def test_unclassified_posts_are_all_read(spark):
 def test_equity_session_of_any_year(spark, at, want):
     df = spark.range(1).select(F.lit(at).cast("timestamp").alias("t"))
     assert calendar.with_equity_session(df, "t", "s").first()["s"] == want
+
+
+def test_only_references_go_to_python(spark):
+    import html
+    import random
+
+    dice = random.Random(11)
+    parts = ["&", "#", "amp", ";", "&lt;", "&notit;", "&#65;", "&#x1F600", "&#128;", "&eacute", "&none;", " ", "\n", "<", "é", "b" * 31, "\\", "$1"]
+    texts = [None, "", *["".join(dice.choices(parts, k=dice.randrange(1, 10))) for _ in range(500)]]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", text.unescape(F.col("t")).alias("u"))
+    assert all(r.u == (None if r.t is None else html.unescape(r.t)) for r in rows.collect())
+    sent = [x for x in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "ArrowEvalPython" in x]
+    assert len(sent) == 1 and "regexp_extract_all" in sent[0] + rows._jdf.queryExecution().optimizedPlan().toString()
