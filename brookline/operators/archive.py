@@ -98,6 +98,8 @@ def export_all(store: Store, folder: str, tables: dict[str, DataFrame], first: s
             start = F.lit(first).cast("date")
             days = {d for d in tx.days(STAGED) if d is not None and d[:7] == first[:7]}
             inside = (F.col("event_at") >= start.cast("timestamp")) & (F.col("event_at") < F.add_months(start, 1).cast("timestamp"))
+            hits = tx.read(STAGED, days).where(inside & pending).select(F.date_format(F.to_date("event_at"), "yyyy-MM-dd")).distinct()
+            days = {r[0] for r in hits.collect()}  # one row a day; days without a row to be marked are left as they are
             marked = tx.read(STAGED, days).withColumn("archived_at", F.coalesce("archived_at", F.when(inside & pending, now)))
             if days:
                 tx.replace(STAGED, marked, F.col("event_at"), days)

@@ -85,3 +85,17 @@ def test_rows_staged_later_are_left_for_the_next_run(spark, tmp_path, place):
     assert export(store, place, {}) == (1, 1)
     assert marks() == {"1": True, "2": True, "3": False}
     assert sorted(r.id for r in spark.read.parquet(str(place / archive.STAGED)).collect()) == ["1", "2"]
+
+
+def test_days_without_a_row_to_be_marked_are_not_rewritten(spark, tmp_path, place):
+    store = Store(spark, str(tmp_path / "store"))
+    staged = spark.createDataFrame([("1", "2026-02-03", "2026-02-04"), ("2", "2026-02-05", "2026-02-20")], "id string, event_at string, staged_at string")
+    staged = staged.withColumns({c: F.col(c).cast("timestamp") for c in ("event_at", "staged_at")} | {"archived_at": F.lit(None).cast("timestamp")})
+    store.transact(lambda tx: tx.append(archive.STAGED, staged, F.col("event_at")))
+    parts = lambda: {p["day"]: p["path"] for p in store.snapshot().parts(archive.STAGED)}
+    before = parts()
+    export(store, place, {}, "2026-02-10 00:00:00")
+    after = parts()
+    assert after["2026-02-05"] == before["2026-02-05"] and after["2026-02-03"] != before["2026-02-03"]
+    export(store, place, {}, "2026-02-10 00:00:00")
+    assert parts() == after
