@@ -135,16 +135,16 @@ def hash_share(*columns: str, tag: str = "sample-v1") -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def probability_sample(posts: DataFrame, rate: float, platforms: list[str]) -> DataFrame:
+def probability_sample(posts: DataFrame, rate: float, platforms: list[str], *more: str) -> DataFrame:
     chosen = posts.where(F.col("platform").isin(platforms) & (hash_share("platform", "id", "symbol") < rate))
-    return chosen.select("id", "platform", "symbol", F.lit("probability").alias("cohort"), F.lit(rate).alias("inclusion_probability"), F.array(F.lit("stratified_probability")).alias("selection_reasons"))
+    return chosen.select("id", "platform", "symbol", F.lit("probability").alias("cohort"), F.lit(rate).alias("inclusion_probability"), F.array(F.lit("stratified_probability")).alias("selection_reasons"), *more)
 
 
-def challenge_sample(posts: DataFrame, engagement: int, signal: float, platforms: list[str]) -> DataFrame:
+def challenge_sample(posts: DataFrame, engagement: int, signal: float, platforms: list[str], *more: str) -> DataFrame:
     loud, sure = F.col("engagement") >= engagement, F.abs(F.col("p_pos") - F.col("p_neg")) >= signal
     reasons = F.array_compact(F.array(F.when(loud, "high_engagement"), F.when(sure, "extreme_signal")))
     chosen = posts.where(F.col("platform").isin(platforms) & (loud | sure))
-    return chosen.select("id", "platform", "symbol", F.lit("challenge").alias("cohort"), F.lit(None).cast("double").alias("inclusion_probability"), reasons.alias("selection_reasons"))
+    return chosen.select("id", "platform", "symbol", F.lit("challenge").alias("cohort"), F.lit(None).cast("double").alias("inclusion_probability"), reasons.alias("selection_reasons"), *more)
 
 
 @dataclass
@@ -159,14 +159,15 @@ class Rolled:
     counts: DataFrame
 
 
-def retain(posts: DataFrame, facts: DataFrame, labels: DataFrame, cutoff: Column, as_of: Column, run_id: str, platforms: list[str], rate: float, engagement: int = 100, signal: float = 0.8) -> Rolled:
-    """Fold posts before the hour of cutoff into the facts, sample them, and keep the others."""
+def retain(posts: DataFrame, facts: DataFrame, labels: DataFrame, cutoff: Column, as_of: Column, run_id: str, platforms: list[str], rate: float, engagement: int = 100, signal: float = 0.8, fresh: DataFrame | None = None, more: tuple[str, ...] = ()) -> Rolled:
+    """Fold posts before the hour of cutoff into the facts, sample them, and keep the others. fresh: their facts, if they are made already;
+    more: columns of a post that its sample keeps."""
     old = F.col("timestamp") < F.date_trunc("hour", cutoff)
     gone = posts.where(old)
-    fresh = post_facts(gone)
+    fresh = post_facts(gone) if fresh is None else fresh
     merged = merge_facts(facts, fresh)
     touched = merged.join(fresh.select(*KEYS), KEYS, "left_semi")
-    staged = probability_sample(gone, rate, platforms).unionByName(challenge_sample(gone, engagement, signal, platforms))
+    staged = probability_sample(gone, rate, platforms, *more).unionByName(challenge_sample(gone, engagement, signal, platforms, *more))
     counts = gone.agg(F.countDistinct(F.struct("symbol", F.date_trunc("hour", "timestamp"))).alias("rolled_up"), F.count("*").alias("pruned"))
     return Rolled(posts.where(~old), merged, merge_label_facts(labels, label_facts(fresh)), staged, touched.withColumn("run_id", F.lit(run_id)).withColumn("as_of", as_of), counts)
 

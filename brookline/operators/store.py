@@ -232,14 +232,17 @@ def retention(store: Store, cutoff: Column, as_of: Column, run_id: str, platform
             return 0, 0
         none = rollup.post_facts(posts.limit(0))
         facts, labels = tx.read("facts", days), tx.read("labels", days)
-        done = rollup.retain(posts, none if facts is None else facts, rollup.label_facts(none) if labels is None else labels, cutoff, as_of, run_id, platforms, rate, engagement, signal)
-        counts = done.counts.first()
-        hour, seen = F.col("bucket_hour"), tx.read("staged", days)
-        tx.replace("facts", done.facts, hour, days)
-        tx.replace("labels", done.labels, hour, days)
-        tx.append("snapshots", done.snapshots, hour)
-        staged = done.staged.join(posts.select("id", "platform", "symbol", "timestamp"), ["id", "platform", "symbol"])
-        tx.append("staged", staged if seen is None else sinks.without_keys(staged, seen, ["platform", "id", "symbol", "cohort"]), F.col("timestamp"))
+        fresh = rollup.post_facts(posts.where(F.col("timestamp") < F.date_trunc("hour", cutoff))).persist()  # read three times
+        try:
+            done = rollup.retain(posts, none if facts is None else facts, rollup.label_facts(none) if labels is None else labels, cutoff, as_of, run_id, platforms, rate, engagement, signal, fresh, ("timestamp",))
+            counts = fresh.agg(F.countDistinct(F.struct("symbol", "bucket_hour")).alias("rolled_up"), F.coalesce(F.sum("post_count"), F.lit(0)).alias("pruned")).first()
+            hour, seen = F.col("bucket_hour"), tx.read("staged", days)
+            tx.replace("facts", done.facts, hour, days)
+            tx.replace("labels", done.labels, hour, days)
+            tx.append("snapshots", done.snapshots, hour)
+        finally:
+            fresh.unpersist()
+        tx.append("staged", done.staged if seen is None else sinks.without_keys(done.staged, seen, ["platform", "id", "symbol", "cohort"]), F.col("timestamp"))
         tx.drop("posts", days - {first})
         tx.replace("posts", tx.read("posts", {first}).where(F.col("timestamp") >= F.date_trunc("hour", cutoff)), F.col("timestamp"), {first})
         return counts["rolled_up"], counts["pruned"]

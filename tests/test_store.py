@@ -148,3 +148,12 @@ def test_identities_with_nulls_and_repeated_rows(spark, tmp_path):
     odd = posts(spark, [1, 1, 2]).withColumn("symbol", F.when(F.col("id") == "2", F.lit(None)).otherwise(F.col("symbol")))
     assert put(store, odd) == 2 and put(store, odd) == 0
     assert put(store, odd.limit(0)) == 0 and store.snapshot().read("posts").count() == 2
+
+
+def test_a_sample_keeps_posts_without_a_symbol(spark, tmp_path):
+    """Samples take their time from the post itself, not from a join that a null symbol would not find."""
+    store = S.Store(spark, str(tmp_path))
+    put(store, posts(spark, range(4)).withColumn("symbol", F.when(F.col("id") != "0", F.col("symbol"))))
+    run(store, "2026-03-01 12:00:00")
+    staged = store.snapshot().read("staged").where("cohort = 'probability'")
+    assert sorted((r.id, r.timestamp.minute) for r in staged.collect()) == [("0", 0), ("1", 1), ("2", 2), ("3", 3)]
