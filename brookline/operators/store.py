@@ -89,6 +89,20 @@ class Transaction:
         self.append(table, df, day)
         self.manifest["tables"][table] = [p for p in self.parts(table) if p not in old]
 
+    def grow(self, table: str, rows: DataFrame, n: int, kept: Callable[[DataFrame], DataFrame]) -> None:
+        """Add n rows as one part, together with the last parts while one is not over twice as large as all after it, less the rows of
+        these that are not kept: a table of n rows has about log(n) parts."""
+        parts, taken = list(self.parts(table)), []
+        while parts and parts[-1]["rows"] <= 2 * n:
+            taken.append(parts.pop())
+            n += taken[-1]["rows"]
+        if taken:
+            rows = rows.unionByName(self.load([p["path"] for p in taken], self.manifest["schemas"][table]))
+        self.manifest["tables"][table] = parts
+        self.append(table, kept(rows))
+        last = self.parts(table)[-1]
+        last["rows"] = self.load([last["path"]], self.manifest["schemas"][table]).count()
+
     def found_days(self, index: str, hashed: DataFrame) -> set[str]:
         """Days that may have rows with the hashes of a column `hash`."""
         runs = self.manifest["indexes"].get(index, [])

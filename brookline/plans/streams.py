@@ -11,6 +11,7 @@ from brookline.operators import sinks as K
 from brookline.plans.facts import _PRICES, shown_prices
 from brookline.plans.registry import query
 from brookline.sources.views import PLATFORMS, Tables, as_of, ntz
+from brookline.streaming import cursor as C
 from brookline.streaming import stages as S
 from brookline.streaming import stateful as M
 
@@ -182,8 +183,8 @@ def evicted_ids(t: Tables) -> DataFrame:
     ranked.write.partitionBy("block").parquet(f"{folder}/blocks")
     for block in (2, 0, 1, 0, 0):
         t.spark.read.schema("key string, id string, block int").parquet(f"{folder}/blocks").where(F.col("block") == block).drop("block").write.mode("append").parquet(f"{folder}/in")
-        S.drain(S.unseen(t.spark.readStream.schema("key string, id string").parquet(f"{folder}/in"), "key", "id", most), f"{folder}/q")
-    return t.spark.read.parquet(f"{folder}/q/out").groupBy("key").agg(F.count("*").alias("passed"))
+        S.drain(t.spark.readStream.schema("key string, id string").parquet(f"{folder}/in"), f"{folder}/q", C.admit(f"{folder}/store", "key", "id", most))
+    return S.read(t.spark, f"{folder}/store", "passed").groupBy("key").agg(F.count("*").alias("passed"))
 
 
 @query("str11_newest_posts", "p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC, id DESC) AS place, count(*) FILTER (sentiment = 'positive') OVER (PARTITION BY symbol) AS positive, count(*) FILTER (sentiment = 'neutral') OVER (PARTITION BY symbol) AS neutral, count(*) FILTER (sentiment = 'negative') OVER (PARTITION BY symbol) AS negative FROM posts) SELECT symbol, place::INT AS place, id, positive, neutral, negative FROM p WHERE place <= 500")

@@ -159,7 +159,8 @@ def admitted(values: pd.Series, ids: deque, known: set, most: int) -> list[bool]
 
 
 def unseen(items: DataFrame, key: str, id_: str, most: int = SEEN_IDS) -> DataFrame:
-    """Rows whose id is not among the last `most` new ids of their key; ids leave in the order in which they came."""
+    """Rows whose id is not among the last `most` new ids of their key; ids leave in the order in which they came. A key's ids are the state
+    of one task; cursor.admit() is for more than that may hold."""
     schema = items.schema
 
     def check(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
